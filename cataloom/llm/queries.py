@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cataloom.llm import near_dedup
+from cataloom.llm import hmm_lm, near_dedup, suffix_dedup
 from cataloom.session import table
 
 
@@ -14,8 +14,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op9_suffix": op9_suffix,
+    "op10_hmm": op10_hmm,
 }
 
 ORACLES: dict[str, str] = {}
