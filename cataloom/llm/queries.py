@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, hmm_lm, near_dedup, suffix_dedup
+from cataloom.llm import byte_bpe, decontaminate, hmm_lm, line_dedup, near_dedup, suffix_dedup
 from cataloom.session import table
 
 
@@ -21,6 +22,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("same")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -32,6 +42,8 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_lines": op6_lines,
+    "op8_decontaminate": op8_decontaminate,
     "op9_suffix": op9_suffix,
     "op10_hmm": op10_hmm,
 }
