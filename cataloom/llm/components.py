@@ -68,11 +68,11 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": nodes, "to": [root(x) for x in nodes]})
 
 
-def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 3, crowded: int = 256) -> DataFrame:
+def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 256) -> DataFrame:
     """(node, component) over ``items`` (id, sig array) linked by verified pairs that share a band.
 
-    In ``stars`` rounds every item of a bucket is tried against one item of it, another one each time; that
-    settles groups of copies with a few comparisons each. Then, in buckets that still hold more than one
+    In rounds, at most ``stars``, every item of a bucket is tried against one item of it, another one each
+    time, as long as that finds links; it settles groups of copies with a few comparisons each. Then, in buckets that still hold more than one
     component, all pairs whose components differ are tried; in a bucket with more than ``crowded``
     components a pair must share a second band as well. ``agree`` is the share of equal signature places
     below which a pair is not worth verifying. ``verify`` keeps those pairs (a, b) that are links.
@@ -100,6 +100,8 @@ def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, v
         known = placed.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
         mixed = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.approx_count_distinct("c").alias("kinds")).where("low < high")
         placed = cut(known.join(mixed.select("bucket", "kinds"), "bucket"))
+        if found.isEmpty():
+            break
     if placed.isEmpty():
         return groups
     pairs = _pairs(placed.where(F.col("kinds") <= crowded), ["bucket"])
