@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, decontaminate, hmm_lm, line_dedup, near_dedup, suffix_dedup
+from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, quality, suffix_dedup, token_store
 from cataloom.session import table
 
 
@@ -15,6 +15,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    names = {"host": "__host", "path": "__path", "doc_score": "__doc_score", "host_rate": "__host_rate", "path_rate": "__path_rate", "posterior": "__posterior", "keep": "__keep"}
+    return judged.select("doc_id", *[F.col(c).alias(n) for n, c in names.items()])
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,11 +28,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("same")
 
 
+def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.through_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,8 +57,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_store": op5_store,
     "op6_lines": op6_lines,
+    "op7_embeddings": op7_embeddings,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix": op9_suffix,
     "op10_hmm": op10_hmm,
