@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, quality, suffix_dedup, token_store
+from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_store
 from cataloom.session import table
 
 
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(c).alias(n) for n, c in names.items()])
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_store": op5_store,
     "op6_lines": op6_lines,
