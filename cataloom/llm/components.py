@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.scratch import cut
+from cataloom.llm.scratch import Scratch
 
 
 #: Links that one task may hold (about 2 MB); beyond that, contraction rounds go on.
 FEW_LINKS = 20_000
 
 
-def components(links: DataFrame, few: int = FEW_LINKS, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the smallest node reachable.
 
     Distributed union-find: in each round every node points at the neighbour (or itself) that comes first
@@ -25,7 +25,7 @@ def components(links: DataFrame, few: int = FEW_LINKS, max_rounds: int = 60) ->
     one node with very many links is never gathered in a task. Once no more than ``few`` links are left,
     one task finishes them. Only counts reach the driver.
     """
-    edges = cut(links.select("a", "b").where("a <> b").distinct())
+    edges = scratch.cut(links.select("a", "b").where("a <> b").distinct())
     kind = dict(edges.dtypes)["a"]
     steps = []
     for turn in range(max_rounds):
@@ -34,21 +34,21 @@ def components(links: DataFrame, few: int = FEW_LINKS, max_rounds: int = 60) ->
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("o"), F.col(c).alias("v"))
         step = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-        step = cut(step.select(F.col("a").alias("node"), F.least("m", order("a"))["v"].alias("to")))
+        step = scratch.cut(step.select(F.col("a").alias("node"), F.least("m", order("a"))["v"].alias("to")))
         steps.append(step)
         for side in ("a", "b"):
             edges = edges.join(step.withColumnsRenamed({"node": side, "to": "new"}), side).drop(side).withColumnRenamed("new", side)
-        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     else:
         raise RuntimeError("components did not converge")
     roots = edges.coalesce(1).mapInPandas(_union_find, f"node {kind}, to {kind}")
     if not steps:
-        return cut(roots.select("node", F.col("to").alias("component")))
+        return scratch.cut(roots.select("node", F.col("to").alias("component")))
     for step in reversed(steps):
         deeper = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
         roots = step.join(deeper, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     smallest = roots.groupBy("to").agg(F.min("node").alias("component"))
-    return cut(roots.join(smallest, "to").select("node", F.least("component", "to").alias("component")))
+    return scratch.cut(roots.join(smallest, "to").select("node", F.least("component", "to").alias("component")))
 
 
 def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,11 +68,11 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": nodes, "to": [root(x) for x in nodes]})
 
 
-def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 256) -> DataFrame:
+def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 256) -> DataFrame:
     """(node, component) over ``items`` (id, sig array) linked by verified pairs that share a band.
 
     In rounds, at most ``stars``, every item of a bucket is tried against one item of it, another one each
-    time, as long as that finds links; it settles groups of copies with a few comparisons each. Then, in buckets that still hold more than one
+    time, as long as that adds a hundredth to the links; it settles groups of copies with a few comparisons each. Then, in buckets that still hold more than one
     component, all pairs whose components differ are tried; in a bucket with more than ``crowded``
     components a pair must share a second band as well. ``agree`` is the share of equal signature places
     below which a pair is not worth verifying. ``verify`` keeps those pairs (a, b) that are links.
@@ -80,7 +80,7 @@ def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, v
     places = F.array(*[F.xxhash64(F.lit(n), *[F.col("sig")[i] for i in range(low, high)]) for n, (low, high) in enumerate(bands)])
     buckets = items.select("id", F.explode(places).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(buckets.join(shared.select("bucket"), "bucket").select("bucket", "id"))
+    buckets = scratch.cut(buckets.join(shared.select("bucket"), "bucket").select("bucket", "id"))
     placed = buckets.withColumn("c", F.col("id"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, v
         right = items.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
         same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
         likely = pairs.join(left, "a").join(right, "b").where(same >= F.lit(agree) * F.size("sig_a")).select("a", "b")
-        return cut(verify(likely))
+        return scratch.cut(verify(likely))
 
     links = None
     for turn in range(stars):
@@ -96,11 +96,11 @@ def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, v
         pairs = placed.join(lead, "bucket").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         found = links_of(pairs.distinct())
         links = found if links is None else links.union(found)
-        groups = components(links)
+        groups = components(links, scratch)
         known = placed.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
         mixed = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.approx_count_distinct("c").alias("kinds")).where("low < high")
-        placed = cut(known.join(mixed.select("bucket", "kinds"), "bucket"))
-        if found.isEmpty():
+        placed = scratch.cut(known.join(mixed.select("bucket", "kinds"), "bucket"))
+        if found.count() * 100 <= links.count():
             break
     if placed.isEmpty():
         return groups
@@ -109,7 +109,7 @@ def near_classes(items: DataFrame, bands: list[tuple[int, int]], agree: float, v
     if not many.isEmpty():
         second = many.join(buckets.select("id", F.col("bucket").alias("second")), "id").where("second <> bucket")
         pairs = pairs.union(_pairs(second, ["bucket", "second"]))
-    return components(links.union(links_of(pairs.distinct())))
+    return components(links.union(links_of(pairs.distinct())), scratch)
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm.components import components
 from cataloom.llm.exchange import record_batch
-from cataloom.llm.scratch import cut, tidy
+from cataloom.llm.scratch import Scratch, cut, tidy
 
 COSINE, SPREAD, SAMPLE, SHARD, NEAREST, DEGREE, BEAM, ALPHA, AUDIT, RECALL = 0.9, 0.8, 20_000, 4_000, 32, 16, 12, 1.2, 512, 0.97
 #: Points per cluster that centroids are made for, and clusters at most (their size is what is broadcast).
@@ -221,21 +221,21 @@ def _search(members: pa.Table, edges: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names)
 
 
-def _links(points: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
+def _links(scratch: Scratch, points: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
     rows = clustered(points, centres, overlap)
     counts = rows.groupBy("size", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut(rows.join(counts, ["size", "cluster"]).withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int")))
+    rows = scratch.cut(rows.join(counts, ["size", "cluster"]).withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int")))
     mine = F.pmod(F.xxhash64("id"), F.col("parts"))
     shards = rows.withColumn("part", mine)
-    edges = cut(shards.groupBy("size", "cluster", "part").applyInArrow(_build, "id long, next long").distinct())
+    edges = scratch.cut(shards.groupBy("size", "cluster", "part").applyInArrow(_build, "id long, next long").distinct())
     # a point's united list goes to each of its shards; it is a query in every part of its clusters
     lists = shards.select(F.col("size").alias("s"), F.col("cluster").alias("c"), F.col("part").alias("p"), F.col("id").alias("node")).join(edges.withColumnRenamed("id", "node"), "node")
     visits = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).withColumn("own", F.col("part") == mine)
     found = visits.groupBy("size", "cluster", "part").cogroup(lists.groupBy("s", "c", "p")).applyInArrow(_search, "a long, b long")
-    return cut(found.distinct())
+    return scratch.cut(found.distinct())
 
 
-def audited_recall(points: DataFrame, links: DataFrame) -> float:
+def audited_recall(scratch: Scratch, points: DataFrame, links: DataFrame) -> float:
     """Share of the true links of AUDIT points (by hash) that are in ``links``; brute force in blocks."""
     chosen = points.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(AUDIT).select("id", "unit").toArrow()
     shared = points.sparkSession.sparkContext.broadcast((chosen.column("id").to_numpy(), chosen.column("unit").to_pylist()))
@@ -254,27 +254,27 @@ def audited_recall(points: DataFrame, links: DataFrame) -> float:
                 keep = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
-    true = cut(points.select("id", "unit").mapInArrow(compare, "a long, b long").distinct())
+    true = scratch.cut(points.select("id", "unit").mapInArrow(compare, "a long, b long").distinct())
     n = true.count()
     return true.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors`` (vec_id, embedding)."""
-    with tidy(vectors.sparkSession):
+    with tidy(vectors.sparkSession), Scratch(vectors.sparkSession) as scratch:
         ready = cut(prepare(vectors))
         known = ready.where("key is not null").select("vec_id", "key").distinct()
-        classes = cut(known.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-        points = cut(ready.where("key is not null").select("key", F.col("vec_id").alias("id"), "unit").join(classes.select("key", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]))
+        classes = scratch.cut(known.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+        points = scratch.cut(ready.where("key is not null").select("key", F.col("vec_id").alias("id"), "unit").join(classes.select("key", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]))
         centres = centroids(points, points.count())
         overlap, recall = 2, 0.0
         while True:
-            links = _links(points, centres, overlap)
-            recall = audited_recall(points, links)
+            links = _links(scratch, points, centres, overlap)
+            recall = audited_recall(scratch, points, links)
             if recall >= RECALL or overlap >= 16:
                 break
             overlap *= 2
-        groups = components(links)
+        groups = components(links, scratch)
         copies = classes.select(F.col("id").alias("b"), "copies")
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("linked"))

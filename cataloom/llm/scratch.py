@@ -39,6 +39,27 @@ def tidy(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+class Scratch:
+    """Tables that live as long as a ``with`` block. Written and read back, they have the size that they really have.
+
+    A checkpoint inherits the planner's estimate, and estimates of joins multiply: after tens of joins one
+    after the other they are numbers of millions of digits. A table that was read starts afresh, and small ones get broadcast.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.store, self.n = Store(spark, "scratch"), 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self.store.write(df, f"t{self.n}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.store.drop("")
+
+
 class Store:
     """A folder of Parquet tables below the shared folder, for results that must exist as files."""
 
@@ -54,5 +75,5 @@ class Store:
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
