@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters that folding spells out, umlauts as a keyboard spells them, and articles.
 SPELLED = (("ß", "ss"), ("ẞ", "SS"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("ı", "i"), ("&", " and "), ("+", " plus "), ("@", " at "))
@@ -20,7 +21,7 @@ SHORTEST_NEAR = 6
 MOST_READINGS = 128
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_accents(text: pd.Series) -> pd.Series:
     plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn")
     return text.map(plain)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def interpolate(points: Column, x: Column, clamp: bool = True) -> Column:
@@ -60,7 +61,7 @@ def grain_level(rows: DataFrame, group: list[str], grain: str) -> DataFrame:
     return rows.where(F.col(grain) > 0).groupBy(*group).agg(level.alias("level"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def best_lag(a: pd.Series, b: pd.Series) -> pd.Series:
     """Lag of b against a in samples at which their normalised cross-correlation is greatest."""
 

@@ -167,8 +167,8 @@ def test_sync(spark):
 
 
 def test_curves(spark):
-    a = [0.0, 0, 1, 5, 1, 0, 0, 0]
-    rows = spark.createDataFrame([(a, [0.0, 0, *a[:-2]])], "a array<double>, b array<double>")
+    a = [0.0, 0.0, 1.0, 5.0, 1.0, 0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([(a, [0.0, 0.0, *a[:-2]])], "a array<double>, b array<double>")
     assert rows.select(curves.best_lag("a", "b")).collect()[0][0] == 2.0
     assert values(spark, "a array<double>, b array<double>", [([0.0, 9.5], [0.5, 10.0]), ([0.0], [0.0, 1.0])], curves.same_chapters(F.col("a"), F.col("b"))) == [True, False]
     grain = spark.createDataFrame([("g", 4.0), ("g", 9.0), ("g", 16.0)], "g string, v double")
