@@ -144,13 +144,14 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[tupl
     return found
 
 
-def item_groups(benchmark: DataFrame) -> list[Items]:
-    """Items in groups of bounded text; each group is read to the driver on its own."""
+def item_groups(benchmark: DataFrame) -> Iterator[Items]:
+    """Items in groups of bounded text; the driver holds one group at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     n = total // GROUP_BYTES + 1
-    groups = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect() for i in range(n)]
-    return [Items([r["item_id"] for r in g], [r["text"] for r in g]) for g in groups]
+    for i in range(n):
+        group = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()
+        yield Items([r["item_id"] for r in group], [r["text"] for r in group])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

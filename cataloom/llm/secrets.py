@@ -32,14 +32,17 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 #: Least entropy in bits of a hot window; 20 characters can reach 4 for hexadecimal and 4.32 otherwise.
 HEX_ENTROPY, MIXED_ENTROPY = 3.05, 3.75
-#: Candidates that are no secrets: without a digit; without a letter; UUIDs; dates and times; words and numbers joined by separators.
+#: Candidates that are no secrets: without a digit; without a letter; UUIDs; dates and times.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^/?([A-Za-z]{2,}|[0-9]{1,4})([/_=-]+([A-Za-z]{2,}|[0-9]{1,4}))+[/_=-]*$",
 )
+#: Nor are words of two letters or more and numbers of up to four digits that separators join: such a candidate has two
+#: parts and no place that breaks the rule. Two plain searches, as a repeated group would use the stack up on long paths.
+JOINED = r"[A-Za-z0-9][/_=-]+[A-Za-z0-9]"
+NOT_JOINED = r"\+|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}|(?<![A-Za-z0-9])[A-Za-z](?![A-Za-z0-9])|^[_=-]|^/[/_=-]"
 
 
 def _places(text: Column, pattern: str, kind: int) -> Column:
@@ -61,25 +64,26 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
 def _hot(candidate: Column, least: Column) -> Column:
     """Whether a window of the candidate has an entropy of at least ``least``, by incremental counts over its characters."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    before = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), codes), 1, F.length(candidate))
+    moves = F.zip_with(F.slice(codes, 1, F.length(candidate)), before, lambda came, went: F.struct(came.alias("came"), went.alias("went")))
     term = lambda n: F.when(n > 1, n * F.log2(F.when(n > 1, n).otherwise(2))).otherwise(0.0)
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
+    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
 
     def change(counts: Column, code: Column, by: int) -> Column:
         new = F.get(counts, code) + by
         return F.concat(F.slice(counts, 1, code), F.array(new), F.slice(counts, code + 2, 127 - code))
 
-    def step(state: Column, i: Column) -> Column:
-        came = F.get(codes, i - 1)
+    def step(state: Column, move: Column) -> Column:
+        came, went, n = move["came"], move["went"], state["n"] + 1
         more = term(F.get(state["counts"], came) + 1) - term(F.get(state["counts"], came))
         grown = F.struct(change(state["counts"], came, 1).alias("counts"), (state["sum"] + more).alias("sum"))
-        went = F.get(codes, i - 1 - WINDOW)
-        full = i > WINDOW
         less = term(F.get(grown["counts"], went)) - term(F.get(grown["counts"], went) - 1)
-        counts = F.when(full, change(grown["counts"], went, -1)).otherwise(grown["counts"])
-        total = F.when(full, grown["sum"] - less).otherwise(grown["sum"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= WINDOW, F.least(state["best"], total)).otherwise(state["best"]).alias("best"))
+        counts = F.when(went.isNotNull(), change(grown["counts"], went, -1)).otherwise(grown["counts"])
+        total = F.when(went.isNotNull(), grown["sum"] - less).otherwise(grown["sum"])
+        best = F.when(n >= WINDOW, F.least(state["best"], total)).otherwise(state["best"])
+        return F.struct(n.alias("n"), counts.alias("counts"), total.alias("sum"), best.alias("best"))
 
-    least_sum = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step)["best"]
+    least_sum = F.aggregate(moves, start, step)["best"]
     return F.lit(math.log2(WINDOW)) - least_sum / WINDOW >= least
 
 
@@ -93,7 +97,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     hexes = _places(F.col("text"), rf"(?<![0-9a-f])[0-9a-f]{{{SHORTEST_HEX},}}+", 2)
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
     some = _places(F.col("text"), CANDIDATE, 3)
-    some = F.filter(some, lambda x: ~x["match"].rlike(allowed))
+    some = F.filter(some, lambda x: ~x["match"].rlike(allowed) & ~(x["match"].rlike(JOINED) & ~x["match"].rlike(NOT_JOINED)))
     rows = rows.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), some.alias("some"))
     known = F.concat("assign", "access", "hex")
     free = F.filter("some", lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])))
