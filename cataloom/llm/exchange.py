@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 BLOCK = 512
 #: MB of documents per partition of blocks and per bucket, from the size that Spark plans with.
 PARTITION_MB = 24
+#: The planner takes rows that do not come from files for about 2**63 bytes; estimates from here on say nothing.
+UNKNOWN = 1 << 55
 
 
 def partitions(docs: DataFrame) -> int:
-    """Number of partitions and buckets by the size of the input as Spark's planner knows it."""
+    """Number of partitions and buckets by the size of ``docs`` as Spark's planner knows it, else by its texts' bytes."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     return max(4, min(100_000, size // (PARTITION_MB << 20) + 1))
 
 
