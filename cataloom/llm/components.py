@@ -68,20 +68,30 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": nodes, "to": [root(x) for x in nodes]})
 
 
-def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 256) -> DataFrame:
+def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 30_000) -> DataFrame:
     """(node, component) over ``items`` (id, sig array) linked by verified pairs that share a band.
 
-    In rounds, at most ``stars``, every item of a bucket is tried against one item of it, another one each
-    time, as long as that adds a hundredth to the links; it settles groups of copies with a few comparisons each. Then, in buckets that still hold more than one
+    Where all pairs of the buckets are no more than the items, they are tried at once. Otherwise rounds come first,
+    at most ``stars``: every item of a bucket is tried against one item of it, another one each time, which settles
+    groups of copies with a few comparisons each; they end when the pairs that are left are no more than the items,
+    or a round adds less than a hundredth to the links. Then, in buckets that still hold more than one
     component, all pairs whose components differ are tried; in a bucket with more than ``crowded``
-    components a pair must share a second band as well. ``agree`` is the share of equal signature places
+    of them a pair must share a second band as well. ``agree`` is the share of equal signature places
     below which a pair is not worth verifying. ``verify`` keeps those pairs (a, b) that are links.
     """
     places = F.array(*[F.xxhash64(F.lit(n), *[F.col("sig")[i] for i in range(low, high)]) for n, (low, high) in enumerate(bands)])
     buckets = items.select("id", F.explode(places).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = scratch.cut(buckets.join(shared.select("bucket"), "bucket").select("bucket", "id"))
-    placed = buckets.withColumn("c", F.col("id"))
+    most = items.count()
+
+    def unsettled(known: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of ``known`` (bucket, id, c) in buckets of several components, and the pairs of different components."""
+        sizes = known.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+        n, squares = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+        mixed = sizes.groupBy("bucket").agg(n.alias("rows"), ((n * n - squares) / 2).alias("pairs")).where("pairs > 0")
+        placed = scratch.cut(known.join(mixed, "bucket"))
+        return placed, round(placed.agg(F.sum(F.col("pairs") / F.col("rows")).alias("pairs")).collect()[0]["pairs"] or 0)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         left = items.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
@@ -90,26 +100,29 @@ def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]
         likely = pairs.join(left, "a").join(right, "b").where(same >= F.lit(agree) * F.size("sig_a")).select("a", "b")
         return scratch.cut(verify(likely))
 
-    links = None
+    links, groups = None, None
+    placed, left = unsettled(buckets.withColumn("c", F.col("id")))
     for turn in range(stars):
+        if left <= most:
+            break
         lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "c")).alias("lead"))
         pairs = placed.join(lead, "bucket").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         found = links_of(pairs.distinct())
         links = found if links is None else links.union(found)
         groups = components(links, scratch)
         known = placed.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.approx_count_distinct("c").alias("kinds")).where("low < high")
-        placed = scratch.cut(known.join(mixed.select("bucket", "kinds"), "bucket"))
+        placed, left = unsettled(known)
         if found.count() * 100 <= links.count():
             break
-    if placed.isEmpty():
+    if left == 0 and groups is not None:
         return groups
-    pairs = _pairs(placed.where(F.col("kinds") <= crowded), ["bucket"])
-    many = placed.where(F.col("kinds") > crowded)
+    pairs = _pairs(placed.where(F.col("pairs") <= crowded), ["bucket"])
+    many = placed.where(F.col("pairs") > crowded)
     if not many.isEmpty():
         second = many.join(buckets.select("id", F.col("bucket").alias("second")), "id").where("second <> bucket")
         pairs = pairs.union(_pairs(second, ["bucket", "second"]))
-    return components(links.union(links_of(pairs.distinct())), scratch)
+    last = links_of(pairs.distinct())
+    return components(last if links is None else links.union(last), scratch)
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
