@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cataloom.llm.scratch import Scratch
 
 
-#: Links that one task may hold (about 2 MB); beyond that, contraction rounds go on.
-FEW_LINKS = 20_000
+#: Links that one task may hold (some 10 MB); beyond that, contraction rounds go on.
+FEW_LINKS = 100_000
 
 
 def components(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS, max_rounds: int = 60) -> DataFrame:
@@ -25,12 +25,14 @@ def components(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS, max_rou
     one node with very many links is never gathered in a task. Once no more than ``few`` links are left,
     one task finishes them. Only counts reach the driver.
     """
-    edges = scratch.cut(links.select("a", "b").where("a <> b").distinct())
+    edges = links.select("a", "b").where("a <> b")
     kind = dict(edges.dtypes)["a"]
     steps = []
     for turn in range(max_rounds):
         if edges.count() <= few:
             break
+        if not steps:
+            edges = scratch.cut(edges.distinct())
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("o"), F.col(c).alias("v"))
         step = both.groupBy("a").agg(F.min(order("b")).alias("m"))
@@ -72,10 +74,12 @@ def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]
     """(node, component) over ``items`` (id, sig array) linked by verified pairs that share a band.
 
     Where all pairs of the buckets are no more than the items, they are tried at once. Otherwise rounds come first,
-    at most ``stars``: every item of a bucket is tried against one item of it, another one each time, which settles
-    groups of copies with a few comparisons each; they end when the pairs that are left are no more than the items,
-    or a round adds less than a hundredth to the links. Then, in buckets that still hold more than one
-    component, all pairs whose components differ are tried; in a bucket with more than ``crowded``
+    at most ``stars``: every item of a bucket is tried against one item of it, which settles groups of copies with a
+    few comparisons each. In the first round that is the item whose buckets hold most items (edited copies leave their
+    original's buckets here and there, the original is in all of them), later another one each time. The rounds end
+    when the pairs that are left are no more than the items, when a round settles less than a third of them and they
+    are no more than twice the items, or when it adds less than a hundredth to the links. Then, in buckets that still
+    hold more than one component, all pairs whose components differ are tried; in a bucket with more than ``crowded``
     of them a pair must share a second band as well. ``agree`` is the share of equal signature places
     below which a pair is not worth verifying. ``verify`` keeps those pairs (a, b) that are links.
     """
@@ -105,14 +109,18 @@ def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]
     for turn in range(stars):
         if left <= most:
             break
-        lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "c")).alias("lead"))
+        offered = placed
+        if turn == 0:
+            offered = placed.join(placed.groupBy("id").agg(F.sum("rows").alias("met")), "id")
+        order = -F.col("met") if turn == 0 else F.lit(0)
+        lead = offered.groupBy("bucket").agg(F.min(F.struct(order.alias("first"), F.xxhash64(F.lit(turn), "id").alias("o"), "id", "c")).alias("lead"))
         pairs = placed.join(lead, "bucket").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         found = links_of(pairs.distinct())
         links = found if links is None else links.union(found)
         groups = components(links, scratch)
         known = placed.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        placed, left = unsettled(known)
-        if found.count() * 100 <= links.count():
+        before, (placed, left) = left, unsettled(known)
+        if found.count() * 100 <= links.count() or left <= 2 * most and left * 3 > before * 2:
             break
     if left == 0 and groups is not None:
         return groups
