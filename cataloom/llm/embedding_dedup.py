@@ -29,9 +29,11 @@ from cataloom.llm.components import components
 from cataloom.llm.exchange import record_batch
 from cataloom.llm.scratch import Scratch, cut, tidy
 
-COSINE, SPREAD, SAMPLE, SHARD, NEAREST, DEGREE, BEAM, ALPHA, AUDIT, RECALL = 0.9, 0.8, 20_000, 4_000, 32, 16, 12, 1.2, 512, 0.97
+COSINE, SPREAD, SAMPLE, SHARD, NEAREST, DEGREE, BEAM, ALPHA, AUDIT, RECALL = 0.9, 0.8, 20_000, 2_000, 32, 16, 12, 1.2, 512, 0.97
 #: Points per cluster that centroids are made for, and clusters at most (their size is what is broadcast).
 CLUSTER, MOST_CLUSTERS = 1_500, 4_096
+#: Points that the search spreads from at a time, and queries searched together.
+FRONTIER, QUERIES = 1 << 15, 1_024
 
 
 def _units(column: pa.Array) -> list[bytes | None]:
@@ -177,16 +179,18 @@ def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray) -> tuple[np.nd
     reached = np.zeros((len(q), len(x)), bool)
     reached[query, point] = True
     while len(query):
-        near = graph[point]
-        query, near = np.repeat(query, near.shape[1]), near.ravel()
-        good = near >= 0
-        pair = np.unique(query[good] * np.int64(len(x)) + near[good])
-        query, near = pair // len(x), pair % len(x)
-        new = ~reached[query, near]
-        query, near = query[new], near[new]
-        close = np.concatenate([np.einsum("nd,nd->n", q[query[i : i + 65536]], x[near[i : i + 65536]]) for i in range(0, len(query), 65536)] or [np.zeros(0)]) >= SPREAD
-        query, point = query[close], near[close]
-        reached[query, point] = True
+        found = []
+        for i in range(0, len(query), FRONTIER):
+            near = graph[point[i : i + FRONTIER]]
+            source, near = np.repeat(query[i : i + FRONTIER], near.shape[1]), near.ravel()
+            good = near >= 0
+            source, near = source[good], near[good]
+            pair = np.unique(source[~reached[source, near]] * np.int64(len(x)) + near[~reached[source, near]])
+            source, near = pair // len(x), pair % len(x)
+            close = np.concatenate([np.einsum("nd,nd->n", q[source[j : j + 65536]], x[near[j : j + 65536]]) for j in range(0, len(source), 65536)] or [np.zeros(0)]) >= SPREAD
+            reached[source[close], near[close]] = True
+            found.append((source[close], near[close]))
+        query, point = (np.concatenate(part) for part in zip(*found, strict=True))
     return np.nonzero(reached)
 
 
@@ -209,16 +213,21 @@ def _search(members: pa.Table, edges: pa.Table) -> pa.Table:
     graph = np.full((len(ids), max(1, int(np.diff(first).max(initial=0)))), -1)
     graph[at, np.arange(len(at)) - first[at]] = to
     query_ids, queries = members.column("id").to_numpy(), _matrix(members.column("unit"))
-    found = []
-    for i in range(0, len(query_ids), 1024):
-        q, p = range_search(x, graph, queries[i : i + 1024].astype(np.float32))
+    # a pair is one number: of two own points by their places, else by the query's place after those
+    n, where = len(ids), np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
+    mine, found = ids[where] == query_ids, [np.zeros(0, np.int64)]
+    for i in range(0, len(query_ids), QUERIES):
+        q, p = range_search(x, graph, queries[i : i + QUERIES].astype(np.float32))
         for j in range(0, len(q), 65536):
             a, b = q[j : j + 65536] + i, p[j : j + 65536]
             link = (np.einsum("nd,nd->n", queries[a], exact[b]) >= COSINE) & (query_ids[a] != ids[b])
-            a, b = query_ids[a[link]], ids[b[link]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names)
+            a, b = a[link], b[link]
+            found.append(np.where(mine[a], np.minimum(where[a], b) * n + np.maximum(where[a], b), n * n + a * n + b))
+    pairs = np.unique(np.concatenate(found))
+    del found
+    inner, outer = pairs[pairs < n * n], pairs[pairs >= n * n] - n * n
+    left, right = np.concatenate([ids[inner // n], query_ids[outer // n]]), ids[np.concatenate([inner % n, outer % n])]
+    return pa.Table.from_arrays([pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], names)
 
 
 def _links(scratch: Scratch, points: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
