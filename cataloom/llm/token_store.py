@@ -19,7 +19,6 @@ rows each have their own place.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +33,9 @@ from cataloom.llm.scratch import Store, cut, tidy
 
 WINDOW, AVERAGE, SMALLEST, LARGEST = 16, 256, 32, 4096
 #: Words whose ids a task remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
-_SPACE = re.compile(r"[ \t\n\r]+")
+REMEMBERED = 200_000
+#: Words between blanks, tabs and line ends, letters as they are.
+_WORDS = tc._byte_table(b" \t\n\r", lower=False)
 
 
 class WordTokenizer:
@@ -49,25 +49,32 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[int, int] = {}  # by hash of the word
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a buffer one after the other, and where each text's begin."""
         if len(self.number) > REMEMBERED:
             self._reset()
-        number, words = self.number, [_SPACE.split(t) for t in texts]
-        new = [w for w in {w for found in words for w in found} if w not in number]
+        found, number = tc.words(data, offsets, _WORDS), self.number
+        keys, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+        known = keys.tolist()
+        new = [i for i, key in enumerate(known) if key not in number]
         if new:
-            encoded = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            texts = [data[found.start[at[i]] : found.end[at[i]]].tobytes().decode() for i in new]
+            encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            number.update(zip((known[i] for i in new), range(len(number), len(number) + len(new)), strict=True))
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, np.fromiter((i for ids in encoded for i in ids), np.uint32, sizes.sum())])
-        for found in words:
-            index = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            size = self.first[index + 1] - self.first[index]
-            ends = np.cumsum(size)
-            yield self.ids[np.repeat(self.first[index] - ends + size, size) + np.arange(ends[-1])]
+        index = np.fromiter(map(number.__getitem__, known), np.int64, len(known))[inverse]
+        size = self.first[index + 1] - self.first[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.first[index] - ends[:-1], size) + np.arange(ends[-1])], ends[found.first]
+
+
+#: The tokenizer of this Python process, which serves one task after another.
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
 def cuts(ids: np.ndarray) -> np.ndarray:
@@ -110,13 +117,15 @@ def _ids(body: bytes, n: int) -> np.ndarray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], definition: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    tokenizer = WordTokenizer(definition)
+    if definition not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[definition] = WordTokenizer(definition)
+    tokenizer = _tokenizers[definition]
     for batch in batches:
-        _, offsets = tc.text_buffer(batch.column("text"))
+        data, offsets = tc.text_buffer(batch.column("text"))
         for low, high in tc.slices(offsets, 2 << 20):
-            rows = batch.slice(low, high - low)
-            texts = [x or "" for x in rows.column("text").to_pylist()]
-            yield rows, [np.append(ids, np.uint32(end_id)) for ids in tokenizer.encode(texts)]
+            ids, first = tokenizer.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            yield batch.slice(low, high - low), [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -> None:
@@ -126,15 +135,24 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
     with open(tokenizer_path) as file:  # part of an installed package, of about two megabytes
         shared = spark.sparkContext.broadcast(file.read())
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, documents in _encoded(batches, shared.value, end_id):
+            out = []
+            for ids in documents:
+                ends = cuts(ids)
+                parts = np.split(ids, ends[:-1])
+                names = [_name(x) for x in parts]
+                out.append((len(ids), names, np.diff(ends, prepend=0).tolist(), merkle(names), [_body(x) for x in parts]))
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "chunk_ids", "sizes", "root", "bodies"])
+
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, documents in _encoded(batches, shared.value, end_id):
+        for batch in batches:
             found: dict[bytes, tuple[int, bytes]] = {}
-            for ids in documents:
-                low = 0
-                for high in cuts(ids).tolist():
-                    part = ids[low:high]
-                    found.setdefault(_name(part), (len(part), _body(part)))
-                    low = high
+            names, sizes, bodies = (batch.column(c).flatten().to_pylist() for c in ("chunk_ids", "sizes", "bodies"))
+            for name, size, body in zip(names, sizes, bodies, strict=True):
+                found.setdefault(name, (size, body))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int32()), pa.array([x[1] for x in found.values()], pa.binary())], ["chunk_id", "n", "body"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,20 +163,12 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
             last = names[-1] if names else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, documents in _encoded(batches, shared.value, end_id):
-            out = []
-            for ids in documents:
-                ends = cuts(ids)
-                names = [_name(x) for x in np.split(ids, ends[:-1])]
-                out.append((len(ids), names, np.diff(ends, prepend=0).tolist(), merkle(names)))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "chunk_ids", "sizes", "root"])
-
     with tidy(spark):
-        bodies = docs.mapInArrow(chunked, "chunk_id binary, n int, body binary").repartition(n, "chunk_id").sortWithinPartitions("chunk_id")
+        # encoded once and written: placing the recipes in order samples its input first
+        encoded = store.write(docs.mapInArrow(encode, "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>, root binary, bodies array<binary>"), "encoded")
+        bodies = encoded.select("chunk_ids", "sizes", "bodies").mapInArrow(chunked, "chunk_id binary, n int, body binary").repartition(n, "chunk_id").sortWithinPartitions("chunk_id")
         store.write(bodies.mapInArrow(once, "chunk_id binary, n int, body binary"), "chunks")
-        recipes = docs.mapInArrow(recipe, "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>, root binary")
+        recipes = encoded.drop("bodies")
         placed = cut(recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()))
         parts = placed.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
         before = parts.withColumn("before", F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
@@ -168,6 +178,7 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
         columns = ["doc_id", "part", "n_tokens", "start", "chunk_ids", "sizes", "root"]
         written = store.write(recipes.select(columns).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "root"), "recipes")
         store.write(_manifest(written), "manifest")
+        store.drop("encoded")
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
