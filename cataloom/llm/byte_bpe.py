@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens that a task remembers; beyond that it starts afresh, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text whose new pre-tokens are encoded together.
-GROUP = 12 << 20
+GROUP = 4 << 20
 
 
 class Ranks:
