@@ -31,10 +31,14 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     left, right = prepared(left), prepared(right)
     gap = F.abs(F.col("l_year") - F.col("r_year"))
 
-    def rung(number: int, key: Column, condition: Column) -> DataFrame:
-        joined = _exploded(left, key, "l").join(_exploded(right, key, "r"), "key").where(condition)
+    def rung(number: int, key: Column, condition: Column, other: Column | None = None, l_rows: DataFrame = left, r_rows: DataFrame = right) -> DataFrame:
+        joined = _exploded(l_rows, key, "l").join(_exploded(r_rows, key if other is None else other, "r"), "key").where(condition)
         return joined.withColumn("rung", F.lit(number)).drop("key")
 
+    def of_year(keys: Column, year: Column) -> Column:
+        """Keys with the year in them, so that titles of other years do not meet; none without a year."""
+        return F.when(year.isNotNull(), F.transform(keys, lambda k: F.concat_ws("|", year.cast("string"), k)))
+
     script = F.concat_ws("|", F.col("latin").cast("string"), F.col("fold"))
     keyed = F.transform("keys", lambda k: F.concat_ws("|", F.col("latin").cast("string"), k))
     parts = F.transform(segments(F.col("title")), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
@@ -44,10 +48,11 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     slip = one_slip(F.replace("l_fold", F.lit(" "), F.lit("")), F.replace("r_fold", F.lit(" "), F.lit("")))
     found = [
         rung(ID, F.col("ids"), F.lit(True)),
-        rung(SAME_YEAR, keyed, gap == 0),
-        rung(NEAR_YEAR, F.array(script), (gap > 0) & (gap <= 1)),
-        rung(NO_YEAR, keyed, F.col("l_year").isNull() | F.col("r_year").isNull()),
-        rung(PART, parts, (gap == 0) & (F.col("l_fold") != F.col("r_fold"))),
+        rung(SAME_YEAR, of_year(keyed, F.col("year")), gap == 0),
+        rung(NEAR_YEAR, F.concat(*[of_year(F.array(script), F.col("year") + n) for n in (-1, 1)]), gap == 1, of_year(F.array(script), F.col("year"))),
+        rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is null")),
+        rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is not null"), r_rows=right.where("year is null")),
+        rung(PART, of_year(parts, F.col("year")), (gap == 0) & (F.col("l_fold") != F.col("r_fold"))),
         rung(SLIP, blocks, (gap == 0) & slip),
     ]
     every = found[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -148,6 +149,37 @@ def test_linkage_rungs(spark):
     assert {(r.left_id, r.right_id) for r in linkage.mutual(pairs).collect()} >= {(1, 11), (2, 12), (4, 14)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_mutual_match_links_all_parts(spark):
+    from cataloom.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    parts = [(r.p_partkey, f"{r.p_name} {r.p_type}", r.p_size) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+
+    def slip(a, b):
+        a, b = a.replace(" ", ""), b.replace(" ", "")
+        return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+
+    def rung(a, b):
+        left, right, gap = a[1].lower(), b[1].replace("a", "e").lower(), abs(a[2] - b[2])
+        if left == right and gap < 2:
+            return linkage.NEAR_YEAR if gap else linkage.SAME_YEAR
+        return linkage.SLIP if gap == 0 and slip(left, right) else None
+
+    pairs = [(a[0], b[0], rung(a, b)) for a in parts for b in parts if rung(a, b)]
+
+    def settled(at):
+        rows = {}
+        for p in pairs:
+            rows.setdefault(p[at], []).append(p)
+        best = {k: [p for p in v if p[2] == min(q[2] for q in v)] for k, v in rows.items()}
+        return {v[0] for v in best.values() if len(v) == 1}
+
+    expected = settled(0) & settled(1)
+    got = {(r.left_id, r.right_id, r.rung) for r in QUERIES["mutual_match"](spark, sf_dir).collect()}
+    assert got == expected and any(a % 50 != 1 for a, _, _ in got)
+
+
 def test_mining(spark):
     rows = spark.createDataFrame([("Intro Live 2001",), ("live intro",), ("the Live",)], "name string")
     assert [(r.token, r.names) for r in mining.prevalence(rows, "name").collect()] == [("live", 3), ("intro", 2)]
