@@ -62,6 +62,17 @@ def test_components_on_chains_and_stars(spark):
             assert got == plain_components(nodes, links)
 
 
+@pytest.mark.parametrize("crowded", [0, 30_000])
+def test_crowded_buckets_compare_all_pairs(spark, monkeypatch, crowded):
+    monkeypatch.setattr(components._block_pairs, "__defaults__", (3,))
+    # all share the first band only; pairs of like remainder agree in three of four places
+    items = spark.createDataFrame([(i, [1, 10 + i % 10, 100 + i % 10, 1000 + i]) for i in range(40)], "id long, sig array<int>")
+    verify = lambda pairs: pairs.where("a % 10 = b % 10")
+    with Scratch(spark) as scratch:
+        got = components.near_classes(scratch, items, [(0, 1), (3, 4)], 0.5, verify, stars=0, crowded=crowded).collect()
+    assert {r.node: r.component for r in got} == {i: i % 10 for i in range(40)}
+
+
 def test_line_dedup(spark):
     rows = odd_rows(2)
     rows[6] = (6, rows[6][1] + "\nThis line is long enough to count as one here.\n\nshort\nshort")
