@@ -8,8 +8,9 @@
 3. Every point is searched in its clusters' shards: a greedy beam goes from the shard's medoid to the
    point's surroundings; from there the search spreads over all points of cosine at least ``SPREAD``.
    Pairs of cosine 0.9 or more in double precision are links.
-4. The links of ``AUDIT`` points are compared with brute force over all points, in blocks. If under ``RECALL``
-   of the true links were found, the search is repeated with twice the overlap.
+4. The links of ``AUDIT`` points are compared with brute force over all points, in blocks. Recall is the mean over points,
+   taken apart for points of at most ``SPARSE`` links and for the others; the lower one counts. Under ``RECALL`` the search is
+   repeated with twice the overlap, and beyond an overlap of ``MOST_OVERLAP`` all pairs of points are compared.
 
 Vectors that are null or empty, zero, or hold null or non-finite components link with nothing. Vectors of
 different lengths do not link. Rows of equal vec_id and components are one vector; rows without vec_id are left out.
@@ -32,6 +33,8 @@ from cataloom.llm.scratch import Scratch, cut, tidy
 COSINE, SPREAD, SAMPLE, SHARD, NEAREST, DEGREE, BEAM, ALPHA, AUDIT, RECALL = 0.9, 0.8, 20_000, 2_000, 32, 16, 12, 1.2, 512, 0.97
 #: Points per cluster that centroids are made for, and clusters at most (their size is what is broadcast).
 CLUSTER, MOST_CLUSTERS = 1_500, 4_096
+#: Overlap at which the search is given up, points of at most so many links that count as sparse, rows of a block of the exact comparison.
+MOST_OVERLAP, SPARSE, EXACT_ROWS = 16, 16, 2_048
 #: Points that the search spreads from at a time, and queries searched together.
 FRONTIER, QUERIES = 1 << 15, 1_024
 
@@ -245,7 +248,10 @@ def _links(scratch: Scratch, points: DataFrame, centres: dict[int, np.ndarray],
 
 
 def audited_recall(scratch: Scratch, points: DataFrame, links: DataFrame) -> float:
-    """Share of the true links of AUDIT points (by hash) that are in ``links``; brute force in blocks."""
+    """The lower of two recalls of AUDIT points (by hash): of sparse points and of dense ones; brute force in blocks.
+
+    Each is the mean, over the points that have links, of the share of a point's true links that is in ``links``.
+    """
     chosen = points.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(AUDIT).select("id", "unit").toArrow()
     shared = points.sparkSession.sparkContext.broadcast((chosen.column("id").to_numpy(), chosen.column("unit").to_pylist()))
 
@@ -263,9 +269,35 @@ def audited_recall(scratch: Scratch, points: DataFrame, links: DataFrame) -> flo
                 keep = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
-    true = scratch.cut(points.select("id", "unit").mapInArrow(compare, "a long, b long").distinct())
-    n = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
+    true = points.select("id", "unit").mapInArrow(compare, "a long, b long").distinct()
+    told = scratch.cut(true.join(links.select("a", "b").withColumn("hit", F.lit(1.0)), ["a", "b"], "left").fillna(0.0, ["hit"]))
+    ends = told.select(F.explode(F.array("a", "b")).alias("id"), "hit").where(F.col("id").isin(chosen.column("id").to_pylist()))
+    shares = ends.groupBy("id").agg(F.avg("hit").alias("share"), F.count(F.lit(1)).alias("n"))
+    rows = shares.groupBy((F.col("n") <= SPARSE).alias("sparse")).agg(F.avg("share").alias("recall")).collect()
+    return min([r["recall"] for r in rows], default=1.0)
+
+
+def exact_links(scratch: Scratch, points: DataFrame) -> DataFrame:
+    """All links (a, b), by comparing every two blocks of points."""
+    blocks = max(1, -(-points.count() // EXACT_ROWS))
+    dealt = points.select("id", "unit", F.octet_length("unit").alias("size"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int").alias("block"))
+    meets = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = dealt.withColumn("with", meets).select("id", "unit", "size", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, x, block = table.column("id").to_numpy(), _matrix(table.column("unit")), table.column("block").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+        for low in range(0, len(one), 512):
+            part = one[low : low + 512]
+            a, b = np.nonzero(x[part] @ x[two].T >= COSINE)
+            a, b = ids[part[a]], ids[two[b]]
+            keep = a < b if i == j else a != b
+            found.append(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]))
+        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return scratch.cut(rows.groupBy("size", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -280,9 +312,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         while True:
             links = _links(scratch, points, centres, overlap)
             recall = audited_recall(scratch, points, links)
-            if recall >= RECALL or overlap >= 16:
+            if recall >= RECALL:
                 break
             overlap *= 2
+            if overlap > MOST_OVERLAP:
+                links, recall = exact_links(scratch, points), 1.0
+                break
         groups = components(links, scratch)
         copies = classes.select(F.col("id").alias("b"), "copies")
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

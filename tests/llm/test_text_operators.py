@@ -284,6 +284,29 @@ def test_embeddings(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (degree[i], c, i == c) for i, c in expected.items()}
 
 
+def test_recall_of_sparse_points_counts_by_itself(spark):
+    rng = np.random.default_rng(21)
+    dense = rng.normal(size=16) + rng.normal(size=(60, 16)) * 0.02
+    sparse = rng.normal(size=(10, 16)) * 1.0
+    x = np.concatenate([dense, sparse, sparse + 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, unit binary")
+    near = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if x[a] @ x[b] >= 0.9]
+    found = spark.createDataFrame([p for p in near if p[1] < 60], "a long, b long")
+    with Scratch(spark) as scratch:
+        assert embedding_dedup.audited_recall(scratch, points, found) < 0.5
+        assert embedding_dedup.audited_recall(scratch, points, spark.createDataFrame(near, "a long, b long")) == 1.0
+
+
+def test_embeddings_are_compared_exactly_where_the_search_misses(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_links", lambda scratch, points, centres, overlap: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(embedding_dedup, "EXACT_ROWS", 7)
+    x = np.random.default_rng(22).normal(size=(20, 8))
+    vectors = np.concatenate([x, x + 0.01]).tolist() + [[1.0, 2.0], [1.0, 2.1]]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")).collect()}
+    assert all(got[i + 20].component_id == got[i].component_id for i in range(20)) and got[41].component_id == 40
+
+
 def test_hmm(spark):
     rows = odd_rows(13)
     got = hmm_lm.score_texts(documents(spark, rows)).collect()
