@@ -8,8 +8,8 @@ union-find keeps the first line (by doc_id, then place) of each component.
 Which bands at least two lines share is found by exchanging packed band hashes between blocks of documents and
 buckets (see exchange.py), so only lines that can have a partner are shuffled with their text.
 
-Lines end at a line feed; white space around a line does not count. Lines shorter than ``SHORTEST`` characters
-(headings, blank lines) are left alone. Defined results: null text stays null; a document may lose all lines and is
+Lines end at a line feed; white space around a line does not count. Lines of fewer than ``CHARS`` characters have
+no shingle and are left alone. Defined results: null text stays null; a document may lose all lines and is
 then empty; rows of equal doc_id count as one document; rows without doc_id are left alone.
 """
 
@@ -28,7 +28,7 @@ from cataloom.llm.components import near_classes
 from cataloom.llm.exchange import Levels, block_of, bucket_bounds, packed, partitions, record_batch, unpack
 from cataloom.llm.scratch import Scratch, cut, tidy
 
-CHARS, SIMILARITY, BANDS, ROWS, SHORTEST = 6, 0.8, 12, 5, 20
+CHARS, SIMILARITY, BANDS, ROWS, SHORTEST = 6, 0.8, 12, 5, 6
 PLACES = BANDS * ROWS
 AGREE = 0.5
 _SPACE = np.zeros(256, bool)

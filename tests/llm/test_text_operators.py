@@ -95,6 +95,11 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_short_repeated_lines_go(spark):
+    docs = documents(spark, [(1, "Contents\nabcdef\nab"), (2, "Contents\nabcdef\nab\nfifteen letters"), (3, "fifteen letters\nother")])
+    assert {r.doc_id: r.gone for r in line_dedup.repeated_lines(docs).collect()} == {2: [0, 1], 3: [0]}
+
+
 def test_suffix_dedup(spark):
     rows = odd_rows(3)
     got = {}
