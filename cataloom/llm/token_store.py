@@ -19,8 +19,10 @@ rows each have their own place.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +34,147 @@ from cataloom.llm.exchange import partitions
 from cataloom.llm.scratch import Store, cut, tidy
 
 WINDOW, AVERAGE, SMALLEST, LARGEST = 16, 256, 32, 4096
-#: Words whose ids a task remembers; beyond that it starts afresh.
-REMEMBERED = 200_000
-#: Words between blanks, tabs and line ends, letters as they are.
-_WORDS = tc._byte_table(b" \t\n\r", lower=False)
+#: Pieces of text whose ids a task remembers, beyond which it starts afresh, and pieces that the library encodes at a time.
+REMEMBERED, TOGETHER = 1_000_000, 4_096
+#: Bytes of a piece that are compared as two numbers; longer ones are looked up as bytes.
+SHORT = 16
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: blank, ASCII letter, ASCII mark but no apostrophe, or anything else."""
+    kind = np.full(256, _OTHER, np.uint8)
+    for code in range(33, 127):
+        char = chr(code)
+        kind[code] = _LETTER if char.isalpha() else _OTHER if char.isdigit() or char == "'" else _MARK
+    kind[[9, 10, 13, 32]] = _SPACE
+    return kind
+
+
+_KIND = _kinds()
+_FOLD = tc._byte_table(b"")[1]
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each piece of the texts, and where each text's pieces begin.
+
+    Pieces end at white space, and between an ASCII letter and an ASCII mark other than an apostrophe: the tokenizer's
+    own pre-tokens always end there, so the ids of pieces are the ids of the text.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) == 0:
+        return none, none, np.zeros(len(offsets), np.int64)
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    before, after = kind[:-1], kind[1:]
+    edge[1:-1] = ((before == _SPACE) != (after == _SPACE)) | ((before ^ after) == (_LETTER ^ _MARK)) & (before != _SPACE) & (after != _SPACE)
+    edge[0] = edge[-1] = True
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    keep = kind[at[:-1]] != _SPACE
+    start = at[:-1][keep]
+    return start, at[1:][keep], np.searchsorted(start, offsets)
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, word by word: its tokens never reach over white space."""
+    """Ids by the tokenizers library, piece by piece; ids of equal pieces are remembered.
+
+    Pieces of up to ``SHORT`` bytes are two numbers that hold just their bytes (letters lowered, as the tokenizer does);
+    they are found by a hash of those and compared with the numbers themselves.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[int, int] = {}  # by hash of the word
-        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.hash, self.low, self.high, self.number = (np.zeros(0, k) for k in (np.uint64, np.uint64, np.uint64, np.int64))  # sorted by hash
+        self.long: dict[bytes, int] = {}
+        self.known, self.used = 0, 0
+        self.first, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _learn(self, texts: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces, whose ids go behind those known."""
+        words = [x.decode() for x in texts]
+        plain = [i for i, x in enumerate(words) if x.isalpha() and max(x) < "\u0250" and "\u0130" not in x]
+        other = sorted(set(range(len(words))) - set(plain))
+        sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i in range(0, len(other), TOGETHER):
+            encoded = [e.ids for e in self.library.encode_batch_fast([words[at] for at in other[i : i + TOGETHER]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            found.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
+        for i in range(0, len(plain), TOGETHER):  # one pre-token each: in one text, each ends with a token that ends a word
+            part = plain[i : i + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" ".join(words[at] for at in part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary has no word ends")
+            sizes.append(np.diff(ends, prepend=0))
+            found.append(ids)
+        size, ids = np.concatenate(sizes), np.concatenate(found)
+        while self.known + len(texts) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.known + 1 : self.known + 1 + len(texts)] = self.used + np.cumsum(size)
+        numbers = np.empty(len(texts), np.int64)
+        numbers[other + plain] = np.arange(self.known, self.known + len(texts))
+        self.known, self.used = self.known + len(texts), self.used + len(ids)
+        return numbers
+
+    def _short(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces."""
+        key = tc.mix(low + tc.mix(high + size.astype(np.uint64)))
+        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, keys)
+        there = np.minimum(place, max(len(self.hash) - 1, 0))
+        hit = self.hash[there] == keys if len(self.hash) else np.zeros(len(keys), bool)
+        number = np.zeros(len(keys), np.int64)
+        number[hit] = self.number[there[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            pair = np.stack([low[at[new]], high[at[new]]], 1).astype("<u8").tobytes()
+            number[new] = self._learn([pair[SHORT * i : SHORT * i + n] for i, n in enumerate(size[at[new]].tolist())])
+            self.hash, self.low, self.high, self.number = (np.insert(x, place[new], y) for x, y in ((self.hash, keys[new]), (self.low, low[at[new]]), (self.high, high[at[new]]), (self.number, number[new])))
+        out = number[inverse]
+        there = np.searchsorted(self.hash, keys)
+        wrong = np.flatnonzero((self.low[there][inverse] != low) | (self.high[there][inverse] != high))
+        for i in wrong.tolist():  # pieces with the hash of another piece
+            out[i] = self._number((int(low[i]) | int(high[i]) << 64).to_bytes(SHORT, "little")[: size[i]])
+        return out
+
+    def _number(self, piece: bytes) -> int:
+        number = self.long.get(piece)
+        if number is None:
+            number = self.long[piece] = int(self._learn([piece])[0])
+        return number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a buffer one after the other, and where each text's begin."""
-        if len(self.number) > REMEMBERED:
+        if self.known > REMEMBERED or self.used > 8 * REMEMBERED:
             self._reset()
-        found, number = tc.words(data, offsets, _WORDS), self.number
-        keys, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-        known = keys.tolist()
-        new = [i for i, key in enumerate(known) if key not in number]
-        if new:
-            texts = [data[found.start[at[i]] : found.end[at[i]]].tobytes().decode() for i in new]
-            encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            number.update(zip((known[i] for i in new), range(len(number), len(number) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in encoded for i in ids), np.uint32, sizes.sum())])
-        index = np.fromiter(map(number.__getitem__, known), np.int64, len(known))[inverse]
-        size = self.first[index + 1] - self.first[index]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.repeat(self.first[index] - ends[:-1], size) + np.arange(ends[-1])], ends[found.first]
+        data = _FOLD[data]
+        start, end, first = pieces(data, offsets)
+        size = end - start
+        short = size <= SHORT
+        padded = np.concatenate([data, np.zeros(SHORT + 8, np.uint8)])
+        eight = np.ndarray((len(data) + SHORT,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        at, n = start[short], size[short]
+        index = np.zeros(len(start), np.int64)
+        index[short] = self._short(eight[at] & _MASKS[np.minimum(n, 8)], eight[at + 8] & _MASKS[np.maximum(n - 8, 0)], n)
+        for i in np.flatnonzero(~short).tolist():
+            index[i] = self._number(data[start[i] : end[i]].tobytes())
+        count = self.first[index + 1] - self.first[index]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[np.repeat(self.first[index] - ends[:-1], count) + np.arange(ends[-1])], ends[first]
 
 
 #: The tokenizer of this Python process, which serves one task after another.
