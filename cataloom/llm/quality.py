@@ -7,8 +7,9 @@ path; a host's rate of good documents is shrunk toward the rate of the whole cor
 host's, by strengths estimated from how much hosts, and paths within hosts, differ (method of moments).
 A document's own evidence is left out of its groups' sums, then added in log odds.
 
-The host is ``source`` up to its first slash, the path is the whole ``source`` and the language.
-Defined results: null text is empty, null source or language is ''; without labels of both kinds the model says
+The host is ``source`` up to its first slash, the path is the whole ``source`` and the language. Telling words are chosen by
+a grouped count in Spark; the driver gets marks and at most ``WORDS`` flags of the sampled rows, whatever their length.
+Defined results: columns of any name are carried through untouched; null text is empty, null source or language is ''; without labels of both kinds the model says
 nothing and every document is kept; repeated rows count as often as they occur; rows without doc_id are scored.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from cataloom.llm import textcore as tc
 from cataloom.llm.scratch import cut, tidy
 
-#: Labelled rows that the model is fitted on, at most; words it uses; odds at which a document is rejected.
+#: Labelled rows that the model is fitted on, at most; words it uses at most; probability of being good under which a document is rejected.
 SAMPLE, WORDS, REJECT = 20_000, 512, 0.5
 #: Groups that may be broadcast; with more of them the join is shuffled.
 FEW_GROUPS = 20_000
@@ -82,8 +83,8 @@ class Model:
         marks, h, first = evidence(data, offsets)
         out = self.bias + _curve(marks, self.mean, self.scale) @ self.marks
         if len(self.keys) and len(h):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            value = np.where(self.keys[at] == h, self.weights[at], 0.0)
+            at, hit = _places(self.keys, h)
+            value = np.where(hit, self.weights[at], 0.0)
             out += np.bincount(np.repeat(np.arange(len(out)), np.diff(first)), value, len(out))
         return np.clip(out, -30, 30)
 
@@ -98,40 +99,59 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     labels = labels.select(F.col("doc_id").cast("long").alias("label_id"), (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"), (F.col("quality").isNull() & F.col("toxic").isNull()).alias("unknown"))
     chosen = labels.where("label_id is not null and not unknown").groupBy("label_id").agg(F.max(F.col("low") | F.col("toxic")).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "bad")  # SAMPLE rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(chosen), "label_id").select("text", "bad")  # SAMPLE rows at most
+    keys = _telling(rows)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tc.text_buffer(batch.column(0))
             for low, high in tc.slices(offsets):
                 marks, h, first = evidence(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                lists = [tc.list_array(marks.ravel(), np.arange(high - low + 1) * _MARKS, pa.float64()), tc.list_array(h.view(np.int64), first, pa.int64())]
+                place, hit = _places(keys, h)
+                lists = [tc.list_array(marks.ravel(), np.arange(high - low + 1) * _MARKS, pa.float64()), tc.list_array(place[hit].astype(np.int16), np.concatenate([[0], np.cumsum(hit)])[first], pa.int16())]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), *lists], ["bad", "marks", "words"])
 
-    shown = rows.mapInArrow(show, "bad boolean, marks array<double>, words array<long>").toArrow()
+    shown = rows.mapInArrow(show, "bad boolean, marks array<double>, words array<short>").toArrow()
     bad = shown.column("bad").to_numpy().astype(bool)
     if not bad.any() or bad.all():
         return None
     marks = shown.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, _MARKS)
     lists = shown.column("words").combine_chunks()
-    words, doc = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(bad)), np.diff(lists.offsets.to_numpy()))
-    keys, index = np.unique(words, return_inverse=True)
-    in_bad, in_all = np.bincount(index, bad[doc], len(keys)), np.bincount(index, minlength=len(keys))
-    share = bad.mean()
-    surprise = np.abs(in_bad - in_all * share) / np.sqrt(in_all * share * (1 - share) + 1)
-    surprise[in_all < 4] = 0
-    best = np.sort(np.argsort(-surprise, kind="stable")[:WORDS])
-    best = best[surprise[best] > 3]
-    place = np.full(len(keys), -1)
-    place[best] = np.arange(len(best))
+    x = np.zeros((len(bad), len(keys)), np.float32)
+    x[np.repeat(np.arange(len(bad)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
     mean, scale = marks.mean(0), marks.std(0) + 1e-3
-    x = np.zeros((len(bad), len(best)), np.float32)
-    hit = place[index] >= 0
-    x[doc[hit], place[index][hit]] = 1
     x = np.concatenate([x, _curve(marks, mean, scale).astype(np.float32), np.ones((len(bad), 1), np.float32)], axis=1)
     w = _logistic(x, (~bad).astype(np.float32))
-    n = len(best)
-    return Model(keys[best], w[:n], mean, scale, w[n : n + 2 * _MARKS], float(w[-1]))
+    n = len(keys)
+    return Model(keys, w[:n], mean, scale, w[n : n + 2 * _MARKS], float(w[-1]))
+
+
+def _places(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``h`` stands in the sorted ``keys``, and whether it is one of them."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def _telling(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the WORDS words whose share of bad rows (text, bad) is furthest from that of all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tc.text_buffer(batch.column(0))
+            bad = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for low, high in tc.slices(offsets):
+                _, h, first = evidence(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                words, index = np.unique(h, return_inverse=True)
+                of_bad = np.bincount(index, np.repeat(bad[low:high], np.diff(first)), len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(index, minlength=len(words))), pa.array(of_bad.astype(np.int64))], ["word", "n", "bad"])
+
+    share = rows.agg(F.avg(F.col("bad").cast("int")).alias("share")).collect()[0]["share"] or 0.0
+    sums = rows.mapInArrow(count, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n >= 4")
+    surprise = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
+    best = sums.select("word", surprise.alias("surprise")).where("surprise > 3").orderBy(F.desc("surprise"), "word").limit(WORDS).collect()
+    return np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 15) -> np.ndarray:
@@ -165,16 +185,16 @@ def score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """(__host, __path, pi_host, s, n, m, ...) of every path: sums of evidence and what they shrink toward."""
-    paths = cut(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s")))
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).collect()[0]
+    """(__host, __path, __n, __s, __hn, __hs, ...) of every path: sums of evidence and what they shrink toward."""
+    paths = cut(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__s")))
+    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
+    total = hosts.agg(F.sum("__hn").alias("n"), F.sum("__hs").alias("s")).collect()[0]
     base = min(max((total["s"] or 0) / max(total["n"] or 0, 1), 1e-6), 1 - 1e-6)
-    host_strength = _strength(hosts.select(F.col("hn").alias("n"), F.col("hs").alias("s"), F.lit(base).alias("toward")))
-    shrunk = hosts.withColumn("host_rate", (F.col("hs") + host_strength * base) / (F.col("hn") + host_strength))
+    host_strength = _strength(hosts.select(F.col("__hn").alias("n"), F.col("__hs").alias("s"), F.lit(base).alias("toward")))
+    shrunk = hosts.withColumn("__toward", (F.col("__hs") + host_strength * base) / (F.col("__hn") + host_strength))
     joined = paths.join(shrunk, "__host")
-    path_strength = _strength(joined.select("n", "s", F.col("host_rate").alias("toward")))
-    return joined.withColumns({"base": F.lit(base), "host_strength": F.lit(host_strength), "path_strength": F.lit(path_strength)})
+    path_strength = _strength(joined.select(F.col("__n").alias("n"), F.col("__s").alias("s"), F.col("__toward").alias("toward")))
+    return joined.withColumns({"__base": F.lit(base), "__host_strength": F.lit(host_strength), "__path_strength": F.lit(path_strength)})
 
 
 def _strength(groups: DataFrame) -> float:
@@ -194,27 +214,36 @@ def _path(source: Column, lang: Column) -> dict[str, Column]:
 
 
 def judge(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with __doc_score (log odds from the text), __host_rate, __path_rate, __posterior, __keep.
+    """``docs`` with __doc_score (log odds from the text), __host, __path, __host_rate, __path_rate, __posterior, __keep.
 
-    ``columns`` are the columns of ``docs`` to carry through; all by default.
+    ``columns`` are the columns of ``docs`` to carry through; all by default. They travel as one struct, so that
+    their names meet none of those used here; a column of ``docs`` with one of the eight names above is hidden.
     """
+    out = _judged(docs, labels, columns)
+    told = ["__doc_score", "__host", "__path", "__host_rate", "__path_rate", "__posterior", "__keep"]
+    names = [c for c in (docs.columns if columns is None else columns) if c not in told]
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], *told)
+
+
+def _judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(__row, __doc_score, __host, __path, __host_rate, __path_rate, __posterior, __keep), __row with the columns to carry."""
+    carried = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]
     with tidy(docs.sparkSession):
         model = fit(docs, labels)
         light = score(docs.select("text", "source", "lang"), model, "__doc_score").select("__doc_score", "source", "lang")
         light = light.withColumns(_path(F.col("source"), F.col("lang"))).withColumn("__p", _chance(F.col("__doc_score")))
         groups = cut(sites(light.select("__host", "__path", "__p")))
-    full = score(docs, model, "__doc_score")
-    if columns is not None:
-        full = full.select(*columns, "source", "lang", "__doc_score")
+    full = score(docs.select(F.struct(*carried).alias("__row"), "text", "source", "lang"), model, "__doc_score").drop("text")
     full = full.withColumns(_path(F.col("source"), F.col("lang"))).withColumn("__p", _chance(F.col("__doc_score")))
     small = groups.count() <= FEW_GROUPS
     joined = full.join(F.broadcast(groups) if small else groups, ["__host", "__path"])
     odds = lambda c: F.log(c / (1 - c))
     bound = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
-    host = bound((F.col("hs") - F.col("__p") + F.col("host_strength") * F.col("base")) / (F.col("hn") - 1 + F.col("host_strength")))
-    path = bound((F.col("s") - F.col("__p") + F.col("path_strength") * F.col("__host_rate")) / (F.col("n") - 1 + F.col("path_strength")))
+    # a document's own evidence is taken out of its host and its path
+    host = bound((F.col("__hs") - F.col("__p") + F.col("__host_strength") * F.col("__base")) / (F.col("__hn") - 1 + F.col("__host_strength")))
+    path = bound((F.col("__s") - F.col("__p") + F.col("__path_strength") * F.col("__host_rate")) / (F.col("__n") - 1 + F.col("__path_strength")))
     out = joined.withColumn("__host_rate", host).withColumn("__path_rate", path)
-    out = out.withColumn("__posterior", _chance(F.col("__doc_score") - odds(F.col("base")) + odds(F.col("__path_rate"))))
+    out = out.withColumn("__posterior", _chance(F.col("__doc_score") - odds(F.col("__base")) + odds(F.col("__path_rate"))))
     return out.withColumn("__keep", F.col("__posterior") >= REJECT)
 
 
@@ -224,4 +253,4 @@ def _chance(logit: Column) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judge(docs, labels).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, labels).where("__keep").select("__row.*")

@@ -178,10 +178,57 @@ def test_quality(spark):
     assert quality.keep_good(empty(spark), labels).count() == 0
 
 
-def test_sparse_sites_shrink_more(spark):
-    rows = [("h1", "h1/a", 0.1)] * 50 + [("h2", "h2/a", 0.1)] + [("h3", "h3/a", 0.95)] * 200
-    got = {r["__host"]: r.host_rate for r in quality.sites(spark.createDataFrame(rows, "__host string, __path string, __p double")).collect()}
-    assert got["h1"] < got["h2"] < got["h3"]
+def test_site_posteriors_by_brute_force(spark):
+    rng = random.Random(31)
+    rows = [(f"h{g % 4}", f"h{g % 4}/{g}", rng.random() ** (1 + g % 3)) for g in range(12) for _ in range(1 + g * 3)]
+    got = {r["__path"]: r for r in quality.sites(spark.createDataFrame(rows, "__host string, __path string, __p double")).collect()}
+
+    def sums(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(r[key], (0, 0.0))
+            out[r[key]] = (n + 1, s + r[2])
+        return out
+
+    def strength(groups):
+        groups = [g for g in groups if g[0] > 1]
+        inside = [t * (1 - t) for _, _, t in groups]
+        spread = sum(n * (s / n - t) ** 2 for n, s, t in groups)
+        return min(max(sum(inside) / len(inside) / max((spread - sum(inside)) / sum(n for n, _, _ in groups), 1e-9), 2.0), 10_000.0)
+
+    base = sum(r[2] for r in rows) / len(rows)
+    hosts, paths = sums(0), sums(1)
+    a = strength([(n, s, base) for n, s in hosts.values()])
+    toward = {h: (s + a * base) / (n + a) for h, (n, s) in hosts.items()}
+    b = strength([(n, s, toward[p.split("/")[0]]) for p, (n, s) in paths.items()])
+    for p, (n, s) in paths.items():
+        r, h = got[p], p.split("/")[0]
+        assert (r["__n"], r["__hn"]) == (n, hosts[h][0])
+        for name, value in {"__s": s, "__hs": hosts[h][1], "__base": base, "__host_strength": a, "__path_strength": b, "__toward": toward[h]}.items():
+            assert math.isclose(r[name], value, rel_tol=1e-9), name
+
+
+def test_quality_posterior_and_clashing_names(spark):
+    rng = random.Random(32)
+    text = lambda bad: " ".join(rng.choice(["WIN!!", "CASH", "$$$"] if bad else ["the", "cat", "sat", "here"]) for _ in range(rng.randint(20, 40)))
+    rows = [(i, text(i % 5 == 0), "en", f"site{i % 3}/p{i % 2}", 5, 1.0, "b", 2.0, i, False) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, s double, base string, host_strength double, `a.b` long, __keep boolean")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(docs, labels, ["doc_id", "n", "s", "a.b"]).collect()
+    p = {r.doc_id: 1 / (1 + math.exp(-r["__doc_score"])) for r in judged}
+    group = quality.sites(spark.createDataFrame([(r["__host"], r["__path"], p[r.doc_id]) for r in judged], "__host string, __path string, __p double")).collect()
+    site = {r["__path"]: r for r in group}
+    odds = lambda x: math.log(x / (1 - x))
+    for r in judged:
+        g, mine = site[r["__path"]], p[r.doc_id]
+        host = (g["__hs"] - mine + g["__host_strength"] * g["__base"]) / (g["__hn"] - 1 + g["__host_strength"])
+        path = (g["__s"] - mine + g["__path_strength"] * host) / (g["__n"] - 1 + g["__path_strength"])
+        whole = 1 / (1 + math.exp(-(r["__doc_score"] - odds(g["__base"]) + odds(path))))
+        assert math.isclose(r["__host_rate"], host, rel_tol=1e-6) and math.isclose(r["__path_rate"], path, rel_tol=1e-6)
+        assert math.isclose(r["__posterior"], whole, rel_tol=1e-6) and r["__keep"] == (whole >= quality.REJECT)
+        assert (r.n, r.s, r["a.b"], r["__keep"]) == (5, 1.0, r.doc_id, r.doc_id % 5 != 0)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(150) if i % 5}
 
 
 def test_bpe_equals_the_library(spark):
