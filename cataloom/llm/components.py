@@ -1,11 +1,11 @@
-"""Connected components by random-order contraction, and bucketed near-duplicate search."""
+"""Connected components by random-order contraction."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.scratch import Scratch
@@ -13,8 +13,6 @@ from cataloom.llm.scratch import Scratch
 
 #: Links that one task may hold (some 10 MB); beyond that, contraction rounds go on.
 FEW_LINKS = 100_000
-#: Rows of a crowded bucket that are compared with as many others under one key.
-BLOCK_ROWS = 256
 
 
 def components(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS, max_rounds: int = 60) -> DataFrame:
@@ -70,85 +68,3 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if parent:
         nodes = list(parent)
         yield pd.DataFrame({"node": nodes, "to": [root(x) for x in nodes]})
-
-
-def near_classes(scratch: Scratch, items: DataFrame, bands: list[tuple[int, int]], agree: float, verify: Callable[[DataFrame], DataFrame], stars: int = 8, crowded: int = 30_000) -> DataFrame:
-    """(node, component) over ``items`` (id, sig array) linked by verified pairs that share a band.
-
-    Where all pairs of the buckets are no more than the items, they are tried at once. Otherwise rounds come first,
-    at most ``stars``: every item of a bucket is tried against one item of it, which settles groups of copies with a
-    few comparisons each. In the first round that is the item whose buckets hold most items (edited copies leave their
-    original's buckets here and there, the original is in all of them), later another one each time. The rounds end
-    when the pairs that are left are no more than the items, when a round settles less than a third of them and they
-    are no more than twice the items, or when it adds less than a hundredth to the links. Then, in buckets that still
-    hold more than one component, all pairs whose components differ are tried; a bucket with more than ``crowded``
-    of them is compared block by block, and the signatures are compared in the join. ``agree`` is the share of equal signature places
-    below which a pair is not worth verifying. ``verify`` keeps those pairs (a, b) that are links.
-    """
-    places = F.array(*[F.xxhash64(F.lit(n), *[F.col("sig")[i] for i in range(low, high)]) for n, (low, high) in enumerate(bands)])
-    buckets = items.select("id", F.explode(places).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.cut(buckets.join(shared.select("bucket"), "bucket").select("bucket", "id"))
-    most = items.count()
-
-    def unsettled(known: DataFrame) -> tuple[DataFrame, int]:
-        """Rows of ``known`` (bucket, id, c) in buckets of several components, and the pairs of different components."""
-        sizes = known.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-        n, squares = F.sum("n"), F.sum(F.col("n") * F.col("n"))
-        mixed = sizes.groupBy("bucket").agg(n.alias("rows"), ((n * n - squares) / 2).alias("pairs")).where("pairs > 0")
-        placed = scratch.cut(known.join(mixed, "bucket"))
-        return placed, round(placed.agg(F.sum(F.col("pairs") / F.col("rows")).alias("pairs")).collect()[0]["pairs"] or 0)
-
-    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    likely = same >= F.lit(agree) * F.size("sig_a")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        left = items.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-        right = items.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        return scratch.cut(verify(pairs.join(left, "a").join(right, "b").where(likely).select("a", "b")))
-
-    links, groups = None, None
-    placed, left = unsettled(buckets.withColumn("c", F.col("id")))
-    for turn in range(stars):
-        if left <= most:
-            break
-        offered = placed
-        if turn == 0:
-            offered = placed.join(placed.groupBy("id").agg(F.sum("rows").alias("met")), "id")
-        order = -F.col("met") if turn == 0 else F.lit(0)
-        lead = offered.groupBy("bucket").agg(F.min(F.struct(order.alias("first"), F.xxhash64(F.lit(turn), "id").alias("o"), "id", "c")).alias("lead"))
-        pairs = placed.join(lead, "bucket").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-        found = links_of(pairs.distinct())
-        links = found if links is None else links.union(found)
-        groups = components(links, scratch)
-        known = placed.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        before, (placed, left) = left, unsettled(known)
-        if found.count() * 100 <= links.count() or left <= 2 * most and left * 3 > before * 2:
-            break
-    if left == 0 and groups is not None:
-        return groups
-    pairs = _pairs(placed.where(F.col("pairs") <= crowded), ["bucket"])
-    many = placed.where(F.col("pairs") > crowded)
-    if not many.isEmpty():
-        pairs = pairs.union(_block_pairs(many.join(items, "id"), likely))
-    last = links_of(pairs.distinct())
-    return components(last if links is None else links.union(last), scratch)
-
-
-def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    left = rows.select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = rows.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, keys).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _block_pairs(rows: DataFrame, likely: Column, size: int = BLOCK_ROWS) -> DataFrame:
-    """The pairs of ``_pairs`` in each bucket of ``rows`` (bucket, rows, id, c, sig) that are ``likely``.
-
-    The rows of a bucket are dealt over blocks, and every two blocks meet under a key of their own.
-    """
-    blocks = F.ceil(F.col("rows") / size).cast("long")
-    dealt = rows.withColumn("last", blocks - 1).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    left = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sig_a"))
-    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sig_b"))
-    apart = F.when(F.col("i") == F.col("j"), F.col("ca") < F.col("cb")).otherwise(F.col("ca") != F.col("cb"))
-    return left.join(right, ["bucket", "i", "j"]).where(apart & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.components import near_classes
-from cataloom.llm.exchange import Levels, block_of, bucket_bounds, packed, partitions, record_batch, unpack
+from cataloom.llm.exchange import block_by_hash, layout, pack_keys, record_batch, shorten, told, unpack_keys
+from cataloom.llm.near_classes import near_classes, pack_signatures
 from cataloom.llm.scratch import Scratch, cut, tidy
 
 CHARS, SIMILARITY, BANDS, ROWS, SHORTEST = 6, 0.8, 12, 5, 6
@@ -121,95 +121,79 @@ class Lines:
                 yield lines[keep], sign(*shingles(points, start[keep], end[keep]))
 
 
+_TOLD = "block long, bucket int, body binary"
+
+
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
-        bands = [band_hashes(sig).ravel() for _, sig in Lines(table).signed()]
+        bands = [shorten(band_hashes(sig), buckets).ravel() for _, sig in Lines(table).signed()]
         keys, count = np.unique(np.concatenate(bands), return_counts=True) if bands else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rows = list(packed(table.column("block")[0].as_py(), keys, buckets, count > 1))
-        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "keys", "several"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])])
+        rows = [(table.column("block")[0].as_py(), bucket, *pack_keys(keys[part], buckets), np.packbits(count[part] > 1).tobytes()) for bucket, part in told(keys, buckets)]
+        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "high", "low", "several"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
 
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    batches = [(b, unpack(k), unpack(s, bool)) for b, k, s in zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), table.column("several").to_pylist(), strict=True)]
-    levels = Levels(lambda x, y: np.minimum(x + y, 2).astype(np.int8))
-    for _, keys, several in batches:
-        levels.add(keys, np.where(several, 2, 1).astype(np.int8))
+    """One bit for each asked key: whether several lines have it."""
     bucket = table.column("bucket")[0].as_py()
-    rows = [(b, bucket, np.packbits(levels.scan(keys, 0) > 1).tobytes()) for b, keys, _ in batches]
+    parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
+    _, index = np.unique(np.concatenate(parts), return_inverse=True)
+    shared = (np.bincount(index, np.concatenate(several) + 1.0) > 1)[index]
+    ends = np.cumsum([len(p) for p in parts])
+    rows = [(b, bucket, np.packbits(shared[e - len(p) : e]).tobytes()) for b, p, e in zip(table.column("block").to_pylist(), parts, ends, strict=True)]
     return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "body"], [pa.int64(), pa.int32(), pa.binary()])])
 
 
 def _candidates(buckets: int):
-    """Every line that shares a band; the first of equal lines of a block brings its signature and text."""
+    """Every line that shares a band; the first of equal lines of a block brings its signature, shared bands and text."""
 
     def find(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["doc_id", "place", "key", "sig", "line"], [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string()]
+        names = ["doc_id", "place", "key", "sig", "buckets", "line"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         rows, seen = [], set()
         if len(table):
             lines = Lines(table)
-            signed = [(n, sig, band_hashes(sig)) for n, sig in lines.signed()]
+            signed = [(n, pack_signatures(sig), shorten(band_hashes(sig), buckets)) for n, sig in lines.signed()]
             if signed:
                 keys = np.unique(np.concatenate([b.ravel() for _, _, b in signed]))
-                bounds = bucket_bounds(keys, buckets)
-                told = {b: np.frombuffer(x, np.uint8) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True)}
-                shared = np.concatenate([np.unpackbits(told[int(b)], count=bounds[b + 1] - bounds[b]).astype(bool) for b in np.flatnonzero(np.diff(bounds))])
+                body = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
+                shared = np.concatenate([np.unpackbits(np.frombuffer(body[bucket], np.uint8), count=part.stop - part.start) for bucket, part in told(keys, buckets)]).astype(bool)
                 for numbers, sig, bands in signed:
-                    hit = shared[np.searchsorted(keys, bands)].any(1)
-                    for n, s in zip(numbers[hit].tolist(), sig[hit].view(np.int32), strict=True):
-                        body = lines.data[lines.start[n] : lines.end[n]].tobytes()
-                        key = hashlib.md5(body).digest()
+                    met = shared[np.searchsorted(keys, bands)]
+                    for at in np.flatnonzero(met.any(1)).tolist():
+                        n = int(numbers[at])
+                        line = lines.data[lines.start[n] : lines.end[n]].tobytes()
+                        key = hashlib.md5(line).digest()
                         new = key not in seen
                         seen.add(key)
-                        rows.append((int(lines.ids[lines.doc[n]]), int(lines.place[n]), key, s if new else None, body.decode("utf-8", "replace") if new else None))
+                        first = (sig[at].tobytes(), bands[at][met[at]].view(np.int64), line.decode("utf-8", "replace")) if new else (None, None, None)
+                        rows.append((int(lines.ids[lines.doc[n]]), int(lines.place[n]), key, *first))
         return pa.Table.from_batches([record_batch(rows, names, kinds)])
 
     return find
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of ``texts`` (id, line) whose shingle sets have a Jaccard similarity of 0.8 or more."""
-
-    def sets(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = tc.text_buffer(column.slice(low, high - low))
-        points, bounds = characters(data, offsets)
-        h, _, first = tc.weighted_sets(*shingles(points, bounds[:-1], bounds[1:]))
-        return h, np.repeat(np.arange(high - low), np.diff(first))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("line_a"), batch.column("line_b")
-            for low, high in tc.slices(tc.text_buffer(left)[1] + tc.text_buffer(right)[1]):
-                (h, p), (g, q) = sets(left, low, high), sets(right, low, high)
-                key, pair = np.concatenate([h, g]), np.concatenate([p, q])
-                order = np.lexsort((key, pair))
-                key, pair = key[order], pair[order]
-                both = (key[1:] == key[:-1]) & (pair[1:] == pair[:-1])
-                common, total = np.bincount(pair[1:][both], minlength=high - low), np.bincount(pair, minlength=high - low)
-                keep = common >= SIMILARITY * (total - common) - 1e-9
-                if keep.any():
-                    rows = batch.slice(low, high - low).filter(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"])
-
-    one = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(compare, "a binary, b binary")
+def read_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each line, all of weight 1."""
+    points, bounds = characters(*tc.text_buffer(column))
+    keys, _, first = tc.weighted_sets(*shingles(points, bounds[:-1], bounds[1:]))
+    return keys, np.ones(len(keys)), first
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the places of those lines from 0."""
-    n = partitions(docs)
+    blocks, buckets = layout(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    blocks = docs.select(block_of("doc_id").alias("block"), "*").repartition(n, "block")
+    dealt = docs.select(block_by_hash(blocks, F.col("doc_id")).alias("block"), "*").repartition(buckets, "block")
     with tidy(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
-        asked = blocks.groupBy("block").applyInArrow(_ask(n), "block long, bucket int, keys binary, several binary")
-        told = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer, "block long, bucket int, body binary")
-        found = scratch.cut(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_candidates(n), "doc_id long, place int, key binary, sig array<int>, line string"))
-        items = scratch.cut(found.where("sig is not null").select(F.col("key").alias("id"), "sig", "line").dropDuplicates(["id"]))
-        bands = [(i * ROWS, (i + 1) * ROWS) for i in range(BANDS)]
-        texts = items.select("id", "line")
-        groups = near_classes(scratch, items.select("id", "sig"), bands, AGREE, lambda pairs: similar(pairs, texts))
+        asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, high binary, low binary, several binary")
+        answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _TOLD)
+        found = scratch.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(buckets), "doc_id long, place int, key binary, sig binary, buckets array<long>, line string"))
+        items = scratch.cut(found.where("sig is not null").select(F.col("key").alias("id"), "sig", "buckets", "line").dropDuplicates(["id"]))
+        texts = items.select("id", F.col("line").alias("body"))
+        groups = near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: texts.join(ids, "id", "left_semi"), AGREE, read_lines, SIMILARITY)
         lines = found.select("doc_id", "place", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
         lines = lines.select("doc_id", "place", F.coalesce("component", "key").alias("class"))
         first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("first"))
@@ -218,11 +202,18 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, repeated lines taken out of text; also __lines and __gone, the lines before and taken out."""
+    """``docs`` with all its columns, repeated lines taken out of text; also __lines and __gone, the lines before and taken out.
+
+    The columns travel as one struct, so that their names meet none of those used here (__lines and __gone are replaced).
+    """
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__places"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
-    lines = F.split("text", "\n")
+    names = [c for c in docs.columns if c not in ("__lines", "__gone")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("doc_id").cast("long").alias("__doc"))
+    joined = packed.join(gone, F.col("__doc") == F.col("__id"), "left")
+    text = F.col("__row.text")
+    lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__places", i)), "\n")
-    counts = {"__lines": F.coalesce(F.size(lines), F.lit(0)), "__gone": F.coalesce(F.size("__places"), F.lit(0))}
-    counts = {k: F.when(F.col("text").isNull(), 0).otherwise(F.greatest(v, F.lit(0))) for k, v in counts.items()}
-    return joined.withColumns(counts | {"__kept": F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)}).withColumn("text", F.col("__kept")).drop("__id", "__places", "__kept")
+    kept = F.when(F.col("__places").isNull(), text).otherwise(kept)
+    count = lambda c: F.when(text.isNull(), 0).otherwise(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
+    columns = [kept.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in names]
+    return joined.select(*columns, count(lines).alias("__lines"), count(F.col("__places")).alias("__gone"))

@@ -3,14 +3,15 @@
 A document is the weighted set of its five-word shingles, weight = count x idf. Documents with the same
 bytes form one exact class first. One document of each class gets ``BANDS x ROWS`` consistent weighted
 samples; classes that share a band are compared, and linked where the weighted Jaccard similarity of their
-whole shingle sets is at least 0.8. Components of links are the near-duplicate classes.
+whole shingle sets is at least 0.8 (see near_classes.py). Components of links are the near-duplicate classes.
 
-Document frequencies are counted over all documents, in ``2**SKETCH_BITS`` cells by shingle hash (a fixed
-size, therefore safe to broadcast); idf = 1 + ln((N+1)/(df+1)) / ln(N+2), between 1 and 2, so that wide-spread
-shingles count for less but no edit of a few words outweighs a shared page.
+Document frequencies are counted exactly over all documents by the exchange of packed keys (see exchange.py);
+idf = 1 + ln((N+1)/(df+1)) / ln(N+2), between 1 and 2, so that wide-spread shingles count for less but no edit of a
+few words outweighs a shared page.
 
 Defined results: null text is empty text; texts without a word are compared by bytes alone; texts of 1 to 4
-words have one shingle; rows without doc_id are returned with null class; repeated rows share a class.
+words have one shingle; rows without doc_id count for the frequencies and are returned with null class; repeated
+rows share a class, and so do texts of one doc_id, of which that with the least MD5 is compared.
 """
 
 from __future__ import annotations
@@ -23,136 +24,192 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.components import near_classes
+from cataloom.llm.exchange import block_by_hash, layout, pack_keys, record_batch, shorten, told, unpack, unpack_keys
+from cataloom.llm.near_classes import near_classes, pack_signatures
 from cataloom.llm.scratch import Scratch, cut, tidy
 
-SHINGLE, SIMILARITY, BANDS, ROWS, SKETCH_BITS = 5, 0.8, 12, 5, 20
-#: A pair whose samples agree in fewer places than this share is not verified: at similarity 0.8 the chance of that is about 1e-4.
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
+PLACES = BANDS * ROWS
+#: A pair whose samples agree in fewer places than this share is not compared: at similarity 0.8 the chance of that is about 1e-4.
 AGREE = 0.6
-_POOL_BITS = 16
 
 
-def shingle_sets(column: pa.Array, low: int, high: int, data: np.ndarray, offsets: np.ndarray):
-    """Distinct shingles and counts of documents ``low`` to ``high`` of a buffer."""
-    part = data[offsets[low] : offsets[high]]
-    found = tc.words(part, offsets[low : high + 1] - offsets[low])
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, buckets: int = 1):
+    """Distinct shingles and counts of the documents of a buffer, and where each document's begin."""
+    found = tc.words(data, offsets)
     hashes, first = tc.ngrams(found.hash, found.first, SHINGLE)
-    return tc.weighted_sets(hashes, first)
+    return tc.weighted_sets(shorten(hashes, buckets), first)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per cell over the whole table, and the number of documents."""
-    cells, block = 1 << SKETCH_BITS, 1 << 14
+def _slices(table: pa.Table, buckets: int) -> Iterator[tuple]:
+    """Document ranges of a block with their sets."""
+    data, offsets = tc.text_buffer(table.column("text"))
+    for low, high in tc.slices(offsets):
+        yield low, high, shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], buckets)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(cells, np.int64), 0
-        for batch in batches:
-            data, offsets = tc.text_buffer(batch.column(0))
-            n += batch.num_rows
-            for low, high in tc.slices(offsets):
-                h, _, _ = shingle_sets(None, low, high, data, offsets)
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        if n:
-            rows = [total[i : i + block].astype(np.uint32).tobytes() for i in range(0, cells, block)]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([-1, *range(len(rows))], pa.int32()), "counts": pa.array([np.array([n], np.uint32).tobytes(), *rows], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.int64)
-                sums[key] = sums[key] + values if key in sums else values
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    partial = docs.select("text").mapInArrow(count, "block int, counts binary")
-    rows = partial.repartition(cells // block, "block").mapInArrow(add, "block int, counts binary").collect()  # 2**SKETCH_BITS numbers
-    found = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in rows}
-    if not found:
-        return np.zeros(cells, np.int64), 0
-    return np.concatenate([found[i] for i in range(cells // block)]), int(found[-1][0])
-
-
-def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log((n + 1) / (np.minimum(counts, n) + 1)) / np.log(n + 2)).astype(np.float32)
-
-
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf.astype(np.float32) * idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return (1 + np.log((n + 1) / (df + 1.0)) / np.log(n + 2)).astype(np.float32)
 
 
 class Sampler:
-    """Consistent weighted samples whose random numbers come from a fixed pool by shingle hash.
+    """Consistent weighted samples; all random numbers of a shingle and place are bits of the shingle's hash.
 
-    With r, c ~ Gamma(2,1) and b ~ U(0,1) of a shingle and place, t = floor(ln w / r + b) and the shingle with the
-    least ln a = ln c - r (t - b + 1) is the sample. ln a is the same number whenever shingle and t are, so its
-    bits stand for the sample.
+    With r, c ~ Gamma(2,1) and b ~ U(0,1), t = floor(ln w / r + b), and the shingle with the least ln a = ln c - r (t - b + 1)
+    is the sample, which is named by shingle and t. The two Gamma numbers are quantiles at 12 and 16 bits, b has 20.
     """
 
-    def __init__(self, places: int = BANDS * ROWS, seed: int = 7):
+    def __init__(self, places: int = PLACES, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
-        size = 1 << _POOL_BITS
-        r, c, b = rng.gamma(2, 1, size), rng.gamma(2, 1, size), rng.random(size)
-        self.r, self.b, self.inverse = r.astype(np.float32), b.astype(np.float32), (1 / r).astype(np.float32)
-        self.base = (np.log(c) + r * (b - 1)).astype(np.float32)
-        self.odd = rng.integers(1, 1 << 62, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.odd = rng.integers(1, 1 << 31, (places, 4), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.r, self.log_c = _gamma_quantiles(12).astype(np.float32), np.log(_gamma_quantiles(16)).astype(np.float32)
+        self.inverse = 1 / self.r
 
     def sample(self, h: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(documents, places) int32; a document without shingles must not be given."""
-        out = np.empty((len(first) - 1, len(self.odd)), np.float32)
-        log_w = np.log(w).astype(np.float32)
+        """(documents, places) uint64; a document without shingles must not be given."""
+        high, low = (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)
+        p, q, at = np.empty_like(high), np.empty_like(high), np.empty(len(h), np.intp)
+        r, t, b = (np.empty(len(h), np.float32) for _ in range(3))
+        log_w, sizes = np.log(w).astype(np.float32), np.diff(np.append(first[:-1], len(h)))
+        out = np.empty((len(first) - 1, len(self.odd)), np.uint64)
         for k, odd in enumerate(self.odd):
-            at = ((h * odd) >> np.uint64(64 - _POOL_BITS)).astype(np.int32)
-            value = self.base[at] - self.r[at] * np.floor(log_w * self.inverse[at] + self.b[at])
-            out[:, k] = np.minimum.reduceat(value, first[:-1])
-        return out.view(np.int32)
+            _bits(high, low, odd[:2], p, q)
+            at[:] = np.right_shift(p, np.uint32(20), out=q)
+            self.r.take(at, out=r, mode="clip")
+            self.inverse.take(at, out=t, mode="clip")
+            p &= np.uint32(0xFFFFF)
+            b[:] = p
+            b *= np.float32(2.0**-20)
+            t *= log_w
+            t += b
+            np.floor(t, out=t)
+            np.subtract(t, b, out=b)
+            b += np.float32(1)
+            b *= r
+            _bits(high, low, odd[2:], p, q)
+            at[:] = np.right_shift(p, np.uint32(16), out=q)
+            self.log_c.take(at, out=r, mode="clip")
+            r -= b
+            least = np.minimum.reduceat(r, first[:-1])
+            best = np.flatnonzero(r == np.repeat(least, sizes))
+            doc = np.searchsorted(first, best, "right") - 1
+            one = np.flatnonzero(np.diff(doc, prepend=-1))  # the first of equal ones
+            best = best[one]
+            out[:, k] = tc.mix(h[best] + tc.mix(t[best].astype(np.int64).view(np.uint64)))
+        return out
+
+
+def _gamma_quantiles(bits: int) -> np.ndarray:
+    """Gamma(2,1) at the middles of 2**bits equal parts: 1 - (1 + x) exp(-x) inverted by Newton steps in ln x."""
+    share = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    log_x = 0.5 * np.log(2 * share)
+    for _ in range(60):
+        x = np.exp(log_x)
+        gap = -np.expm1(-x) - x * np.exp(-x) - share
+        log_x -= np.clip(gap / np.maximum(x * x * np.exp(-x), 1e-300), -0.5, 0.5)
+    return np.exp(log_x)
+
+
+def _bits(high: np.ndarray, low: np.ndarray, odd: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
+    """32 bits of a place's own mixture of both halves of the hash."""
+    np.multiply(high, odd[0], out=out)
+    np.multiply(low, odd[1], out=spare)
+    out += spare
+
+
+def bands_of(sig: np.ndarray) -> np.ndarray:
+    """(documents, BANDS) hashes of the bands of samples."""
+    seeds = tc.mix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
+    return tc.mix((sig * seeds).reshape(len(sig), BANDS, ROWS).sum(2) + np.arange(BANDS, dtype=np.uint64))
+
+
+_TOLD = "block long, bucket int, body binary, id long, key binary"
+
+
+def _ask(buckets: int):
+    def ask(table: pa.Table) -> pa.Table:
+        found = [h for _, _, (h, _, _) in _slices(table, buckets)]
+        keys, df = np.unique(np.concatenate(found), return_counts=True)
+        rows = [(table.column("block")[0].as_py(), bucket, *pack_keys(keys[part], buckets), df[part].astype(np.uint32).tobytes()) for bucket, part in told(keys, buckets)]
+        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "high", "low", "df"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
+
+    return ask
+
+
+def _answer(buckets: int):
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
+        df = np.concatenate([unpack(x, np.uint32) for x in table.column("df").to_pylist()])
+        _, index = np.unique(np.concatenate(parts), return_inverse=True)
+        whole = np.bincount(index, df).astype(np.uint32)[index]
+        ends = np.cumsum([len(p) for p in parts])
+        rows = [(b, bucket, whole[e - len(p) : e].tobytes(), None, None) for b, p, e in zip(table.column("block").to_pylist(), parts, ends, strict=True)]
+        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "body", "id", "key"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()])])
+
+    return answer
+
+
+def _weighted(table: pa.Table, answers: pa.Table, buckets: int, n: int) -> Iterator[tuple]:
+    """Document ranges of a block, with shingles, counts, idf and where each document's begin."""
+    slices = list(_slices(table, buckets))
+    keys = np.unique(np.concatenate([h for _, _, (h, _, _) in slices]))
+    body = {b: x for b, x in zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True) if x is not None}
+    parts = [unpack(body[bucket], np.uint32) for bucket, _ in told(keys, buckets)]
+    idf = idf_of(np.concatenate(parts), n) if parts else np.zeros(0, np.float32)
+    for low, high, (h, tf, first) in slices:
+        yield low, high, h, tf, idf[np.searchsorted(keys, h)], first
+
+
+def _sign(buckets: int, n: int):
+    def sign(table: pa.Table, answers: pa.Table) -> pa.Table:
+        names, kinds, parts = ["doc_id", "key", "sig", "buckets"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], []
+        sampler = Sampler()
+        for low, high, h, tf, idf, first in _weighted(table, answers, buckets, n) if len(table) else ():
+            some = np.diff(first) > 0
+            sig = sampler.sample(h, tf * idf, np.append(first[:-1][some], first[-1])) if some.any() else np.zeros((0, PLACES), np.uint64)
+            packed, bands = iter(pack_signatures(sig)), iter(bands_of(sig).view(np.int64))
+            rows = table.slice(low, high - low)
+            columns = [[next(packed).tobytes() if s else None for s in some], [next(bands) if s else None for s in some]]
+            ids = rows.column("doc_id").combine_chunks(), rows.column("key").combine_chunks()
+            parts.append(pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names))
+        return pa.Table.from_batches(parts, pa.schema(list(zip(names, kinds, strict=True))))
 
+    return sign
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, key, sig) for every row; sig is null where the text has no word."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2**SKETCH_BITS floats
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
-        for batch in batches:
-            data, offsets = tc.text_buffer(batch.column("text"))
-            for low, high in tc.slices(offsets):
-                h, tf, first = shingle_sets(None, low, high, data, offsets)
-                some = np.diff(first) > 0
-                sig = sampler.sample(h, weights(h, tf, shared.value), np.append(first[:-1][some], first[-1])) if some.any() else np.zeros((0, BANDS * ROWS), np.int32)
-                ends = np.concatenate([[0], np.cumsum(some * (BANDS * ROWS))])
-                lists = tc.list_array(sig.ravel(), ends, pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lists.values, mask=pa.array(~some))
-                rows = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), lists], ["doc_id", "key", "sig"])
-
-    return docs.mapInArrow(sign, "doc_id long, key binary, sig array<int>")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) whose texts (doc_id, text) have a weighted Jaccard similarity of ``least`` or more."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = tc.text_buffer(batch.column("text_a")), tc.text_buffer(batch.column("text_b"))
-            for low, high in tc.slices(left[1] + right[1]):
-                (h, tf, f), (g, tg, e) = (shingle_sets(None, low, high, *side) for side in (left, right))
-                pair = np.concatenate([np.repeat(np.arange(high - low), np.diff(x)) for x in (f, e)])
-                key, w = np.concatenate([h, g]), np.concatenate([weights(h, tf, shared.value), weights(g, tg, shared.value)]).astype(np.float64)
-                total = np.bincount(pair, w, high - low)
-                order = np.lexsort((key, pair))
-                key, pair, w = key[order], pair[order], w[order]
-                both = np.flatnonzero((key[1:] == key[:-1]) & (pair[1:] == pair[:-1]))
-                common = np.bincount(pair[both], np.minimum(w[both], w[both + 1]), high - low)
-                keep = (common >= least * (total - common) - 1e-9) & (total > 0)
-                if keep.any():
-                    rows = batch.slice(low, high - low).filter(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"])
-
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+def _bodies(buckets: int, n: int):
+    """Packed sets of the documents that the answers name by id and key: all keys, then all weights.
+
+    A shingle that occurs m times is m elements of the set, all of its idf: the least of two counts times idf is then what two sets share.
+    """
+
+    def find(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, wanted = [], set()
+        if len(table) and len(answers):
+            wanted = {(i, k) for i, k in zip(answers.column("id").to_pylist(), answers.column("key").to_pylist(), strict=True) if i is not None}
+        if wanted:
+            names = list(zip(table.column("doc_id").to_pylist(), table.column("key").to_pylist(), strict=True))
+            for low, _, h, tf, idf, first in _weighted(table, answers, buckets, n):
+                for d in range(len(first) - 1):
+                    if names[low + d] in wanted:
+                        wanted.discard(names[low + d])
+                        part = slice(first[d], first[d + 1])
+                        times = tf[part]
+                        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        keys = np.repeat(h[part], times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        rows.append((names[low + d][0], keys.tobytes() + np.repeat(idf[part], times).tobytes()))
+        return pa.Table.from_batches([record_batch(rows, ["id", "body"], [pa.int64(), pa.binary()])])
+
+    return find
+
+
+def read_bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bodies = [x.as_buffer() for x in column]
+    sizes = np.array([len(b) // 12 for b in bodies], np.int64)
+    keys = [np.frombuffer(b, np.uint64, n) for b, n in zip(bodies, sizes.tolist(), strict=True)]
+    weights = [np.frombuffer(b, np.float32, n, 8 * n) for b, n in zip(bodies, sizes.tolist(), strict=True)]
+    return np.concatenate(keys), np.concatenate(weights).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -160,18 +217,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     class_id is the smallest doc_id of the class, kept says whether the row's doc_id is that one.
     """
-    spark = docs.sparkSession
+    spark, n = docs.sparkSession, docs.count()
+    blocks, buckets = layout(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.unhex(F.md5("text")))
+    placed = docs.withColumn("block", block_by_hash(blocks, F.coalesce("doc_id", F.xxhash64("text")))).repartition(buckets, "block")
     with tidy(spark), Scratch(spark) as scratch:
-        counts, n = frequencies(docs)
-        idf = idf_table(counts, n)
-        signed = cut(signatures(docs.withColumn("key", F.unhex(F.md5("text"))), idf))
+        asked = placed.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, high binary, low binary, df binary")
+        answers = scratch.cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(buckets), _TOLD))
+        signed = cut(placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sign(buckets, n), "doc_id long, key binary, sig binary, buckets array<long>"))
         known = signed.where("doc_id is not null")
         exact = scratch.cut(known.groupBy("key").agg(F.min("doc_id").alias("id")))
-        items = scratch.cut(known.where("sig is not null").withColumnRenamed("doc_id", "id").join(exact, ["key", "id"], "left_semi").select("id", "sig").dropDuplicates(["id"]))
-        bands = [(i * ROWS, (i + 1) * ROWS) for i in range(BANDS)]
-        named = docs.where("doc_id is not null")
-        groups = near_classes(scratch, items, bands, AGREE, lambda pairs: similar(pairs, named, idf).distinct())
+        chosen = exact.groupBy("id").agg(F.min("key").alias("key"))
+        items = known.where("sig is not null").withColumnRenamed("doc_id", "id").join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id"])
+        items = scratch.cut(items.select("id", "key", "sig", "buckets"))
+
+        def bodies(ids: DataFrame) -> DataFrame:
+            asked = items.select("id", "key").join(ids, "id").select(block_by_hash(blocks, F.col("id")).alias("block"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("body"), "id", "key")
+            found = placed.groupBy("block").cogroup(answers.union(asked).groupBy("block"))
+            return found.applyInArrow(_bodies(buckets, n), "id long, body binary")
+
+        groups = near_classes(scratch, items, bodies, AGREE, read_bodies, SIMILARITY)
         classes = cut(exact.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("class_id")))
     out = known.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.union(signed.where("doc_id is null").select("doc_id", "key", F.lit(None).cast("long"), F.lit(None).cast("boolean")))
@@ -180,6 +246,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with one document of each near-duplicate class; all columns stay, rows without doc_id too."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("__key"))
     chosen = keyed.where("__id is not null").join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return chosen.unionByName(keyed.where("__id is null")).drop("__id", "__key")
+    return chosen.unionByName(keyed.where("__id is null")).select("__row.*")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, components, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_store
+from cataloom.llm import byte_bpe, components, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_classes, near_dedup, quality, secrets, suffix_dedup, token_store
 from cataloom.llm.scratch import Scratch
 
 from .helpers import components as plain_components
@@ -62,15 +62,57 @@ def test_components_on_chains_and_stars(spark):
             assert got == plain_components(nodes, links)
 
 
-@pytest.mark.parametrize("crowded", [0, 30_000])
-def test_crowded_buckets_compare_all_pairs(spark, monkeypatch, crowded):
-    monkeypatch.setattr(components._block_pairs, "__defaults__", (3,))
-    # all share the first band only; pairs of like remainder agree in three of four places
-    items = spark.createDataFrame([(i, [1, 10 + i % 10, 100 + i % 10, 1000 + i]) for i in range(40)], "id long, sig array<int>")
-    verify = lambda pairs: pairs.where("a % 10 = b % 10")
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_classes_of_any_size_are_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_classes, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_classes, "LISTED", 3)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
+    sets = []
+    for family in range(3):  # edited copies of one set each, some over and some under the threshold
+        base = words[family * 100 : family * 100 + 60]
+        for k in range(25):
+            n = int(rng.integers(0, 14))
+            sets.append(np.unique(np.concatenate([base[n:], words[1000 + 50 * len(sets) : 1000 + 50 * len(sets) + n]])))
+    weights = {int(w): 1.0 + int(w % np.uint64(3)) for s in sets for w in s}
+    body = lambda s: s.tobytes() + np.array([weights[int(x)] for x in s], np.float32).tobytes()
+    sig = np.arange(60, dtype=np.uint16).tobytes()
+    rows = [(i, bytearray(sig), [i // 25], bytearray(body(s))) for i, s in enumerate(sets)]
+    items = spark.createDataFrame(rows, "id long, sig binary, buckets array<long>, body binary")
     with Scratch(spark) as scratch:
-        got = components.near_classes(scratch, items, [(0, 1), (3, 4)], 0.5, verify, stars=0, crowded=crowded).collect()
-    assert {r.node: r.component for r in got} == {i: i % 10 for i in range(40)}
+        found = near_classes.near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: items.join(ids, "id").select("id", "body"), 0.5, near_dedup.read_bodies, 0.8)
+        got = {r.node: r.component for r in found.collect()}
+    weigh = lambda s: sum(weights[int(x)] for x in s)
+    links = [(a, b) for a in range(75) for b in range(a + 1, 75) if weigh(np.intersect1d(sets[a], sets[b])) >= 0.8 * weigh(np.union1d(sets[a], sets[b]))]
+    expected = plain_components(range(75), links)
+    assert {i: got.get(i, i) for i in range(75)} == expected and 3 < len(set(expected.values())) < 60
+
+
+def test_recall_of_near_documents_and_lines(spark):
+    """Pairs of weighted similarity just above 0.8: nearly all of them are found."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, lines, n = [], [], 120
+    for k in range(n):
+        text = [word() for _ in range(120)]
+        edited = text[:60] + [word(), word()] + text[62:120]  # 6 of 116 shingles differ twice; and some more at the end
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited + [word() for _ in range(rng.randint(10, 14))]))]
+        line = "".join(rng.choice("abcdefghij ") for _ in range(110)).strip().replace("  ", " x")
+        lines += [(2 * k, "Q" + line), (2 * k + 1, "Q" + line[:50] + "#" + line[51:] + "-" * 0 + "".join(rng.choice("klmnop") for _ in range(rng.randint(9, 12))))]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, rows)).collect()}
+    gone = {r.doc_id for r in line_dedup.repeated_lines(documents(spark, lines)).collect()}
+    sets = [Counter(grams(words(t))) for _, t in rows]
+    df = Counter(g for s in sets for g in s)
+    idf = lambda g: 1 + math.log((2 * n + 1) / (df[g] + 1)) / math.log(2 * n + 2)
+    weigh = lambda a, b, f: sum(f(a[g], b[g]) * idf(g) for g in a | b)
+    similar = [weigh(sets[2 * k], sets[2 * k + 1], min) / weigh(sets[2 * k], sets[2 * k + 1], max) for k in range(n)]
+    true = [k for k in range(n) if similar[k] >= 0.8]
+    chars = [{t[i : i + 6] for i in range(len(t) - 5)} for _, t in lines]
+    alike = [k for k in range(n) if len(chars[2 * k] & chars[2 * k + 1]) >= 0.8 * len(chars[2 * k] | chars[2 * k + 1])]
+    assert len(true) > 40 and max(similar) < 0.87 and len(alike) > 40
+    assert sum(found[2 * k + 1] == 2 * k for k in true) >= 0.95 * len(true)
+    assert not [k for k in range(n) if similar[k] < 0.8 and found[2 * k + 1] == 2 * k]
+    assert sum(2 * k + 1 in gone for k in alike) >= 0.95 * len(alike) and gone == {2 * k + 1 for k in alike if 2 * k + 1 in gone}
 
 
 def test_line_dedup(spark):
