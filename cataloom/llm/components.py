@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cataloom.llm.scratch import Scratch
 
 
-#: Links that one task may hold (some 10 MB); beyond that, contraction rounds go on.
-FEW_LINKS = 100_000
+#: Links that one task may hold (some 40 MB); beyond that, contraction rounds go on.
+FEW_LINKS = 250_000
 
 
 def components(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS, max_rounds: int = 60) -> DataFrame:

@@ -89,6 +89,26 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return tc.mix((tc.mix(sig.astype(np.uint64)) * seeds).reshape(len(sig), BANDS, ROWS).sum(2) + np.arange(BANDS, dtype=np.uint64))
 
 
+def _stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges without outer white space; where nothing else is in them, empty."""
+    start, end = start.copy(), end.copy()
+    for _ in range(4):
+        blank = np.flatnonzero(start < end)
+        blank = blank[_SPACE[data[start[blank]]]]
+        start[blank] += 1
+        last = np.flatnonzero(start < end)
+        last = last[_SPACE[data[end[last] - 1]]]
+        end[last] -= 1
+        if not len(blank) and not len(last):
+            return start, end
+    some = np.flatnonzero(start < end)
+    for n in some[_SPACE[data[start[some]]] | _SPACE[data[end[some] - 1]]].tolist():  # long runs of white space
+        ink = np.flatnonzero(~_SPACE[data[start[n] : end[n]]])
+        end[n] = start[n] + (ink[-1] + 1 if len(ink) else 0)
+        start[n] += ink[0] if len(ink) else 0
+    return start, end
+
+
 class Lines:
     """Lines of the documents of a block: byte ranges without outer white space, places, and those long enough."""
 
@@ -102,11 +122,7 @@ class Lines:
         self.doc = np.sort(np.concatenate([np.arange(len(self.ids)), doc]), kind="stable")
         end = np.concatenate([start[1:] - (self.doc[1:] == self.doc[:-1]), offsets[-1:]]) if len(start) else start
         self.place = np.arange(len(start)) - np.searchsorted(self.doc, self.doc)
-        ink = np.flatnonzero(~_SPACE[data])
-        low, high = np.searchsorted(ink, start), np.searchsorted(ink, end)
-        some = high > low
-        self.start, self.end = start.copy(), start.copy()
-        self.start[some], self.end[some] = ink[low[some]], ink[high[some] - 1] + 1
+        self.start, self.end = _stripped(data, start, end)
 
     def signed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Lines that are long enough, in slices, with their signatures."""

@@ -112,7 +112,7 @@ def _edges(agree: float):
 
 def _shared(keys: np.ndarray, weights: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
     """Weight that both sets of each of ``n`` pairs have; ``pair`` is the pair of each element."""
-    order = np.lexsort((keys, pair))
+    order = tc.grouped_order(pair, keys, n)
     keys, pair = keys[order], pair[order]
     both = np.flatnonzero((keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1]))
     return np.bincount(pair[both], weights[order][both], n)

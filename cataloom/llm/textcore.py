@@ -157,17 +157,33 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out[keep]), begin
 
 
+def grouped_order(group: np.ndarray, hashes: np.ndarray, groups: int) -> np.ndarray:
+    """An order by group in which equal hashes of a group are neighbours.
+
+    One sort of numbers that hold the group and all but the last bits of the hash; only where those bits alone tell two
+    hashes apart, a sort by both.
+    """
+    bits = np.uint64(max(groups - 1, 1).bit_length())
+    key = group.astype(np.uint64) << (np.uint64(64) - bits) | hashes >> bits
+    order = np.argsort(key)
+    key = key[order]
+    close = np.flatnonzero(key[1:] == key[:-1])
+    if len(close) and (hashes[order[close]] != hashes[order[close + 1]]).any():
+        return np.lexsort((hashes, group))
+    return order
+
+
 def weighted_sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of each document with their counts, documents in order."""
     if len(hashes) == 0:
         return hashes, np.zeros(0, np.int64), np.zeros(len(first), np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
+    order = grouped_order(doc, hashes, len(first) - 1)
+    h = hashes[order]  # doc is in order already
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(d[at], np.arange(len(first)))
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(doc[at], np.arange(len(first)))
 
 
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
