@@ -1,4 +1,4 @@
-"""Removal of long passages that an earlier document has, with a logarithmic family of suffix indexes.
+"""Removal of long passages that an earlier document has, with a logarithmic family of suffix arrays.
 
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller doc_id goes;
 all strings are judged on the input. Documents form blocks in doc_id order, and each block is one new batch:
@@ -6,13 +6,16 @@ all strings are judged on the input. Documents form blocks in doc_id order, and
 1. Suffixes are sampled where equal strings must agree: the least 25-byte hash of a 50-byte window is the same
    wherever that window occurs. A block sends its distinct sampled hashes, and learns which of them
    more than one document has. Everything else cannot repeat and is not looked at again.
-2. For the rest a block sends the surroundings of the sampled suffixes. A bucket takes its blocks in order of
-   doc_id: it sorts the batch's suffixes (by a 64-bit fingerprint of their first 50 bytes), scans
-   them against the existing levels, all of smaller doc_id, and adds them as a level; levels of like size
-   merge geometrically. One bit per suffix goes back to the block.
+2. For the rest a block sends the bytes around the sampled suffixes. A bucket takes its batches in order of
+   doc_id: it makes a suffix array of each (suffixes in byte order by their first 50 bytes), merge-scans it against the existing
+   levels, all of smaller doc_id, and adds what none of them has as a level; levels of like size merge geometrically.
+   One bit per suffix goes back to the block.
+
+Hashes only bring equal strings together; bytes are compared before anything goes. A sample that more than ``HOT`` blocks have
+stands for many different surroundings, so its windows are dealt over all buckets by their own hash, one by one.
 
 Defined results: null text is empty; rows of equal doc_id do not remove from each other; rows without doc_id
-are returned whole and remove nothing.
+are returned whole and remove nothing; doc_ids may be sparse, negative or random.
 """
 
 from __future__ import annotations
@@ -20,29 +23,37 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.exchange import Levels, block_of, bucket_bounds, packed, partitions, record_batch, unpack
+from cataloom.llm.exchange import layout, pack_keys, range_bounds, record_batch, shorten, told, unpack, unpack_keys
 from cataloom.llm.scratch import cut, tidy
 
-LENGTH, SAMPLE = 50, 25
+LENGTH, SAMPLE, HOT = 50, 25, 32
 _WINDOWS = LENGTH - SAMPLE + 1  # windows that one sampled suffix can stand for
 _CONTEXT = LENGTH + _WINDOWS - 1
 _LAST = np.iinfo(np.int64).max
+#: Surroundings that a bucket sorts as one batch; blocks are taken together up to this many.
+BATCH = 1 << 15
+#: Places of the eight-byte words by which two windows are compared.
+_WORDS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
 
 
 class Suffixes:
     """Segments of consecutive windows with the same sampled hash, for the documents of one block."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, buckets: int):
         table = table.sort_by([("doc_id", "ascending")])
         self.ids = table.column("doc_id").to_numpy()
         self.data, self.offsets = tc.text_buffer(table.column("text"))
+        self.buckets = buckets
         parts = [self._segments(low, high) for low, high in tc.slices(self.offsets)]
         self.sample, self.text, self.doc, self.start, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.keys, self.inverse = np.unique(self.sample, return_inverse=True)
 
     def _segments(self, low: int, high: int) -> tuple[np.ndarray, ...]:
         base = self.offsets[low]
@@ -58,7 +69,7 @@ class Suffixes:
         least = np.minimum(least[: len(least) - 10], least[10:])
         doc = np.repeat(np.arange(high - low), sizes)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[doc]
-        value = tc.mix(least[start])  # minima are small numbers: spread them again
+        value = least[start]
         new = np.ones(len(start), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
@@ -66,47 +77,157 @@ class Suffixes:
         at = np.flatnonzero(run % _WINDOWS == 0)
         count = np.diff(np.append(at, len(start)))
         text = rolling.ranges(start[at], start[at] + count + LENGTH - 1)
-        return value[at], text, doc[at] + low, start[at] + base, count
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sampled hashes, and whether several documents of the block have them."""
-        keys, inverse = np.unique(self.sample, return_inverse=True)
-        low, high = np.full(len(keys), _LAST), np.full(len(keys), -_LAST)
-        np.minimum.at(low, inverse, self.ids[self.doc])
-        np.maximum.at(high, inverse, self.ids[self.doc])
-        self.inverse = inverse
-        return keys, low < high
-
-    def repeated(self, answers: np.ndarray):
-        """Distinct surroundings of suffixes known to repeat: hashes, index of each segment, least doc_id, first place."""
-        segments = np.flatnonzero(answers[self.inverse])
-        order = segments[np.lexsort((self.ids[self.doc[segments]], self.text[segments], self.sample[segments]))]
+        # minima are small numbers: spread them again
+        return shorten(tc.mix(value[at]), self.buckets), text, doc[at] + low, start[at] + base, count
+
+    def several(self) -> np.ndarray:
+        """Whether several documents of the block have each of the distinct samples."""
+        low, high = np.full(len(self.keys), _LAST), np.full(len(self.keys), -_LAST)
+        np.minimum.at(low, self.inverse, self.ids[self.doc])
+        np.maximum.at(high, self.inverse, self.ids[self.doc])
+        return low < high
+
+    def units(self, answers: np.ndarray) -> Units:
+        """What is sent for samples that repeat (answer 1: whole segments) or are hot (answer 2: single windows)."""
+        answer = answers[self.inverse]
+        whole, hot = np.flatnonzero(answer == 1), np.flatnonzero(answer == 2)
+        n = self.count[hot]
+        begin = np.repeat(self.start[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        start, count = np.concatenate([self.start[whole], begin]), np.concatenate([self.count[whole], np.ones(len(begin), np.int64)])
+        doc = np.concatenate([self.doc[whole], np.repeat(self.doc[hot], n)])
+        context = self._surroundings(start, count)
+        own = tc.mix(_digest(context[len(whole) :]))
+        return Units(np.concatenate([self.sample[whole], own]), np.concatenate([self.text[whole], own]), self.ids[doc], start, count, context)
+
+    def _surroundings(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The bytes of ``count`` windows from ``start`` on, zeros behind them."""
+        place = np.arange(_CONTEXT)
+        out = self.data[np.minimum(start[:, None] + place, max(len(self.data) - 1, 0))] if len(self.data) else np.zeros((len(start), _CONTEXT), np.uint8)
+        out[place >= count[:, None] + LENGTH - 1] = 0
+        return out
+
+
+class Units:
+    """Strings of one to _WINDOWS windows, equal ones together: distinct ones in order of their keys."""
+
+    def __init__(self, key: np.ndarray, text: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, context: np.ndarray):
+        order = np.lexsort((owner, text, key))
+        self.start, self.owner, self.count = start[order], owner[order], count[order]
+        key, context = key[order], context[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.text[order[1:]] != self.text[order[:-1]]) | (self.sample[order[1:]] != self.sample[order[:-1]])
-        first = order[new]
-        return self.sample[first], order, np.cumsum(new) - 1, self.ids[self.doc[first]], first
-
-    def surroundings(self, segments: np.ndarray) -> np.ndarray:
-        at = self.start[segments][:, None] + np.arange(_CONTEXT)
-        return self.data[np.minimum(at, len(self.data) - 1)]
+        new[1:] = (key[1:] != key[:-1]) | (self.count[1:] != self.count[:-1]) | (context[1:] != context[:-1]).any(1)
+        self.index = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.key, self.context, self.windows = key[first], context[first], self.count[first]
+        self.least = np.minimum.reduceat(self.owner, first) if len(first) else self.owner[:0]
+
+
+def _digest(context: np.ndarray) -> np.ndarray:
+    """A hash of the rows of ``context``."""
+    padded = np.zeros((len(context), -(-_CONTEXT // 8) * 8), np.uint8)
+    padded[:, :_CONTEXT] = context
+    words = padded.view(np.uint64)
+    out = np.zeros(len(context), np.uint64)
+    for column in range(words.shape[1]):
+        out = tc.mix(out + words[:, column])
+    return out
+
+
+def suffix_words(context: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, words) of all windows of some contexts, in whose order their bytes stand, and the context of each."""
+    padded = np.zeros((len(context), _CONTEXT + 8), np.uint8)
+    padded[:, :_CONTEXT] = context
+    owner = np.repeat(np.arange(len(context)), windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    flat = np.ndarray((max(padded.size - 7, 0),), ">u8", padded, strides=(1,))  # the eight bytes from each place on
+    begin = owner * padded.shape[1] + offset
+    return np.stack([flat[begin + w].astype(np.uint64) for w in _WORDS], 1), owner
+
+
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """The suffix array: an order of the rows by all their words; the later words are sorted only where the first is shared."""
+    order = np.argsort(words[:, 0], kind="stable")
+    first = words[order, 0]
+    same = first[1:] == first[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(first) else np.zeros(0, bool)
+    at = np.flatnonzero(shared)
+    if len(at):
+        rows = order[at]
+        order[at] = rows[np.lexsort((*words[rows].T[:0:-1], first[at]))]
+    return order
+
+
+class SuffixLevels:
+    """Suffix arrays with the least document of each suffix; no two hold the same one, and like sizes are merged."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scan(self, words: np.ndarray) -> np.ndarray:
+        """Least document of each of the sorted suffixes in any level, _LAST where it is in none."""
+        out = np.full(len(words), _LAST)
+        for level, least in self.levels:
+            at, there = _places(level, words)
+            out[there] = least[at[there]]
+        return out
+
+    def add(self, words: np.ndarray, least: np.ndarray) -> None:
+        """A new level of sorted suffixes that no level holds."""
+        if not len(words):
+            return
+        self.levels.append((words, least))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            (new, new_least), (old, old_least) = self.levels.pop(), self.levels.pop()
+            at, _ = _places(old, new)
+            self.levels.append((np.insert(old, at, new, axis=0), np.insert(old_least, at, new_least)))
+
+
+def _places(level: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the place of the first of ``level`` that is not before it, and whether that is its equal.
+
+    The first words are merged at once; where a level has several suffixes of that word, the rest is found by bisection.
+    """
+    low, high = np.searchsorted(level[:, 0], words[:, 0], "left"), np.searchsorted(level[:, 0], words[:, 0], "right")
+    there = np.zeros(len(words), bool)
+    open_ = np.flatnonzero(low < high)
+    a, b, end = low[open_], high[open_], high[open_]
+    while len(going := np.flatnonzero(a < b)):
+        middle = (a[going] + b[going]) // 2
+        less = _less(level[middle], words[open_[going]])
+        a[going] = np.where(less, middle + 1, a[going])
+        b[going] = np.where(less, b[going], middle)
+    low[open_] = a
+    inside = np.flatnonzero(a < end)
+    there[open_[inside]] = (level[a[inside]] == words[open_[inside]]).all(1)
+    return low, there
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    differs = a != b
+    at = differs.argmax(1)
+    rows = np.arange(len(a))
+    return differs.any(1) & (a[rows, at] < b[rows, at])
 
 
 def _ask_samples(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
-        keys, several = Suffixes(table).samples()
-        rows = list(packed(table.column("block")[0].as_py(), keys, buckets, several))
-        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "keys", "several"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])])
+        suffixes = Suffixes(table, buckets)
+        several, block = suffixes.several(), table.column("block")[0].as_py()
+        rows = [(block, bucket, *pack_keys(suffixes.keys[part], buckets), np.packbits(several[part]).tobytes()) for bucket, part in told(suffixes.keys, buckets)]
+        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "high", "low", "several"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
 
     return ask
 
 
 def _answer_samples(table: pa.Table) -> pa.Table:
-    batches = [(b, unpack(k), unpack(s, bool)) for b, k, s in zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), table.column("several").to_pylist(), strict=True)]
-    levels = Levels(lambda x, y: np.minimum(x + y, 2).astype(np.int8))
-    for _, keys, several in batches:
-        levels.add(keys, np.where(several, 2, 1).astype(np.int8))
-    bucket = table.column("bucket")[0].as_py()
-    rows = [(b, 1, bucket, np.packbits(levels.scan(keys, 0) > 1).tobytes()) for b, keys, _ in batches]
+    """0 for a sample of one document, 1 where several have it, 2 where more than HOT blocks do."""
+    parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
+    _, index = np.unique(np.concatenate(parts), return_inverse=True)
+    blocks = np.bincount(index)
+    answer = ((blocks > 1) | (np.bincount(index, np.concatenate(several)) > 0)).astype(np.uint8) + (blocks > HOT)
+    answer, ends, bucket = answer[index], np.cumsum([len(p) for p in parts]), table.column("bucket")[0].as_py()
+    rows = [(b, 1, bucket, answer[e - len(p) : e].tobytes()) for b, p, e in zip(table.column("block").to_pylist(), parts, ends, strict=True)]
     return _answers(rows)
 
 
@@ -114,83 +235,100 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([record_batch(rows, ["block", "phase", "bucket", "body"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])])
 
 
-def _told(answers: pa.Table, phase: int, kind: str, bounds: np.ndarray) -> np.ndarray:
-    """Answers of one phase in key order."""
+def _told(answers: pa.Table, phase: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Answers of one phase in the order of the sorted keys that were asked for."""
     found = {b: x for p, b, x in zip(answers.column("phase").to_pylist(), answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True) if p == phase}
-    parts = []
-    for bucket in np.flatnonzero(np.diff(bounds)):
-        n = bounds[bucket + 1] - bounds[bucket]
-        body = np.frombuffer(found[int(bucket)], np.uint8 if kind == "bits" else np.uint32)
-        parts.append(np.unpackbits(body, count=n).astype(bool) if kind == "bits" else body)
-    return np.concatenate(parts) if parts else np.zeros(0, bool if kind == "bits" else np.uint32)
+    kind = np.uint8 if phase == 1 else np.uint32
+    parts = [np.frombuffer(found[bucket], kind) for bucket, _ in told(keys, buckets)]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _ask_surroundings(buckets: int):
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["block", "bucket", "context", "count", "doc"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names, kinds = ["block", "bucket", "context", "windows", "doc"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         rows = []
         if len(table):
-            suffixes = Suffixes(table)
-            keys, _ = suffixes.samples()
-            sample, _, _, least, first = suffixes.repeated(_told(answers, 1, "bits", bucket_bounds(keys, buckets)))
-            bounds, block = bucket_bounds(sample, buckets), table.column("block")[0].as_py()
-            for bucket in np.flatnonzero(np.diff(bounds)):
-                part = slice(bounds[bucket], bounds[bucket + 1])
-                context = suffixes.surroundings(first[part])
-                rows.append((block, int(bucket), context.tobytes(), suffixes.count[first[part]].astype(np.uint8).tobytes(), least[part].tobytes()))
+            suffixes = Suffixes(table, buckets)
+            units, block = suffixes.units(_told(answers, 1, suffixes.keys, buckets)), table.column("block")[0].as_py()
+            rows = [(block, bucket, units.context[part].tobytes(), units.windows[part].astype(np.uint8).tobytes(), units.least[part].tobytes()) for bucket, part in told(units.key, buckets)]
         return pa.Table.from_batches([record_batch(rows, names, kinds)])
 
     return ask
 
 
-def _answer_surroundings(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("block", "ascending")])
-    levels, rows = Levels(np.minimum), []
-    offset = np.arange(_WINDOWS)
-    for n in range(len(table)):
-        block, bucket, context, count, doc = (table.column(c)[n].as_py() for c in ("block", "bucket", "context", "count", "doc"))
-        count, doc, data = unpack(count, np.uint8), unpack(doc, np.int64), unpack(context, np.uint8)
-        window = tc.Rolling(data).windows(LENGTH)
-        window = np.append(window, np.zeros(len(data) - len(window), np.uint64)).reshape(-1, _CONTEXT)[:, :_WINDOWS]
-        there = offset < count[:, None]
-        hashes, owner = window[there], np.broadcast_to(doc[:, None], there.shape)[there]
-        order = np.lexsort((owner, hashes))
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        keys, least = hashes[order[new]], owner[order[new]]
-        earlier = levels.scan(keys, _LAST) < _LAST if levels.runs else np.zeros(len(keys), bool)
-        levels.add(keys, least)
-        index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(new) - 1
-        seen = np.zeros(there.shape, np.uint32)
-        seen[there] = earlier[index] | (least[index] < owner)
-        rows.append((block, 2, bucket, (seen << offset.astype(np.uint32)).sum(1, dtype=np.uint32).tobytes()))
-    return _answers(rows)
+def _batches(table: pa.Table):
+    """Rows of a bucket in order of their blocks, some at a time: places of the rows, contexts, windows and documents."""
+    rows, size = [], 0
+    windows = [unpack(x, np.uint8) for x in table.column("windows").to_pylist()]
+    for n in np.argsort(table.column("block").to_numpy(), kind="stable").tolist():
+        rows.append(n)
+        size += len(windows[n])
+        if size >= BATCH:
+            yield rows, *_unpacked(table, rows, windows)
+            rows, size = [], 0
+    if rows:
+        yield rows, *_unpacked(table, rows, windows)
 
 
-def _remove(buckets: int):
+def _unpacked(table: pa.Table, rows: list[int], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context = np.concatenate([unpack(table.column("context")[n].as_py(), np.uint8) for n in rows]).reshape(-1, _CONTEXT)
+    return context, np.concatenate([windows[n] for n in rows]).astype(np.int64), np.concatenate([unpack(table.column("doc")[n].as_py(), np.int64) for n in rows])
+
+
+def _answer_surroundings(table: pa.Table) -> pa.Table:
+    levels, out, bucket = SuffixLevels(), [], table.column("bucket")[0].as_py()
+    blocks = table.column("block").to_pylist()
+    for rows, context, windows, doc in _batches(table):
+        order = np.lexsort((doc, windows, _digest(context)))
+        new = np.ones(len(order), bool)
+        new[1:] = (windows[order[1:]] != windows[order[:-1]]) | (context[order[1:]] != context[order[:-1]]).any(1)
+        first = np.flatnonzero(new)
+        least, chosen = np.minimum.reduceat(doc[order], first), order[first]
+        words, owner = suffix_words(context[chosen], windows[chosen])
+        array = suffix_order(words)
+        words, owner = words[array], owner[array]
+        head = np.ones(len(words), bool)
+        head[1:] = (words[1:] != words[:-1]).any(1)
+        at = np.flatnonzero(head)
+        inside, before = np.minimum.reduceat(least[owner], at), levels.scan(words[at])
+        fresh = before == _LAST
+        levels.add(words[at[fresh]], inside[fresh])
+        earliest = np.empty(len(array), np.int64)
+        earliest[array] = np.minimum(inside, before)[np.cumsum(head) - 1]
+        # back to the contexts as they came: a bit for each window that a smaller document has
+        begin = np.cumsum(windows[chosen]) - windows[chosen]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        seen = np.zeros(len(order), np.uint32)
+        for offset in range(_WINDOWS):
+            has = np.flatnonzero(windows > offset)
+            seen[has] |= (earliest[begin[which[has]] + offset] < doc[has]).astype(np.uint32) << np.uint32(offset)
+        ends = np.cumsum([len(table.column("windows")[n].as_py()) for n in rows])
+        out += [(blocks[n], 2, bucket, part.tobytes()) for n, part in zip(rows, np.split(seen, ends[:-1]), strict=True)]
+    return _answers(out)
+
+
+def _remove(buckets: int, texts: bool):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         if not len(table):
             return pa.Table.from_batches([record_batch([], names, kinds)])
-        suffixes = Suffixes(table)
-        keys, _ = suffixes.samples()
-        sample, order, index, least, _ = suffixes.repeated(_told(answers, 1, "bits", bucket_bounds(keys, buckets)))
-        bits = _told(answers, 2, "mask", bucket_bounds(sample, buckets))[index]
-        later = suffixes.ids[suffixes.doc[order]] > least[index]
+        suffixes = Suffixes(table, buckets)
+        units = suffixes.units(_told(answers, 1, suffixes.keys, buckets))
+        bits = _told(answers, 2, units.key, buckets)[units.index]
+        later = units.owner > units.least[units.index]
         offset = np.arange(_WINDOWS)
-        flagged = (later[:, None] | ((bits[:, None] >> offset.astype(np.uint32)) & 1).astype(bool)) & (offset < suffixes.count[order][:, None])
-        starts = (suffixes.start[order][:, None] + offset)[flagged]
-        change = np.bincount(starts, minlength=len(suffixes.data) + 1)[: len(suffixes.data) + 1] - np.bincount(starts + LENGTH, minlength=len(suffixes.data) + 1)[: len(suffixes.data) + 1]
-        gone = np.cumsum(change)[:-1] > 0
+        flagged = (later[:, None] | ((bits[:, None] >> offset.astype(np.uint32)) & 1).astype(bool)) & (offset < units.count[:, None])
+        starts, n = (units.start[:, None] + offset)[flagged], len(suffixes.data) + 1
+        gone = np.cumsum(np.bincount(starts, minlength=n)[:n] - np.bincount(starts + LENGTH, minlength=n)[:n])[:-1] > 0
         rows = []
         for n, doc in enumerate(suffixes.ids.tolist()):
             part = slice(suffixes.offsets[n], suffixes.offsets[n + 1])
             mine = gone[part]
             kept = suffixes.data[part][~mine].tobytes()
             spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()) if len(mine) else 0
-            rows.append((doc, len(mine), int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((doc, len(mine), int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
         return pa.Table.from_batches([record_batch(rows, names, kinds)])
 
     return remove
@@ -198,15 +336,23 @@ def _remove(buckets: int):
 
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept, the remaining bytes, only with ``texts``."""
-    n = partitions(docs)
+    spark = docs.sparkSession
+    blocks, buckets = layout(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blocks = docs.where("doc_id is not null").select(block_of("doc_id").alias("block"), "doc_id", "text").repartition(n, "block")
-    with tidy(docs.sparkSession):
-        asked = blocks.groupBy("block").applyInArrow(_ask_samples(n), "block long, bucket int, keys binary, several binary")
-        told = cut(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer_samples, "block long, phase int, bucket int, body binary"))
-        more = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask_surroundings(n), "block long, bucket int, context binary, count binary, doc binary")
-        seen = cut(more.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer_surroundings, "block long, phase int, bucket int, body binary"))
-    out = blocks.groupBy("block").cogroup(told.union(seen).groupBy("block")).applyInArrow(_remove(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    known = docs.where("doc_id is not null")
+    bounds = spark.sparkContext.broadcast(range_bounds(known, blocks))  # a number per block
+
+    @F.pandas_udf(LongType())
+    def block_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, doc_id.to_numpy()))
+
+    placed = known.select(block_of("doc_id").alias("block"), "doc_id", "text").repartition(buckets, "block")
+    with tidy(spark):
+        asked = placed.groupBy("block").applyInArrow(_ask_samples(buckets), "block long, bucket int, high binary, low binary, several binary")
+        first = cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_samples, "block long, phase int, bucket int, body binary"))
+        more = placed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_ask_surroundings(buckets), "block long, bucket int, context binary, windows binary, doc binary")
+        seen = cut(more.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_surroundings, "block long, phase int, bucket int, body binary"))
+    out = placed.groupBy("block").cogroup(first.union(seen).groupBy("block")).applyInArrow(_remove(buckets, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     body = F.col("text").cast("binary")
     rest = docs.where("doc_id is null").select("doc_id", F.length(body).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(body, 256), body)
     return out.union(rest) if texts else out.union(rest).drop("kept")
