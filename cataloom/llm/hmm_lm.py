@@ -1,16 +1,18 @@
 """Scores of whole texts under a hidden Markov language model trained on the corpus.
 
 Tokens are words between ASCII white space, ASCII letters lowered, and one end per document. A word belongs
-to a class: the ``TOP`` commonest training words have one each, the others share ``SHAPES`` classes by their
-first and last two bytes. A document's classes are emitted by ``STATES`` hidden states; a word is then drawn within its
-class by its training count plus one, with one unit for all unseen words, so the whole is a probability
-over all texts. Baum-Welch runs ``ROUNDS`` times over all training documents: each partition sends its expected counts,
-which Spark adds up. For training, documents are cut in pieces of ``PIECE`` tokens; scores are exact over whole
-documents: a long document's pieces are run forward from every state at once and chained.
+to a class: the commonest training words have one each, the others share ``SHAPES`` classes by their
+first and last two bytes; how many have their own grows with the number of distinct words. A document's classes are
+emitted by ``STATES`` hidden states; a word is then drawn within its class by its training count plus one, with one unit for all
+unseen words, so the whole is a probability over all texts. Baum-Welch runs over all training documents, whole: each
+partition sends its expected counts, which Spark adds up, until a round gains less than ``GAIN`` of the likelihood, ``ROUNDS`` times at most.
+
+Long documents are handled in pieces of ``PIECE`` tokens at once, in training as in scoring: each piece is run from every
+state, the pieces are chained forward and backward, so that what crosses from one to the next counts as in one run.
 
 Word counts are exchanged between blocks of documents and buckets of word hashes (see exchange.py), so that
-a word costs one entry per block. Defined results: null text is empty (one token, the end); a null doc_id
-counts as the empty text for the split; repeated rows are scored alike.
+a word costs one entry per block; words are told apart by 64-bit hashes. Defined results: null text is empty (one token, the
+end); a null doc_id counts as the empty text for the split; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.exchange import block_of, bucket_bounds, packed, partitions, record_batch, unpack
+from cataloom.llm.exchange import block_by_hash, layout, record_batch, told, unpack
 from cataloom.llm.scratch import cut, tidy
 
-STATES, TOP, SHAPES, ROUNDS, PIECE = 6, 1024, 2048, 3, 512
-CLASSES = TOP + SHAPES + 1
-END = CLASSES - 1
-#: Hash of the end token, which no word has but by chance.
+STATES, SHAPES, ROUNDS, GAIN, PIECE = 6, 2048, 4, 0.002, 512
+#: Words with a class of their own: one in so many distinct words, but so many at least, and at most.
+OWN_SHARE, LEAST_OWN, MOST_OWN = 64, 1_024, 65_536
+#: Key of the end token; a word with this hash gets the next one.
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -46,9 +48,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     shape = tc.mix(edge[0] | edge[1] << np.uint64(8) | edge[2] << np.uint64(16) | edge[3] << np.uint64(24)) % np.uint64(SHAPES)
     n = len(offsets) - 1
     first = found.first + np.arange(n + 1)
-    keys, shapes = np.full(first[-1], END_KEY, np.uint64), np.full(first[-1], END - TOP, np.int32)
+    keys, shapes = np.full(first[-1], END_KEY, np.uint64), np.full(first[-1], SHAPES, np.int32)
     place = np.arange(len(found.hash)) + found.doc
-    keys[place], shapes[place] = found.hash, shape
+    keys[place], shapes[place] = found.hash + (found.hash == END_KEY), shape
     return keys, shapes, first
 
 
@@ -73,7 +75,8 @@ class Block:
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         block = Block(table)
-        rows = list(packed(table.column("block")[0].as_py(), block.keys, buckets, block.count, block.shape.astype(np.int16)))
+        number = table.column("block")[0].as_py()
+        rows = [(number, bucket, block.keys[part].tobytes(), block.count[part].tobytes(), block.shape[part].astype(np.int16).tobytes()) for bucket, part in told(block.keys, buckets)]
         return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "keys", "counts", "shapes"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
 
     return ask
@@ -97,30 +100,36 @@ def _count(table: pa.Table) -> pa.Table:
     by_shape, known = np.bincount(shape, total, SHAPES + 1).astype(np.int64), np.bincount(shape, total > 0, SHAPES + 1).astype(np.int64)
     rows += [("shape", None, bucket, None, None, int(s), int(by_shape[s]), int(known[s])) for s in np.flatnonzero(by_shape)]
     some = np.flatnonzero((total > 0) & (words != END_KEY))
-    top = some[np.lexsort((words[some], -total[some]))[:TOP]]
+    top = some[np.lexsort((words[some], -total[some]))[: max(LEAST_OWN, len(some) // 8)]]  # words are dealt evenly: no bucket has more of the commonest
     rows += [("top", None, bucket, None, int(words[i].astype(np.int64)), int(shape[i]), int(total[i]), None) for i in top]
     names = [x.split()[0] for x in _TOLD.split(", ")]
     return pa.Table.from_batches([record_batch(rows, names, [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])])
 
 
+def own_words(types: int) -> int:
+    """How many words have a class of their own where there are so many distinct ones; a power of two."""
+    return min(MOST_OWN, max(LEAST_OWN, 1 << (max(types // OWN_SHARE, 1).bit_length() - 1)))
+
+
 class Classes:
-    """Class of a word, and totals of classes; of fixed size."""
+    """Class of a word, and totals of classes: first those of one word each, then SHAPES shared ones, then the end."""
 
     def __init__(self, top: list, shapes: list):
         words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
         order = np.argsort(words)
-        self.words, self.rank = words[order], order
-        self.total, self.known = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        self.words, self.rank, self.own = words[order], order, len(top)
+        self.size = self.own + SHAPES + 1
+        self.total, self.known = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
         for r in shapes:
-            self.total[TOP + r["shape"]], self.known[TOP + r["shape"]] = r["count"], r["words"]
+            self.total[self.own + r["shape"]], self.known[self.own + r["shape"]] = r["count"], r["words"]
         self.all, self.types = int(self.total.sum()), int(self.known.sum())
         for i, r in enumerate(top):
-            self.total[TOP + r["shape"]] -= r["count"]
-            self.known[TOP + r["shape"]] -= 1
+            self.total[self.own + r["shape"]] -= r["count"]
+            self.known[self.own + r["shape"]] -= 1
             self.total[i] = r["count"]
 
     def of(self, keys: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        out = TOP + shapes.astype(np.int64)
+        out = self.own + shapes.astype(np.int64)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
             hit = self.words[at] == keys
@@ -129,7 +138,7 @@ class Classes:
 
     def log_within(self, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 P(word | class); certain for classes of one word and the end."""
-        shared = (cls >= TOP) & (cls != END)
+        shared = (cls >= self.own) & (cls != self.size - 1)
         return np.where(shared, np.log10((count + 1) / (self.total[cls] + self.known[cls] + 1)), 0.0)
 
 
@@ -141,8 +150,8 @@ class Model:
     def first(cls, total: np.ndarray) -> Model:
         """States that stay, and emit the classes by their counts, each with a random tilt (fixed seed)."""
         rng = np.random.Generator(np.random.PCG64(11))
-        emit = (total + 1.0) * rng.gamma(2.0, 0.5, (STATES, CLASSES))
-        emit[:, END] = total[END] + 1.0
+        emit = (total + 1.0) * rng.gamma(2.0, 0.5, (STATES, len(total)))
+        emit[:, -1] = total[-1] + 1.0
         move = np.full((STATES, STATES), 0.05 / (STATES - 1))
         np.fill_diagonal(move, 0.95)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
@@ -171,90 +180,116 @@ def _pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, begin, np.minimum(PIECE, first[doc + 1] - begin)
 
 
-def expected(model: Model, cls: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
-    """Adds the expected counts of some documents: scaled forward and backward recursions over their pieces."""
-    _, begin, length = _pieces(first)
-    order, begin, running = _layout(begin, length)
-    emit = np.ascontiguousarray(model.emit.T)
-    forward, scales, states = [], [], []
+class Chain:
+    """Pieces of some documents with what reaches each from the pieces before it, and the likelihood of the whole."""
+
+    def __init__(self, model: Model, cls: np.ndarray, first: np.ndarray):
+        self.model, self.cls, self.emit = model, cls, np.ascontiguousarray(model.emit.T)
+        self.doc, self.begin, self.length = _pieces(first)
+        n = len(self.doc)
+        self.head = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if n else np.zeros(0, bool)
+        self.reach = np.empty((n, STATES))  # the state before each piece; of a first piece, the start
+        self.reach[self.head] = model.start
+        self.log = np.zeros(len(first) - 1)
+        rest = np.flatnonzero(~self.head)
+        self.through = np.zeros((n, STATES, STATES))  # from the state before a piece to that at its end, scaled
+        state, log = self._run(np.flatnonzero(self.head), self.reach[self.head])
+        self.log[self.doc[self.head]] = log
+        if not len(rest):
+            return
+        states = np.tile(np.eye(STATES), (len(rest), 1))  # from each state in turn
+        ends, logs = self._run(np.repeat(rest, STATES), states)
+        ends, logs = ends.reshape(-1, STATES, STATES), logs.reshape(-1, STATES)
+        top = logs.max(1)
+        self.through[rest] = ends * 10.0 ** (logs - top[:, None])[:, :, None]
+        alpha = np.zeros((len(first) - 1, STATES))
+        alpha[self.doc[self.head]] = state
+        for i, piece in enumerate(rest.tolist()):
+            d = self.doc[piece]
+            self.reach[piece] = alpha[d]
+            x = alpha[d] @ self.through[piece]
+            s = x.sum()
+            alpha[d], self.log[d] = x / s, self.log[d] + top[i] + np.log10(s)
+
+    def _run(self, pieces: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State at the end and log10 likelihood of some pieces, from the states before them."""
+        order, begin, running = _layout(self.begin[pieces], self.length[pieces])
+        head, a, log = self.head[pieces][order], before[order].copy(), np.zeros(len(order))
+        a[~head] = a[~head] @ self.model.move
+        for t, n in enumerate(running):
+            x = (a[:n] if t == 0 else a[:n] @ self.model.move) * self.emit[self.cls[begin[:n] + t]]
+            s = x.sum(1)
+            a[:n], log[:n] = x / s[:, None], log[:n] + np.log10(s)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return a[back], log[back]
+
+    def behind(self) -> np.ndarray:
+        """Of each piece, how likely what follows in its document is from each state at its end, scaled."""
+        out = np.ones((len(self.doc), STATES))
+        for piece in np.flatnonzero(~self.head)[::-1].tolist():
+            x = self.through[piece] @ out[piece]
+            out[piece - 1] = x / x.sum()
+        return out
+
+
+def expected(model: Model, cls: np.ndarray, first: np.ndarray, counts: np.ndarray) -> float:
+    """Adds the expected counts of some whole documents: scaled forward and backward recursions. Returns their log10 likelihood."""
+    chain = Chain(model, cls, first)
+    order, begin, running = _layout(chain.begin, chain.length)
+    head, before, behind = chain.head[order], chain.reach[order], chain.behind()[order]
+    entering = np.where(head[:, None], before, before @ model.move)
+    forward, seen = [], []
     for t, n in enumerate(running):
-        now = emit[cls[begin[:n] + t]]
-        a = (model.start if t == 0 else forward[-1][:n] @ model.move) * now
-        s = a.sum(1)
-        a /= s[:, None]
-        forward.append(a)
-        scales.append(s)
-        states.append(now)
-    moves, emitted = np.zeros((STATES, STATES)), counts[STATES + 1 :]
-    back = np.zeros((0, STATES))
+        now = chain.emit[cls[begin[:n] + t]]
+        a = (entering if t == 0 else forward[-1][:n] @ model.move) * now
+        forward.append(a / a.sum(1, keepdims=True))
+        seen.append(now)
+    moves, back, places, gammas = np.zeros((STATES, STATES)), np.zeros((0, STATES)), [], []
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
         if len(back) < n:
-            back = np.concatenate([back, np.ones((n - len(back), STATES))])
-        gamma = forward[t] * back
-        place = cls[begin[:n] + t]
+            ending = behind[len(back) : n]
+            back = np.concatenate([back, ending / (forward[t][len(back) :] * ending).sum(1, keepdims=True)])
+        places.append(cls[begin[:n] + t])
+        gammas.append(forward[t] * back)
+        weighted = seen[t] * back
+        if t:
+            onward = weighted @ model.move.T
+            whole = (forward[t - 1][:n] * onward).sum(1, keepdims=True)
+            moves += forward[t - 1][:n].T @ (weighted / whole)
+            back = onward / whole
+    if len(running):
+        counts[0, :STATES] += gammas[-1][head].sum(0)
+        rest = ~head  # moves from one piece into the next
+        onward = weighted[rest] @ model.move.T
+        moves += before[rest].T @ (weighted[rest] / (before[rest] * onward).sum(1, keepdims=True))
+        place, gamma = np.concatenate(places), np.concatenate(gammas)
         for k in range(STATES):
-            emitted[k] += np.bincount(place, gamma[:, k], CLASSES) if n > CLASSES // 8 else 0
-        if n <= CLASSES // 8:
-            np.add.at(emitted.T, place, gamma)
-        if t == 0:
-            counts[0, :STATES] += gamma.sum(0)
-            break
-        weighted = states[t] * back / scales[t][:, None]
-        moves += forward[t - 1][:n].T @ weighted
-        back = weighted @ model.move.T
+            counts[STATES + 1 + k] += np.bincount(place, gamma[:, k], counts.shape[1])
     counts[1 : STATES + 1, :STATES] += moves * model.move
+    return float(chain.log.sum())
 
 
 def log_likelihood(model: Model, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 P(classes) of each whole document."""
-    emit = np.ascontiguousarray(model.emit.T)
-    doc, begin, length = _pieces(first)
-    head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-
-    def run(begin: np.ndarray, length: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, begin, running = _layout(begin, length)
-        a, log = starts[order], np.zeros(len(order))
-        for t, n in enumerate(running):
-            x = (a[:n] if t == 0 else a[:n] @ model.move) * emit[cls[begin[:n] + t]]
-            s = x.sum(1)
-            a[:n], log[:n] = x / s[:, None], log[:n] + np.log10(s)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return a[back], log[back]
-
-    out = np.zeros(len(first) - 1)
-    state, log = run(begin[head], length[head], np.broadcast_to(model.start, (head.sum(), STATES)).copy())
-    out[doc[head]] = log
-    rest = np.flatnonzero(~head)
-    if len(rest):
-        starts = np.tile(model.move, (len(rest), 1))  # from each state in turn
-        ends, logs = run(np.repeat(begin[rest], STATES), np.repeat(length[rest], STATES), starts)
-        alpha = np.zeros((len(first) - 1, STATES))
-        alpha[doc[head]] = state
-        for i, piece in enumerate(rest):
-            part, d = slice(i * STATES, (i + 1) * STATES), doc[piece]
-            top = logs[part].max()
-            x = (alpha[d] * 10.0 ** (logs[part] - top)) @ ends[part]
-            s = x.sum()
-            alpha[d], out[d] = x / s, out[d] + top + np.log10(s)
-    return out
+    return Chain(model, cls, first).log
 
 
 def _train(docs: DataFrame, classes: Classes) -> Model:
-    """Baum-Welch over the training rows (text) of ``docs``; only sums of fixed size reach the driver."""
-    context, model = docs.sparkSession.sparkContext, Model.first(classes.total)
+    """Baum-Welch over the training rows (text) of ``docs``; only sums of the size of the model reach the driver."""
+    context, model, before = docs.sparkSession.sparkContext, Model.first(classes.total), None
     for _ in range(ROUNDS):
         shared = context.broadcast((model, classes))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model, classes = shared.value
-            counts = np.zeros((2 * STATES + 1, CLASSES))
+            counts = np.zeros((2 * STATES + 1, classes.size))
             for batch in batches:
                 data, offsets = tc.text_buffer(batch.column(0))
                 for low, high in tc.slices(offsets, 4 << 20):
                     keys, shapes, first = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                    expected(model, classes.of(keys, shapes), first, counts)
+                    counts[0, STATES] += expected(model, classes.of(keys, shapes), first, counts)  # a spare place
             yield record_batch([(i, x.tobytes()) for i, x in enumerate(counts)], ["row", "counts"], [pa.int32(), pa.binary()])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +303,11 @@ def _train(docs: DataFrame, classes: Classes) -> Model:
         rows = parts.repartition(2 * STATES + 1, "row").mapInArrow(add, "row int, counts binary").collect()
         if not rows:
             break
-        model = Model.from_counts(np.stack([unpack(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["row"])]))
+        counts = np.stack([unpack(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["row"])])
+        model, likelihood = Model.from_counts(counts), counts[0, STATES]
+        if before is not None and likelihood - before < GAIN * abs(before):
+            break
+        before = likelihood
     return model
 
 
@@ -280,8 +319,8 @@ def _score(buckets: int, shared):
             return pa.Table.from_batches([record_batch([], names, kinds)])
         model, classes = shared.value
         block = Block(table)
-        told = {b: unpack(x, np.int64) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True)}
-        count = np.concatenate([told[int(b)] for b in np.flatnonzero(np.diff(bucket_bounds(block.keys, buckets)))])
+        body = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
+        count = np.concatenate([unpack(body[bucket], np.int64) for bucket, _ in told(block.keys, buckets)])
         cls = classes.of(block.keys, block.shape)
         word, first = block.word, block.first[:-1]
         add = lambda x: np.add.reduceat(x[word], first)
@@ -296,17 +335,23 @@ def _score(buckets: int, shared):
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    spark, n = docs.sparkSession, partitions(docs)
+    placed, answers, model, classes, buckets = learned(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model, classes))
+    found = placed.groupBy("block").cogroup(answers.groupBy("block"))
+    return found.applyInArrow(_score(buckets, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, Classes, int]:
+    """Rows of ``docs`` in blocks, what their blocks are told of their words, the model, the classes, and the number of buckets."""
+    blocks, buckets = layout(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    spread = F.coalesce(block_of("doc_id"), -1 - F.pmod(F.xxhash64("text"), F.lit(4096)))  # rows without doc_id
-    blocks = docs.select(spread.alias("block"), "*").repartition(n, "block")
-    with tidy(spark):
-        asked = blocks.groupBy("block").applyInArrow(_ask(n), "block long, bucket int, keys binary, counts binary, shapes binary")
-        told = cut(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count, _TOLD))
-        top = told.where("kind = 'top'").orderBy(F.desc("count"), "word").limit(TOP).collect()
-        shapes = told.where("kind = 'shape'").groupBy("shape").agg(F.sum("count").alias("count"), F.sum("words").alias("words")).collect()  # SHAPES rows at most
+    placed = docs.select(block_by_hash(blocks, F.coalesce("doc_id", F.xxhash64("text"))).alias("block"), "*").repartition(buckets, "block")
+    with tidy(docs.sparkSession):
+        asked = placed.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, keys binary, counts binary, shapes binary")
+        told_ = cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _TOLD))
+        shapes = told_.where("kind = 'shape'").groupBy("shape").agg(F.sum("count").alias("count"), F.sum("words").alias("words")).collect()  # SHAPES + 1 rows at most
+        own = own_words(sum(r["words"] for r in shapes))
+        top = told_.where("kind = 'top'").orderBy(F.desc("count"), "word").limit(own).select("word", "shape", "count").collect()  # MOST_OWN rows at most
         classes = Classes(top, shapes)
         model = _train(docs.where("not held_out"), classes)
-    shared = spark.sparkContext.broadcast((model, classes))
-    answers = told.where("kind = 'answer'").select("block", "bucket", "body")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return placed, told_.where("kind = 'answer'").select("block", "bucket", "body"), model, classes, buckets
