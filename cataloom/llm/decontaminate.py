@@ -10,8 +10,9 @@ sets of 0.8 or more is a leak. A shingle that df items share weighs 1/(1+ln df),
 A running count of shingles known from any item comes first: a window with under half of its shingles known
 cannot reach 0.8 (it would need four fifths, less an eighth for alignment) and gets no fingerprint.
 
-Items go to tasks in groups of at most ``GROUP_BYTES`` of text; a larger benchmark takes several passes.
-Defined results: null text is empty; items of fewer than five words match nothing; rows without doc_id are
+Items go to tasks in groups of about ``GROUP_BYTES`` of text, one after the other over the same rows: the documents are read once.
+Defined results: null text is empty; an item of one to four words is one shingle, which only a document of just those
+words has; items without a word match nothing; rows without doc_id are
 searched too, their doc_id stays null; repeated rows give repeated leaks.
 """
 
@@ -29,6 +30,8 @@ from cataloom.llm import textcore as tc
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, RATIO = 5, 0.8, 15, 4, 1.12
 GROUP_BYTES = 16 << 20
+#: Shingles whose bits are counted at a time.
+COUNTED = 1 << 16
 
 
 def simhash(hashes: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
@@ -42,6 +45,17 @@ def _majority(counts: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
     return np.packbits((counts[begin + size] - counts[begin]) * 2 > size, axis=1).reshape(-1).view(np.uint64)
 
 
+def prints(hashes: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """``simhash`` of sorted windows of a document of any length, in stretches."""
+    out, low = [], 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + COUNTED)))
+        base = begin[low]
+        out.append(simhash(np.ascontiguousarray(hashes[base : begin[high - 1] + size]), begin[low:high] - base, size))
+        low = high
+    return np.concatenate(out)
+
+
 class Items:
     """Items with their shingle sets, weights, fingerprints and block tables."""
 
@@ -49,8 +63,8 @@ class Items:
         table = pa.array(texts, pa.string())
         data, offsets = tc.text_buffer(table)
         words = tc.words(data, offsets)
-        size = np.diff(words.first) - SHINGLE + 1
         hashes, first = tc.ngrams(words.hash, words.first, SHINGLE)
+        size = np.diff(first)
         good = np.flatnonzero(size > 0)
         self.ids, self.size = [ids[i] for i in good], size[good]
         parts = [hashes[first[i] : first[i + 1]] for i in good]
@@ -105,10 +119,9 @@ class Items:
 def find_leaks(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[float, int]]:
     """(document, item) -> (similarity, first word) of the leaks in a buffer of texts."""
     words = tc.words(data, offsets)
-    counts = np.diff(words.first)
     hashes, first = tc.ngrams(words.hash, words.first, SHINGLE)
     hits = np.concatenate([[0], np.cumsum(items.knows(hashes))])
-    some = np.flatnonzero((hits[first[1:]] > hits[first[:-1]]) & (counts >= SHINGLE))
+    some = np.flatnonzero(hits[first[1:]] > hits[first[:-1]])
     candidates: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for doc in some.tolist():
         low, high = int(first[doc]), int(first[doc + 1])
@@ -120,10 +133,14 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[tupl
             begin = begin[(known[begin + size] - known[begin]) * 2 >= size]
             if not len(begin):
                 continue
-            if bits is None:
-                bits = np.zeros((high - low + 1, 64), np.int32)
-                np.cumsum(np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
-            for w, i, distance in zip(*items.within(_majority(bits, begin, size)), strict=True):
+            if high - low > COUNTED:
+                found_prints = prints(mine, begin, size)
+            else:
+                if bits is None:
+                    bits = np.zeros((high - low + 1, 64), np.int32)
+                    np.cumsum(np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
+                found_prints = _majority(bits, begin, size)
+            for w, i, distance in zip(*items.within(found_prints), strict=True):
                 if abs(items.series[i] - series) <= 1:
                     candidates.setdefault((doc, int(i)), []).append((int(distance), int(begin[w])))
     found = {}
@@ -154,26 +171,31 @@ def item_groups(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([r["item_id"] for r in group], [r["text"] for r in group])
 
 
+_LEAKS = "array<struct<item_id:bigint,similarity:double,first_word:bigint>>"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word) for every document and item that leak into it."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast(_LEAKS).alias("leaks"))
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
     for items in item_groups(benchmark):
+        if not items.ids:
+            continue
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = tc.text_buffer(batch.column("text"))
-                ids = batch.column("doc_id").to_pylist()
+                known: dict[int, list] = {}
                 for low, high in tc.slices(offsets):
-                    found = find_leaks(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shared.value) if shared.value.ids else {}
-                    rows = [(ids[low + d], shared.value.ids[i], s, w) for (d, i), (s, w) in found.items()]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
-
-        part = docs.mapInArrow(search, "doc_id long, item_id long, similarity double, first_word long")
-        out = part if out is None else out.union(part)
-    return out
+                    for (d, i), (s, w) in find_leaks(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shared.value).items():
+                        known.setdefault(low + d, []).append({"item_id": shared.value.ids[i], "similarity": s, "first_word": w})
+                before = batch.column("leaks")
+                now = pa.array([before[n].as_py() + known[n] if n in known else before[n].as_py() for n in range(batch.num_rows)], kind) if known else before
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), now], ["doc_id", "text", "leaks"])
+
+        rows = rows.mapInArrow(search, f"doc_id long, text string, leaks {_LEAKS}")
+    return rows.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.similarity", "leak.first_word")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
