@@ -5,7 +5,8 @@ lists in arrays. Every merge rank has a bucket of list positions whose pair merg
 three-level bitmap over the ranks gives the next rank by find-first-set. The positions of a bucket are merged
 together; entries whose pair has changed since are stale and skipped. Pre-tokens do not touch each other,
 so this is the order in which each of them alone would be merged. Only where a merge makes a pair of lower
-rank in a pre-token with several merges of this rank could the order matter; such a pre-token is encoded again alone.
+rank in a pre-token with several merges of this rank could the order matter; such a pre-token is encoded again alone, with
+a queue of the same kind whose buckets give one place at a time, leftmost first.
 
 The vocabulary is a rank file (base64 token, rank); its path is a parameter. Defined results: null text is
 empty (no ids); repeated rows are encoded alike; rows without doc_id are encoded too.
@@ -54,15 +55,16 @@ class Ranks:
         return np.where(self.pair[at] == key, self.rank[at], -1)
 
     def alone(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: merges in order of rank, then place, from a heap with stale entries."""
+        """Ids of one pre-token: merges in order of rank, then place, stale entries skipped."""
         ids, n = [self.tokens[bytes([b])] for b in word], len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         part = [bytes([b]) for b in word]
-        live = [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := self.tokens.get(part[i] + part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
+        live, queue = [True] * n, PlaceQueue(self.size)
+        for i in range(n - 1):
+            if (r := self.tokens.get(part[i] + part[i + 1])) is not None:
+                queue.push(r, i)
+        while (item := queue.pop()) is not None:
+            rank, i = item
             j = after[i] if live[i] else n
             if j >= n or self.tokens.get(part[i] + part[j]) != rank:
                 continue
@@ -71,16 +73,69 @@ class Ranks:
                 before[after[i]] = i
             for k in (before[i], i):
                 if k >= 0 and after[k] < n and (r := self.tokens.get(part[k] + part[after[k]])) is not None:
-                    heapq.heappush(heap, (r, k))
+                    queue.push(r, k)
         return [x for x, keep in zip(ids, live, strict=True) if keep]
 
 
+class Bitmap:
+    """The ranks that have entries: 64-bit words, words of words, and one top word, so that find-first-set gives the least."""
+
+    def __init__(self, size: int):
+        self.low, self.mid, self.top = [0] * (size // 64 + 1), [0] * (size // 4096 + 1), 0
+
+    def add(self, rank: int) -> None:
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+        self.top |= 1 << (rank >> 12)
+
+    def least(self) -> int | None:
+        if not self.top:
+            return None
+        a = (self.top & -self.top).bit_length() - 1
+        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
+        return b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
+
+    def drop(self, rank: int) -> None:
+        self.low[rank >> 6] &= ~(1 << (rank & 63))
+        if not self.low[rank >> 6]:
+            self.mid[rank >> 12] &= ~(1 << (rank >> 6 & 63))
+            if not self.mid[rank >> 12]:
+                self.top &= ~(1 << (rank >> 12))
+
+
+class PlaceQueue:
+    """Buckets of single places by rank, for one pre-token; a bucket gives its leftmost place first."""
+
+    def __init__(self, size: int):
+        self.buckets: dict[int, list[int]] = {}
+        self.ranks = Bitmap(size)
+
+    def push(self, rank: int, place: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.buckets[rank] = [place]
+            self.ranks.add(rank)
+        else:
+            heapq.heappush(bucket, place)
+
+    def pop(self) -> tuple[int, int] | None:
+        rank = self.ranks.least()
+        if rank is None:
+            return None
+        bucket = self.buckets[rank]
+        place = heapq.heappop(bucket)
+        if not bucket:
+            del self.buckets[rank]
+            self.ranks.drop(rank)
+        return rank, place
+
+
 class RankQueue:
-    """Buckets of positions by rank; a bitmap of 64-bit words, words of words, and one top word find the least rank."""
+    """Buckets of arrays of positions by rank, for many pre-tokens at once."""
 
     def __init__(self, size: int):
         self.buckets: list[list[np.ndarray]] = [[] for _ in range(size)]
-        self.low, self.mid, self.top = [0] * (size // 64 + 1), [0] * (size // 4096 + 1), 0
+        self.ranks = Bitmap(size)
 
     def push(self, ranks: np.ndarray, places: np.ndarray) -> None:
         if not len(ranks):
@@ -91,22 +146,13 @@ class RankQueue:
         for at, end in zip(cuts, [*cuts[1:], len(ranks)], strict=True):
             rank = int(ranks[at])
             self.buckets[rank].append(places[at:end])
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            self.ranks.add(rank)
 
     def pop(self) -> tuple[int, np.ndarray] | None:
-        if not self.top:
+        rank = self.ranks.least()
+        if rank is None:
             return None
-        first = lambda word: (word & -word).bit_length() - 1
-        a = first(self.top)
-        b = a << 6 | first(self.mid[a])
-        rank = b << 6 | first(self.low[b])
-        self.low[b] &= self.low[b] - 1
-        if not self.low[b]:
-            self.mid[a] &= self.mid[a] - 1
-            if not self.mid[a]:
-                self.top &= self.top - 1
+        self.ranks.drop(rank)
         places, self.buckets[rank] = self.buckets[rank], []
         if len(places) == 1:
             return rank, places[0]
@@ -222,6 +268,18 @@ class Encoder:
             yield self.ids[np.repeat(self.first[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+#: The encoder of this Python process, which serves one task after another.
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(lines: bytes, pattern: str) -> Encoder:
+    key = hashlib.sha256(lines).digest(), pattern
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Ranks(lines), pattern)
+    return _encoders[key]
+
+
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -239,7 +297,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Ranks(shared.value), pattern)
+            encoder = encoder or _encoder(shared.value, pattern)
             low = 0
             sizes = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in batch.column("text").to_pylist()), np.int64, batch.num_rows))
             while low < batch.num_rows:
