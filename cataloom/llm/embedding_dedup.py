@@ -13,7 +13,8 @@
    repeated with twice the overlap, and beyond an overlap of ``MOST_OVERLAP`` all pairs of points are compared.
 
 Vectors that are null or empty, zero, or hold null or non-finite components link with nothing. Vectors of
-different lengths do not link. Rows of equal vec_id and components are one vector; rows without vec_id are left out.
+different lengths do not link. Rows of equal vec_id and components are one vector; rows without vec_id link with nothing and
+have no component.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from cataloom.llm.exchange import record_batch
 from cataloom.llm.scratch import Scratch, cut, tidy
 
 COSINE, SPREAD, SAMPLE, SHARD, NEAREST, DEGREE, BEAM, ALPHA, AUDIT, RECALL = 0.9, 0.8, 20_000, 2_000, 32, 16, 12, 1.2, 512, 0.97
+#: Bytes of vectors that the driver holds for centroids, or for the audit, at most.
+SAMPLE_BYTES = 64 << 20
 #: Points per cluster that centroids are made for, and clusters at most (their size is what is broadcast).
 CLUSTER, MOST_CLUSTERS = 1_500, 4_096
 #: Overlap at which the search is given up, points of at most so many links that count as sparse, rows of a block of the exact comparison.
@@ -62,7 +65,7 @@ def prepare(vectors: DataFrame) -> DataFrame:
             keys = [u and hashlib.blake2b(u, digest_size=16).digest() for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "key", "unit"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
     return rows.mapInArrow(make, "vec_id long, key binary, unit binary")
 
 
@@ -71,9 +74,15 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1) if units else np.zeros((0, 1))
 
 
+def _rows(points: DataFrame, most: int) -> int:
+    """At most so many points that their vectors have SAMPLE_BYTES together."""
+    widest = points.agg(F.max(F.octet_length("unit")).alias("n")).collect()[0]["n"] or 8
+    return max(1, min(most, SAMPLE_BYTES // widest))
+
+
 def centroids(points: DataFrame, n: int) -> dict[int, np.ndarray]:
     """By vector length in bytes: k-means centroids of a sample of at most SAMPLE points."""
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").toArrow().column("unit").to_pylist()
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(_rows(points, SAMPLE)).select("unit").toArrow().column("unit").to_pylist()
     out = {}
     for size in sorted({len(u) for u in sample}):
         x = np.frombuffer(b"".join(u for u in sample if len(u) == size), np.float64).reshape(-1, size // 8)
@@ -252,7 +261,7 @@ def audited_recall(scratch: Scratch, points: DataFrame, links: DataFrame) -> flo
 
     Each is the mean, over the points that have links, of the share of a point's true links that is in ``links``.
     """
-    chosen = points.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(AUDIT).select("id", "unit").toArrow()
+    chosen = points.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(_rows(points, AUDIT)).select("id", "unit").toArrow()
     shared = points.sparkSession.sparkContext.broadcast((chosen.column("id").to_numpy(), chosen.column("unit").to_pylist()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
