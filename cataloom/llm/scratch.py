@@ -12,12 +12,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is named (tests)."""
+    """The folder named in spark.checkpoint.dir; where none is named, one of our own, in local mode only (as in tests).
+
+    Executors on other machines would not see a folder of the driver's, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cataloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

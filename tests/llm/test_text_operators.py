@@ -10,10 +10,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
 from cataloom.llm import byte_bpe, components, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_classes, near_dedup, quality, secrets, suffix_dedup, token_store
+from cataloom.llm import textcore as tc
 from cataloom.llm.scratch import Scratch
 
 from .helpers import components as plain_components
@@ -142,12 +145,8 @@ def test_short_repeated_lines_go(spark):
     assert {r.doc_id: r.gone for r in line_dedup.repeated_lines(docs).collect()} == {2: [0, 1], 3: [0]}
 
 
-def test_suffix_dedup(spark):
-    rows = odd_rows(3)
-    got = {}
-    for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect():
-        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
-    least = {}
+def removed_by_brute_force(rows):
+    least, out = {}, []
     for i, t in rows:
         b = (t or "").encode()
         for k in range(len(b) - 49 if i is not None else 0):
@@ -160,21 +159,62 @@ def test_suffix_dedup(spark):
                 gone[k : k + 50] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        assert (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()) in got[i]
-    assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
 
+def test_suffix_dedup(spark):
+    rng = random.Random(33)
+    rows = odd_rows(3)
+    ids = [rng.randint(-(1 << 62), 1 << 62) for _ in range(20)]  # sparse ids, negative ones too
+    shared = [" ".join(rng.choice(["tree", "house", "of", "x"]) for _ in range(25)) for _ in range(3)]
+    rows += [(i, rng.choice(shared)[rng.randint(0, 9) :] + str(i) + rng.choice(shared)) for i in ids]
+    got = suffix_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed_by_brute_force(rows)
+    assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
-def test_levels_of_the_suffix_index_merge_geometrically():
-    from cataloom.llm.exchange import Levels
 
-    levels, rng, plain = Levels(np.minimum), np.random.default_rng(2), {}
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_arrays_compare_bytes(monkeypatch, collide):
+    """The three rounds in this process: hot samples, small batches, and hashes of which many collide."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 5)
+    if collide:
+        windows, ranges, digest = tc.Rolling.windows, tc.Rolling.ranges, suffix_dedup._digest
+        few = lambda x: x & np.uint64(3) | x & np.uint64(7 << 60)
+        monkeypatch.setattr(tc.Rolling, "windows", lambda self, n: few(windows(self, n)))
+        monkeypatch.setattr(tc.Rolling, "ranges", lambda self, a, b: few(ranges(self, a, b)))
+        monkeypatch.setattr(suffix_dedup, "_digest", lambda x: few(digest(x)))
+    rng, buckets = random.Random(34), 4
+    passages = ["".join(rng.choice("abc ") for _ in range(n)) for n in (60, 75, 140)]
+    rows = [(i, "".join(rng.choice([rng.choice(passages), "".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))]) for _ in range(3))) for i in range(60)]
+    blocks = [pa.table({"block": [n] * 12, "doc_id": [i for i, _ in rows[n * 12 : n * 12 + 12]], "text": [t for _, t in rows[n * 12 : n * 12 + 12]]}) for n in range(5)]
+
+    def answered(asked, answer):
+        out = [answer(asked.filter(pa.compute.equal(asked.column("bucket"), b))) for b in range(buckets) if b in asked.column("bucket").to_pylist()]
+        return pa.concat_tables(out)
+
+    of = lambda table, n: table.filter(pa.compute.equal(table.column("block"), n))
+    first = answered(pa.concat_tables([suffix_dedup._ask_samples(buckets)(b) for b in blocks]), suffix_dedup._answer_samples)
+    asked = pa.concat_tables([suffix_dedup._ask_surroundings(buckets)(b, of(first, n)) for n, b in enumerate(blocks)])
+    both = pa.concat_tables([first, answered(asked, suffix_dedup._answer_surroundings)])
+    out = pa.concat_tables([suffix_dedup._remove(buckets, True)(b, of(both, n)) for n, b in enumerate(blocks)]).to_pylist()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == removed_by_brute_force(rows)
+    assert any(2 in x for x in first.column("body").to_pylist())
+
+
+def test_levels_of_suffix_arrays_merge_geometrically():
+    levels, rng, plain = suffix_dedup.SuffixLevels(), np.random.default_rng(2), {}
     for n in range(40):
-        keys = np.unique(rng.integers(0, 500, 30, dtype=np.uint64))
-        levels.add(keys, np.full(len(keys), n))
-        for k in keys.tolist():
-            plain.setdefault(k, n)
-    assert len(levels.runs) <= 8
-    assert levels.scan(np.arange(500, dtype=np.uint64), -1).tolist() == [plain.get(k, -1) for k in range(500)]
+        words = rng.integers(0, 3, (30, 7), dtype=np.uint64)
+        words = np.unique(words[suffix_dedup.suffix_order(words)], axis=0)
+        assert words.tolist() == sorted(words.tolist())
+        found = levels.scan(words)
+        assert found.tolist() == [plain.get(tuple(w), suffix_dedup._LAST) for w in words.tolist()]
+        new = found == suffix_dedup._LAST
+        levels.add(words[new], np.full(new.sum(), n))
+        plain.update({tuple(w): n for w in words[new].tolist()})
+    assert len(levels.levels) <= 8 and sum(len(x) for x, _ in levels.levels) == len(plain)
 
 
 def test_decontamination(spark):
@@ -184,18 +224,53 @@ def test_decontamination(spark):
     items = [prose(n) for n in (12, 30, 55, 3)]
     edited = items[1].split()
     edited[15] = "other"
-    rows = [(1, prose(60)), (2, prose(20) + " " + items[0].upper() + " " + prose(9)), (3, items[2]), (4, prose(5) + " " + " ".join(edited) + " " + prose(70)), (5, None), (6, items[3] + " " + prose(30)), (None, items[0])]
+    rows = [(1, prose(60)), (2, prose(20) + " " + items[0].upper() + " " + prose(9)), (3, items[2]), (4, prose(5) + " " + " ".join(edited) + " " + prose(70)), (5, None), (6, items[3] + " " + prose(30)), (7, items[3] + "!"), (None, items[0])]
     bench = spark.createDataFrame([*enumerate(items), (9, None), (None, "x")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
     n = len(grams(words(items[1])))
     best = max(len(set(w) & set(grams(words(items[1])))) / len(set(w) | set(grams(words(items[1])))) for g in [grams(words(rows[3][1]))] for w in [g[i : i + n] for i in range(len(g) - n + 1)])
-    assert got == {(2, 0), (3, 2), (None, 0)} | ({(4, 1)} if best >= 0.8 else set())
+    assert got == {(2, 0), (3, 2), (7, 3), (None, 0)} | ({(4, 1)} if best >= 0.8 else set())
     clean = decontaminate.without_leaks(documents(spark, rows), bench)
     assert {r.doc_id for r in clean.collect()} >= {1, 5, 6} and clean.where("doc_id in (2, 3)").count() == 0
     assert decontaminate.leaks(empty(spark), bench).count() == 0
     assert decontaminate.leaks(documents(spark, rows), bench.where("item_id = 77")).count() == 0
 
 
+def test_decontamination_recall_and_groups(spark, monkeypatch):
+    """Edited items inside other text, of weighted similarity 0.8 to 0.9: nearly all are found, in one scan for all groups."""
+    rng = random.Random(35)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, rows = [], []
+    for n in range(80):
+        item = [word() for _ in range(rng.choice([30, 60, 120, 300]))]
+        items.append((n, " ".join(item)))
+        edited = list(item)
+        for k in rng.sample(range(6, len(item) - 6), max(1, len(item) // 100)):
+            edited[k] = word()
+        rows.append((n, " ".join([word() for _ in range(rng.randint(0, 80))] + edited + [word() for _ in range(rng.randint(0, 80))])))
+    rows += [(100 + n, " ".join(word() for _ in range(100))) for n in range(20)]
+    best = {}
+    for (n, item), (_, text) in zip(items, rows, strict=False):
+        mine, other = grams(item.split()), grams(text.split())
+        windows = [set(other[i : i + len(mine)]) for i in range(max(1, len(other) - len(mine) + 1))]
+        best[n] = max(len(w & set(mine)) / len(w | set(mine)) for w in windows)
+    true = {n for n, x in best.items() if x >= 0.8}
+    sizes = decontaminate.GROUP_BYTES
+    for group_bytes in (sizes, 6_000):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group_bytes)
+        found = decontaminate.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+        got = {(r.doc_id, r.item_id) for r in found.collect()}
+        assert len(true) > 50 and got <= {(n, n) for n in true} and len(got) >= 0.95 * len(true)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
+
+
+def test_fingerprints_of_long_documents_are_counted_in_stretches(monkeypatch):
+    rng = np.random.default_rng(36)
+    hashes, begin = rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.arange(0, 2900, 7)
+    monkeypatch.setattr(decontaminate, "COUNTED", 64)
+    assert (decontaminate.prints(hashes, begin, 100) == decontaminate.simhash(hashes, begin, 100)).all()
+
+
 def test_hamming_search_finds_everything_within_the_radius():
     rng = np.random.default_rng(5)
     items = decontaminate.Items([*range(30)], [" ".join(f"w{x}" for x in rng.integers(0, 99, 20)) for _ in range(30)])
@@ -285,6 +360,7 @@ def test_bpe_equals_the_library(spark):
         assert r.ids == ids and r.n_tokens == len(ids) and r.same
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[0].encode()).hexdigest()
+    assert byte_bpe.encode_documents(empty(spark), RANKS, tokenizers.PATTERN).count() == 0
     rng = random.Random(8)
     for _ in range(300):
         word = "".join(rng.choice("abnéthe") for _ in range(rng.randint(1, 40))).encode()
@@ -375,7 +451,11 @@ def test_embeddings(spark):
     links = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if x[a] @ x[b] >= 0.9]
     degree = Counter(n for link in links for n in link)
     expected = plain_components([i for i, _, _ in rows if i is not None], links)
-    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (degree[i], c, i == c) for i, c in expected.items()}
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items() if i is not None} == {i: (degree[i], c, i == c) for i, c in expected.items()}
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, None)
+    odd_names = spark.createDataFrame([(1, [1.0, 2.0], "x", 3), (2, [2.0, 4.0], "y", 4)], "vec_id long, embedding array<double>, key string, id long")
+    assert {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(odd_names).collect()} == {1: 1, 2: 1}
+    assert embedding_dedup.near_vectors(odd_names.where("vec_id = 3")).count() == 0
 
 
 def test_recall_of_sparse_points_counts_by_itself(spark):
@@ -413,16 +493,39 @@ def test_hmm(spark):
         w = split(t)
         plain[i, held(i), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + 1 * (v + 1))) for x in w), 6)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == plain
-    assert all(r.score < 0 for r in got)
+    placed, answers, model, classes, _ = hmm_lm.learned(documents(spark, rows))
+    scores = Counter()
+    for i, t in rows:
+        w = split(t)
+        keys, shapes, _ = hmm_lm.tokens(*tc.text_buffer(pa.array([t or ""])))
+        cls = classes.of(keys, shapes)
+        assert len(cls) == len(w)
+        total, a = 0.0, model.start
+        for k, c in enumerate(cls):
+            a = (a if k == 0 else a @ model.move) * model.emit[:, c]
+            total, a = total + math.log10(a.sum()), a / a.sum()
+            if classes.own <= c < classes.size - 1:
+                total += math.log10((count[w[k]] + 1) / (classes.total[c] + classes.known[c] + 1))
+        scores[i, round(total, 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == scores
+    assert abs(model.emit.sum() - hmm_lm.STATES) < 1e-9 and (classes.known >= 0).all() and classes.total.sum() == n
     assert hmm_lm.score_texts(empty(spark)).count() == 0
 
 
-def test_forward_recursion_over_pieces_is_exact(monkeypatch):
+def test_own_classes_grow_with_the_corpus():
+    assert [hmm_lm.own_words(n) for n in (0, 10_000, 200_000, 3_000_000, 1 << 40)] == [1024, 1024, 2048, 32768, 65536]
+
+
+def small_model(rng, size=200):
+    return hmm_lm.Model.first(rng.integers(1, 50, size).astype(np.int64))
+
+
+def test_forward_recursion_over_pieces_is_exact():
     rng = np.random.default_rng(14)
-    model = hmm_lm.Model.first(rng.integers(1, 50, hmm_lm.CLASSES).astype(np.int64))
+    model = small_model(rng)
     lengths = [1, 3, 700, 1500, 512, 513]
     first = np.concatenate([[0], np.cumsum(lengths)])
-    cls = rng.integers(0, hmm_lm.CLASSES, first[-1])
+    cls = rng.integers(0, 200, first[-1])
     got = hmm_lm.log_likelihood(model, cls, first)
     for d, _ in enumerate(lengths):
         a, log = model.start, 0.0
@@ -433,20 +536,46 @@ def test_forward_recursion_over_pieces_is_exact(monkeypatch):
         assert abs(got[d] - log) < 1e-6 * abs(log)
 
 
-def test_baum_welch_raises_the_likelihood():
+def test_expected_counts_over_pieces_are_those_of_whole_documents(monkeypatch):
+    rng = np.random.default_rng(17)
+    model = small_model(rng)
+    first = np.concatenate([[0], np.cumsum([5, 90, 1, 33, 16, 17])])
+    cls = rng.integers(0, 200, first[-1])
+    plain = np.zeros((2 * hmm_lm.STATES + 1, 200))
+    for low, high in zip(first[:-1], first[1:], strict=True):
+        x = cls[low:high]
+        forward = [model.start * model.emit[:, x[0]]]
+        for c in x[1:]:
+            forward.append(forward[-1] @ model.move * model.emit[:, c])
+        back = [np.ones(hmm_lm.STATES)]
+        for c in x[:0:-1]:
+            back.insert(0, model.move @ (model.emit[:, c] * back[0]))
+        whole = forward[-1].sum()
+        plain[0, : hmm_lm.STATES] += forward[0] * back[0] / whole
+        for t, c in enumerate(x):
+            plain[hmm_lm.STATES + 1 :, c] += forward[t] * back[t] / whole
+            if t:
+                plain[1 : hmm_lm.STATES + 1, : hmm_lm.STATES] += np.outer(forward[t - 1], model.emit[:, c] * back[t]) * model.move / whole
+    for piece in (512, 16):
+        monkeypatch.setattr(hmm_lm, "PIECE", piece)
+        counts = np.zeros_like(plain)
+        log = hmm_lm.expected(model, cls, first, counts)
+        assert np.allclose(counts, plain, rtol=1e-8, atol=1e-12)
+        assert abs(log - hmm_lm.log_likelihood(model, cls, first).sum()) < 1e-6 * abs(log)
+
+
+def test_baum_welch_raises_the_likelihood(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "PIECE", 64)
     rng = np.random.default_rng(15)
     cls = np.concatenate([rng.integers(0, 40, 3000), rng.integers(60, 90, 3000)])
     first = np.arange(0, 6001, 500)
-    model = hmm_lm.Model.first(np.bincount(cls, minlength=hmm_lm.CLASSES))
-    before = hmm_lm.log_likelihood(model, cls, first).sum()
-    for _ in range(3):
-        counts = np.zeros((2 * hmm_lm.STATES + 1, hmm_lm.CLASSES))
-        hmm_lm.expected(model, cls, first, counts)
+    model, before = hmm_lm.Model.first(np.bincount(cls, minlength=200)), -np.inf
+    for _ in range(5):
+        counts = np.zeros((2 * hmm_lm.STATES + 1, 200))
+        now = hmm_lm.expected(model, cls, first, counts)
         assert abs(counts[hmm_lm.STATES + 1 :].sum() - len(cls)) < 1e-6
-        model = hmm_lm.Model.from_counts(counts)
-        now = hmm_lm.log_likelihood(model, cls, first).sum()
-        assert now >= before - 5
-        before = now
+        assert now >= before - 0.01 * abs(now) / 100  # the added tenths of counts may cost a little
+        model, before = hmm_lm.Model.from_counts(counts), now
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -465,3 +594,56 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.columns == before, name
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(range(40)) <= ids and 42 not in ids and not ids & set(range(50, 70))
+
+
+def pipeline_tables(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_of_no_documents_and_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path / "none", documents(spark, [(1, "x")]).where("doc_id = 2"), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    names = {"n": "1", "s": "2", "base": "3", "__id": "4", "__row": "5", "gone": "6", "sig": "7", "a.b": "8", "__places": "9", "class_id": "10", "leaks": "11"}
+    docs = documents(spark, [(1, "one two three four five six"), (2, None), (2, None), (None, "seven"), (3, "one two three four five six")])
+    docs = docs.selectExpr("*", *[f"'{v}' AS `{k}`" for k, v in names.items()])
+    pipeline_tables(spark, tmp_path / "odd", docs, [(1, 1, 0)], [(1, "x y z a b c")])
+    out = spark.read.parquet(str(tmp_path / "odd/documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out.columns, stage(spark, out, str(tmp_path / "odd"))
+        assert out.columns == before, name
+    assert sorted((r.doc_id or 0, r["a.b"], r["__id"]) for r in out.collect()) == [(0, "8", "4"), (1, "8", "4"), (2, "8", "4")]
+
+
+COLUMNS = {
+    "op1_minhash": ["doc_id", "class_id", "kept"],
+    "op2_quality": ["doc_id", "host", "path", "doc_score", "host_rate", "path_rate", "posterior", "keep"],
+    "op3_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op4_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op5_store": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op6_lines": ["doc_id", "n_lines", "n_removed", "text"],
+    "op7_embeddings": ["vec_id", "n_links", "component_id", "kept"],
+    "op8_decontaminate": ["doc_id", "item_id", "similarity", "first_word"],
+    "op9_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op10_hmm": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_registered_queries(spark, tmp_path, name):
+    """Every wrapper, over small tables: its columns, one row for each row of its table, and a figure or two."""
+    from cataloom.llm.queries import QUERIES
+
+    docs = [(1, "password = hunter22 and one two three four five"), (2, "password = hunter22 and one two three four five"), (3, None), (4, "alpha beta gamma delta eps zeta eta " * 3)]
+    pipeline_tables(spark, tmp_path, documents(spark, docs), [(1, 1, 0), (4, 0, 0)], [(9, "alpha beta gamma delta eps zeta eta")])
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    assert out.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    rows = {r[0]: r for r in out.collect()}
+    assert set(rows) == ({4} if name == "op8_decontaminate" else {1, 2, 3} if name == "op7_embeddings" else {1, 2, 3, 4})
+    told = {"op1_minhash": ("class_id", 1), "op3_secrets": ("n_assign", 1), "op6_lines": ("n_removed", 1), "op7_embeddings": ("n_links", 1), "op9_suffix": ("n_removed", None)}
+    if name in told and told[name][1] is not None:
+        assert rows[2][told[name][0]] == told[name][1]
