@@ -2,6 +2,10 @@
 
 A stage takes the session, the documents so far, and the folder of the tables; all but the last return the
 columns of documents. Line dedup changes text (and n_chars with it); the others drop rows or encode.
+
+Defined results: null text counts as empty and stays null, rows without doc_id are judged and encoded but have no
+duplicates, repeated rows of one doc_id and text end as one row, an empty table gives an empty table, and columns of any
+name are carried through untouched.
 """
 
 from __future__ import annotations
