@@ -34,12 +34,26 @@ VIDEO_CODECS = (
     ("av1", "modern", ("av1",)),
     ("vvc", "modern", ("vvc", "h266")),
 )
-IMAGE_KINDS = {
-    "lossy": ("jpeg", "jpg", "webp", "avif", "heic", "jxl"),
-    "lossless": ("png", "tiff", "tif", "bmp"),
-    "palette": ("gif",),
-    "vector": ("svg",),
-}
+#: family, kind, extensions and aliases
+IMAGE_FORMATS = (
+    ("jpeg", "lossy", "jpg jpeg jpe jfif mjpeg mpo"),
+    ("jpeg2000", "lossy", "jp2 j2k jpf jpx jpeg2000 j2c jpc"),
+    ("webp", "lossy", "webp"),
+    ("heic", "lossy", "heic heif hif heix mif1"),
+    ("avif", "lossy", "avif avifs"),
+    ("jxl", "lossy", "jxl jpegxl"),
+    ("png", "lossless", "png apng png00 png24 png32"),
+    ("tiff", "lossless", "tif tiff tiff64 ptif"),
+    ("bmp", "lossless", "bmp dib bmp2 bmp3"),
+    ("tga", "lossless", "tga targa"),
+    ("pcx", "lossless", "pcx dcx"),
+    ("netpbm", "lossless", "pnm ppm pgm pbm pam"),
+    ("psd", "lossless", "psd psb"),
+    ("gif", "palette", "gif gif87"),
+    ("ico", "palette", "ico icon cur"),
+    ("svg", "vector", "svg svgz msvg rsvg"),
+)
+RESIZE_LEAST = 1.1
 
 
 def _cases(arms: Iterable[tuple[Column, str]], otherwise: str) -> Column:
@@ -140,9 +154,47 @@ def codec_era(codec: Column) -> Column:
     return _codec_column(codec, 1)
 
 
-def image_kind(codec: Column) -> Column:
-    name = folded(F.trim(codec))
-    return _cases(((name.isin(*names), kind) for kind, names in IMAGE_KINDS.items()), UNKNOWN)
+def _image_column(name: Column, pick: int) -> Column:
+    names: dict[str, str] = {}
+    for row in IMAGE_FORMATS:
+        for alias in (row[0], *row[2].split()):
+            names.setdefault(alias, row[pick])
+    return lookup(F.regexp_replace(folded(F.trim(name)), r"^\.", ""), names, UNKNOWN)
+
+
+def image_family(name: Column) -> Column:
+    """The family of an extension (with its dot or without), a codec name or a delegate's name."""
+    return _image_column(name, 0)
+
+
+def image_kind(name: Column) -> Column:
+    return _image_column(name, 1)
+
+
+def _even(value: Column) -> Column:
+    return F.greatest(F.floor(value / 2 + 0.5).cast("bigint") * 2, F.lit(2))
+
+
+def capped(width: Column, height: Column, tier: str) -> tuple[Column, Column]:
+    """A size scaled down to fit a tier, to even sides; one that fits, or is unreadable, as it is."""
+    limits = {n: (w, h) for n, w, h in RESOLUTIONS}.get(tier)
+    if limits is None:
+        return width, height
+    factor = F.least(F.lit(float(limits[0])) / F.nullif(width, F.lit(0)), F.lit(float(limits[1])) / F.nullif(height, F.lit(0)))
+    scaled = F.coalesce((width > 0) & (height > 0) & (F.least(factor, F.lit(1.0)) < 1), F.lit(False))
+    return tuple(F.when(scaled, _even(side * factor)).otherwise(side) for side in (width, height))
+
+
+def enlarged(width: Column, height: Column, tier: str, sar: Column | None = None) -> tuple[Column, Column]:
+    """The size to which a picture is enlarged to fill a tier from the shape that it is shown at; null where that gains too little."""
+    limits = {n: (w, h) for n, w, h in RESOLUTIONS}.get(tier)
+    if limits is None:
+        return F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    num, den = (F.regexp_extract(F.coalesce(sar if sar is not None else F.lit(""), F.lit("")), r"^([0-9]+):([0-9]+)$", i).try_cast("double") for i in (1, 2))
+    shown = width * F.coalesce(F.when((num > 0) & (den > 0), num / den), F.lit(1.0))
+    factor = F.least(F.lit(float(limits[0])) / F.nullif(shown, F.lit(0.0)), F.lit(float(limits[1])) / F.nullif(height, F.lit(0)))
+    good = (width > 0) & (height > 0) & (factor >= RESIZE_LEAST)
+    return F.when(good, F.least(_even(shown * factor), F.lit(limits[0]))), F.when(good, F.least(_even(height * factor), F.lit(limits[1])))
 
 
 def parsed_size(text: Column) -> tuple[Column, Column]:
@@ -156,8 +208,15 @@ def to_whole(text: Column) -> Column:
 
 
 def to_chapters(text: Column) -> Column:
-    """Chapter count as text: nothing stated is one chapter, what is no number is null."""
-    return F.when(text.isNull() | (text == ""), "1").when(text.rlike(r"^[0-9]+$"), text)
+    """Chapter count as text: none at all is one chapter, leading zeros stay, what is no number (nothing stated included) is null."""
+    return F.when(text.rlike(r"^0+$"), "1").when(text.rlike(r"^[0-9]+$"), text)
+
+
+def to_seconds(text: Column) -> Column:
+    """A decimal as text with three places, rounded as 80-bit floats are; anything else null."""
+    from cataloom.functions.formats import three_decimals
+
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]*)?$"), three_decimals(text))
 
 
 def to_frame_rate(text: Column) -> Column:

@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Letters that folding spells out, umlauts as a keyboard spells them, and articles.
 SPELLED = (("ß", "ss"), ("ẞ", "SS"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("ı", "i"), ("&", " and "), ("+", " plus "), ("@", " at "))
@@ -21,15 +19,25 @@ SHORTEST_NEAR = 6
 MOST_READINGS = 128
 
 
-@F.pandas_udf(StringType())
-def _strip_accents(text: pd.Series) -> pd.Series:
-    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn")
-    return text.map(plain)
+def _plain_letters() -> tuple[str, str]:
+    """Characters of the basic plane that are one ASCII letter or digit when decomposed, and those; then the combining marks, for none."""
+    out = {}
+    for code in range(0xA0, 0x10000):
+        text = unicodedata.normalize("NFKD", chr(code))
+        text = "".join(c for c in text if unicodedata.category(c) != "Mn")
+        if len(text) == 1 and text.isascii() and text.isalnum():
+            out[chr(code)] = text
+    return "".join(out) + "".join(map(chr, range(0x300, 0x370))), "".join(out.values())
+
+
+_PLAIN = _plain_letters()
+# Characters that are several letters when decomposed.
+_SEVERAL = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ǆ", "dz"), ("ǉ", "lj"), ("ǌ", "nj"), ("ǳ", "dz"), ("Ǆ", "DZ"), ("Ǉ", "LJ"), ("Ǌ", "NJ"), ("Ǳ", "DZ"), ("½", "1 2"), ("¼", "1 4"), ("¾", "3 4"), ("™", "TM"), ("№", "No"))
 
 
 def strip_accents(text: Column) -> Column:
-    """Accents dropped; ASCII text does not leave the JVM's expressions when it is empty of others."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_strip_accents(text))
+    """Accents dropped from Latin letters, by one translation in the JVM."""
+    return F.translate(_spell(text, _SEVERAL), *_PLAIN)
 
 
 def _spell(text: Column, table: tuple) -> Column:
@@ -58,21 +66,31 @@ def title_keys(text: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
+# Words for numbers, Roman numerals, conjunctions, and words that only count parts.
+NUMBER_WORDS = (("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9"), ("ten", "10"), ("eleven", "11"), ("twelve", "12"))
+NUMERALS = (("ii", "2"), ("iii", "3"), ("iv", "4"), ("v", "5"), ("vi", "6"), ("vii", "7"), ("viii", "8"), ("ix", "9"), ("x", "10"), ("xi", "11"), ("xii", "12"), ("xiii", "13"))
+CONJUNCTIONS = ("and", "und", "et", "y", "e", "en", "og", "och")
+PART_WORDS = ("part", "chapter", "volume", "vol", "episode", "teil", "partie", "parte", "deel")
+
+
 def readings(folded: Column) -> Column:
-    """Readings of a folded title that may be meant: conjunctions, possessives, numerals, parts, articles anywhere; at most 128."""
-    numerals = (("ii", "2"), ("iii", "3"), ("iv", "4"), ("v", "5"), ("vi", "6"), ("vii", "7"), ("viii", "8"), ("ix", "9"), ("x", "10"))
-    numbered = reduce(lambda t, p: F.regexp_replace(t, rf"(?<=\s){p[0]}(?=\s|$)", p[1]), numerals, folded)
-    widened = [
-        folded,
-        without_article(folded),
-        F.regexp_replace(folded, r"\band\b ?", ""),
+    """Readings of a folded title that may be meant: conjunctions, possessives, numerals, number words, parts, articles anywhere; at most 128.
+
+    A reading that drops something keeps two words, or all of a shorter title.
+    """
+    numbered = reduce(lambda t, p: F.regexp_replace(t, rf"(?<=\s){p[0]}(?=\s|$)", p[1]), NUMERALS, folded)
+    spelled = reduce(lambda t, p: F.regexp_replace(t, rf"\b{p[0]}\b", p[1]), NUMBER_WORDS, numbered)
+    trailing = F.regexp_replace(folded, rf"^(.+) ({'|'.join(ARTICLES)})$", "$1")
+    shorter = [
+        F.regexp_replace(folded, rf"\b({'|'.join(CONJUNCTIONS)})\b ?", ""),
         F.regexp_replace(folded, rf"\b({'|'.join(ARTICLES)})\b ?", ""),
-        F.regexp_replace(folded, r"(?<=\w) s\b", "s"),
-        numbered,
-        F.regexp_replace(numbered, r"\b(part|chapter|volume|vol|episode) (?=[0-9])", ""),
+        F.regexp_replace(spelled, rf"\b({'|'.join(PART_WORDS)})\b (?=[0-9])", ""),
         F.regexp_replace(folded, r" (1|i)$", ""),
+        trailing,
     ]
-    return F.slice(F.array_distinct(F.filter(F.transform(F.array(*widened), lambda t: F.trim(t)), lambda t: t != "")), 1, MOST_READINGS)
+    kept = [F.when(F.size(F.split(F.trim(t), " ")) >= F.least(F.lit(2), F.size(F.split(folded, " "))), t) for t in shorter]
+    widened = [folded, without_article(folded), F.regexp_replace(folded, r"(?<=\w) s\b", "s"), numbered, spelled, *kept]
+    return F.slice(F.array_distinct(F.filter(F.transform(F.array(*widened), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))), 1, MOST_READINGS)
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -83,8 +101,22 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def near_blocks(key: Column) -> Column:
-    """Block keys of which two keys one edit apart share one: an edit leaves the first or the last two characters alone."""
-    return F.array(F.concat(F.lit("L:"), F.left(key, F.lit(2))), F.concat(F.lit("R:"), F.right(key, F.lit(2))))
+    """Block keys of which two keys one edit apart share one: the key, and the key with one character left out.
+
+    There are as many as the key is long, so a join on them grows with the keys and not with their square. Short keys have none.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
+    shorter = F.transform(places, lambda i: F.concat(key.substr(F.lit(1), i - 1), key.substr(i + 1, F.length(key))))
+    return F.when(F.length(key) >= SHORTEST_NEAR, F.array_distinct(F.concat(F.array(key), shorter))).otherwise(F.array().cast("array<string>"))
+
+
+def word_runs(folded: Column, least: int = 3) -> Column:
+    """The beginnings and ends of a folded title, not all of it, that hold ``least`` words or more besides articles."""
+    words = F.split(folded, " ")
+    sizes = F.when(F.size(words) > least, F.sequence(F.lit(least), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.concat(F.transform(sizes, lambda n: F.slice(words, 1, n)), F.transform(sizes, lambda n: F.slice(words, -n, n)))
+    telling = F.filter(runs, lambda r: F.size(F.filter(r, lambda w: ~w.isin(*ARTICLES))) >= least)
+    return F.array_distinct(F.transform(telling, lambda r: F.array_join(r, " ")))
 
 
 def one_slip(a: Column, b: Column) -> Column:

@@ -48,19 +48,16 @@ def cube(facts: DataFrame, axes: Sequence[str], sums: Sequence[str] = (), weight
     return rolled.select(*shown, depth.cast("int").alias("depth"), "files", *sums, *[mean_of(n).alias(n) for n in weighted])
 
 
-def total_row(cubed: DataFrame) -> DataFrame:
-    """The grand total, read from the cube."""
-    return cubed.where("depth = 0")
+def total_row(cubed: DataFrame, axes: Sequence[str] = ()) -> DataFrame:
+    """The grand total, read from the cube; ``axes`` given, without those and the depth, which say nothing there."""
+    total = cubed.where("depth = 0")
+    return total.drop(*axes, "depth") if axes else total
 
 
 def export_order(cubed: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """The order of an export: coarse rows first, then by the axes."""
     return cubed.orderBy("depth", *axes)
 
 
-def masks(n: int) -> list[int]:
-    """Grouping masks, coarsest first."""
-    return sorted(range(1 << n), key=lambda m: (m.bit_count(), m))
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

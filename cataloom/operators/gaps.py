@@ -12,15 +12,15 @@ COVERAGE, DENSITY, DENSE_COUNT, DATES = 0.5, 0.75, 3, 4
 CADENCES = ((2, "daily", 7), (10, "weekly", 30), (45, "monthly", 75))
 EPISODE = r"(?<![A-Za-z0-9])[Ss]([0-9]{1,3})[ ._,-]*[Ee]([0-9]{1,4})((?:[ ._]*-?[ ._]*[Ee][0-9]{1,4})*)(?![0-9])"
 CROSS_EPISODE = r"(?<![A-Za-z0-9])([0-9]{1,2})[xX]([0-9]{2,3})(?![0-9])"
+NAMES_SEASON = r"(?i)(?<![A-Za-z0-9])(?:season|series|staffel|saison|seizoen|temporada|stagione|s)[ ._-]*[0-9]{1,3}(?![0-9])"
 DATE_PREFIX = r"^([12][0-9]{3})[-._ ]?([01][0-9])[-._ ]?([0-3][0-9])(?![0-9])"
 
 
 def missing_numbers(rows: DataFrame, group: Sequence[str], number: str) -> DataFrame:
-    """(group, number) for each number that a run lacks.
+    """(group, number) of the holes in each group's numbers, below its highest.
 
-    Expected is 1 to the highest where at least half is there; else a dense run of three or more counts from 1, or
-    from its lowest where that looks like years or like one disc of a disc-and-track numbering.
-    The expected numbers are made per group by Spark and removed by an anti-join; a group's numbers are never gathered.
+    Groups of one number, and groups too thin for either threshold, have none. Counting begins at 1, for dense groups of years or of
+    one disc (101, 102, ...) at the lowest number. Spark makes the numbers per group and takes away those that are there.
     """
     present = rows.where(F.col(number) > 0).select(*group, F.col(number).cast("bigint").alias(number)).distinct()
     runs = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"))
@@ -77,14 +77,22 @@ def episodes(name: Column) -> Column:
 
 
 def episode_gaps(names: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
-    """(folder, season, episode) that is missing; episode is null where a whole season is."""
-    found = names.select(folder, F.explode(episodes(F.col(name))).alias("e")).select(folder, "e.season", "e.episode").distinct()
-    last = found.groupBy(folder, "season").agg(F.max("episode").alias("high")).where("high > 1")
-    inner = last.select(folder, "season", F.explode(F.sequence(F.lit(1), F.col("high") - 1)).alias("episode")).join(found, [folder, "season", "episode"], "left_anti")
-    seasons = found.where("season > 0").select(folder, "season").distinct()
-    top = seasons.groupBy(folder).agg(F.max("season").alias("high")).where("high > 1")
-    whole = top.select(folder, F.explode(F.sequence(F.lit(1), F.col("high") - 1)).alias("season")).join(seasons, [folder, "season"], "left_anti")
-    return inner.unionByName(whole.withColumn("episode", F.lit(None).cast("int")))
+    """(folder, season, episode) that is missing; episode is null where a whole season is.
+
+    A folder holds episodes if at least half of its names are some, and two of them where it has several names. Seasons before its
+    lowest are missing too, unless the folder's own name says which season it is.
+    """
+    marked = names.select(F.col(folder).alias("f"), episodes(F.col(name)).alias("all"))
+    counts = marked.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("all") > 0).alias("hits"))
+    shows = counts.where((F.col("hits") > 0) & (F.col("hits") >= F.least(F.lit(2), F.col("n"))) & (F.col("hits") * 2 >= F.col("n"))).select("f")
+    found = marked.join(shows, "f").select("f", F.explode("all").alias("e")).select("f", "e.season", "e.episode").distinct()
+    last = found.groupBy("f", "season").agg(F.max("episode").alias("high")).where("high > 1")
+    inner = last.select("f", "season", F.explode(F.sequence(F.lit(1), F.col("high") - 1)).alias("episode")).join(found, ["f", "season", "episode"], "left_anti")
+    seasons = found.where("season > 0").select("f", "season").distinct()
+    one = F.substring_index("f", "/", -1).rlike(NAMES_SEASON)
+    ends = seasons.groupBy("f").agg(F.min("season").alias("low"), F.max("season").alias("high")).withColumn("first", F.when(one, F.col("low")).otherwise(1)).where("first < high")
+    whole = ends.select("f", F.explode(F.sequence("first", F.col("high") - 1)).alias("season")).join(seasons, ["f", "season"], "left_anti")
+    return inner.unionByName(whole.withColumn("episode", F.lit(None).cast("int"))).withColumnRenamed("f", folder)
 
 
 def date_prefix(name: Column) -> Column:

@@ -52,20 +52,36 @@ def cumulative_offset(rows: DataFrame, group: Sequence[str], order: str, length:
 
 
 def remap(marks: DataFrame, kept: DataFrame, group: Sequence[str], at: str, start: str, end: str) -> DataFrame:
-    """Marks moved to a timeline of which only ``kept`` stretches are left; a mark in a cut goes to the next stretch."""
-    line = cumulative_offset(kept.withColumn("len", F.col(end) - F.col(start)), group, start, "len", "shift").select(*group, F.col(start).alias("k0"), F.col(end).alias("k1"), "shift")
-    joined = marks.join(line, list(group)).where(F.col("k1") > F.col(at))
-    keys = [*marks.columns]
-    first = joined.groupBy(*keys).agg(F.min(F.struct("k0", "shift")).alias("k"))
-    return first.select(*keys, (F.col("k.shift") + F.greatest(F.col(at) - F.col("k.k0"), F.lit(0))).alias("moved"))
+    """Marks moved to a timeline of which only ``kept`` stretches are left; a mark in a cut goes to the next stretch, one behind all is dropped.
 
-
-def split_marks(chapters: DataFrame, kept: DataFrame, group: Sequence[str], start: str, end: str, least=0) -> DataFrame:
-    """Chapters cut to the kept stretches; the slices of one are numbered, slivers up to ``least`` dropped."""
+    Marks and stretches are sorted together, latest first, so each mark takes the last stretch seen that ends behind it.
+    """
+    line = cumulative_offset(kept.withColumn("len", F.col(end) - F.col(start)), group, start, "len", "__shift")
+    mark = F.struct(*[F.col(c) for c in marks.columns])
+    stretch = F.struct(F.col(start).alias("start"), F.col("__shift").alias("shift"))
+    one = marks.where(F.col(at).isNotNull()).select(*group, F.col(at).alias("__pos"), F.lit(1).alias("__mark"), mark.alias("__row"))
+    two = line.select(*group, F.col(end).alias("__pos"), F.lit(0).alias("__mark"), stretch.alias("__k"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    order = Window.partitionBy(*group).orderBy(F.desc("__pos"), F.desc("__mark"))
+    seen = F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__next", seen).where("__mark = 1 and __next is not null")
+    return found.select("__row.*", (F.col("__next.shift") + F.greatest(F.col("__pos") - F.col("__next.start"), F.lit(0))).alias("moved"))
+
+
+def accepted_spans(rows: DataFrame, group: Sequence[str], start: str, end: str, total: str, most_share: float) -> DataFrame:
+    """Rows of the groups whose intervals do not overlap and together take at most ``most_share`` of the group's ``total``."""
+    sums = rows.groupBy(*group, total).agg(F.sum(F.col(end) - F.col(start)).alias("__sum")).where(F.col("__sum") <= F.col(total) * most_share)
+    clear = overlapping_sets(rows, group, start, end).where("not overlaps").select(*group)
+    return rows.join(clear, list(group), "left_semi").join(sums.select(*group), list(group), "left_semi")
+
+
+def split_marks(chapters: DataFrame, kept: DataFrame, group: Sequence[str], start: str, end: str, title: str | None = None, least=0) -> DataFrame:
+    """Chapters cut to the kept stretches; the slices of one are numbered, slivers up to ``least`` dropped, later slices' titles marked (cont.)."""
     line = kept.select(*group, F.col(start).alias("k0"), F.col(end).alias("k1"))
     cut = chapters.join(line, list(group)).where((F.col("k0") < F.col(end)) & (F.col(start) < F.col("k1")))
     cut = cut.withColumns({"slice_start": F.greatest(start, "k0"), "slice_end": F.least(end, "k1")}).where(F.col("slice_end") - F.col("slice_start") > least).drop("k0", "k1")
-    return cut.withColumn("slice", F.row_number().over(_by([*group, start], "slice_start")))
+    cut = cut.withColumn("slice", F.row_number().over(_by([*group, start, end], "slice_start")))
+    return cut if title is None else cut.withColumn(title, F.when(F.col("slice") > 1, F.concat(title, F.lit(" (cont.)"))).otherwise(F.col(title)))
 
 
 def rolling_dedupe(rows: DataFrame, group: Sequence[str], order: str, lines: str) -> DataFrame:
@@ -86,10 +102,12 @@ def nearest(left: DataFrame, right: DataFrame, group: Sequence[str], at: str, to
     Times are put in bins of that width, so the range join is an equi-join on neighbouring bins.
     """
     bins = lambda c: F.floor(F.col(c) / within)
-    probe = left.withColumn("bin", F.explode(F.array(bins(at) - 1, bins(at), bins(at) + 1)))
-    found = probe.join(right.select(*group, F.col(to).alias("nearest")).withColumn("bin", bins("nearest")), [*group, "bin"])
+    counted = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("__copies"))  # equal rows are looked up once, and all returned
+    probe = counted.withColumn("__bin", F.explode(F.array(bins(at) - 1, bins(at), bins(at) + 1)))
+    found = probe.join(right.select(*group, F.col(to).alias("nearest")).withColumn("__bin", bins("nearest")), [*group, "__bin"])
     found = found.where(F.abs(F.col("nearest") - F.col(at)) <= within)
-    return found.groupBy(*left.columns).agg(F.min_by("nearest", F.struct(F.abs(F.col("nearest") - F.col(at)), F.col("nearest"))).alias("nearest"))
+    best = found.groupBy(*left.columns, "__copies").agg(F.min_by("nearest", F.struct(F.abs(F.col("nearest") - F.col(at)), F.col("nearest"))).alias("nearest"))
+    return best.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).drop("__copies")
 
 
 def ordinal(rows: DataFrame, group: Sequence[str], order: Column) -> DataFrame:

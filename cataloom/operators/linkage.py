@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.functions.titles import fold, is_latin, near_blocks, one_slip, readings, segments
+from cataloom.functions.titles import fold, is_latin, near_blocks, one_slip, readings, segments, word_runs
 
 ID, SAME_YEAR, NEAR_YEAR, NO_YEAR, PART, SLIP = range(1, 7)
 
@@ -43,6 +43,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     keyed = F.transform("keys", lambda k: F.concat_ws("|", F.col("latin").cast("string"), k))
     parts = F.transform(segments(F.col("title")), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     parts = F.filter(F.array_distinct(F.array(F.element_at(parts, 1), F.element_at(parts, -1), F.col("fold"))), lambda s: F.length(s) > 3)
+    runs = F.transform(word_runs(F.col("fold")), lambda r: F.concat_ws("|", F.col("latin").cast("string"), r))
     spaced = F.replace("fold", F.lit(" "), F.lit(""))
     blocks = F.transform(near_blocks(spaced), lambda b: F.concat_ws("|", F.col("latin").cast("string"), F.col("year").cast("string"), b))
     slip = one_slip(F.replace("l_fold", F.lit(" "), F.lit("")), F.replace("r_fold", F.lit(" "), F.lit("")))
@@ -53,6 +54,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is null")),
         rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is not null"), r_rows=right.where("year is null")),
         rung(PART, of_year(parts, F.col("year")), (gap == 0) & (F.col("l_fold") != F.col("r_fold"))),
+        rung(PART, of_year(runs, F.col("year")), gap == 0, of_year(F.array(script), F.col("year"))),
+        rung(PART, of_year(F.array(script), F.col("year")), gap == 0, of_year(runs, F.col("year"))),
         rung(SLIP, blocks, (gap == 0) & slip),
     ]
     every = found[0]
@@ -72,21 +75,25 @@ def settled(pairs: DataFrame, by: str = "left_id", to: str = "right_id") -> Data
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
-    """(left_id, right_id, rung) of matches that hold in both directions; a shared id needs only one."""
+    """(left_id, right_id, rung) of matches that hold on the way back too: there the answer is the record, or several that hold it.
+
+    So each of several copies on one side is matched; a shared id needs no way back.
+    """
     forth = settled(pairs).where("match is not null").select("left_id", F.col("match").alias("right_id"), "rung")
-    back = settled(pairs, "right_id", "left_id").where("match is not null").select("right_id", F.col("match").alias("left_id"))
-    both = forth.join(back, ["left_id", "right_id"])
-    return both.unionByName(forth.where(F.col("rung") == ID)).distinct()
+    back = settled(pairs, "right_id", "left_id")
+    back = back.select("right_id", F.explode(F.when(F.col("match").isNotNull(), F.array("match")).otherwise(F.col("ambiguous"))).alias("left_id"))
+    return forth.join(back, ["left_id", "right_id"], "left_semi").unionByName(forth.where(F.col("rung") == ID)).distinct()
 
 
 def certain(wanted: DataFrame, offered: DataFrame) -> DataFrame:
-    """(id, pick): the one offer whose key meets and whose year, or else near year, or else running time, agrees.
+    """(id, pick): the one offer whose key meets and whose release years hold the year, or else a near one, or else whose running time agrees.
 
-    wanted: id, key, year, seconds; offered: offer, key, year, seconds. Without exactly one, pick is null.
+    wanted: id, key, year, seconds; offered: offer, key, years (of all releases), seconds. An unknown running time agrees with
+    nothing. Without exactly one offer of the best kind, pick is null.
     """
-    o = offered.withColumnsRenamed({"year": "o_year", "seconds": "o_seconds"})
+    o = offered.withColumnsRenamed({"years": "o_years", "seconds": "o_seconds"})
     pairs = wanted.join(o, "key")
-    gap = F.abs(F.col("year") - F.col("o_year"))
+    gap = F.array_min(F.transform("o_years", lambda y: F.abs(y - F.col("year"))))
     agrees = F.abs(F.col("seconds") - F.col("o_seconds")) <= F.greatest(F.lit(300.0), F.col("seconds") * 0.07)
     rank = F.when(gap == 0, 1).when(gap <= 1, 2).when(agrees, 3)
     ranked = pairs.withColumn("rank", rank).where("rank is not null")
@@ -96,13 +103,12 @@ def certain(wanted: DataFrame, offered: DataFrame) -> DataFrame:
 
 
 def near_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs of distinct keys one edit apart, both long enough: blocked on their first and last two characters."""
-    from cataloom.functions.titles import SHORTEST_NEAR, one_edit
+    """Pairs of distinct keys one edit apart, both long enough: they share one of the keys with a character left out."""
+    from cataloom.functions.titles import one_edit
 
     def blocked(side: DataFrame, name: str) -> DataFrame:
-        keys = side.select(F.col(key).alias(name)).where(F.length(name) >= SHORTEST_NEAR).distinct()
+        keys = side.select(F.col(key).alias(name)).distinct()
         return keys.withColumn("block", F.explode(near_blocks(F.col(name))))
 
     pairs = blocked(left, "left_key").join(blocked(right, "right_key"), "block")
-    close = F.abs(F.length("left_key") - F.length("right_key")) <= 1
-    return pairs.where(close & one_edit(F.col("left_key"), F.col("right_key"))).select("left_key", "right_key").distinct()
+    return pairs.where(one_edit(F.col("left_key"), F.col("right_key"))).select("left_key", "right_key").distinct()

@@ -28,7 +28,7 @@ LANGUAGE_WORDS = {
     "tur": "bir için ile çok daha gibi olarak sonra kadar ancak ama değil olan şey zaman kendi oldu var yok onun",
 }
 LEAST_SCORE, SCRIPT_SHARE, BORDERLINE = 0.04, 0.15, 0.55
-SCRIPTS = (("jpn", r"[\x{3042}-\x{30FF}]"), ("kor", r"[\x{AC00}-\x{D7A3}]"), ("zho", r"[\x{4E00}-\x{9FFF}]"), ("rus", r"[\x{0400}-\x{04FF}]"), ("ara", r"[\x{0600}-\x{06FF}]"), ("hin", r"[\x{0900}-\x{097F}]"))
+SCRIPTS = (("jpn", r"[\x{3042}-\x{30FF}]"), ("kor", r"[\x{AC00}-\x{D7A3}]"), ("zho", r"[\x{4E00}-\x{9FFF}]"), ("rus", r"[\x{0400}-\x{04FF}]"), ("ara", r"[\x{0600}-\x{06FF}]"), ("hin", r"[\x{0900}-\x{09FF}]"))
 
 
 def tokens(text: Column, ascii_only: bool = False) -> Column:
@@ -36,11 +36,16 @@ def tokens(text: Column, ascii_only: bool = False) -> Column:
     return F.filter(F.split(F.lower(text), separators), lambda t: t != "")
 
 
-def prevalence(rows: DataFrame, name: str, least: int = 2, stop_words: Sequence[str] = FRAGMENT_STOP_WORDS, ascii_only: bool = False) -> DataFrame:
-    """(token, names): names a token occurs in, once each, commonest first; digits, single letters and stop words dropped."""
-    found = rows.select(F.explode(F.array_distinct(tokens(F.col(name), ascii_only))).alias("token"))
+def prevalence(rows: DataFrame, name: str, least: int = 2, stop_words: Sequence[str] = FRAGMENT_STOP_WORDS, ascii_only: bool = False, ordered: bool = True) -> DataFrame:
+    """(token, names): names a token occurs in, once each; a trailing extension, digits, single letters and stop words dropped.
+
+    ``ordered`` puts the commonest first, which sorts the whole result.
+    """
+    bare = F.regexp_replace(F.lower(F.col(name)), r"\.[a-z][a-z0-9]{0,3}$", "")
+    found = rows.select(F.explode(F.array_distinct(tokens(bare, ascii_only))).alias("token"))
     found = found.where((F.length("token") > 1) & ~F.col("token").rlike("^[0-9]+$") & ~F.col("token").isin(*stop_words))
-    return found.groupBy("token").agg(F.count(F.lit(1)).alias("names")).where(F.col("names") >= least).orderBy(F.desc("names"), "token")
+    counted = found.groupBy("token").agg(F.count(F.lit(1)).alias("names")).where(F.col("names") >= least)
+    return counted.orderBy(F.desc("names"), "token") if ordered else counted
 
 
 def plurality(rows: DataFrame, group: Sequence[str], key: str, position: str) -> DataFrame:
@@ -56,28 +61,40 @@ def text_counts(text: Column) -> tuple[Column, Column]:
 
 
 def language(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, code, ambiguous) of each text: its script where that decides, else the language with most stop words."""
+    """(key, code, ambiguous) of each text: its script where that decides, else the language with most stop words.
+
+    Words are joined with the fixed table of stop words, which is broadcast, and counted per key: one pass and one
+    shuffle of a row per text. Rows of one key are one text.
+    """
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
     letters = F.regexp_count(body, F.lit(r"\p{L}"))
-    script = None
+    script = F.when(F.lit(False), "")
     for code, pattern in SCRIPTS:
-        hit = (letters > 0) & (F.regexp_count(body, F.lit(pattern)) >= letters * SCRIPT_SHARE)
-        script = F.when(hit, code) if script is None else script.when(hit, code)
+        script = script.when(F.regexp_count(body, F.lit(pattern)) >= letters * SCRIPT_SHARE, code)
+    foreign = body.rlike("[" + "".join(pattern[1:-1] for _, pattern in SCRIPTS) + "]")  # spares most texts the counts
     words = F.filter(F.split(body, r"[^\p{L}]+"), lambda w: w != "")
-    ready = rows.select(key, words.alias("words"), script.alias("script"))
-    # scores by intersection with short literal lists keep everything in one pass without a shuffle
-    n = F.size("words")
-    score = {code: _hits(table) / F.nullif(n, F.lit(0)) for code, table in LANGUAGE_WORDS.items()}
-    ranked = F.array_sort(F.array(*[F.struct((-s).alias("neg"), F.lit(i).alias("order"), F.lit(code).alias("code")) for i, (code, s) in enumerate(score.items())]))
-    ready = ready.withColumn("ranked", ranked)
+    ready = rows.select(F.col(key).alias("key"), words.alias("words"), F.when(foreign, script).alias("script"))
+    spread = ready.select("key", "script", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
+    hits = spread.join(F.broadcast(_table(rows)), "word", "left")  # some two hundred words
+    first = F.col("at").isNull() | (F.col("at") == 0)
+    sums = [F.sum(F.shiftright("languages", i).bitwiseAND(1)).alias(code) for i, code in enumerate(LANGUAGE_WORDS)]
+    counted = hits.groupBy("key").agg(F.max("script").alias("script"), F.sum(F.when(first, F.col("n"))).alias("n"), *sums)
+    ranked = F.array_sort(F.array(*[F.struct((-F.coalesce(code, F.lit(0)) / F.nullif("n", F.lit(0))).alias("neg"), F.lit(i).alias("order"), F.lit(code).alias("code")) for i, code in enumerate(LANGUAGE_WORDS)]))
+    counted = counted.withColumn("ranked", ranked)
     best, second = -F.col("ranked")[0]["neg"], -F.col("ranked")[1]["neg"]
     code = F.when(F.col("script").isNotNull(), F.col("script")).when(best >= LEAST_SCORE, F.col("ranked")[0]["code"]).otherwise("")
     ambiguous = F.col("script").isNull() & (best >= LEAST_SCORE) & (second >= LEAST_SCORE) & (second >= best * BORDERLINE)
-    return ready.select(key, code.alias("code"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
+    return counted.select(F.col("key").alias(key), code.alias("code"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
 
 
-def _hits(table: str) -> Column:
-    return F.size(F.filter("words", lambda w: w.isin(*table.split())))
+def _table(rows: DataFrame) -> DataFrame:
+    """(word, languages): a bit for each language that has the word as a stop word."""
+    bits: dict[str, int] = {}
+    for i, table in enumerate(LANGUAGE_WORDS.values()):
+        for word in table.split():
+            bits[word] = bits.get(word, 0) | 1 << i
+    pairs = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(b).alias("languages")) for w, b in bits.items()])
+    return rows.sparkSession.range(1).select(F.inline(pairs))
 
 
 def new_word_share(words: Column, known: Column) -> Column:

@@ -39,9 +39,12 @@ def not_in_any(rows: DataFrame, others: Sequence[DataFrame], key: str) -> DataFr
     return rows
 
 
-def rewatches(plays: DataFrame, key: str, day: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy(key).orderBy(day))
-    return plays.withColumn("rewatch", first > 1)
+def rewatches(plays: DataFrame, key: str, day: str, known: str | None = None) -> DataFrame:
+    """Adds whether a play has an earlier one, or an earlier day that is ``known`` from elsewhere."""
+    again = F.row_number().over(Window.partitionBy(key).orderBy(day)) > 1
+    if known is not None:
+        again = again | F.coalesce(F.col(known) < F.col(day), F.lit(False))
+    return plays.withColumn("rewatch", again)
 
 
 def best_per_key(rows: DataFrame, key: Sequence[str], value: str, order: Column) -> DataFrame:

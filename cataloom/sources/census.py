@@ -47,15 +47,18 @@ def separator(path: str) -> str:
 def classify(spark: SparkSession, paths: Sequence[str], named: bool = True) -> Found:
     """Binds reports to types by file name and exact header; a named misfit is refused, a found one skipped.
 
-    Headers are compared as text, since Spark's own check does not mind case. One line of each file is read.
+    Headers are compared as text, since Spark's own check does not mind case. One job reads all first lines.
     """
     found = Found({}, [])
+    if not paths:
+        return found
+    lines = spark.read.option("wholetext", False).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header")).collect()  # a line a file
+    headers = {r["path"].rsplit("/", 1)[-1]: r["header"].removesuffix("\r") for r in first}
     for path in sorted(paths):
         name = path.rsplit("/", 1)[-1]
         content = next((c for c in SCHEMAS if name.lower().startswith(c)), None)
-        first = spark.read.text(path).limit(1).collect()
-        header = first[0][0].removesuffix("\r") if first else ""
-        if content and header == separator(path).join(schema_of(content).names):
+        if content and headers.get(name, "") == separator(path).join(schema_of(content).names):
             found.reports.setdefault(content, []).append(path)
             continue
         reason = "not a report's name" if content is None else "another header"
@@ -68,6 +71,48 @@ def classify(spark: SparkSession, paths: Sequence[str], named: bool = True) -> F
     return found
 
 
+def scan(spark: SparkSession, folder: str, extensions: Sequence[str]) -> DataFrame:
+    """(path, length, modificationTime) of the files below a folder that have one of the extensions, in any case; contents are not read."""
+    from cataloom.functions.files import lower_extension_of
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
+    return files.where(lower_extension_of(F.col("path")).isin(*[e.lower() for e in extensions]))
+
+
+def folders_at(paths: DataFrame, path: str, root: str, depth: int) -> DataFrame:
+    """(folder) distinct folders that lie exactly ``depth`` levels below ``root`` on the way to some path."""
+    below = F.substring(F.col(path), len(root.rstrip("/")) + 2, 1 << 20)
+    parts = F.split(below, "/")
+    inside = paths.where(F.col(path).startswith(root.rstrip("/") + "/") & (F.size(parts) > depth))
+    return inside.select(F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(F.slice(parts, 1, depth), "/")).alias("folder")).distinct()
+
+
+def is_stale(spark: SparkSession, index: str, inputs: Sequence[str], most_days: int | None = None) -> bool:
+    """Whether a written table is missing, older than one of its inputs, or older than so many days."""
+    def newest(paths: Sequence[str]):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).agg(F.max("modificationTime").alias("m"), F.current_timestamp().alias("now")).collect()[0]
+
+    try:
+        built = newest([index])
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return True
+        raise
+    old = most_days is not None and built["m"] is not None and (built["now"] - built["m"]).days >= most_days
+    return built["m"] is None or built["m"] < newest(inputs)["m"] or old
+
+
+def replace_table(rows: DataFrame, name: str) -> None:
+    """A table in the warehouse, replaced whole; ``rows.createOrReplaceTempView`` is the view of the same kind."""
+    rows.write.mode("overwrite").saveAsTable(name)
+
+
+def read_providers(spark: SparkSession, path: str) -> DataFrame:
+    """(place, cells) of a provider table in its order: tab-separated cells, comments and empty lines left out. The first match wins."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
+    return lines.where("line not like '#%' and trim(line) <> ''").select("place", F.split("line", "\t", -1).alias("cells"))
+
+
 def discover(spark: SparkSession, folder: str) -> list[str]:
     """Report files below a folder in any store Spark reads, in byte order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,tsv}").load(folder)
@@ -92,10 +137,10 @@ def read_titles(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
-def write_csv(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """One CSV with a header; ``order`` sorts it."""
+def write_csv(rows: DataFrame, path: str, order: Sequence[str] = (), one_file: bool = False) -> None:
+    """CSV with a header; ``order`` sorts it over all its files, ``one_file`` writes it through one task."""
     ordered = rows.orderBy(*order) if order else rows
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
@@ -110,8 +155,8 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 def read_json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a torn line is skipped whole."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.cache().where("_corrupt_record is null").drop("_corrupt_record")
+    parsed = spark.read.text(path).select(F.from_json("value", f"{schema}, __torn string", {"columnNameOfCorruptRecord": "__torn"}).alias("r")).where("r is not null and r.__torn is null")
+    return parsed.select("r.*").drop("__torn")
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +197,20 @@ def read_cues(rows: DataFrame, key: str, text: str) -> DataFrame:
     return timed.select(key, "n", ms(1).alias("start_ms"), ms(2).alias("end_ms"), lines.alias("lines"))
 
 
+def read_cue_sheets(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, track, title, performer, start_ms) of cue sheets: each line belongs to the last TRACK before it; lines before the first are the disc's."""
+    from pyspark.sql import Window
+
+    lines = rows.select(key, F.posexplode(F.split(text, "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    track = F.regexp_extract("line", r"^(?i:TRACK)\s+([0-9]+)\s", 1).try_cast("int")
+    order = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("track", F.last(track, ignorenulls=True).over(order)).where("track is not null")
+    said = lambda word: F.max(F.nullif(F.regexp_extract("line", rf'^(?i:{word})\s+"?(.*?)"?$', 1), F.lit("")))
+    stamp = F.nullif(F.regexp_extract("line", r"^(?i:INDEX)\s+01\s+([0-9:]+)", 1), F.lit(""))
+    return placed.groupBy(key, "track").agg(said("TITLE").alias("title"), said("PERFORMER").alias("performer"), F.max(cue_frames_ms(stamp)).alias("start_ms"))
+
+
 def cue_frames_ms(stamp: Column) -> Column:
     """MM:SS:FF of a cue sheet in milliseconds; a frame is 1/75 second, rounded half up."""
-    m, s, f = (F.regexp_extract(stamp, r"^([0-9]+):([0-9]{2}):([0-9]{2})$", i).cast("bigint") for i in (1, 2, 3))
+    m, s, f = (F.regexp_extract(stamp, r"^([0-9]+):([0-9]{2}):([0-9]{2})$", i).try_cast("bigint") for i in (1, 2, 3))
     return m * 60000 + s * 1000 + F.floor((f * 1000 + 37) / 75)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cataloom.operators.sync import upsert
 
 
 def remembered(stream: DataFrame, folder: str, key: str, days: str, rating: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into the state below ``folder``, one version per batch so that a retry is harmless."""
+    """Each micro-batch is merged into the state below ``folder``, one version per batch so that a retry is harmless; older ones than the last two go."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -22,6 +24,9 @@ def remembered(stream: DataFrame, folder: str, key: str, days: str, rating: str,
         else:
             known = spark.createDataFrame([], new.schema)
         upsert(known, new, key, days, rating).select(key, days, rating).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        jvm = spark.sparkContext._jvm
+        old = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,5 +43,43 @@ def first_seen(stream: DataFrame, key: list[str], at: str, late: str) -> DataFra
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def append_to(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch as a folder of its own (batch=n), so that one that is written again does not count twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def waiting(stream: DataFrame, key: str, kind: str, at: str, late: str, wait_seconds: int) -> DataFrame:
+    """(key, state, at) of rows of kind "sent": "confirmed" once a row of kind "seen" comes, "offer" where none comes within the wait.
+
+    State is one time per key that waits; event-time timers end it. A row "seen" that nothing was sent for is passed over.
+    """
+    name = stream.schema[key]
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        answer = lambda word, ms: pd.DataFrame({key: [group[0]], "state": [word], "at": [pd.Timestamp(ms, unit="ms")]})
+        if state.hasTimedOut:
+            (sent,) = state.get
+            state.remove()
+            yield answer("offer", sent)
+            return
+        sent, seen = state.get[0] if state.exists else None, False
+        for part in parts:
+            for what, when in zip(part[kind], part[at], strict=True):
+                if what == "sent":
+                    ms = int(pd.Timestamp(when).timestamp() * 1000)
+                    sent = ms if sent is None else min(sent, ms)
+                seen |= what == "seen"
+        if sent is not None and seen:
+            if state.exists:
+                state.remove()
+            yield answer("confirmed", sent)
+        elif sent is not None:
+            state.update((sent,))
+            state.setTimeoutTimestamp(max(sent + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    schema = f"`{key}` {name.dataType.simpleString()}, state string, at timestamp"
+    return stream.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, schema, "sent long", "append", GroupStateTimeout.EventTimeTimeout)

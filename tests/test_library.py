@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import decimal
 import os
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from cataloom.functions import adequacy, dimensions, titles
-from cataloom.operators import cubes, curves, gaps, intervals, linkage, mining, names, sync
-from cataloom.sources import census
+from cataloom.functions import adequacy, dimensions, files, formats, titles, tracks
+from cataloom.operators import cubes, curves, gaps, intervals, linkage, mining, names, sync, tallies
+from cataloom.sources import census, probe, watched
 from cataloom.sources import titles as index
 from cataloom.streaming import states
 
@@ -38,7 +40,24 @@ def test_dynamic_range_and_suffix(spark):
 
 def test_coercions(spark):
     assert values(spark, "t string", [("24000/1001",), ("0/1",), ("25/0",), ("x",)], dimensions.to_frame_rate(F.col("t"))) == [23.976, None, None, None]
-    assert values(spark, "t string", [("",), ("007",), ("x",), (None,)], dimensions.to_chapters(F.col("t"))) == ["1", "007", None, "1"]
+    rows = [("",), ("007",), ("x",), (None,), ("0",), ("000",), ("12",), ("1.5",)]
+    assert values(spark, "t string", rows, dimensions.to_chapters(F.col("t"))) == [None, "007", None, None, "1", "1", "12", None]
+    rows = [("12.3456",), ("7",), ("",), ("x",), (None,), ("-1",)]
+    assert values(spark, "t string", rows, dimensions.to_seconds(F.col("t"))) == ["12.346", "7.000", None, None, None, None]
+
+
+def test_decimals_round_as_extended_floats_do(spark):
+    import numpy as np
+
+    random.seed(5)
+    texts = ["0", "0.0005", "0.0015", "2.5", "3.5", "0.1235", "123456.7895", *[f"{random.randint(0, 99999)}.{random.randint(0, 9999):04d}5" for _ in range(40)]]
+    got = values(spark, "t string", [(t,) for t in texts], formats.three_decimals(F.col("t")))
+    shown = [np.format_float_positional(np.longdouble(t), precision=40, unique=False, trim="k") for t in texts]  # all digits of the float
+    exact = [f"{decimal.Decimal(t).quantize(decimal.Decimal('0.001'), decimal.ROUND_HALF_EVEN):f}" for t in shown]
+    assert got == exact
+    assert values(spark, "t string", [("2.5",), ("3.5",), ("x",), (None,)], formats.no_decimals(F.col("t"))) == ["2", "4", None, None]
+    less = formats.number_or_text_less(F.col("a"), F.col("b"))
+    assert values(spark, "a string, b string", [("9", "10"), ("9x", "10"), (" 2 ", "1e1")], less) == [True, False, True]
 
 
 def test_verdicts(spark):
@@ -88,6 +107,12 @@ def test_episodes(spark):
     assert sorted((r.season, r.episode) for r in gaps.episode_gaps(folder).collect() if r.episode) == [(2, 2)]
 
 
+def test_episode_folders(spark):
+    rows = [("tv/Show S03", f"S03E0{n}") for n in (1, 2, 4)] + [("tv/Show", f"S0{n}E01") for n in (2, 4)] + [("mixed", "S01E05"), ("mixed", "a"), ("mixed", "b")] + [("one", "S01E03"), ("two", "S01E03"), ("two", "cover")]
+    got = {(r.folder, r.season, r.episode) for r in gaps.episode_gaps(spark.createDataFrame(rows, "folder string, name string")).collect()}
+    assert got == {("tv/Show S03", 3, 3), ("tv/Show", 1, None), ("tv/Show", 3, None), ("one", 1, 1), ("one", 1, 2)}
+
+
 def test_dates_and_ranges(spark):
     got = values(spark, "t string", [("20241341 x",), ("2024-02-03 y",), ("x",)], gaps.date_prefix(F.col("t")))
     assert [str(x) for x in got] == ["None", "2024-02-03", "None"]
@@ -102,11 +127,17 @@ def test_intervals(spark):
     marks = spark.createDataFrame([("g", 6), ("g", 8), ("g", 11)], "g string, t int")
     kept = spark.createDataFrame([("g", 0, 7), ("g", 10, 12)], "g string, a int, b int")
     assert sorted(r.moved for r in intervals.remap(marks, kept, ["g"], "t", "a", "b").collect()) == [6, 7, 8]
+    twice = spark.createDataFrame([("g", 6), ("g", 6), ("g", 7), ("g", 12), ("g", None), ("h", 1)], "g string, t int")
+    assert sorted(r.moved for r in intervals.remap(twice, kept, ["g"], "t", "a", "b").collect()) == [6, 6, 7]
+    chapters = spark.createDataFrame([("g", 0, 11, "One"), ("g", 11, 12, "Two")], "g string, s int, e int, title string")
+    cut = intervals.split_marks(chapters, kept.toDF("g", "s", "e"), ["g"], "s", "e", "title").orderBy("slice_start").collect()
+    assert [(r.title, r.slice_start, r.slice_end) for r in cut] == [("One", 0, 7), ("One (cont.)", 10, 11), ("Two", 11, 12)]
 
 
 def test_nearest(spark):
     left, right = spark.createDataFrame([("g", 10.0), ("g", 50.0)], "g string, t double"), spark.createDataFrame([("g", 11.0), ("g", 9.5), ("g", 90.0)], "g string, u double")
     assert [(r.t, r.nearest) for r in intervals.nearest(left, right, ["g"], "t", "u", 5.0).collect()] == [(10.0, 9.5)]
+    assert [(r.t, r.nearest) for r in intervals.nearest(left.union(left), right, ["g"], "t", "u", 5.0).collect()] == [(10.0, 9.5)] * 2
 
 
 def test_titles(spark):
@@ -116,6 +147,24 @@ def test_titles(spark):
     assert "rocky 2" in values(spark, "t string", [("rocky ii",)], titles.readings(F.col("t")))[0]
 
 
+def test_accents_as_by_decomposition(spark):
+    letters = [chr(c) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0xFB01, 0xFF21, 0x2160 + 4] if chr(c).isalpha() or c == 0x2164]
+    letters = [c for c in letters if len("".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")) == 1 and c not in "ßẞæÆœŒøØłŁđĐı"]
+    expected = ["".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").lower() for c in letters]
+    got = values(spark, "t string", [("x" + c,) for c in letters], titles.fold(F.col("t")))
+    assert got == ["x" + e if e.isascii() and e.isalnum() else "x" for e in expected]
+    assert values(spark, "t string", [("e\u0301tude",), ("ﬁn",)], titles.fold(F.col("t"))) == ["etude", "fin"]
+    plan = spark.createDataFrame([("é",)], "t string").select(titles.fold(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_readings_and_runs(spark):
+    got = values(spark, "t string", [("fast and furious",), ("rocky part 2",), ("two towers the",), ("henry viii",), ("heat 1",)], titles.readings(F.col("t")))
+    assert "fast furious" in got[0] and "rocky 2" in got[1] and {"2 towers the", "two towers"} <= set(got[2]) and "henry 8" in got[3] and "heat" not in got[4]
+    runs = values(spark, "t string", [("lord of the rings return",), ("one two three",)], titles.word_runs(F.col("t")))
+    assert set(runs[0]) == {"lord of the rings", "of the rings return"} and runs[1] == []
+
+
 def test_one_edit_against_brute_force(spark):
     random.seed(2)
     words = ["".join(random.choice("abc") for _ in range(random.randint(2, 5))) for _ in range(40)]
@@ -128,6 +177,12 @@ def test_one_edit_against_brute_force(spark):
     pairs = [(a, b) for a in words for b in words]
     got = values(spark, "a string, b string", pairs, titles.one_edit(F.col("a"), F.col("b")))
     assert got == [near(a, b) for a, b in pairs]
+    longer = sorted({w + "xyzuv"[: 6 - min(len(w), 5) + 1] for w in words if len(w) > 1})
+    keys = spark.createDataFrame([(w,) for w in longer], "key string")
+    joined = {(r.left_key, r.right_key) for r in linkage.near_join(keys, keys, "key").collect()}
+    edits = lambda a: {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    same = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    assert joined == {(a, b) for a in longer for b in longer if a != b and min(len(a), len(b)) >= 6 and (b in edits(a) or a in edits(b) or same(a, b))}
 
 
 def test_version_order(spark):
@@ -149,6 +204,20 @@ def test_linkage_rungs(spark):
     assert {(r.left_id, r.right_id) for r in linkage.mutual(pairs).collect()} >= {(1, 11), (2, 12), (4, 14)}
 
 
+def test_copies_and_weak_matches_on_the_way_back(spark):
+    plex = film(spark, [(1, "Lantern", 2007, []), (2, "Lantern", 2007, []), (3, "Hollow", 2020, []), (4, "HOLLOW", 2021, [])])
+    theirs = film(spark, [(11, "Lantern", 2008, []), (12, "HOLLOW", 2021, [])])
+    assert {(r.left_id, r.right_id) for r in linkage.mutual(linkage.candidates(plex, theirs)).collect()} == {(1, 11), (2, 11), (4, 12)}
+    runs = linkage.candidates(film(spark, [(1, "The Lord of the Rings Return", 2003, [])]), film(spark, [(2, "Lord of the Rings Return Extended", 2003, []), (3, "Rings Return", 2003, []), (4, "The Lord of the Rings Return Again", 2003, [])]))
+    assert {(r.right_id, r.rung) for r in runs.collect()} == {(4, linkage.PART)}
+
+
+def test_certainty(spark):
+    wanted = spark.createDataFrame([(1, "k", 1999, 6000.0), (2, "k", 2005, 6000.0), (3, "k", 2050, 6000.0), (4, "k", 2050, None), (5, "none", 1999, 1.0)], "id int, key string, year int, seconds double")
+    offered = spark.createDataFrame([("a", "k", [1980, 1999], 100.0), ("b", "k", [2004], 200.0), ("c", "k", [2010], 6100.0), ("d", "k", [2011], None)], "offer string, key string, years array<int>, seconds double")
+    assert {r.id: r.pick for r in linkage.certain(wanted, offered).collect()} == {1: "a", 2: "b", 3: "c", 4: None, 5: None}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_mutual_match_links_all_parts(spark):
     from cataloom.plans.queries import QUERIES
@@ -175,7 +244,13 @@ def test_mutual_match_links_all_parts(spark):
         best = {k: [p for p in v if p[2] == min(q[2] for q in v)] for k, v in rows.items()}
         return {v[0] for v in best.values() if len(v) == 1}
 
-    expected = settled(0) & settled(1)
+    def best(at):
+        rows = {}
+        for p in pairs:
+            rows.setdefault(p[at], []).append(p)
+        return {k: [p for p in v if p[2] == min(q[2] for q in v)] for k, v in rows.items()}
+
+    expected = {p for p in settled(0) if p[:2] in {q[:2] for v in best(1).values() for q in v}}
     got = {(r.left_id, r.right_id, r.rung) for r in QUERIES["mutual_match"](spark, sf_dir).collect()}
     assert got == expected and any(a % 50 != 1 for a, _, _ in got)
 
@@ -212,6 +287,79 @@ def test_sibling_names(spark):
     assert sorted(r.clean for r in names.clean_siblings(rows, ["d"], "name").collect()) == ["01 - Pilot", "02 - Next"]
 
 
+def test_roles_and_flags(spark):
+    none = F.lit(None).cast("boolean")
+    assert values(spark, "t string", [(None,), ("Audio Commentary",), ("Komentarz",), ("M & E",), ("the end",)], tracks.audio_role(F.col("t"), none, none)) == ["main", "commentary", "commentary", "effects", "main"]
+    assert values(spark, "t string", [("Hörgeschädigte",), ("Forcés",), ("accents",), (None,)], tracks.subtitle_role(F.col("t"), none, none, none)) == ["sdh", "forced", "full", "full"]
+    assert files.union_of_extensions(["a", "b", ""], ["b", "c"]) == ["a", "b", "c"]
+    assert values(spark, "t string", [("x/.hidden.mp3",), ("x/a.MP3",), ("a.b/c",), ("a.xyz",), ("a.İSO",)], files.file_kind(F.col("t"))) == ["", "audio", "", "xyz", "iso"]
+    text = "api_key=abc token: x,y --password hunter2 Authorization: Bearer zzz done"
+    assert values(spark, "t string", [(text,), (None,)], files.redacted(F.col("t"))) == ["api_key=*** token: ***,y --password *** Authorization: Bearer *** done", None]
+
+
+def test_probe_of_odd_documents(spark):
+    docs = [("a.mp4", '{"format": {"format_name": "mov,mp4,m4a", "bit_rate": "2000000"}, "streams": [{"codec_type": "video", "codec_name": "h264", "avg_frame_rate": "0/0", "r_frame_rate": "25/1", "side_data_list": [{"side_data_type": "DOVI configuration record"}]}], "chapters": [{"id": 1}]}'), ("b.mkv", "not json"), ("c.mkv", None), ("d.mkv", "{}")]
+    got = probe.probed(spark.createDataFrame(docs, "path string, doc string"), "path", "doc").orderBy("path").collect()
+    first = got[0]
+    assert (first.container, first.frameRate, first.dynamicRange, first.videoKbit, first.videoRateOrigin, first.chapters) == ("mp4", 25.0, "DolbyVision", 1960, "estimated", 1)
+    assert all(r.videoCodec is None and r.videoKbit is None and r.audioTracks == 0 for r in got[1:])
+
+
+def test_diary_export_feed_and_state(spark, tmp_path):
+    names = "name string, year string, uri string"
+    seen = spark.createDataFrame([("A", "1999", "u1", "2020-01-01"), ("B", " 2000 ", None, None), ("", "1", "u9", "x")], f"{names}, date string")
+    diary = spark.createDataFrame([("A", "1999", "u1", "2020-02-02"), ("A", "1999", "u1", "2020-02-02"), ("C", None, "", "2021-01-01")], f"{names}, watched_date string")
+    reviews = spark.createDataFrame([("A", "1999", "u1", "2019-01-01"), ("A", "1999", "u1", "")], f"{names}, watched_date string")
+    ratings = spark.createDataFrame([("A", "1999", "u1", "4.5"), ("B", " 2000 ", None, "x")], f"{names}, rating string")
+    got = {r.title: (r.year, r.logged, r.dates, r.rating) for r in watched.merge_export(seen, diary, reviews, ratings).collect()}
+    assert got == {"A": ("1999", "2020-01-01", ["2019-01-01", "2020-02-02"], 9), "B": ("2000", "", [], 0), "C": ("", "", ["2021-01-01"], 0)}
+    feed = tmp_path / "feed.xml"
+    feed.write_text('<rss xmlns:l="https://l" xmlns:t="https://t"><channel><item><l:filmTitle>Heat</l:filmTitle><l:filmYear>1995</l:filmYear><t:movieId>949</t:movieId><l:memberRating>4.0</l:memberRating><l:watchedDate>2024-01-02</l:watchedDate></item><item><title>A list</title></item></channel></rss>')
+    assert [tuple(r) for r in watched.read_feed(spark, str(feed)).collect()] == [("Heat", "1995", "949", 8, "2024-01-02")]
+    films = spark.createDataFrame([("b", "2", "", 1, ["x"]), ("A", "1", "7", 0, [])], "title string, year string, tmdb string, rating int, dates array<string>")
+    rows = spark.createDataFrame([("p", "3", "d", 2, False, "s")], "title string, year string, date string, rating int, rewatch boolean, sent string")
+    watched.write_state(films, rows, spark.createDataFrame([("z",), ("y",), ("z",)], "name string"), str(tmp_path / "state"))
+    state = watched.read_state(spark, str(tmp_path / "state")).collect()[0]
+    assert [f.title for f in state.films] == ["A", "b"] and state.unnamed == ["y", "z"] and state.pending[0].sent == "s"
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "in/x/y").mkdir(parents=True)
+    for name in ("x/a.MP3", "x/y/b.mp3", "x/y/c.txt"):
+        (tmp_path / "in" / name).write_text("1")
+    found = census.scan(spark, str(tmp_path / "in"), ["mp3"])
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in found.collect()) == ["a.MP3", "b.mp3"]
+    folders = census.folders_at(spark.createDataFrame([("/r/x/y/b",), ("/r/x/a",), ("/r/c",), ("/rx/y/z",)], "path string"), "path", "/r", 1)
+    assert [r.folder for r in folders.collect()] == ["/r/x"]
+    assert census.is_stale(spark, str(tmp_path / "none"), [str(tmp_path / "in")])
+    spark.range(3).write.parquet(str(tmp_path / "index"))
+    assert not census.is_stale(spark, str(tmp_path / "index"), [str(tmp_path / "in")], 30)
+    os.utime(tmp_path / "in/x/a.MP3", (4e9, 4e9))
+    assert census.is_stale(spark, str(tmp_path / "index"), [str(tmp_path / "in")])
+    table = tmp_path / "providers.tsv"
+    table.write_text("# c\n\nb\t1\t\na\t2\n")
+    assert [r.cells for r in census.read_providers(spark, str(table)).orderBy("place").collect()] == [["b", "1", ""], ["a", "2"]]
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"a": 1}\n{"a": \n{"a": 2}\n')
+    assert sorted(r.a for r in census.read_json_log(spark, str(log), "a int").collect()) == [1, 2]
+    sheet = 'TITLE "Disc"\nTRACK 01 AUDIO\n  TITLE "One"\n  INDEX 00 00:00:00\n  INDEX 01 00:01:37\nTRACK 02 AUDIO\n  TITLE "Two"\n  PERFORMER "P"\n  INDEX 01 10:00:00'
+    cues = census.read_cue_sheets(spark.createDataFrame([(1, sheet)], "i int, t string"), "i", "t").orderBy("track").collect()
+    assert [(c.track, c.title, c.performer, c.start_ms) for c in cues] == [(1, "One", None, 1493), (2, "Two", "P", 600000)]
+    cubed = cubes.cube(spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int"), ["p"], ["v"])
+    assert cubes.total_row(cubed, ["p"]).columns == ["files", "v"]
+    census.write_csv(cubes.export_order(cubed, ["p"]), str(tmp_path / "out"), one_file=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+
+
+def test_named_and_unnamed_choices(spark):
+    rows = spark.createDataFrame([(i, 5 - i) for i in range(5)], "i int, p int")
+    assert [r.i for r in tallies.chosen_first(rows, [F.col("p")], "i", 2).collect()] == [3, 4]
+    frames = spark.createDataFrame([("g", 1.0, False, 0.0), ("g", 3.0, False, 0.9), ("g", 9.0, True, 0.0), ("h", 1.0, True, 1.0)], "g string, t double, b boolean, s double")
+    assert [tuple(r) for r in tallies.nearest_cut(frames, ["g"], "t", "b", "s", F.lit(5.0), 0.5).collect()] == [("g", 2.0, "scene")]
+    again = sync.rewatches(spark.createDataFrame([("k", 5, 4), ("l", 5, 6), ("m", 5, None)], "k string, d int, e int"), "k", "d", "e")
+    assert {r.k: r.rewatch for r in again.collect()} == {"k": True, "l": False, "m": False}
+
+
 def test_reports(spark, tmp_path):
     header = "path,sizeBytes,pages,words,characters"
     good, cased = tmp_path / "booksMine.csv", tmp_path / "booksOther.csv"
@@ -262,3 +410,18 @@ def test_streams(spark, tmp_path):
     run()
     got = {r.id: (r.days, r.rating) for r in spark.read.parquet(f"{state}/v=1").collect()}
     assert got == {1: (["2019", "2020"], 3), 2: (["2021"], 4)}
+    run()
+    spark.createDataFrame([(3, ["2022"], 1)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    assert sorted(p.name for p in state.iterdir()) == ["v=1", "v=2"]
+
+
+def test_pending_rows_with_a_timer(spark, tmp_path):
+    schema = "id string, kind string, at timestamp"
+    for n, rows in enumerate([[("a", "sent", 0), ("b", "sent", 0), ("z", "seen", 0)], [("a", "seen", 20)], [("c", "sent", 500)], [("d", "sent", 2000)]]):
+        df = spark.createDataFrame([(i, k, t) for i, k, t in rows], "id string, kind string, t int").select("id", "kind", F.timestamp_seconds(F.col("t") + 10_000).alias("at"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/n={n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    states.appended(states.waiting(stream, "id", "kind", "at", "10 seconds", 60), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = {r.id: r.state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": "confirmed", "b": "offer", "c": "offer"}
