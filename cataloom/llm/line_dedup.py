@@ -212,7 +212,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         groups = near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: texts.join(ids, "id", "left_semi"), AGREE, read_lines, SIMILARITY)
         lines = found.select("doc_id", "place", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
         lines = lines.select("doc_id", "place", F.coalesce("component", "key").alias("class"))
-        first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+        # written, so that both sides of the join are dealt anew and a class that very many documents have can be split
+        lines = scratch.cut(lines)
+        first = scratch.cut(lines.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first"))
         gone = lines.join(first, "class").where(F.struct("doc_id", "place") != F.col("first"))
         return cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("gone")))
 
