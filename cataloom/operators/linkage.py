@@ -21,49 +21,62 @@ def prepared(records: DataFrame) -> DataFrame:
     return folded.withColumns({"keys": readings(F.col("fold")), "latin": is_latin(F.col("title"))})
 
 
-def _exploded(records: DataFrame, key: Column, side: str) -> DataFrame:
-    kept = [F.col(c).alias(f"{side}_{c}") for c in ("id", "fold", "year", "latin", "ids")]
-    return records.select(*kept, F.explode(key).alias("key"))
+def _led_by(*before: Column):
+    """Makes keys of keys, with some columns before each."""
+    return lambda keys: F.transform(keys, lambda k: F.concat_ws("|", *before, k))
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, rung, same_fold) of all rungs; pairs whose ids of one scheme differ are vetoed."""
-    left, right = prepared(left), prepared(right)
-    gap = F.abs(F.col("l_year") - F.col("r_year"))
+def _keys(side: str) -> list[tuple[str, Column]]:
+    """(tag, keys) of every rung for the prepared records of one side; a tag's keys meet only those of the same tag.
 
-    def rung(number: int, key: Column, condition: Column, other: Column | None = None, l_rows: DataFrame = left, r_rows: DataFrame = right) -> DataFrame:
-        joined = _exploded(l_rows, key, "l").join(_exploded(r_rows, key if other is None else other, "r"), "key").where(condition)
-        return joined.withColumn("rung", F.lit(number)).drop("key")
+    Years and scripts are part of the keys, so that titles of other years do not meet.
+    """
+    year, script = F.col("year"), F.col("latin").cast("string")
 
-    def of_year(keys: Column, year: Column) -> Column:
-        """Keys with the year in them, so that titles of other years do not meet; none without a year."""
-        return F.when(year.isNotNull(), F.transform(keys, lambda k: F.concat_ws("|", year.cast("string"), k)))
+    def of_year(keys: Column, years: tuple[int, ...] = (0,)) -> Column:
+        return F.when(year.isNotNull(), F.flatten(F.array(*[_led_by((year + n).cast("string"), script)(keys) for n in years])))
 
-    script = F.concat_ws("|", F.col("latin").cast("string"), F.col("fold"))
-    keyed = F.transform("keys", lambda k: F.concat_ws("|", F.col("latin").cast("string"), k))
+    whole, keyed = F.array("fold"), _led_by(script)(F.col("keys"))
     parts = F.transform(segments(F.col("title")), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     parts = F.filter(F.array_distinct(F.array(F.element_at(parts, 1), F.element_at(parts, -1), F.col("fold"))), lambda s: F.length(s) > 3)
-    runs = F.transform(word_runs(F.col("fold")), lambda r: F.concat_ws("|", F.col("latin").cast("string"), r))
-    spaced = F.replace("fold", F.lit(" "), F.lit(""))
-    blocks = F.transform(near_blocks(spaced), lambda b: F.concat_ws("|", F.col("latin").cast("string"), F.col("year").cast("string"), b))
-    slip = one_slip(F.replace("l_fold", F.lit(" "), F.lit("")), F.replace("r_fold", F.lit(" "), F.lit("")))
-    found = [
-        rung(ID, F.col("ids"), F.lit(True)),
-        rung(SAME_YEAR, of_year(keyed, F.col("year")), gap == 0),
-        rung(NEAR_YEAR, F.concat(*[of_year(F.array(script), F.col("year") + n) for n in (-1, 1)]), gap == 1, of_year(F.array(script), F.col("year"))),
-        rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is null")),
-        rung(NO_YEAR, keyed, F.lit(True), l_rows=left.where("year is not null"), r_rows=right.where("year is null")),
-        rung(PART, of_year(parts, F.col("year")), (gap == 0) & (F.col("l_fold") != F.col("r_fold"))),
-        rung(PART, of_year(runs, F.col("year")), gap == 0, of_year(F.array(script), F.col("year"))),
-        rung(PART, of_year(F.array(script), F.col("year")), gap == 0, of_year(runs, F.col("year"))),
-        rung(SLIP, blocks, (gap == 0) & slip),
+    runs, left = word_runs(F.col("fold")), side == "l"
+    return [
+        ("id", F.col("ids")),
+        ("year", of_year(F.col("keys"))),
+        ("near", of_year(whole, (-1, 1)) if left else of_year(whole)),
+        ("none", F.when(year.isNull(), keyed) if left else keyed),
+        ("other", F.when(year.isNotNull(), keyed) if left else F.when(year.isNull(), keyed)),
+        ("part", of_year(parts)),
+        ("begun", of_year(runs if left else whole)),
+        ("within", of_year(whole if left else runs)),
+        ("slip", of_year(near_blocks(F.replace("fold", F.lit(" "), F.lit(""))))),
     ]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+
+
+_RUNG_OF = {"id": ID, "year": SAME_YEAR, "near": NEAR_YEAR, "none": NO_YEAR, "other": NO_YEAR, "part": PART, "begun": PART, "within": PART, "slip": SLIP}
+
+
+def _exploded(records: DataFrame, side: str) -> DataFrame:
+    """A row for each key of each rung of a record; the readings are made once for all of them."""
+    empty = F.array().cast("array<struct<tag:string,key:string>>")
+
+    def of(tag: str, keys: Column) -> Column:
+        return F.coalesce(F.transform(keys, lambda k: F.struct(F.lit(tag).alias("tag"), k.alias("key"))), empty)
+
+    tagged = [of(tag, keys) for tag, keys in _keys(side)]
+    kept = [F.col(c).alias(f"{side}_{c}") for c in ("id", "fold", "ids")]
+    return records.select(*kept, F.explode(F.array_distinct(F.concat(*tagged))).alias("k")).select("*", "k.tag", "k.key").drop("k")
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, rung, same_fold) of all rungs; pairs whose ids of one scheme differ are vetoed. One join on (tag, key) for all."""
+    joined = _exploded(prepared(left), "l").join(_exploded(prepared(right), "r"), ["tag", "key"])
+    same, spaced = F.col("l_fold") == F.col("r_fold"), [F.replace(f"{s}_fold", F.lit(" "), F.lit("")) for s in "lr"]
+    holds = F.when(F.col("tag") == "slip", one_slip(*spaced)).when(F.col("tag") == "part", ~same).otherwise(True)
     clash = F.exists("l_ids", lambda x: F.exists("r_ids", lambda y: (F.substring_index(x, ":", 1) == F.substring_index(y, ":", 1)) & (x != y)))
-    every = every.where((F.col("rung") == ID) | ~F.coalesce(clash, F.lit(False)))
-    return every.groupBy(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).agg(F.min("rung").alias("rung"), F.max(F.col("l_fold") == F.col("r_fold")).alias("same_fold"))
+    every = joined.where(holds & ((F.col("tag") == "id") | ~F.coalesce(clash, F.lit(False))))
+    rung = F.create_map(*[F.lit(x) for item in _RUNG_OF.items() for x in item])[F.col("tag")]
+    return every.groupBy(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).agg(F.min(rung).alias("rung"), F.max(same).alias("same_fold"))
 
 
 def settled(pairs: DataFrame, by: str = "left_id", to: str = "right_id") -> DataFrame:
