@@ -33,7 +33,7 @@ from cataloom.llm import textcore as tc
 from cataloom.llm.exchange import layout, pack_keys, range_bounds, record_batch, shorten, told, unpack, unpack_keys
 from cataloom.llm.scratch import cut, tidy
 
-LENGTH, SAMPLE, HOT = 50, 25, 32
+LENGTH, SAMPLE, HOT = 50, 25, 128
 _WINDOWS = LENGTH - SAMPLE + 1  # windows that one sampled suffix can stand for
 _CONTEXT = LENGTH + _WINDOWS - 1
 _LAST = np.iinfo(np.int64).max
@@ -88,16 +88,10 @@ class Suffixes:
         return low < high
 
     def units(self, answers: np.ndarray) -> Units:
-        """What is sent for samples that repeat (answer 1: whole segments) or are hot (answer 2: single windows)."""
+        """What is sent for samples that repeat (answer 1: whole segments) or are hot (answer 2: their windows)."""
         answer = answers[self.inverse]
-        whole, hot = np.flatnonzero(answer == 1), np.flatnonzero(answer == 2)
-        n = self.count[hot]
-        begin = np.repeat(self.start[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        start, count = np.concatenate([self.start[whole], begin]), np.concatenate([self.count[whole], np.ones(len(begin), np.int64)])
-        doc = np.concatenate([self.doc[whole], np.repeat(self.doc[hot], n)])
-        context = self._surroundings(start, count)
-        own = tc.mix(_digest(context[len(whole) :]))
-        return Units(np.concatenate([self.sample[whole], own]), np.concatenate([self.text[whole], own]), self.ids[doc], start, count, context)
+        at = np.flatnonzero(answer)
+        return Units(self.sample[at], self.text[at], self.ids[self.doc[at]], self.start[at], self.count[at], self._surroundings(self.start[at], self.count[at]), answer[at] == 2)
 
     def _surroundings(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The bytes of ``count`` windows from ``start`` on, zeros behind them."""
@@ -108,18 +102,49 @@ class Suffixes:
 
 
 class Units:
-    """Strings of one to _WINDOWS windows, equal ones together: distinct ones in order of their keys."""
+    """Segments, equal ones together, and what is sent for the distinct ones, in order of its keys: whole, or where they are hot each window once."""
 
-    def __init__(self, key: np.ndarray, text: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, context: np.ndarray):
+    def __init__(self, key: np.ndarray, text: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, context: np.ndarray, hot: np.ndarray):
         order = np.lexsort((owner, text, key))
         self.start, self.owner, self.count = start[order], owner[order], count[order]
-        key, context = key[order], context[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (self.count[1:] != self.count[:-1]) | (context[1:] != context[:-1]).any(1)
-        self.index = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.key, self.context, self.windows = key[first], context[first], self.count[first]
+        key, context, hot = key[order], context[order], hot[order]
+        first = np.flatnonzero(_differs(key, self.count, context))
+        self.index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         self.least = np.minimum.reduceat(self.owner, first) if len(first) else self.owner[:0]
+        key, context, count, hot = key[first], context[first], self.count[first], hot[first]
+        # each window of a hot unit: the unit, and its place in it
+        n = np.where(hot, count, 0)
+        unit = np.repeat(np.arange(len(first)), n)
+        offset = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        window = np.zeros((len(unit), _CONTEXT), np.uint8)
+        window[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(context, LENGTH, 1)[unit, offset] if len(unit) else 0
+        own = tc.mix(_digest(window))
+        cold = np.flatnonzero(~hot)
+        self.unit, self.offset = np.concatenate([cold, unit]), np.concatenate([np.zeros(len(cold), np.int64), offset])
+        key, context = np.concatenate([key[cold], own]), np.concatenate([context[cold], window])
+        windows, least = np.concatenate([count[cold], np.ones(len(unit), np.int64)]), self.least[self.unit]
+        order = np.lexsort((least, windows, key))
+        first = np.flatnonzero(_differs(key[order], windows[order], context[order]))
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        chosen = order[first]
+        self.key, self.context, self.windows, self.first = key[chosen], context[chosen], windows[chosen], least[chosen]
+
+    def seen(self, bits: np.ndarray) -> np.ndarray:
+        """For each distinct segment a bit for each window that a smaller document has, from the bits of what was sent."""
+        told = bits[self.entry] | (self.first[self.entry] < self.least[self.unit])  # of equal windows, another unit's document may be smaller
+        out = np.zeros(len(self.least), np.uint32)
+        np.bitwise_or.at(out, self.unit, told << self.offset.astype(np.uint32))
+        return out
+
+
+def _differs(key: np.ndarray, count: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before, by all their bytes."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (count[1:] != count[:-1])
+    same = np.flatnonzero(~new)
+    new[same] = (context[same] != context[same - 1]).any(1)
+    return new
 
 
 def _digest(context: np.ndarray) -> np.ndarray:
@@ -250,7 +275,7 @@ def _ask_surroundings(buckets: int):
         if len(table):
             suffixes = Suffixes(table, buckets)
             units, block = suffixes.units(_told(answers, 1, suffixes.keys, buckets)), table.column("block")[0].as_py()
-            rows = [(block, bucket, units.context[part].tobytes(), units.windows[part].astype(np.uint8).tobytes(), units.least[part].tobytes()) for bucket, part in told(units.key, buckets)]
+            rows = [(block, bucket, units.context[part].tobytes(), units.windows[part].astype(np.uint8).tobytes(), units.first[part].tobytes()) for bucket, part in told(units.key, buckets)]
         return pa.Table.from_batches([record_batch(rows, names, kinds)])
 
     return ask
@@ -316,7 +341,7 @@ def _remove(buckets: int, texts: bool):
             return pa.Table.from_batches([record_batch([], names, kinds)])
         suffixes = Suffixes(table, buckets)
         units = suffixes.units(_told(answers, 1, suffixes.keys, buckets))
-        bits = _told(answers, 2, units.key, buckets)[units.index]
+        bits = units.seen(_told(answers, 2, units.key, buckets))[units.index]
         later = units.owner > units.least[units.index]
         offset = np.arange(_WINDOWS)
         flagged = (later[:, None] | ((bits[:, None] >> offset.astype(np.uint32)) & 1).astype(bool)) & (offset < units.count[:, None])
