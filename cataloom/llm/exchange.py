@@ -1,23 +1,20 @@
 """Question-and-answer exchange between blocks of documents and buckets of 64-bit keys.
 
 Counting or looking up every key of a corpus row by row would shuffle one row per word or byte position.
-Here documents are grouped in blocks of ``BLOCK`` consecutive ids; a block sends each bucket its sorted
+Here documents are grouped in blocks of some megabytes; a block sends each bucket its sorted
 distinct keys once, packed as arrays, and gets one answer per key back in the same order. A key that very many
-documents hold therefore costs one entry per block, not one per document, and a bucket's task streams
-over the packed arrays of its keys.
+documents hold therefore costs one entry per block, not one per document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents per block; a block's texts are held by one task at a time.
-BLOCK = 512
 #: MB of text per partition of blocks and per bucket.
 PARTITION_MB = 40
 
@@ -92,67 +89,10 @@ def unpack_keys(upper: bytes, lower: bytes) -> np.ndarray:
     return np.frombuffer(upper, np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(lower, np.uint8)
 
 
-def block_of(doc_id: Column | str) -> Column:
-    return F.floor(F.col(doc_id) / BLOCK).cast("long") if isinstance(doc_id, str) else F.floor(doc_id / BLOCK).cast("long")
-
-
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys split into buckets of equal width of the key space."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def packed(block: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """(block, bucket, keys, column bytes...) of each bucket that has keys of the sorted ``keys``."""
-    bounds = bucket_bounds(keys, buckets)
-    for bucket in np.flatnonzero(np.diff(bounds)):
-        part = slice(bounds[bucket], bounds[bucket + 1])
-        yield (block, int(bucket), keys[part].tobytes(), *[c[part].tobytes() for c in columns])
-
-
 def unpack(value: bytes, kind: type = np.uint64) -> np.ndarray:
     return np.frombuffer(value, kind)
 
 
-class Levels:
-    """A logarithmic family of sorted runs: each batch is added as a run, and runs of like size merge.
-
-    ``combine`` merges the values of equal keys. A key is in at most one entry of each run, and every batch
-    takes part in a logarithmic number of merges.
-    """
-
-    def __init__(self, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.combine = combine
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """``keys`` are sorted and distinct."""
-        self.runs.append((keys, values))
-        while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
-            self.runs.append(self._merge(self.runs.pop(), self.runs.pop()))
-
-    def _merge(self, new: tuple, old: tuple) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])
-        order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-        keys, values = keys[order], values[order]
-        same = np.flatnonzero(keys[1:] == keys[:-1])
-        values[same] = self.combine(values[same], values[same + 1])
-        keep = np.ones(len(keys), bool)
-        keep[same + 1] = False
-        return keys[keep], values[keep]
-
-    def scan(self, keys: np.ndarray, default) -> np.ndarray:
-        """Combined value of each key over all runs, ``default`` where no run has it."""
-        out = np.full(len(keys), default, self.runs[0][1].dtype if self.runs else np.int64)
-        known = np.zeros(len(keys), bool)
-        for run_keys, run_values in self.runs:
-            at = np.minimum(np.searchsorted(run_keys, keys), len(run_keys) - 1)
-            hit = run_keys[at] == keys
-            out[hit] = np.where(known[hit], self.combine(out[hit], run_values[at[hit]]), run_values[at[hit]])
-            known |= hit
-        return out
-
-
 def record_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

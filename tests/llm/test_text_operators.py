@@ -618,6 +618,21 @@ def test_pipeline_of_no_documents_and_of_clashing_names(spark, tmp_path):
     assert sorted((r.doc_id or 0, r["a.b"], r["__id"]) for r in out.collect()) == [(0, "8", "4"), (1, "8", "4"), (2, "8", "4")]
 
 
+def test_packed_keys_keep_what_counts():
+    from cataloom.llm import exchange
+
+    rng = np.random.default_rng(51)
+    for buckets in (1, 4, 64, 1 << 12):
+        keys = np.unique(exchange.shorten(rng.integers(0, 1 << 64, 5000, dtype=np.uint64), buckets))
+        again = []
+        for bucket, part in exchange.told(keys, buckets):
+            upper, lower = exchange.pack_keys(keys[part], buckets)
+            assert len(upper) + len(lower) == 5 * (part.stop - part.start)
+            bits = buckets.bit_length() - 1
+            again.append(exchange.unpack_keys(upper, lower) << np.uint64(24 - bits) | (np.uint64(bucket) << np.uint64(64 - bits) if bits else np.uint64(0)))
+        assert (np.concatenate(again) == keys).all()
+
+
 COLUMNS = {
     "op1_minhash": ["doc_id", "class_id", "kept"],
     "op2_quality": ["doc_id", "host", "path", "doc_score", "host_rate", "path_rate", "posterior", "keep"],
