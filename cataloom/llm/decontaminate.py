@@ -199,7 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` into which no item leaks, with all columns, in one pass without a shuffle per group of items."""
+    """Rows of ``docs`` into which no item leaks, with all columns (of any names), in one pass without a shuffle per group of items."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     for items in item_groups(benchmark):
         if not items.ids:
             continue
@@ -207,12 +208,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = tc.text_buffer(batch.column(batch.schema.get_field_index("text")))
+                row = batch.column(0)
+                data, offsets = tc.text_buffer(row.field(row.type.get_field_index("text")))
                 keep = np.ones(batch.num_rows, bool)
                 for low, high in tc.slices(offsets):
                     found = find_leaks(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shared.value)
                     keep[[low + d for d, _ in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(drop, docs.schema)
-    return docs
+        rows = rows.mapInArrow(drop, rows.schema)
+    return rows.select("row.*")
