@@ -351,7 +351,9 @@ def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, Classes, int]
         told_ = cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _TOLD))
         shapes = told_.where("kind = 'shape'").groupBy("shape").agg(F.sum("count").alias("count"), F.sum("words").alias("words")).collect()  # SHAPES + 1 rows at most
         own = own_words(sum(r["words"] for r in shapes))
-        top = told_.where("kind = 'top'").orderBy(F.desc("count"), "word").limit(own).select("word", "shape", "count").collect()  # MOST_OWN rows at most
+        # written in order first: a limit behind a sort would send as many rows from every partition to the driver
+        ranked = cut(told_.where("kind = 'top'").select("word", "shape", "count").orderBy(F.desc("count"), "word"))
+        top = ranked.limit(own).collect()  # MOST_OWN rows at most
         classes = Classes(top, shapes)
         model = _train(docs.where("not held_out"), classes)
     return placed, told_.where("kind = 'answer'").select("block", "bucket", "body"), model, classes, buckets
