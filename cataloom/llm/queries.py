@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_store
+from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, periodic_runs, quality, secrets, suffix_dedup, token_store
 from cataloom.session import table
 
 
@@ -59,6 +59,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix": op9_suffix,
     "op10_hmm": op10_hmm,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {}
