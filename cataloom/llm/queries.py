@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_dedup, periodic_runs, quality, secrets, suffix_dedup, token_store
+from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, merkle, near_dedup, periodic_runs, quality, secrets, suffix_dedup, token_store
 from cataloom.session import table
 
 
@@ -59,6 +59,12 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), changed={"text": F.translate("text", letters, letters.lower())}, where=tampered)
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
     return periodic_runs.digests(periodic_runs.find_runs(docs))
@@ -75,7 +81,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix": op9_suffix,
     "op10_hmm": op10_hmm,
+    "op11_manifest": op11_manifest,
     "op12_runs": op12_runs,
 }
 
-ORACLES: dict[str, str] = {}
+#: Checksum of a document's number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+
+def _part(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_part(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Both tiers of the tree as recursive unions over levels; a row's path is joined level by level and folded as a list.
+_MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, {_leaf("text")} AS leaf,
+        CASE WHEN {_CRC} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS shown
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+    SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+    UNION ALL
+    SELECT tree, any_value(level) + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, pos // 8
+), subroots AS (
+    SELECT tree, digest AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+    SELECT 0 AS level, pos, subroot AS digest, n FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 7) // 8 FROM upper WHERE n > 1 GROUP BY pos // 8
+), steps AS (
+    SELECT p.doc_id, p.leaf, s.level, s.pos < p.pos // (8 ** s.level)::BIGINT AS is_left, s.pos, s.digest
+    FROM placed p JOIN nodes s ON s.tree = p.tree AND s.pos // 8 = p.pos // (8 ** (s.level + 1))::BIGINT AND s.pos <> p.pos // (8 ** s.level)::BIGINT
+    UNION ALL
+    SELECT p.doc_id, p.leaf, 100 + s.level, s.pos < r.pos // (8 ** s.level)::BIGINT, s.pos, s.digest
+    FROM placed p JOIN subroots r ON r.tree = p.tree JOIN upper s ON s.pos // 8 = r.pos // (8 ** (s.level + 1))::BIGINT AND s.pos <> r.pos // (8 ** s.level)::BIGINT
+), levels AS (
+    SELECT doc_id, leaf, level, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (is_left), '') AS lefts, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (NOT is_left), '') AS rights
+    FROM steps GROUP BY doc_id, leaf, level
+    UNION ALL  -- a run of one has no siblings, but is a level too
+    SELECT p.doc_id, p.leaf, s.level, '', '' FROM placed p JOIN nodes s ON s.tree = p.tree AND s.pos = p.pos // (8 ** s.level)::BIGINT
+    WHERE s.n > 1 AND s.n % 8 = 1 AND s.pos = s.n - 1
+    UNION ALL
+    SELECT p.doc_id, p.leaf, 100 + s.level, '', '' FROM placed p JOIN subroots r ON r.tree = p.tree JOIN upper s ON s.pos = r.pos // (8 ** s.level)::BIGINT
+    WHERE s.n > 1 AND s.n % 8 = 1 AND s.pos = s.n - 1
+), paths AS (
+    SELECT doc_id, leaf, string_agg(lefts || rights, '' ORDER BY level) AS siblings, list({{'l': lefts, 'r': rights}} ORDER BY level) AS path FROM levels GROUP BY doc_id, leaf
+), folded AS (
+    SELECT p.doc_id, p.leaf, r.subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+        list_reduce(list_concat([{{'l': p.shown, 'r': ''}}], coalesce(path, [])), lambda d, x: {{'l': sha256(x.l || d.l || x.r), 'r': ''}}).l AS folded_root
+    FROM placed p JOIN subroots r ON r.tree = p.tree LEFT JOIN paths w ON w.doc_id = p.doc_id AND w.leaf = p.leaf
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLES: dict[str, str] = {"op11_manifest": _MANIFEST}
