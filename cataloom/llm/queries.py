@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, merkle, near_dedup, periodic_runs, quality, secrets, suffix_dedup, token_store
+from cataloom.llm import byte_bpe, decontaminate, embedding_dedup, hmm_lm, line_dedup, merkle, near_dedup, periodic_runs, quality, secrets, suffix_dedup, token_store, url_rules
 from cataloom.session import table
 
 
@@ -70,6 +70,11 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(docs))
 
 
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm": op10_hmm,
     "op11_manifest": op11_manifest,
     "op12_runs": op12_runs,
+    "op13_urls": op13_urls,
 }
 
 #: Checksum of a document's number, bit by bit.
@@ -141,4 +147,70 @@ WITH RECURSIVE leaves AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
-ORACLES: dict[str, str] = {"op11_manifest": _MANIFEST}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST, _PATH = _LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')"), "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+
+
+def _marks(kind: str, parts: str) -> str:
+    return f"list_transform({parts}, lambda t: '{kind}' || regexp_replace({_LOWER.format('t')}, '[0-9]+', '#', 'g'))"
+
+
+def _some(parts: str) -> str:
+    return f"list_filter({parts}, lambda t: t <> '')"
+
+
+_KEYS = f"list_transform({_some("string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&')")}, lambda t: split_part(t, '=', 1))"
+_TOKENS = " || ".join(
+    [_marks("h:", _some(f"string_split_regex({_HOST}, '[.-]')")), _marks("p:", _some(f"string_split({_PATH}, '/')")), _marks("q:", _KEYS), _marks("s:", "[split_part(url, '://', 1)]")]
+)
+
+#: Every combination of the items of every labelled page is counted, instead of mined; every rule is tried on every URL.
+_URLS = f"""
+WITH labelled AS (
+    SELECT row_number() OVER () AS page, label, tokens FROM (
+        SELECT CASE WHEN toxic = 1 OR quality = 0 THEN 'block' WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 'allow' END AS label,
+            CASE WHEN {_HOST} = '' THEN [] ELSE list_distinct({_TOKENS}) END AS tokens
+        FROM pages JOIN labels ON doc_id = page_id) WHERE label IS NOT NULL AND len(tokens) > 0
+), least AS (
+    SELECT count(*) AS n, ceil(greatest(0.002 * count(*), 8)) AS least FROM labelled
+), items AS (
+    SELECT list_sort(list(token)) AS needed, list_sort(list(token))[1] AS item
+    FROM (SELECT token, list(page ORDER BY page) AS places FROM (SELECT page, unnest(tokens) AS token FROM labelled) GROUP BY token)
+    WHERE len(places) >= (SELECT least FROM least) GROUP BY places
+), held AS (
+    SELECT page, any_value(label) AS label, coalesce(list(item ORDER BY item) FILTER (item IS NOT NULL), []) AS held
+    FROM (SELECT page, label, unnest(tokens) AS token FROM labelled) LEFT JOIN items ON token = item GROUP BY page
+), combined AS (
+    SELECT label, list_filter(held, lambda t, i: (mask >> (i - 1)) & 1 = 1) AS antecedent FROM (SELECT label, held, unnest(range(0, 1 << len(held))) AS mask FROM held)
+), rates AS (
+    SELECT label, antecedent, hits, hits / sum(hits) OVER (PARTITION BY antecedent) AS confidence FROM (SELECT label, antecedent, count(*) AS hits FROM combined GROUP BY ALL)
+), strong AS (
+    SELECT r.* FROM rates r JOIN rates base ON base.label = r.label AND len(base.antecedent) = 0
+    WHERE len(r.antecedent) > 0 AND r.hits >= (SELECT least FROM least) AND r.confidence >= 0.5 AND r.confidence > base.confidence
+), shorter AS (
+    SELECT label, antecedent, confidence, list_filter(antecedent, lambda t: t <> out) AS fewer FROM (SELECT *, unnest(antecedent) AS out FROM strong)
+), beaten AS (
+    SELECT DISTINCT s.label, s.antecedent FROM shorter s JOIN rates r ON r.label = s.label AND r.antecedent = s.fewer WHERE r.confidence >= s.confidence
+), rules AS (
+    SELECT label, hits, confidence, list_sort(flatten(list(needed))) AS needed
+    FROM (SELECT label, antecedent, hits, confidence, unnest(antecedent) AS item FROM strong ANTI JOIN beaten USING (label, antecedent)) JOIN items USING (item)
+    GROUP BY label, antecedent, hits, confidence
+), split AS (
+    SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages
+), listed AS (
+    SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    FROM split
+), asked AS (
+    SELECT DISTINCT url, CASE WHEN host = '' THEN [] ELSE {_TOKENS} END AS tokens FROM listed WHERE rule IS NULL AND url IS NOT NULL
+), learned AS (
+    SELECT url, label, confidence, array_to_string(needed, ' ') AS mined,
+        row_number() OVER (PARTITION BY url ORDER BY confidence DESC, hits DESC, len(needed), array_to_string(needed, ' '), label) AS nth
+    FROM asked JOIN rules ON list_has_all(tokens, needed)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(label, 'allow') END AS verdict, mined, confidence
+FROM listed LEFT JOIN learned ON learned.url = listed.url AND nth = 1 AND rule IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op11_manifest": _MANIFEST, "op13_urls": _URLS}
