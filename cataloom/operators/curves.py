@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def interpolate(points: Column, x: Column, clamp: bool = True) -> Column:
@@ -61,20 +63,64 @@ def grain_level(rows: DataFrame, group: list[str], grain: str) -> DataFrame:
     return rows.where(F.col(grain) > 0).groupBy(*group).agg(level.alias("level"))
 
 
-@F.pandas_udf(DoubleType())
-def best_lag(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Lag of b against a in samples at which their normalised cross-correlation is greatest."""
+#: Samples a second, samples of a step of the loudness curve, samples searched about a coarse place, and the scores under which neither
+#: the curves nor the waveforms say anything.
+RATE, HOP, REFINE = 8000, 80, 160
+TRUSTED_CURVE, TRUSTED_WAVE = 0.5, 0.3
+
+
+def _fit(needle: np.ndarray, haystack: np.ndarray) -> tuple[int, float]:
+    """Where the needle fits best and how well, 1 at most: each product is divided by the energy of the stretch it covers, so loudness does not win."""
+    n, lags = len(needle), len(haystack) - len(needle) + 1
+    if n == 0 or lags < 1:
+        return 0, 0.0
+    size = 1 << (n + len(haystack)).bit_length()
+    product = np.fft.irfft(np.fft.rfft(haystack, size) * np.conj(np.fft.rfft(needle, size)), size)[:lags]
+    sums = np.cumsum(np.concatenate([[0.0], haystack**2]))
+    energy = np.sqrt(np.maximum(sums[n : n + lags] - sums[:lags], 1e-12)) * max(float(np.linalg.norm(needle)), 1e-12)
+    scores = product / energy
+    lag = int(np.argmax(scores))
+    return lag, float(scores[lag])
+
+
+def _loudness(wave: np.ndarray, hop: int) -> np.ndarray:
+    """How loud each ``hop`` samples are, as logarithms about their mean."""
+    n = len(wave) // hop
+    level = np.log(np.sqrt((wave[: n * hop].reshape(n, hop) ** 2).mean(axis=1)) + 1e-4) if n else np.zeros(0)
+    return level - level.mean() if n else level
+
+
+def _arrays(a: pd.Series, b: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    for x, y in zip(a, b, strict=True):
+        yield None if x is None or y is None else (np.asarray(x, float), np.asarray(y, float))
+
+
+@F.pandas_udf(StructType([StructField("lag", LongType()), StructField("score", DoubleType())]))
+def best_lag(needle: pd.Series, haystack: pd.Series) -> pd.DataFrame:
+    """Where in the haystack the needle fits best, in samples, and the normalised correlation there; 0 and 0 where it is longer; nulls for null."""
+    found = [pair and _fit(*pair) for pair in _arrays(needle, haystack)]
+    return pd.DataFrame({"lag": pd.array([f and f[0] for f in found], "Int64"), "score": [f and f[1] for f in found]})
+
+
+def lag_seconds(needle: Column, haystack: Column, rate: int = RATE, hop: int = HOP, refine: int = REFINE) -> Column:
+    """Where the needle begins in the haystack, in seconds: found on the loudness of both, then placed to the sample where the waveforms agree too.
+
+    Null where even the loudness does not fit well enough to say, and for null.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def seconds(a: pd.Series, b: pd.Series) -> pd.Series:
+        def place(x: np.ndarray, y: np.ndarray) -> float | None:
+            step, score = _fit(_loudness(x, hop), _loudness(y, hop))
+            if score < TRUSTED_CURVE:
+                return None
+            near = max(0, step * hop - refine)
+            fine, fine_score = _fit(x, y[near : step * hop + refine + len(x)])
+            return (near + fine) / rate if fine_score >= TRUSTED_WAVE else step * hop / rate
 
-    def lag(x, y) -> float | None:
-        if x is None or y is None or not len(x) or not len(y):
-            return None
-        x, y = np.asarray(x, float) - np.mean(x), np.asarray(y, float) - np.mean(y)
-        n = 1 << (len(x) + len(y) - 1).bit_length()
-        c = np.fft.irfft(np.fft.rfft(y, n) * np.conj(np.fft.rfft(x, n)), n)
-        at = int(np.argmax(c))
-        return float(at if at < len(y) else at - n)
+        return pd.Series([pair and place(*pair) for pair in _arrays(a, b)], dtype=float)
 
-    return pd.Series([lag(x, y) for x, y in zip(a, b, strict=True)])
+    return seconds(needle, haystack)
 
 
 def same_chapters(a: Column, b: Column, within: float = 1.0) -> Column:

@@ -121,3 +121,38 @@ def head_and_tail(rows: DataFrame, group: Sequence[str], order: str, n: int) ->
     """First n/2 and last n - n/2 rows of each group (a sampling report)."""
     up, down = F.row_number().over(_by(group, order)), F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order)))
     return rows.withColumns({"up": up, "down": down}).where((F.col("up") <= n // 2) | (F.col("down") <= n - n // 2)).drop("up", "down")
+
+
+def sequential_cuts(candidates: DataFrame, wholes: DataFrame, group: Sequence[str], at: str, total: str, pieces: str) -> DataFrame:
+    """(group, piece, cut) of wholes cut into about ``pieces`` like parts, each cut at the candidate nearest to its place.
+
+    A candidate counts for the place it is within half a part of, unless it lies within a fifth of a part of the cut before (at first, the
+    beginning) or of the end; without one the cut stays at its place. A cut up to a second after the last one is left out.
+
+    Each cut depends on the one before it, but not on all candidates: above its place the nearest is always far enough from the last cut,
+    and below it, if the nearest is too close, all others are closer. So each place needs two candidates, a maximum and a minimum that merge
+    before the shuffle, and the ordered fold runs over the places of a whole, not over its candidates.
+    """
+    part = F.col(total) / F.col(pieces)
+    near = candidates.join(wholes.select(*group, total, pieces), list(group)).where(F.col(pieces) >= 2)
+    place = F.floor(F.col(at) / part)
+    places = F.array(*[p for p in (place, place + 1)])  # the last place below and the first above
+    near = near.where(F.col(at) < F.col(total) - part * 0.2).withColumn("__k", F.explode(places))
+    off = F.col(at) - F.col("__k") * part
+    near = near.where((F.col("__k") >= 1) & (F.col("__k") < F.col(pieces)) & (F.abs(off) <= part / 2))
+    pairs = near.groupBy(*group, "__k").agg(F.max(F.when(off < 0, F.col(at))).alias("below"), F.min(F.when(off >= 0, F.col(at))).alias("above"))
+    known = pairs.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__k"), F.struct("below", "above")))).alias("__near"))
+    rows = wholes.where(F.col(pieces) >= 2).join(known, list(group), "left")
+    part = part.cast("double")
+    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<struct<piece:bigint,cut:double>>").alias("cuts"))
+
+    def step(state: Column, k: Column) -> Column:
+        target, found = k * part, F.try_element_at("__near", k)
+        below = F.when(found["below"] > state["last"] + part * 0.2, found["below"])
+        nearer = F.when(below.isNull() | (found["above"] - target < target - below), found["above"]).otherwise(below)
+        best = F.coalesce(nearer, below, target).cast("double")
+        more = F.array_append(state["cuts"], F.struct(k.alias("piece"), best.alias("cut")))
+        return F.when(best <= state["last"] + 1, state).otherwise(F.struct(best.alias("last"), more.alias("cuts")))
+
+    cuts = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col(pieces).cast("bigint") - 1), start, step)["cuts"]
+    return rows.select(*group, F.inline(cuts))

@@ -18,7 +18,7 @@ ID, SAME_YEAR, NEAR_YEAR, NO_YEAR, PART, SLIP = range(1, 7)
 def prepared(records: DataFrame) -> DataFrame:
     """Adds the folded title, its readings and its script."""
     folded = records.withColumn("fold", fold(F.col("title")))
-    return folded.withColumns({"keys": readings(F.col("fold")), "latin": is_latin(F.col("title"))})
+    return folded.withColumns({"keys": readings(F.col("title")), "latin": is_latin(F.col("title"))})
 
 
 def _led_by(*before: Column):
@@ -49,7 +49,7 @@ def _keys(side: str) -> list[tuple[str, Column]]:
         ("part", of_year(parts)),
         ("begun", of_year(runs if left else whole)),
         ("within", of_year(whole if left else runs)),
-        ("slip", of_year(near_blocks(F.replace("fold", F.lit(" "), F.lit(""))))),
+        ("slip", of_year(near_blocks(F.col("fold")))),
     ]
 
 
@@ -71,8 +71,8 @@ def _exploded(records: DataFrame, side: str) -> DataFrame:
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, rung, same_fold) of all rungs; pairs whose ids of one scheme differ are vetoed. One join on (tag, key) for all."""
     joined = _exploded(prepared(left), "l").join(_exploded(prepared(right), "r"), ["tag", "key"])
-    same, spaced = F.col("l_fold") == F.col("r_fold"), [F.replace(f"{s}_fold", F.lit(" "), F.lit("")) for s in "lr"]
-    holds = F.when(F.col("tag") == "slip", one_slip(*spaced)).when(F.col("tag") == "part", ~same).otherwise(True)
+    same = F.col("l_fold") == F.col("r_fold")
+    holds = F.when(F.col("tag") == "slip", one_slip(F.col("l_fold"), F.col("r_fold"))).when(F.col("tag") == "part", ~same).otherwise(True)
     clash = F.exists("l_ids", lambda x: F.exists("r_ids", lambda y: (F.substring_index(x, ":", 1) == F.substring_index(y, ":", 1)) & (x != y)))
     every = joined.where(holds & ((F.col("tag") == "id") | ~F.coalesce(clash, F.lit(False))))
     rung = F.create_map(*[F.lit(x) for item in _RUNG_OF.items() for x in item])[F.col("tag")]
@@ -98,23 +98,6 @@ def mutual(pairs: DataFrame) -> DataFrame:
     return forth.join(back, ["left_id", "right_id"], "left_semi").unionByName(forth.where(F.col("rung") == ID)).distinct()
 
 
-def certain(wanted: DataFrame, offered: DataFrame) -> DataFrame:
-    """(id, pick): the one offer whose key meets and whose release years hold the year, or else a near one, or else whose running time agrees.
-
-    wanted: id, key, year, seconds; offered: offer, key, years (of all releases), seconds. An unknown running time agrees with
-    nothing. Without exactly one offer of the best kind, pick is null.
-    """
-    o = offered.withColumnsRenamed({"years": "o_years", "seconds": "o_seconds"})
-    pairs = wanted.join(o, "key")
-    gap = F.array_min(F.transform("o_years", lambda y: F.abs(y - F.col("year"))))
-    agrees = F.abs(F.col("seconds") - F.col("o_seconds")) <= F.greatest(F.lit(300.0), F.col("seconds") * 0.07)
-    rank = F.when(gap == 0, 1).when(gap <= 1, 2).when(agrees, 3)
-    ranked = pairs.withColumn("rank", rank).where("rank is not null")
-    first = ranked.withColumn("best", F.min("rank").over(Window.partitionBy("id"))).where("rank = best")
-    picked = first.groupBy("id").agg(F.collect_set("offer").alias("offers"))
-    return wanted.select("id").distinct().join(picked, "id", "left").select("id", F.when(F.size("offers") == 1, F.get("offers", F.lit(0))).alias("pick"))
-
-
 def near_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Pairs of distinct keys one edit apart, both long enough: they share one of the keys with a character left out."""
     from cataloom.functions.titles import one_edit

@@ -38,9 +38,16 @@ def _rated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.col("tokens") / F.nullif(F.col("counted_seconds"), F.lit(0.0)))
 
 
-def run_totals(files: DataFrame, group: Sequence[str], size: str) -> DataFrame:
-    """(group, files, bytes) of what some manifests list; a file that several list counts once."""
-    return files.distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+def run_totals(listed: DataFrame, measured: DataFrame, group: Sequence[str], manifest: str, size: str) -> DataFrame:
+    """(group, files, bytes) over manifests, line by line: a file that two manifests list counts twice, one without a size counts and adds no bytes.
+
+    A manifest in ``measured`` (group, manifest, size) has the bytes that were measured before its files got other names.
+    """
+    keys = [*group, manifest]
+    each = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("listed"))
+    known = measured.groupBy(*keys).agg(F.max(size).alias("measured"))
+    each = each.join(known, keys, "left").withColumn("bytes", F.coalesce("measured", "listed", F.lit(0)))
+    return each.groupBy(*group).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def copies(films: DataFrame, matched: str, fold: str, year: str) -> DataFrame:

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions import adequacy, dimensions, files, formats, titles, tracks
 from cataloom.operators import cubes, curves, gaps, intervals, linkage, mining, sync, tallies
+from cataloom.plans import catalogue  # noqa: F401 - registers its queries
+from cataloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from cataloom.sources import census, probe
 from cataloom.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
 # --- cubes ---------------------------------------------------------------------------------------------------------
 
 _BAND = "CASE WHEN l_quantity IS NULL THEN 'unknown' WHEN l_quantity < 10 THEN '<010' WHEN l_quantity < 25 THEN '<025' WHEN l_quantity < 40 THEN '<040' ELSE '>040' END"
@@ -681,10 +666,14 @@ def tally_merge(spark, sf_dir):
     return whole.withColumns({"seconds": F.round("seconds", 2), "counted_seconds": F.round("counted_seconds", 2), "rate": F.round("rate", 9)})
 
 
-@query("SELECT l_suppkey, COUNT(*) AS files, CAST(SUM(b) AS BIGINT) AS bytes FROM (SELECT DISTINCT l_suppkey, l_partkey, l_partkey * 10 AS b FROM lineitem) GROUP BY 1")
+@query("""
+SELECT o_custkey, CAST(SUM(n) AS BIGINT) AS files, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN FLOOR(o_totalprice) ELSE COALESCE(b, 0) END) AS BIGINT) AS bytes
+FROM orders JOIN (SELECT l_orderkey, COUNT(*) AS n, SUM(CASE WHEN l_partkey % 7 > 0 THEN l_partkey * 10 END) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")
 def run_totals(spark, sf_dir):
-    listed = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_partkey") * 10).alias("bytes"))
-    return tallies.run_totals(listed, ["l_suppkey"], "bytes")
+    orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "manifest"})
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("manifest"), F.when(F.col("l_partkey") % 7 > 0, F.col("l_partkey") * 10).alias("bytes"))
+    measured = orders.where("o_orderstatus = 'F'").select("o_custkey", "manifest", F.floor("o_totalprice").alias("bytes"))
+    return tallies.run_totals(lines.join(orders.select("o_custkey", "manifest"), "manifest"), measured, ["o_custkey"], "manifest", "bytes")
 
 
 @query(f"SELECT film, COUNT(*) AS copies FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'match|' || (p_partkey % 50) ELSE 'own|' || {_FOLD.format('p_name')} || '|' || p_size END AS film FROM part) GROUP BY 1")
