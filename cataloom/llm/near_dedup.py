@@ -198,8 +198,8 @@ def _bodies(buckets: int, n: int):
                         times = tf[part]
                         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                         keys = np.repeat(h[part], times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        rows.append((names[low + d][0], keys.tobytes() + np.repeat(idf[part], times).tobytes()))
-        return pa.Table.from_batches([record_batch(rows, ["id", "body"], [pa.int64(), pa.binary()])])
+                        rows.append((names[low + d][1], keys.tobytes() + np.repeat(idf[part], times).tobytes()))
+        return pa.Table.from_batches([record_batch(rows, ["id", "body"], [pa.binary(), pa.binary()])])
 
     return find
 
@@ -215,7 +215,8 @@ def read_bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, key, class_id, kept) of every row of ``docs`` (doc_id, text); key is the text's MD5.
 
-    class_id is the smallest doc_id of the class, kept says whether the row's doc_id is that one.
+    Each text is classed by itself, also where one doc_id has several. class_id is the smallest doc_id of the class, kept says whether the row
+    is that document with the text that stands for the class (of several texts of that doc_id in the class, the one of least MD5).
     """
     spark, n = docs.sparkSession, docs.count()
     blocks, buckets = layout(docs)
@@ -227,19 +228,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         answers = scratch.cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(buckets), _TOLD))
         signed = cut(placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sign(buckets, n), "doc_id long, key binary, sig binary, buckets array<long>"))
         known = signed.where("doc_id is not null")
-        exact = scratch.cut(known.groupBy("key").agg(F.min("doc_id").alias("id")))
-        chosen = exact.groupBy("id").agg(F.min("key").alias("key"))
-        items = known.where("sig is not null").withColumnRenamed("doc_id", "id").join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id"])
-        items = scratch.cut(items.select("id", "key", "sig", "buckets"))
+        # every text is an item of its own, whatever other texts its doc_id has; the first row of a text stands for it
+        exact = scratch.cut(known.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+        items = known.where("sig is not null").join(exact, ["doc_id", "key"], "left_semi").dropDuplicates(["key"])
+        items = scratch.cut(items.select("doc_id", "key", "sig", "buckets"))
 
         def bodies(ids: DataFrame) -> DataFrame:
-            asked = items.select("id", "key").join(ids, "id").select(block_by_hash(blocks, F.col("id")).alias("block"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("body"), "id", "key")
+            asked = items.select(F.col("doc_id").alias("id"), "key").join(ids.withColumnRenamed("id", "key"), "key")
+            asked = asked.select(block_by_hash(blocks, F.col("id")).alias("block"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("body"), "id", "key")
             found = placed.groupBy("block").cogroup(answers.union(asked).groupBy("block"))
-            return found.applyInArrow(_bodies(buckets, n), "id long, body binary")
-
-        groups = near_classes(scratch, items, bodies, AGREE, read_bodies, SIMILARITY)
-        classes = cut(exact.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("class_id")))
-    out = known.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+            return found.applyInArrow(_bodies(buckets, n), "id binary, body binary")
+
+        groups = near_classes(scratch, items.select(F.col("key").alias("id"), "sig", "buckets"), bodies, AGREE, read_bodies, SIMILARITY)
+        linked = scratch.cut(exact.join(groups.withColumnRenamed("node", "key"), "key"))
+        first = scratch.cut(linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")))
+        linked = linked.join(first, "component").select("key", "first")
+        one = F.coalesce("first", F.struct("doc_id", "key"))
+        classes = cut(exact.join(linked, "key", "left").select("key", one["doc_id"].alias("class_id"), one["key"].alias("class_key")))
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    out = known.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", kept.alias("kept"))
     return out.union(signed.where("doc_id is null").select("doc_id", "key", F.lit(None).cast("long"), F.lit(None).cast("boolean")))
 
 
