@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.scratch import cut, tidy
+from cataloom.llm.scratch import Scratch, cut, tidy
 
 #: Labelled rows that the model is fitted on, at most; words it uses at most; probability of being good under which a document is rejected.
 SAMPLE, WORDS, REJECT = 20_000, 512, 0.5
@@ -94,12 +94,14 @@ def _curve(marks: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray
     return np.concatenate([z, z * z], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from the labelled rows of ``docs``, or None where both kinds of label are not there."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model | None:
+    """A model from labelled rows of ``docs``, at most SAMPLE of them and one a doc_id, or None where both kinds of label are not there."""
     labels = labels.select(F.col("doc_id").cast("long").alias("label_id"), (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"), (F.col("quality").isNull() & F.col("toxic").isNull()).alias("unknown"))
     chosen = labels.where("label_id is not null and not unknown").groupBy("label_id").agg(F.max(F.col("low") | F.col("toxic")).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(chosen), "label_id").select("text", "bad")  # SAMPLE rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(chosen), "label_id")
+    # one row a label, however many rows a doc_id has: SAMPLE rows at most. Written, as three passes read them
+    rows = scratch.cut(rows.groupBy("label_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("bad").alias("bad")).select("text", "bad"))
     keys = _telling(rows)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +230,8 @@ def judge(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None)
 def _judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(__row, __doc_score, __host, __path, __host_rate, __path_rate, __posterior, __keep), __row with the columns to carry."""
     carried = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]
-    with tidy(docs.sparkSession):
-        model = fit(docs, labels)
+    with tidy(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
+        model = fit(docs, labels, scratch)
         light = score(docs.select("text", "source", "lang"), model, "__doc_score").select("__doc_score", "source", "lang")
         light = light.withColumns(_path(F.col("source"), F.col("lang"))).withColumn("__p", _chance(F.col("__doc_score")))
         groups = cut(sites(light.select("__host", "__path", "__p")))
