@@ -6,11 +6,14 @@ give equal chunks of about ``AVERAGE`` ids wherever they stand. The store is thr
 * ``chunks`` (chunk_id, n, body): each distinct chunk once; body holds its ids as little-endian 16-bit
   numbers, or 32-bit ones where an id needs them; chunk_id is a 128-bit hash of the ids.
 * ``recipes`` (doc_id, part, n_tokens, start, chunk_ids, sizes, root): in ascending doc_id order; start counts the ids
-  of all earlier documents, root is the Merkle root of the document's chunk ids.
-* ``manifest`` (part, documents, root): the Merkle root of each part's document roots, in order.
+  of all earlier documents, root is the Merkle root of the document's chunk ids with their sizes, in order.
+* ``manifest`` (part, documents, start, tokens, root): for each part its first start, its number of ids, and the Merkle root of its documents,
+  each with doc_id, start, n_tokens and its own root.
 
-Reading back checks every chunk against its id and every root, then gives per-document results from chunk contents:
-a document's CRC-32 is the sum of its chunks' CRC-32s, each moved along by the bytes after it.
+Reading back checks every chunk against its id, every recipe against its root and its sizes, every part against the manifest, and that
+each part begins where the one before it ends; a chunk that a recipe names and the store lacks, or holds in another size, is an error.
+Then it gives per-document results from chunk contents: a document's CRC-32 is the sum of its chunks' CRC-32s, each moved along by
+the bytes after it.
 
 Defined results: null text is empty (the end id alone); rows without doc_id come first in order, repeated
 rows each have their own place.
@@ -30,12 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.exchange import partitions
+from cataloom.llm.exchange import partitions, record_batch
 from cataloom.llm.scratch import Store, cut, tidy
 
 WINDOW, AVERAGE, SMALLEST, LARGEST = 16, 256, 32, 4096
 #: Pieces of text whose ids a task remembers, beyond which it starts afresh, and pieces that the library encodes at a time.
-REMEMBERED, TOGETHER = 1_000_000, 4_096
+REMEMBERED, TOGETHER = 400_000, 4_096
 #: Bytes of a piece that are compared as two numbers; longer ones are looked up as bytes.
 SHORT = 16
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
@@ -208,6 +211,10 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _recipe_root(names: list[bytes], sizes: list[int]) -> bytes:
+    return merkle([name + size.to_bytes(4, "little") for name, size in zip(names, sizes, strict=True)])
+
+
 def _body(ids: np.ndarray) -> bytes:
     return ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4").tobytes()
 
@@ -246,7 +253,8 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
                 ends = cuts(ids)
                 parts = np.split(ids, ends[:-1])
                 names = [_name(x) for x in parts]
-                out.append((len(ids), names, np.diff(ends, prepend=0).tolist(), merkle(names), [_body(x) for x in parts]))
+                sizes = np.diff(ends, prepend=0).tolist()
+                out.append((len(ids), names, sizes, _recipe_root(names, sizes), [_body(x) for x in parts]))
             kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "chunk_ids", "sizes", "root", "bodies"])
@@ -286,13 +294,16 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """Root and number of documents of each part; a part is a range of doc_id of bounded size."""
+    """(part, documents, start, tokens, root) of each part; a part is a range of doc_id of bounded size."""
 
     def roots(table: pa.Table) -> pa.Table:
         table = table.sort_by([("start", "ascending")])
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "documents": pa.array([len(table)], pa.int64()), "root": pa.array([merkle(table.column("root").to_pylist())], pa.binary())})
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True))
+        root = merkle([f"{doc}:{start}:{n}:".encode() + own for doc, start, n, own in rows])
+        row = (table.column("part")[0].as_py(), len(rows), rows[0][1], sum(r[2] for r in rows), root)
+        return pa.Table.from_batches([record_batch([row], ["part", "documents", "start", "tokens", "root"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])])
 
-    return recipes.select("part", "start", "root").groupBy("part").applyInArrow(roots, "part int, documents long, root binary")
+    return recipes.select("part", "doc_id", "start", "n_tokens", "root").groupBy("part").applyInArrow(roots, "part int, documents long, start long, tokens long, root binary")
 
 
 _REFLECTED = 0xEDB88320
@@ -325,42 +336,49 @@ def read(store: Store) -> DataFrame:
 
     def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
+            sums = []  # bodies are small: a chunk has LARGEST ids at most
             for name, n, body in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "n", "body")), strict=True):
                 raw = _ids(body, n).astype("<u4").tobytes()
                 if hashlib.blake2b(raw, digest_size=16).digest() != name:
                     raise ValueError(f"chunk {name.hex()} does not hold what its name says")
                 sums.append(zlib.crc32(raw))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(sums, pa.int64())], ["chunk_id", "crc"])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("n"), pa.array(sums, pa.int64())], ["chunk_id", "n", "crc"])
 
     def check_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, root in zip(batch.column("chunk_ids").to_pylist(), batch.column("root").to_pylist(), strict=True):
-                if merkle(names) != root:
+            for names, own, root, n in zip(*(batch.column(c).to_pylist() for c in ("chunk_ids", "sizes", "root", "n_tokens")), strict=True):
+                if len(names) != len(own) or not names or sum(own) != n or _recipe_root(names, own) != root:
                     raise ValueError("a recipe does not match its root")
             sizes = batch.column("sizes")
             first = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
-            flat = sizes.flatten().to_numpy()
+            flat_sizes = sizes.flatten()
+            flat = flat_sizes.to_numpy()
             through = np.cumsum(flat)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             after = 4 * (through[first[doc + 1] - 1] - through) if len(flat) else flat
             take = lambda c: batch.column(c).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([take("start"), pa.array(after, pa.int64()), batch.column("chunk_ids").flatten()], ["start", "after", "chunk_id"])
+            yield pa.RecordBatch.from_arrays([take("start"), pa.array(after, pa.int64()), batch.column("chunk_ids").flatten(), flat_sizes], ["start", "after", "chunk_id", "size"])
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = moved(batch.column("crc").to_numpy(), batch.column("after").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(out.astype(np.int64))], ["start", "crc"])
 
-    recipes = store.read("recipes")
-    same = _manifest(recipes).join(store.read("manifest").withColumnsRenamed({"documents": "d", "root": "r"}), "part", "full")
-    if not same.where("not (root <=> r and documents <=> d)").isEmpty():
+    recipes, manifest = store.read("recipes"), store.read("manifest")
+    same = _manifest(recipes).join(manifest.toDF("part", "d", "s", "t", "r"), "part", "full")
+    if not same.where("not (root <=> r and documents <=> d and start <=> s and tokens <=> t)").isEmpty():
         raise ValueError("the recipes do not match the manifest")
-    sums = store.read("chunks").mapInArrow(open_chunks, "chunk_id binary, crc long")
-    pieces = recipes.select("start", "chunk_ids", "sizes", "root").mapInArrow(check_roots, "start long, after long, chunk_id binary")
-    found = pieces.join(sums, "chunk_id").select("start", "after", "crc").mapInArrow(shift, "start long, crc long")
+    follows = F.coalesce(F.lag(F.col("start") + F.col("tokens")).over(Window.orderBy("start", "part")), F.lit(0))  # a row a part
+    if not manifest.where("documents > 0").select("start", follows.alias("end")).where("start <> end").isEmpty():
+        raise ValueError("a part of the manifest is missing")
+    sums = store.read("chunks").mapInArrow(open_chunks, "chunk_id binary, n int, crc long")
+    pieces = recipes.select("start", "n_tokens", "chunk_ids", "sizes", "root").mapInArrow(check_roots, "start long, after long, chunk_id binary, size int")
+    there = F.when(F.col("n") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("the store lacks chunk "), F.hex("chunk_id"))).cast("long"))
+    found = pieces.join(sums, "chunk_id", "left").select("start", "after", there.alias("crc")).mapInArrow(shift, "start long, crc long")
     whole = found.groupBy("start").agg(F.bit_xor("crc").alias("ids_crc32"))  # no two documents share a start
-    return recipes.select("doc_id", "start", "n_tokens").join(whole, "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    out = recipes.select("doc_id", "start", "n_tokens").join(whole, "start", "left")
+    crc = F.coalesce("ids_crc32", F.raise_error(F.lit("a document has no chunks")).cast("long"))
+    return out.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))
 
 
 def through_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
