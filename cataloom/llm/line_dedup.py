@@ -8,8 +8,8 @@ union-find keeps the first line (by doc_id, then place) of each component.
 Which bands at least two lines share is found by exchanging packed band hashes between blocks of documents and
 buckets (see exchange.py), so only lines that can have a partner are shuffled with their text.
 
-Lines end at a line feed; white space around a line does not count. Lines of fewer than ``CHARS`` characters have
-no shingle and are left alone. Defined results: null text stays null; a document may lose all lines and is
+Lines end at a line feed; white space around a line does not count. A line of fewer than ``CHARS`` characters is one shingle as a
+whole, so it goes where it is an exact repeat; empty lines are left alone. Defined results: null text stays null; a document may lose all lines and is
 then empty; rows of equal doc_id count as one document; rows without doc_id are left alone.
 """
 
@@ -28,7 +28,9 @@ from cataloom.llm.exchange import block_by_hash, layout, pack_keys, record_batch
 from cataloom.llm.near_classes import near_classes, pack_signatures
 from cataloom.llm.scratch import Scratch, cut, tidy
 
-CHARS, SIMILARITY, BANDS, ROWS, SHORTEST = 6, 0.8, 12, 5, 6
+CHARS, SIMILARITY, BANDS, ROWS = 6, 0.8, 12, 5
+#: Characters of the shortest line that counts.
+SHORTEST = 1
 PLACES = BANDS * ROWS
 AGREE = 0.5
 _SPACE = np.zeros(256, bool)
@@ -57,11 +59,15 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each range of code points (of ``CHARS`` at least), and where each range's begin."""
-    windows = tc.Rolling(points).windows(CHARS)
-    size = end - start - CHARS + 1
+    """Hashes of the shingles of each range of code points (none empty), and where each range's begin; a short range is one shingle."""
+    rolling, short = tc.Rolling(points), end - start < CHARS
+    windows = rolling.windows(CHARS)
+    size = np.where(short, 1, end - start - CHARS + 1)
     first = np.concatenate([[0], np.cumsum(size)])
-    return windows[np.repeat(start - first[:-1], size) + np.arange(first[-1])], first
+    at = np.repeat(start - first[:-1], size) + np.arange(first[-1])
+    out = windows[np.minimum(at, max(len(windows) - 1, 0))] if len(windows) else np.zeros(len(at), np.uint64)
+    out[first[:-1][short]] = tc.mix(rolling.ranges(start[short], end[short]) ^ (end - start)[short].astype(np.uint64))
+    return out, first
 
 
 def sign(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
