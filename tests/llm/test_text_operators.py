@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cataloom.llm import byte_bpe, components, decontaminate, embedding_dedup, hmm_lm, line_dedup, near_classes, near_dedup, quality, secrets, suffix_dedup, token_store
@@ -128,7 +129,7 @@ def test_line_dedup(spark):
         got[r.doc_id] = r.gone
     lines = sorted({(i, n, x.strip(" \t\r")) for i, t in rows if i is not None and t for n, x in enumerate(t.split("\n"))})
     lines = [x for x in lines if len(x[2]) >= line_dedup.SHORTEST]
-    sets = {x[2]: {x[2][i : i + line_dedup.CHARS] for i in range(len(x[2]) - line_dedup.CHARS + 1)} for x in lines}
+    sets = {x[2]: {x[2][i : i + line_dedup.CHARS] for i in range(len(x[2]) - line_dedup.CHARS + 1)} or {x[2]} for x in lines}
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     group, first, expected = plain_components(sets, links), {}, {}
     for i, n, x in lines:
@@ -142,7 +143,7 @@ def test_line_dedup(spark):
 
 def test_short_repeated_lines_go(spark):
     docs = documents(spark, [(1, "Contents\nabcdef\nab"), (2, "Contents\nabcdef\nab\nfifteen letters"), (3, "fifteen letters\nother")])
-    assert {r.doc_id: r.gone for r in line_dedup.repeated_lines(docs).collect()} == {2: [0, 1], 3: [0]}
+    assert {r.doc_id: r.gone for r in line_dedup.repeated_lines(docs).collect()} == {2: [0, 1, 2], 3: [0]}
 
 
 def removed_by_brute_force(rows):
@@ -409,6 +410,79 @@ def test_store_notices_a_changed_chunk(spark):
         token_store.read(store).collect()
 
 
+@pytest.mark.parametrize(
+    ("name", "where", "change"),
+    [
+        ("chunks", "nth > 0", None),
+        ("recipes", "nth > 0", None),
+        ("manifest", "part > 0", None),
+        ("recipes", "true", {"n_tokens": "n_tokens + 7"}),
+        ("recipes", "true", {"start": "start + 5"}),
+        ("recipes", "true", {"sizes": "reverse(sizes)"}),
+        ("recipes", "true", {"doc_id": "doc_id + 1"}),
+        ("chunks", "true", {"n": "n + 1"}),
+        ("manifest", "true", {"tokens": "tokens + 1"}),
+    ],
+)
+def test_store_notices_what_is_missing_or_changed(spark, name, where, change):
+    from cataloom.llm.scratch import Store
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "é"]) + str(rng.randint(0, 99)) for _ in range(900))) for i in range(12)]
+    store = Store(spark, "test")
+    token_store.write(documents(spark, docs), store, tokenizers.path("word_bpe_49k.json"))
+    assert token_store.read(store).count() == 12 and store.read("chunks").count() > 30 and store.read("recipes").where("size(sizes) > 1").count() == 12
+    rows = store.read(name)
+    nth = F.row_number().over(Window.orderBy(*rows.columns[:1])) - 1
+    spoiled = rows.withColumn("nth", nth).where(where).drop("nth").withColumns({c: F.expr(e).cast(rows.schema[c].dataType) for c, e in (change or {}).items()})
+    spoiled = spark.createDataFrame(spoiled.collect(), rows.schema)
+    if name == "manifest" and not change:  # a whole part goes, with its recipes
+        if store.read("manifest").count() < 2:
+            pytest.skip("one part only")
+        kept = spark.createDataFrame(store.read("recipes").where("part > 0").collect(), store.read("recipes").schema)
+        kept.write.mode("overwrite").parquet(f"{store.path}/recipes")
+    spoiled.write.mode("overwrite").parquet(f"{store.path}/{name}")
+    with pytest.raises(Exception, match="does not match|do not match|lacks chunk|does not hold|is missing|cannot reshape|buffer"):
+        token_store.read(store).collect()
+
+
+def test_texts_of_one_id_are_classed_by_themselves(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    x, y, z = prose(), prose(), prose()
+    near = lambda t: t.replace(t.split()[40], "changed")
+    rows = [(3, x), (7, near(x)), (7, y), (9, near(y)), (5, z), (5, near(z)), (5, z)]
+    docs = documents(spark, rows)
+    got = {(r.doc_id, bytes(r.key)): (r.class_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    at = lambda i, t: got[i, hashlib.md5(t.encode()).digest()]
+    assert [at(3, x), at(7, near(x)), at(7, y), at(9, near(y))] == [(3, True), (3, False), (7, True), (7, False)]
+    assert at(5, z)[0] == at(5, near(z))[0] == 5 and at(5, z)[1] != at(5, near(z))[1]
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()]
+    assert sorted(i for i, _ in kept) == [3, 5, 7] and (7, y) in kept
+
+
+def test_the_sample_of_a_classifier_is_bounded_by_rows(spark):
+    """A labelled doc_id with very many rows counts once."""
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("same words "), F.col("id")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(2, "other words here"), (3, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality._telling
+    quality._telling = lambda r: seen.append(r.count()) or real(r)
+    try:
+        with Scratch(spark) as scratch:
+            quality.fit(rows, labels, scratch)
+    finally:
+        quality._telling = real
+    assert seen == [3]
+
+
+def test_short_lines_go_as_exact_repeats(spark):
+    rows = [(1, "}\nabc\n\nabcd"), (2, " abc \nabce\n}\n\n"), (3, "né\nne\nné")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(documents(spark, rows)).collect()}
+    assert got == {1: "}\nabc\n\nabcd", 2: "abce\n\n", 3: "né\nne"}
+
+
 def test_secrets(spark):
     rows = odd_rows(11) + [
         (90, 'éé password = "hunter22" TOKEN:abc api_key=Abcdef/=+1 secret: token: abcdefgh'),
