@@ -1,44 +1,163 @@
-"""Names of siblings cleaned as a group: what all of them share at the front or back is dropped at a word boundary."""
+"""Names of siblings cleaned as a group: what all of them share in front, behind and in the middle is dropped at word boundaries.
+
+A group, one folder's names, may be of any size and is never in one task. Each step is an aggregate that merges before the shuffle:
+
+* What all names begin with is what the least and the greatest of them begin with; ends likewise, by the names read backwards.
+* Whether a cut would split a word or a number of some name is a flag over the names.
+* A middle passage is made of places at which all names have one character: a least and a greatest character a place, whether all are
+  separators, and how far the partners of brackets there lie. Only these rows of a group, as many as its shortest name is long, come
+  together, and a small function finds the passages in them.
+"""
 
 from __future__ import annotations
 
-import os
-import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Brackets by pairs, separators as a class of characters (all that is no letter or digit below U+00A0), and characters of the shortest
+#: middle passage.
+OPENING, CLOSING = "([{<", ")]}>"
+SEPARATORS = r"\x00-/:-@\[-`{-\x9f"
+SHORTEST_MIDDLE = 3
+
+_LETTER, _DIGIT, _OTHER = "L", "D", "O"
+
+
+def _kind(char: Column) -> Column:
+    """Digits of ASCII, separators, and letters, which is everything else."""
+    return F.when(char.rlike("^[0-9]$"), _DIGIT).when(char.rlike(f"^[{SEPARATORS}]$"), _OTHER).otherwise(_LETTER)
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """What two texts both begin with."""
+    x, y = _chars(a), _chars(b)
+    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int")
+    return F.when(differs == 0, a).otherwise(F.substring(a, F.lit(1), differs - 1))
+
+
+def _brackets(text: Column) -> Column:
+    return F.filter(F.transform(_chars(text), lambda c, i: F.struct(i.cast("int").alias("at"), c.alias("c"))), lambda x: x["c"].isin(*OPENING, *CLOSING))
+
+
+def bracket_pairs(text: Column) -> Column:
+    """(first, last) places of the pairs of a text, by a stack: a closing bracket whose partner is not on top is no pair and changes nothing."""
+    empty = F.array().cast("array<struct<at:int,c:string>>"), F.array().cast("array<struct<first:int,last:int>>")
+    fits = lambda top, c: F.translate(top, OPENING, CLOSING) == c
+
+    def step(state: Column, x: Column) -> Column:
+        top = F.get(state["open"], F.size(state["open"]) - 1)
+        pushed = F.struct(F.array_append(state["open"], x).alias("open"), state["pairs"].alias("pairs"))
+        pair = F.struct(top["at"].alias("first"), x["at"].alias("last"))
+        popped = F.struct(F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1).alias("open"), F.array_append(state["pairs"], pair).alias("pairs"))
+        return F.when(x["c"].isin(*OPENING), pushed).when(F.coalesce(fits(top["c"], x["c"]), F.lit(False)), popped).otherwise(state)
+
+    return F.aggregate(_brackets(text), F.struct(empty[0].alias("open"), empty[1].alias("pairs")), step)["pairs"]
+
+
+def _balanced(text: Column) -> Column:
+    return F.size(bracket_pairs(text)) * 2 == F.size(_brackets(text))
+
 
-_EDGE = re.compile(r"[ ._\-\[\](){}]+")
+def _affixes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n, front, back) of rows (group, low): what all names begin and end with, drawn back to the boundary of a word or number where a cut would split one."""
+    back = F.reverse("low")
+    ends = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+    ends = ends.select(*group, "n", _common(F.col("a"), F.col("b")).alias("front"), F.reverse(_common(F.col("c"), F.col("d"))).alias("back"))
+    # the last letter of a Roman number that counts is not shared
+    ends = ends.withColumn("front", F.regexp_replace("front", " i$", " "))
+    size = lambda c: F.length(c)
+    after, edge = F.col("low").substr(size("front") + 1, F.lit(1)), F.substring("front", -1, 1)
+    before, start = F.col("low").substr(size("low") - size("back"), F.lit(1)), F.substring("back", 1, 1)
+    splits = lambda beside, own: (beside != "") & (_kind(own) != _OTHER) & (_kind(beside) == _kind(own))
+    met = rows.join(ends, group).groupBy(*group).agg(
+        F.bool_or((size("low") > size("front")) & (size("front") > 0) & splits(after, edge)).alias("split_front"),
+        F.bool_or((size("low") > size("back")) & (size("back") > 0) & splits(before, start)).alias("split_back"),
+    )
+    front = F.when(_kind(edge) == _DIGIT, F.regexp_replace("front", "[0-9]+$", "")).otherwise(F.regexp_replace("front", "[A-Za-z]+$", ""))
+    back = F.when(_kind(start) == _DIGIT, F.regexp_replace("back", "^[0-9]+", "")).otherwise(F.regexp_replace("back", f"^[^0-9{SEPARATORS}]+", ""))
+    both = ends.join(met, group)
+    return both.select(*group, "n", F.when(F.col("split_front"), front).otherwise(F.col("front")).alias("front"), F.when(F.col("split_back"), back).otherwise(F.col("back")).alias("back"))
 
 
-def shared_affixes(names: list[str]) -> tuple[str, str]:
-    """Longest common prefix and suffix that end at a separator, do not cut a bracket pair, and leave something of each name."""
-    if len(names) < 2:
-        return "", ""
+def middles(same: Sequence[bool], other: Sequence[bool], last: Sequence[int | None], first: Sequence[int | None]) -> str:
+    """For each place 0 (stays), 1 (goes) or 2 (becomes a space), from what holds for all names at each place of the shortest one.
 
-    def trimmed(text: str, names: list[str]) -> str:
-        ends = [m.end() for m in _EDGE.finditer(text)]
-        for end in reversed(ends):
-            part = text[:end]
-            if all(len(n) > end for n in names) and all(part.count(a) == part.count(b) for a, b in ("()", "[]", "{}")):
-                return part
-        return ""
+    A passage is a run of places where all names agree, within the names, drawn in until both its ends are at separators of every name
+    and no bracket in it has its partner outside.
+    """
+    n, out, at = len(same), ["0"] * len(same), 0
+    while at < n:
+        if not same[at]:
+            at += 1
+            continue
+        end = at
+        while end + 1 < n and same[end + 1]:
+            end += 1
+        lo, hi, inner = at, end, at >= 1 and end <= n - 2 and end - at + 1 >= SHORTEST_MIDDLE
+        moved = inner
+        while moved and lo <= hi:
+            before = lo, hi
+            while lo <= hi and not (other[lo] or other[lo - 1]):
+                lo += 1
+            while hi >= lo and not (other[hi] or other[hi + 1]):
+                hi -= 1
+            lo = max([lo, *(p + 1 for p in range(lo, hi + 1) if last[p] is not None and last[p] > hi)])
+            hi = min([hi, *(p - 1 for p in range(lo, hi + 1) if first[p] is not None and first[p] < lo)])
+            moved = (lo, hi) != before
+        if inner and hi - lo + 1 >= SHORTEST_MIDDLE:
+            out[lo : hi + 1] = "1" * (hi - lo + 1)
+            if (other[lo] or other[hi]) and not other[lo - 1] and not other[hi + 1]:
+                out[lo] = "2"
+        at = end + 1
+    return "".join(out)
 
-    front = trimmed(os.path.commonprefix(names), names)
-    rest = [n[len(front) :][::-1] for n in names]
-    back = trimmed(os.path.commonprefix(rest), rest)[::-1]
-    return front, back
 
+@F.pandas_udf(StringType())
+def _middles(places: pd.Series) -> pd.Series:
+    return pd.Series([middles(*zip(*[(p["same"], p["other"], p["last"], p["first"]) for p in row], strict=True)) if len(row) else "" for row in places])
 
-def clean_siblings(rows: DataFrame, group: list[str], name: str) -> DataFrame:
-    """Adds ``clean`` per group; a group is one folder's names of one kind, which one task holds."""
 
-    def clean(part: pd.DataFrame) -> pd.DataFrame:
-        stems = [os.path.splitext(n)[0] for n in part[name]]
-        front, back = shared_affixes(stems)
-        kept = [s[len(front) : len(s) - len(back)] if back else s[len(front) :] for s in stems]
-        tidy = [re.sub(r"[ ._]+", " ", k).strip(" -_.") or s for k, s in zip(kept, stems, strict=True)]
-        return part.assign(clean=tidy)
+def clean_siblings(rows: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with ``clean``: names without what all of their group share, in any case of letters.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", clean string"
-    return rows.groupBy(*group).applyInPandas(clean, schema)
+    Brackets go in pairs: where those of both ends do not make whole pairs they stay, and where a shared end takes one of a pair, its partner in
+    the name goes too. A group of one name is left alone; of several equal names nothing is left. Null names stay null and count for nothing.
+    """
+    # the group's columns as one, whatever their names; nulls in it are a group too
+    rows, group = rows.withColumn("__group", F.struct(*[F.col(f"`{c}`") for c in group])), ["__group"]
+    named = rows.where(F.col(name).isNotNull()).select(*group, F.col(name).alias("name"), F.lower(name).alias("low"))
+    ends = _affixes(named, group).where("n > 1")
+    marks = lambda c: F.array_join(F.transform(_brackets(F.col(c)), lambda x: x["c"]), "")
+    ends = ends.withColumns({"open": marks("front"), "close": marks("back")})
+    keep = ~_balanced(F.concat("open", "close"))
+    ends = ends.select(*group, "front", "back", F.when(keep, F.col("open")).otherwise("").alias("open"), F.when(keep, F.col("close")).otherwise("").alias("close"), (~keep & (F.concat("open", "close") != "")).alias("orphans"))
+    cut = named.distinct().join(ends, group)
+    p, kept = F.length("front"), F.greatest(F.length("name") - F.length("front") - F.length("back"), F.lit(0))
+    pairs = bracket_pairs(F.col("name"))
+    inside = lambda at: (at >= p) & (at < p + kept)
+    lost = F.flatten(F.transform(F.filter(pairs, lambda x: inside(x["first"]) != inside(x["last"])), lambda x: F.array(x["first"], x["last"])))
+    middle = F.col("name").substr(p + 1, kept)
+    left = F.array_join(F.filter(_chars(middle), lambda c, j: ~F.array_contains("lost", (j + F.col("p")).cast("int"))), "")
+    cut = cut.withColumns({"lost": F.when(F.col("orphans"), lost).otherwise(F.array().cast("array<int>")), "p": p})
+    cut = cut.withColumn("left", F.concat("open", F.when(F.size("lost") > 0, left).otherwise(middle), "close")).select(*group, "name", "left")
+    # places of the shortest name
+    shortest = cut.groupBy(*group).agg(F.min(F.length("left")).alias("least")).where(F.col("least") >= SHORTEST_MIDDLE)
+    low = cut.join(shortest, group).select(*group, "least", F.lower("left").alias("low"))
+    partner = F.flatten(F.transform(bracket_pairs(F.col("low")), lambda x: F.array(F.struct(x["first"].alias("at"), x["last"].alias("to")), F.struct(x["last"].alias("at"), x["first"].alias("to")))))
+    low = low.withColumns({"partner": partner, "c": F.slice(_chars(F.col("low")), F.lit(1), F.col("least"))})
+    spots = low.select(*group, "partner", F.posexplode("c").alias("at", "c"))
+    spots = spots.withColumn("to", F.get(F.filter("partner", lambda x: x["at"] == F.col("at")), F.lit(0))["to"])
+    merged = spots.groupBy(*group, "at").agg((F.min("c") == F.max("c")).alias("same"), F.bool_and(_kind(F.col("c")) == _OTHER).alias("other"), F.max("to").alias("last"), F.min("to").alias("first"))
+    found = merged.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "same", "other", "last", "first"))).alias("places")).select(*group, _middles("places").alias("plan"))
+    fate = lambda j: F.substring("plan", j + 1, F.lit(1))
+    without = F.array_join(F.transform(_chars(F.col("left")), lambda c, j: F.when(fate(j) == "2", " ").when(fate(j) == "1", "").otherwise(c)), "")
+    done = cut.join(found, group, "left").select(*group, F.col("name").alias(name), F.when(F.contains("plan", F.lit("1")), without).otherwise(F.col("left")).alias("clean"))
+    return rows.join(done, [*group, name], "left").withColumn("clean", F.coalesce("clean", name)).select(*[F.col(f"`{c}`") for c in rows.columns if c not in group], "clean")

@@ -419,8 +419,88 @@ def test_curves(spark):
 
 
 def test_sibling_names(spark):
-    rows = spark.createDataFrame([("d", "Show - 01 - Pilot [web].mkv"), ("d", "Show - 02 - Next [web].mkv")], "d string, name string")
-    assert sorted(r.clean for r in names.clean_siblings(rows, ["d"], "name").collect()) == ["01 - Pilot", "02 - Next"]
+    rows = [("d", "Show - 01 - Pilot [web]"), ("d", "SHOW - 02 - Next [web]"), ("d", None), ("one", "Alone"), (None, "x a"), (None, "x b"), ("same", "Twin"), ("same", "Twin")]
+    rows += [("mid", "Ann from the archive 12 (a)"), ("mid", "Bob from the archive 34 (b)"), ("run", "Part i"), ("run", "Part ii"), ("word", "album one"), ("word", "album two"), ("pair", "(x) one"), ("pair", "(x) (two)")]
+    got = sorted(((r.d, r.name, r.clean) for r in names.clean_siblings(spark.createDataFrame(rows, "d string, name string"), ["d"], "name").collect()), key=repr)
+    found = {(d, n): c for d, n, c in got}
+    assert len(got) == len(rows)
+    assert found["d", rows[0][1]] == "01 Pilot" and found["d", rows[1][1]] == "02 Next" and found["d", None] is None and found["one", "Alone"] == "Alone" and found[None, "x a"] == "a"
+    assert found["same", "Twin"] == "" and found["mid", rows[8][1]] == "Ann 12 (a)" and found["run", "Part ii"] == "ii" and found["word", "album two"] == "two"
+
+
+def test_sibling_names_by_the_rules_one_by_one(spark):
+    kind = lambda c: "D" if "0" <= c <= "9" else "O" if c < "0" or ":" <= c <= "@" or "[" <= c <= "`" or "{" <= c <= "\x9f" else "L"
+    pairs_of = dict(zip(names.CLOSING, names.OPENING, strict=True))
+
+    def pairs(text):
+        stack, out = [], []
+        for i, c in enumerate(text):
+            if c in names.OPENING:
+                stack.append(i)
+            elif c in pairs_of and stack and text[stack[-1]] == pairs_of[c]:
+                out.append((stack.pop(), i))
+        return out
+
+    def shared(texts, cut):
+        best = ""
+        for n in range(1, min(map(len, texts)) + 1):
+            if len({t[:n] for t in texts}) == 1:
+                best = texts[0][:n]
+        if not best or kind(best[-1]) == "O" or all(len(t) == len(best) or kind(t[len(best)]) != kind(best[-1]) for t in texts):
+            return best
+        while best and cut(best[-1]):
+            best = best[:-1]
+        return best
+
+    def plain(group):
+        low = [g.lower() for g in group]
+        first = os.path.commonprefix(low)
+        trimmed = [t for t in low]
+        front = shared(trimmed, lambda c: c.isascii() and c.isalpha()) if kind((first or " ")[-1]) == "L" else shared(trimmed, lambda c: "0" <= c <= "9")
+        if first.endswith(" i"):
+            front = first[:-1]
+        mirrored = [t[::-1] for t in low]
+        end = os.path.commonprefix(mirrored)
+        back = shared(mirrored, lambda c: kind(c) == kind((end or " ")[-1]))[::-1]
+        marks = lambda t: "".join(c for c in t if c in names.OPENING + names.CLOSING)
+        opened, closed = marks(front), marks(back)
+        whole = 2 * len(pairs(opened + closed)) == len(opened + closed)
+        out = []
+        for g in group:
+            stop = max(len(front), len(g) - len(back))
+            inside = range(len(front), stop)
+            lost = {i for pair in pairs(g) if (pair[0] in inside) != (pair[1] in inside) for i in pair} if whole and opened + closed else set()
+            out.append(("" if whole else opened) + "".join(c for i, c in enumerate(g[: stop]) if i in inside and i not in lost) + ("" if whole else closed))
+        low = [o.lower() for o in out]
+        least = min(map(len, low))
+        places = []
+        for i in range(least if least >= 3 else 0):
+            partners = [b if a == i else a for t in low for a, b in pairs(t) if i in (a, b)]
+            places.append((len({t[i] for t in low}) == 1, all(kind(t[i]) == "O" for t in low), max(partners, default=None), min(partners, default=None)))
+        plan = names.middles(*zip(*places, strict=True)) if places else ""
+        fate = lambda i: plan[i] if i < len(plan) else "0"
+        return ["".join(" " if fate(i) == "2" else "" if fate(i) == "1" else c for i, c in enumerate(o)) for o in out]
+
+    rng = random.Random(8)
+    bits = ["Show", "show ", " - ", "(", ")", "[web]", "12", "3", " i", "é", "the archive", " ", "x", "(a) ", "]", "."]
+    groups, rows = {}, []
+    for k in range(150):
+        head, tail, mid = ("".join(rng.choice(bits) for _ in range(rng.randint(0, 3))) for _ in range(3))
+        members = {head + "".join(rng.choice(bits) for _ in range(rng.randint(0, 2))) + rng.choice([mid, mid.upper()]) + "".join(rng.choice(bits) for _ in range(rng.randint(0, 2))) + tail for _ in range(rng.randint(2, 4))}
+        if len(members) > 1:
+            groups[k] = sorted(members)
+            rows += [(k, m) for m in groups[k]]
+    got = {(r.g, r.name): r.clean for r in names.clean_siblings(spark.createDataFrame(rows, "g int, name string"), ["g"], "name").collect()}
+    wrong = [(k, members, plain(members), [got[k, m] for m in members]) for k, members in groups.items() if plain(members) != [got[k, m] for m in members]]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_middle_passages():
+    row = lambda same, other, last=(): names.middles([c == "1" for c in same], [c == "1" for c in other], [dict(last).get(i) for i in range(len(same))], [None] * len(same))
+    assert row("0111110", "0100010") == "0211110" and row("0111110", "0000000") == "0000000" and row("1111110", "0100010") == "0000000"
+    assert row("0110", "0110") == "0000" and row("0111110", "1100011") == "0111110"
+    # an opening bracket whose partner lies behind the passage stays
+    assert row("01111110", "01100010", [(2, 7)]) == "00011110"
 
 
 def test_roles_and_flags(spark):
