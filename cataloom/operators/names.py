@@ -67,10 +67,10 @@ def _balanced(text: Column) -> Column:
 
 
 def _affixes(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(group, n, front, back) of rows (group, low): what all names begin and end with, drawn back to the boundary of a word or number where a cut would split one."""
+    """(group, n, copies, front, back) of rows (group, low, copies): what all names begin and end with, drawn back to the boundary of a word or number where a cut would split one."""
     back = F.reverse("low")
-    ends = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
-    ends = ends.select(*group, "n", _common(F.col("a"), F.col("b")).alias("front"), F.reverse(_common(F.col("c"), F.col("d"))).alias("back"))
+    ends = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("low").alias("a"), F.max("low").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+    ends = ends.select(*group, "n", "copies", _common(F.col("a"), F.col("b")).alias("front"), F.reverse(_common(F.col("c"), F.col("d"))).alias("back"))
     # the last letter of a Roman number that counts is not shared
     ends = ends.withColumn("front", F.regexp_replace("front", " i$", " "))
     size = lambda c: F.length(c)
@@ -84,7 +84,7 @@ def _affixes(rows: DataFrame, group: list[str]) -> DataFrame:
     front = F.when(_kind(edge) == _DIGIT, F.regexp_replace("front", "[0-9]+$", "")).otherwise(F.regexp_replace("front", "[A-Za-z]+$", ""))
     back = F.when(_kind(start) == _DIGIT, F.regexp_replace("back", "^[0-9]+", "")).otherwise(F.regexp_replace("back", f"^[^0-9{SEPARATORS}]+", ""))
     both = ends.join(met, group)
-    return both.select(*group, "n", F.when(F.col("split_front"), front).otherwise(F.col("front")).alias("front"), F.when(F.col("split_back"), back).otherwise(F.col("back")).alias("back"))
+    return both.select(*group, "n", "copies", F.when(F.col("split_front"), front).otherwise(F.col("front")).alias("front"), F.when(F.col("split_back"), back).otherwise(F.col("back")).alias("back"))
 
 
 def middles(same: Sequence[bool], other: Sequence[bool], last: Sequence[int | None], first: Sequence[int | None]) -> str:
@@ -133,13 +133,13 @@ def clean_siblings(rows: DataFrame, group: Sequence[str], name: str) -> DataFram
     """
     # the group's columns as one, whatever their names; nulls in it are a group too
     rows, group = rows.withColumn("__group", F.struct(*[F.col(f"`{c}`") for c in group])), ["__group"]
-    named = rows.where(F.col(name).isNotNull()).select(*group, F.col(name).alias("name"), F.lower(name).alias("low"))
-    ends = _affixes(named, group).where("n > 1")
+    named = rows.where(F.col(name).isNotNull()).groupBy(*group, F.col(name).alias("name")).agg(F.count("*").alias("copies")).withColumn("low", F.lower("name"))
+    ends = _affixes(named, group).where("copies > 1")
     marks = lambda c: F.array_join(F.transform(_brackets(F.col(c)), lambda x: x["c"]), "")
     ends = ends.withColumns({"open": marks("front"), "close": marks("back")})
     keep = ~_balanced(F.concat("open", "close"))
-    ends = ends.select(*group, "front", "back", F.when(keep, F.col("open")).otherwise("").alias("open"), F.when(keep, F.col("close")).otherwise("").alias("close"), (~keep & (F.concat("open", "close") != "")).alias("orphans"))
-    cut = named.distinct().join(ends, group)
+    ends = ends.select(*group, "n", "front", "back", F.when(keep, F.col("open")).otherwise("").alias("open"), F.when(keep, F.col("close")).otherwise("").alias("close"), (~keep & (F.concat("open", "close") != "")).alias("orphans"))
+    cut = named.select(*group, "name").join(ends, group)
     p, kept = F.length("front"), F.greatest(F.length("name") - F.length("front") - F.length("back"), F.lit(0))
     pairs = bracket_pairs(F.col("name"))
     inside = lambda at: (at >= p) & (at < p + kept)
@@ -147,16 +147,15 @@ def clean_siblings(rows: DataFrame, group: Sequence[str], name: str) -> DataFram
     middle = F.col("name").substr(p + 1, kept)
     left = F.array_join(F.filter(_chars(middle), lambda c, j: ~F.array_contains("lost", (j + F.col("p")).cast("int"))), "")
     cut = cut.withColumns({"lost": F.when(F.col("orphans"), lost).otherwise(F.array().cast("array<int>")), "p": p})
-    cut = cut.withColumn("left", F.concat("open", F.when(F.size("lost") > 0, left).otherwise(middle), "close")).select(*group, "name", "left")
-    # places of the shortest name
-    shortest = cut.groupBy(*group).agg(F.min(F.length("left")).alias("least")).where(F.col("least") >= SHORTEST_MIDDLE)
-    low = cut.join(shortest, group).select(*group, "least", F.lower("left").alias("low"))
+    cut = cut.withColumn("left", F.concat("open", F.when(F.size("lost") > 0, left).otherwise(middle), "close")).select(*group, "n", "name", "left")
+    # places that every name has
+    low = cut.select(*group, "n", F.lower("left").alias("low"))
     partner = F.flatten(F.transform(bracket_pairs(F.col("low")), lambda x: F.array(F.struct(x["first"].alias("at"), x["last"].alias("to")), F.struct(x["last"].alias("at"), x["first"].alias("to")))))
-    low = low.withColumns({"partner": partner, "c": F.slice(_chars(F.col("low")), F.lit(1), F.col("least"))})
-    spots = low.select(*group, "partner", F.posexplode("c").alias("at", "c"))
+    low = low.withColumns({"partner": partner, "c": _chars(F.col("low"))})
+    spots = low.select(*group, "n", "partner", F.posexplode("c").alias("at", "c"))
     spots = spots.withColumn("to", F.get(F.filter("partner", lambda x: x["at"] == F.col("at")), F.lit(0))["to"])
-    merged = spots.groupBy(*group, "at").agg((F.min("c") == F.max("c")).alias("same"), F.bool_and(_kind(F.col("c")) == _OTHER).alias("other"), F.max("to").alias("last"), F.min("to").alias("first"))
-    found = merged.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "same", "other", "last", "first"))).alias("places")).select(*group, _middles("places").alias("plan"))
+    merged = spots.groupBy(*group, "n", "at").agg(F.count("*").alias("names"), (F.min("c") == F.max("c")).alias("same"), F.bool_and(_kind(F.col("c")) == _OTHER).alias("other"), F.max("to").alias("last"), F.min("to").alias("first"))
+    found = merged.where("names = n").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "same", "other", "last", "first"))).alias("places")).select(*group, _middles("places").alias("plan"))
     fate = lambda j: F.substring("plan", j + 1, F.lit(1))
     without = F.array_join(F.transform(_chars(F.col("left")), lambda c, j: F.when(fate(j) == "2", " ").when(fate(j) == "1", "").otherwise(c)), "")
     done = cut.join(found, group, "left").select(*group, F.col("name").alias(name), F.when(F.contains("plan", F.lit("1")), without).otherwise(F.col("left")).alias("clean"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cataloom.functions import titles
+from cataloom.functions import dates, files, titles
 from cataloom.operators import certainty as sure
-from cataloom.operators import curves, intervals
+from cataloom.operators import curves, intervals, names
 from cataloom.plans.registry import query
 from cataloom.session import table
 
@@ -235,3 +235,63 @@ def best_fit(spark, sf_dir):
     needle = F.transform(F.slice("h", (1 + F.col("vec_id") % 17).cast("int"), 16), lambda x: x * 3.0 + 0.02)
     found = rows.select("vec_id", curves.best_lag(needle, F.col("h")).alias("f"))
     return found.select("vec_id", "f.lag", F.round("f.score", 6).alias("score"))
+
+
+# --- names of siblings ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || ' ' || p_type AS clean FROM part")
+def sibling_names(spark, sf_dir):
+    """Three groups of a third of the rows each: a shared front, a shared back with its brackets, and a shared middle go."""
+    rows = table(spark, sf_dir, "part")
+    number, group = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.col("p_size") % 3
+    name = F.concat(F.lit("Vol "), group.cast("string"), F.lit(" - "), number, F.lit(" and the Same words "), "p_type", F.lit(" [x265]"))
+    named = rows.select("p_partkey", group.alias("folder"), F.when(F.col("p_partkey") % 2 == 0, F.replace(name, F.lit("Same"), F.lit("same"))).otherwise(name).alias("name"))
+    return names.clean_siblings(named, ["folder"], "name").select("p_partkey", "clean")
+
+
+# --- dates and times -----------------------------------------------------------------------------------------------
+
+_SPECS = """
+SELECT event_id, ts, CASE event_id % 9 WHEN 0 THEN 'today-' || n || 'weeks..now+' || k || 'days' WHEN 1 THEN '2024' || lpad(CAST(1 + event_id % 13 AS VARCHAR(9)), 2, '0') || '15..'
+  WHEN 2 THEN '..yesterday' WHEN 3 THEN '-' || n || 'months..today' WHEN 4 THEN 'now-' || n || 'hours' WHEN 5 THEN 'today+' || n || 'minute..+' || k || 'years' WHEN 6 THEN 'tomorrow..today'
+  WHEN 7 THEN '' ELSE 'today..2024..' END AS spec, n, k FROM (SELECT event_id, ts, CAST(user_id % 40 AS VARCHAR(9)) AS n, CAST(event_id % 17 AS VARCHAR(9)) AS k FROM events)"""
+
+
+@query(f"""
+SELECT event_id, spec, event_id % 9 NOT IN (6, 8) AS valid, CAST(CASE event_id % 9 WHEN 0 THEN date_trunc('day', ts) - CAST(n AS INT) * INTERVAL 7 DAY
+    WHEN 1 THEN CASE WHEN 1 + event_id % 13 <= 12 THEN make_date(2024, 1 + event_id % 13, 15) END WHEN 3 THEN date_trunc('day', ts) - CAST(n AS INT) * INTERVAL 1 MONTH WHEN 4 THEN ts - CAST(n AS INT) * INTERVAL 1 HOUR
+    WHEN 5 THEN date_trunc('day', ts) + CAST(n AS INT) * INTERVAL 1 MINUTE END AS DATE) AS after,
+  CAST(CASE event_id % 9 WHEN 0 THEN ts + CAST(k AS INT) * INTERVAL 1 DAY WHEN 2 THEN date_trunc('day', ts) - INTERVAL 1 DAY WHEN 3 THEN ts WHEN 5 THEN date_trunc('day', ts) + CAST(k AS INT) * INTERVAL 1 YEAR END AS DATE) AS before
+FROM ({_SPECS})""")
+def date_ranges(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("cataloom_specs")
+    rows = spark.sql(_SPECS.replace("FROM events)", "FROM cataloom_specs)").replace("VARCHAR(9)", "STRING"))
+    return rows.select("event_id", "spec", dates.date_range(F.col("spec"), F.col("ts").cast("timestamp")).alias("r")).select("event_id", "spec", "r.valid", "r.after", "r.before")
+
+
+_CLOCKS = """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN h || ':' || m || ':' || s WHEN 1 THEN ' ' || h || ':' || m || '.5 ' WHEN 2 THEN s WHEN 3 THEN h || '.' || m WHEN 4 THEN h || ':' || m || ':' || s || ',25'
+  WHEN 5 THEN '-' || s ELSE h || 'h' || m END AS text, h, m, s
+FROM (SELECT event_id, CAST(user_id AS VARCHAR(9)) AS h, CAST(event_id % 75 AS VARCHAR(9)) AS m, CAST(event_id % 67 AS VARCHAR(9)) AS s FROM events)"""
+
+
+@query(f"""
+SELECT event_id, text, CAST(CASE event_id % 7 WHEN 0 THEN CASE WHEN greatest(m::INT, s::INT) < 60 THEN 1000 * (3600 * h::INT + 60 * m::INT + s::INT) END WHEN 1 THEN CASE WHEN m::INT < 60 THEN 60000 * h::INT + 1000 * m::INT + 500 END
+  WHEN 2 THEN 1000 * s::INT WHEN 3 THEN round(1000 * CAST(h || '.' || m AS DECIMAL(18, 6))) WHEN 4 THEN CASE WHEN greatest(m::INT, s::INT) < 60 THEN 1000 * (3600 * h::INT + 60 * m::INT + s::INT) + 250 END END AS BIGINT) AS ms
+FROM ({_CLOCKS})""")
+def timestamps(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("cataloom_clocks")
+    rows = spark.sql(_CLOCKS.replace("FROM events)", "FROM cataloom_clocks)").replace("VARCHAR(9)", "STRING"))
+    return rows.select("event_id", "text", dates.timestamp_ms(F.col("text")).alias("ms"))
+
+
+@query("""
+SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'bot' WHEN 1 THEN 'challenge' WHEN 2 THEN 'challenge without help' END AS why FROM conversations WHERE text IS NOT NULL""")
+def refusal_lines(spark, sf_dir):
+    """Lines of a download tool around the texts of conversations."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    said = F.when(kind == 0, "ERROR: Sign in to confirm you are Not a Bot").when(kind == 1, "403, Cloudflare anti-bot challenge: --extractor-args generic:impersonate")
+    said = said.when(kind == 2, "Cloudflare anti-bot challenge, impersonation dependency missing, then generic:impersonate").otherwise("sign in to confirm your age; cloudflare")
+    return rows.select("conv_id", "turn", files.refusal(F.concat(said, F.lit(" "), "text")).alias("why"))

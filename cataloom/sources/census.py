@@ -109,7 +109,7 @@ def replace_table(rows: DataFrame, name: str) -> None:
 
 def read_providers(spark: SparkSession, path: str) -> DataFrame:
     """(place, cells) of a provider table in its order: tab-separated cells, comments and empty lines left out. The first match wins."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
     return lines.where("line not like '#%' and trim(line) <> ''").select("place", F.split("line", "\t", -1).alias("cells"))
 
 
@@ -164,20 +164,58 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^[\s│├└─|`+\-]*", "")).alias("name")).where("name <> ''")
 
 
-def read_feed_table(spark: SparkSession, path: str) -> DataFrame:
-    """Six tab-separated columns with comments and ``#!`` directives left out, and ``faults``, all of a line's at once."""
-    columns = ("active", "subdir", "nameTemplate", "playlistEnd", "extraArgs", "url")
-    lines = spark.read.text(path).where("value not like '#%' and trim(value) <> ''")
-    cells = F.split("value", "\t", -1)
-    rows = lines.select("value", *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(columns)], F.size(cells).alias("cells"))
+# Columns of a feed table, its profiles and the one that holds where none is named, and options that a row may not carry.
+FEED_COLUMNS = ("active", "subdir", "nameTemplate", "playlistEnd", "extraArgs", "url")
+FEED_PROFILES = ("youtubeAudio", "youtubeVideo", "rssAudio", "rssVideo", "siteVideo")
+REFUSED_OPTIONS = ("-o", "--output", "-P", "--paths", "--exec", "--exec-before-download", "--config-location")
+
+
+def read_feed_table(spark: SparkSession, path: str | list[str], convertible: Sequence[str] = FEED_PROFILES[:1]) -> DataFrame:
+    """Rows of feed tables: file, line, the six columns, profile, jobs, ingest, faults (all of a line's at once) and sound, whether the file has none.
+
+    ``#!`` lines give a file's settings in its order: of several that name one setting the last one that is right holds, for all rows of the
+    file. A file with a setting ``ingest`` needs a profile among ``convertible``. Faulty ``#!`` lines are rows without columns. Each file is
+    read whole, as the order of its lines counts; blank lines and other comments are left out.
+    """
+    from pyspark.sql import Window
+
+    blank = "[ \t\r\x0B\f]"
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = text.select("file", (F.col("line") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text")).where(~F.col("text").rlike(f"^{blank}*$"))
+    said = F.startswith("text", F.lit("#!"))
+    lines = lines.where(said | ~F.startswith("text", F.lit("#")))
+    setting = f"^#!{blank}*([A-Za-z]+){blank}+([^ \t\r\x0B\f]+){blank}*$"
+    ingest = f"^#!{blank}*ingest{blank}+(.*)$"
+    name = F.when(F.col("text").rlike(ingest), "ingest").otherwise(F.regexp_extract("text", setting, 1))
+    value = F.when(name == "ingest", F.trim(F.regexp_extract("text", ingest, 1))).otherwise(F.regexp_extract("text", setting, 2))
+    lines = lines.select("*", said.alias("said"), F.when(said, name).alias("name"), F.when(said, value).alias("value"))
+    right = F.when(F.col("name") == "ingest", F.col("value") != "").when(F.col("name") == "profile", F.col("value").isin(*FEED_PROFILES)).when(F.col("name") == "jobs", F.col("value").rlike("^[1-9][0-9]*$"))
+    lines = lines.withColumn("right", F.coalesce(right, F.lit(False)))
+    cells = F.split("text", "\t", -1)
+    for i, column in enumerate(FEED_COLUMNS):
+        lines = lines.withColumn(column, F.when(~F.col("said") & (F.size(cells) == len(FEED_COLUMNS)), F.get(cells, F.lit(i))))
+    whole = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = lambda n, what: F.last(F.when((F.col("name") == n) & F.col("right"), what), ignorenulls=True).over(whole)
+    lines = lines.withColumns({"profile": F.coalesce(last("profile", F.col("value")), F.lit(FEED_PROFILES[0])), "ingest": last("ingest", F.col("value")), "asked": last("ingest", F.col("line")), "jobs": last("jobs", F.col("value"))})
+    lines = lines.withColumn("jobs", F.coalesce("jobs", F.when(F.startswith("profile", F.lit("rss")), "10").otherwise("1")).cast("int"))
+    leaves = lambda c: F.startswith(c, F.lit("/")) | F.contains(c, F.lit(".."))
+    options = F.filter(F.split("extraArgs", r"\s+"), lambda w: F.substring_index(w, "=", 1).isin(*REFUSED_OPTIONS))
+    row, whole_row = ~F.col("said"), F.col("active").isNotNull()
     rules = [
-        (F.col("cells") != len(columns), "wrong number of columns"),
-        (~F.coalesce(F.col("active").isin("yes", "no"), F.lit(False)), "active is yes or no"),
-        (~F.coalesce(F.col("playlistEnd").rlike("^[0-9]*$"), F.lit(False)), "playlistEnd is a number"),
-        (~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "url is not one"),
+        (F.col("said") & ~F.col("right"), F.when(F.col("name") == "", "no setting").otherwise("unknown setting, or a wrong value of one")),
+        (F.col("said") & (F.col("line") == F.col("asked")) & ~F.col("profile").isin(*convertible), F.lit("ingest needs a profile that is converted")),
+        (row & ~whole_row, F.lit("wrong number of columns")),
+        (whole_row & ~F.col("active").isin("0", "1"), F.lit("active is 0 or 1")),
+        (whole_row & (F.col("subdir") == ""), F.lit("subdir is empty")),
+        (whole_row & leaves("subdir"), F.lit("subdir leaves the folder")),
+        (whole_row & leaves("nameTemplate"), F.lit("nameTemplate leaves the folder")),
+        (whole_row & (F.size(options) > 0), F.lit("extraArgs carries a refused option")),
+        (whole_row & ~F.col("playlistEnd").rlike("^[0-9]*$"), F.lit("playlistEnd is a number")),
+        (whole_row & ~F.col("url").rlike("^https?://"), F.lit("url is not one")),
     ]
-    faults = F.filter(F.array(*[F.when(bad, said) for bad, said in rules]), lambda x: x.isNotNull())
-    return rows.withColumn("faults", faults).drop("cells")
+    faults = F.filter(F.array(*[F.when(bad, told) for bad, told in rules]), lambda x: x.isNotNull())
+    lines = lines.withColumn("faults", faults).withColumn("sound", F.max(F.size("faults")).over(Window.partitionBy("file")) == 0)
+    return lines.where(~F.col("said") | (F.size("faults") > 0)).select("file", "line", *FEED_COLUMNS, "profile", "jobs", "ingest", "faults", "sound")
 
 
 def read_cues(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,9 +24,7 @@ def remembered(stream: DataFrame, folder: str, key: str, days: str, rating: str,
         else:
             known = spark.createDataFrame([], new.schema)
         upsert(known, new, key, days, rating).select(key, days, rating).write.mode("overwrite").parquet(f"{folder}/v={number}")
-        jvm = spark.sparkContext._jvm
-        old = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={number - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        _forget(spark, f"{folder}/v={number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -43,6 +41,36 @@ def first_seen(stream: DataFrame, key: list[str], at: str, late: str) -> DataFra
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+def counted(stream: DataFrame, folder: str, feed: str, signature: str, at: str, checkpoint: str) -> StreamingQuery:
+    """Appends rows (batch=n below ``folder``) with ``number``, which runs on within a feed over all batches and restarts.
+
+    What was done is marked by its signature: of rows of one feed and signature only the first ever counts, by keyed state in the checkpoint.
+    Numbers go on from a small table of each feed's last one, one version per batch, in order of ``at`` and signature. A batch that is
+    run again reads the version before its own and writes the same rows over, so a failure in the middle changes no number.
+    """
+    last = f"{folder}/last"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kinds = batch.select(F.col(feed)).withColumn("before", F.lit(0).cast("long")).schema
+        known = spark.read.schema(kinds).parquet(f"{last}/v={number - 1}") if number else spark.createDataFrame([], kinds)
+        order = Window.partitionBy(feed).orderBy(at, signature)
+        placed = batch.join(known, feed, "left").withColumn("number", F.coalesce("before", F.lit(0)) + F.row_number().over(order)).drop("before")
+        placed.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        done = spark.read.schema(placed.schema).parquet(f"{folder}/rows/batch={number}").groupBy(feed).agg(F.max("number").alias("before"))
+        ahead = known.unionByName(done).groupBy(feed).agg(F.max("before").alias("before"))
+        ahead.write.mode("overwrite").parquet(f"{last}/v={number}")
+        _forget(spark, f"{last}/v={number - 2}")
+
+    marked = stream.dropDuplicates([feed, signature])
+    return marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch as a folder of its own (batch=n), so that one that is written again does not count twice."""
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cataloom.functions import adequacy, dimensions, files, formats, titles, tracks
+from cataloom.functions import adequacy, dates, dimensions, files, formats, titles, tracks
 from cataloom.operators import certainty, cubes, curves, gaps, intervals, linkage, mining, names, sync, tallies
 from cataloom.sources import census, probe, watched
 from cataloom.sources import titles as index
@@ -595,10 +595,15 @@ def test_reports(spark, tmp_path):
 
 
 def test_feed_table_and_cues(spark, tmp_path):
-    feed = tmp_path / "feeds.tsv"
-    feed.write_text("#! root=/x\n# comment\nyes\ta\tb\t5\t\thttps://x\nmaybe\ta\tb\tx\t\tftp://y\n")
-    rows = census.read_feed_table(spark, str(feed)).orderBy("active").collect()
-    assert [len(r.faults) for r in rows] == [3, 0]
+    good, bad = tmp_path / "good.tsv", tmp_path / "bad.tsv"
+    good.write_text("#! profile rssAudio\r\n# comment\n1\ta\tb\t5\t--x=1 -y\thttps://x\n \t\n#!jobs 3\n0\tc\t\t\t\thttp://y\n#! profile youtubeAudio\n#!ingest  -b 64 -m  \n")
+    bad.write_text("#! profile rssVideo\n#! profile none\n#!jobs 0\n#!ingest x\n#! what\n1\t/a\t../b\tx\t--paths=/z -o q\tftp://y\n2\t\tb\t\t\thttps://x\n1\ta\n")
+    rows = census.read_feed_table(spark, [str(good), str(bad)]).orderBy("file", "line").collect()
+    mine = [r for r in rows if r.file.endswith("good.tsv")]
+    assert [(r.line, r.active, r.subdir, r.profile, r.jobs, r.ingest, r.faults, r.sound) for r in mine] == [(3, "1", "a", "youtubeAudio", 3, "-b 64 -m", [], True), (6, "0", "c", "youtubeAudio", 3, "-b 64 -m", [], True)]
+    theirs = [r for r in rows if r.file.endswith("bad.tsv")]
+    assert [(r.line, len(r.faults)) for r in theirs] == [(2, 1), (3, 1), (4, 1), (5, 1), (6, 5), (7, 2), (8, 1)]
+    assert {(r.profile, r.jobs, r.ingest, r.sound) for r in theirs} == {("rssVideo", 10, "x", False)} and theirs[-1].url is None
     srt = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,500\n<i>Hi</i>\n\n2\n00:00:03,000 --> 00:00:04,000\nA\nB")], "i int, t string")
     cues = census.read_cues(srt, "i", "t").orderBy("n").collect()
     assert [(c.start_ms, c.end_ms, c.lines) for c in cues] == [(1000, 2500, ["Hi"]), (3000, 4000, ["A", "B"])]
@@ -641,3 +646,61 @@ def test_pending_rows_with_a_timer(spark, tmp_path):
     states.appended(states.waiting(stream, "id", "kind", "at", "10 seconds", 60), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = {r.id: r.state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": "confirmed", "b": "offer", "c": "offer"}
+
+
+def test_dates_of_feeds(spark):
+    now = "timestamp'2024-03-31 10:30:00'"
+    cases = {"20240229": "2024-02-29", "20240230": None, "now": "2024-03-31", "today": "2024-03-31", "yesterday": "2024-03-30", "today-2weeks": "2024-03-17", "-1month": "2024-02-29", "now-11hours": "2024-03-30"}
+    cases |= {"today-1second": "2024-03-30", "now+14hour": "2024-04-01", "+1year": "2025-03-31", "today - 1day": None, "tomorrow": None, "2024": None, "": None, "today-99999999999days": None, "now-999999years": None}
+    got = values(spark, "t string", [(t,) for t in cases], dates.feed_date(F.col("t"), F.expr(now)).cast("string"))
+    assert dict(zip(cases, got, strict=True)) == cases
+    ranges = {"": (True, None, None), "20240101..": (True, "2024-01-01", None), "..yesterday": (True, None, "2024-03-30"), "today-1week..today": (True, "2024-03-24", "2024-03-31"), "20240101..x": (False, None, None), "a..b..c": (False, None, None), "20240101": (True, "2024-01-01", None), None: (True, None, None)}
+    found = values(spark, "t string", [(t,) for t in ranges], dates.date_range(F.col("t"), F.expr(now)))
+    assert [(r.valid, r.after and str(r.after), r.before and str(r.before)) for r in found] == list(ranges.values())
+
+
+def test_timestamps(spark):
+    cases = {"12": 12000, "12.3456": 12346, " 1:02 ": 62000, "1:02:03.5": 3723500, "1:02,25": 62250, "90:00": 5400000, "1:60": None, "1:61:00": None, "1:2:3": 3723000, "-1": None, "x": None, "": None, "1.5.2": None, "0:00.001": 1, None: None}
+    assert values(spark, "t string", [(t,) for t in cases], dates.timestamp_ms(F.col("t"))) == list(cases.values())
+
+
+def test_refusals(spark):
+    cases = {"ERROR: Sign in to confirm you\u2019re NOT a bot. Use": "bot", "Sign in to confirm your age": None, "got HTTP 403 caused by Cloudflare anti-bot challenge; try --extractor-args generic:impersonate": "challenge", None: None}
+    cases |= {"Cloudflare anti-bot challenge; install the required impersonation dependency, then generic:impersonate": "challenge without help", "cloudflare anti-bot challenge": None}
+    assert values(spark, "t string", [(t,) for t in cases], files.refusal(F.col("t"))) == list(cases.values())
+
+
+def test_numbers_run_on_over_a_restart(spark, tmp_path):
+    schema = "feed string, signature string, at int"
+    parts = [[("a", "s1", 1), ("a", "s2", 2), ("b", "s1", 1)], [("a", "s2", 9), ("a", "s4", 5), ("a", "s3", 4), ("c", "s9", 1)], [("b", "s1", 3), ("b", "s5", 3), ("a", "s6", 6), ("a", "s6", 7)]]
+
+    def run(name):
+        source, out = tmp_path / name / "in", str(tmp_path / name / "out")
+        for i, rows in enumerate(parts):
+            if not (source / f"{i}").exists():
+                spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"{i}"))
+                for f in (source / f"{i}").glob("part*"):
+                    os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+        query = states.counted(stream, out, "feed", "signature", "at", str(tmp_path / name / "checkpoint"))
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(schema + ", number long").parquet(f"{out}/rows").select("feed", "signature", "number").collect())
+
+    whole = run("whole")
+    assert whole == [("a", "s1", 1), ("a", "s2", 2), ("a", "s3", 3), ("a", "s4", 4), ("a", "s6", 5), ("b", "s1", 1), ("b", "s5", 2), ("c", "s9", 1)]
+    # a run that breaks after the rows of its second batch are written
+    real, left = states._forget, [1]
+
+    def broken(session, path):
+        real(session, path)
+        if path.endswith("v=-1") and left:
+            left.pop()
+            raise RuntimeError("lost")
+
+    states._forget = broken
+    try:
+        with pytest.raises(Exception, match="lost"):
+            run("broken")
+        assert run("broken") == whole
+    finally:
+        states._forget = real
