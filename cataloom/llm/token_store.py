@@ -38,7 +38,7 @@ from cataloom.llm.scratch import Store, cut, tidy
 
 WINDOW, AVERAGE, SMALLEST, LARGEST = 16, 256, 32, 4096
 #: Pieces of text whose ids a task remembers, beyond which it starts afresh, and pieces that the library encodes at a time.
-REMEMBERED, TOGETHER = 400_000, 4_096
+REMEMBERED, TOGETHER = 700_000, 4_096
 #: Bytes of a piece that are compared as two numbers; longer ones are looked up as bytes.
 SHORT = 16
 _SPACE, _LETTER, _MARK, _OTHER = range(4)

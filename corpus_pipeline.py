@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
-from cataloom.llm.scratch import Store
+from cataloom.llm.scratch import Store, cut
 from cataloom.session import table
 
 
@@ -53,14 +53,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; between stages the rows are written to the shared folder."""
+    """All stages over the documents of ``sf_dir``; between stages the rows are written to the shared folder, whose tables go at the end or on failure."""
     docs, store, before = table(spark, sf_dir, "documents"), Store(spark, "pipeline"), None
-    for name, stage in STAGES[:-1]:
-        docs = store.write(stage(spark, docs, sf_dir), name)
-        if before:
-            store.drop(before)
-        before = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = store.write(stage(spark, docs, sf_dir), name)
+            if before:
+                store.drop(before)
+            before = name
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        store.drop("")
 
 
 #: The stages fit models and follow links; SQL cannot express them. The tests compare each with brute force.
