@@ -160,3 +160,59 @@ def clean_siblings(rows: DataFrame, group: Sequence[str], name: str) -> DataFram
     without = F.array_join(F.transform(_chars(F.col("left")), lambda c, j: F.when(fate(j) == "2", " ").when(fate(j) == "1", "").otherwise(c)), "")
     done = cut.join(found, group, "left").select(*group, F.col("name").alias(name), F.when(F.contains("plan", F.lit("1")), without).otherwise(F.col("left")).alias("clean"))
     return rows.join(done, [*group, name], "left").withColumn("clean", F.coalesce("clean", name)).select(*[F.col(f"`{c}`") for c in rows.columns if c not in group], "clean")
+
+
+#: Fixed value: the form of a day in front of a name.
+DAY = "^[12][0-9]{3}([0-9]{4}|-[01][0-9]-[0-3][0-9])$"
+
+
+def _by_group(rows: DataFrame, group: Sequence[str], told: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` (with __group) joined with what was told of their groups, with some columns changed."""
+    kept = [c for c in rows.columns if c != "__group"]
+    return rows.join(told, "__group", "left").select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in kept])
+
+
+def _keyed(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    return rows.withColumn("__group", F.struct(*[F.col(f"`{c}`") for c in group]))
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("decimal(38,0)"))
+
+
+def pad_prefixes(rows: DataFrame, group: Sequence[str], prefix: str, core: str) -> DataFrame:
+    """Numbers in front of names at the width of their group's largest, if the group's are two or more, all different, without a gap.
+
+    A core that is only its prefix is padded too. The test is by counts: numbers are counted once each before they are counted by group.
+    """
+    rows = _keyed(rows, group)
+    each = rows.select("__group", _number(F.col(prefix)).alias("v")).groupBy("__group", "v").agg(F.count("*").alias("n"))
+    runs = each.groupBy("__group").agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.max("v").alias("most"), F.min("v").alias("least"), F.count_if(F.col("v").isNull()).alias("other"))
+    run = (F.col("other") == 0) & (F.col("n") > 1) & (F.col("values") == F.col("n")) & (F.col("most") - F.col("least") + 1 == F.col("n"))
+    told = runs.select("__group", F.when(run, F.length(F.col("most").cast("string"))).alias("__width"))
+    value = _number(F.col(prefix)).cast("string")
+    padded = F.when(F.col("__width").isNotNull(), F.lpad(value, F.col("__width"), F.lit("0")))
+    return _by_group(rows, group, told, {prefix: F.coalesce(padded, F.col(prefix)), core: F.when(F.col(core) == F.col(prefix), F.coalesce(padded, F.col(core))).otherwise(F.col(core))})
+
+
+def drop_doubled_prefixes(rows: DataFrame, group: Sequence[str], prefix: str, core: str) -> DataFrame:
+    """Empties the prefixes of a group whose every core begins with its prefix again, numbers compared by value."""
+    rows = _keyed(rows, group)
+    lead = F.substring_index(core, " ", 1)
+    numbers = _number(F.col(prefix)).isNotNull() & _number(lead).isNotNull()
+    again = F.when(numbers, _number(F.col(prefix)) == _number(lead)).otherwise((F.col(core) == F.col(prefix)) | F.startswith(F.col(core), F.concat(prefix, F.lit(" "))))
+    told = rows.groupBy("__group").agg(F.bool_and(F.coalesce((F.col(prefix) != "") & again, F.lit(False))).alias("__doubled"))
+    return _by_group(rows, group, told, {prefix: F.when(F.col("__doubled"), "").otherwise(F.col(prefix))})
+
+
+def drop_uniform_prefixes(rows: DataFrame, group: Sequence[str], prefix: str, core: str) -> DataFrame:
+    """Empties a prefix that all of a group of two or more have, unless it is a day or some core would leave no name."""
+    rows = _keyed(rows, group)
+    same = (F.min(prefix) == F.max(prefix)) & (F.count(prefix) == F.count("*")) & (F.count("*") > 1) & (F.min(prefix) != "") & ~F.min(prefix).rlike(DAY)
+    told = rows.groupBy("__group").agg((same & F.bool_and(F.coalesce(F.col(core) != "", F.lit(False)))).alias("__uniform"))
+    return _by_group(rows, group, told, {prefix: F.when(F.coalesce("__uniform", F.lit(False)), "").otherwise(F.col(prefix))})
+
+
+def settled_prefixes(rows: DataFrame, group: Sequence[str], prefix: str, core: str) -> DataFrame:
+    """Doubled prefixes dropped, then numbers padded, then prefixes dropped that tell nothing apart."""
+    return drop_uniform_prefixes(pad_prefixes(drop_doubled_prefixes(rows, group, prefix, core), group, prefix, core), group, prefix, core)

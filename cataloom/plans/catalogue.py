@@ -250,6 +250,28 @@ def sibling_names(spark, sf_dir):
     return names.clean_siblings(named, ["folder"], "name").select("p_partkey", "clean")
 
 
+_PREFIXED = """
+SELECT p_partkey, CAST(FLOOR(p_partkey / 8) AS BIGINT) AS folder, CASE k WHEN 0 THEN CAST(n + 95 AS VARCHAR(9)) WHEN 1 THEN '2024' WHEN 2 THEN '2024-01-15' WHEN 3 THEN CAST(n AS VARCHAR(9)) WHEN 4 THEN CAST(2 * n AS VARCHAR(9)) WHEN 5 THEN '00' || CAST(n AS VARCHAR(9)) ELSE '7' END AS prefix,
+  CASE k WHEN 0 THEN CASE n WHEN 3 THEN '98' ELSE p_name END WHEN 3 THEN '0' || CAST(n AS VARCHAR(9)) || ' ' || p_name WHEN 6 THEN CASE n WHEN 5 THEN '' ELSE p_name END ELSE p_name END AS core
+FROM (SELECT p_partkey, p_name, p_partkey % 8 + 1 AS n, CAST(FLOOR(p_partkey / 8) AS BIGINT) % 7 AS k FROM part)"""
+
+
+@query(f"""
+WITH r AS ({_PREFIXED}),
+d AS (SELECT *, min(CASE WHEN prefix <> '' AND (CASE WHEN regexp_full_match(prefix, '[0-9]+') AND regexp_full_match(split_part(core, ' ', 1), '[0-9]+') THEN prefix::HUGEINT = split_part(core, ' ', 1)::HUGEINT ELSE core = prefix OR starts_with(core, prefix || ' ') END) THEN 1 ELSE 0 END) OVER (PARTITION BY folder) AS again FROM r),
+e AS (SELECT p_partkey, folder, core, CASE again WHEN 1 THEN '' ELSE prefix END AS prefix FROM d),
+f AS (SELECT *, min(CASE WHEN regexp_full_match(prefix, '[0-9]+') THEN 1 ELSE 0 END) OVER w AS numbers, max(TRY_CAST(prefix AS HUGEINT)) OVER w AS most, min(TRY_CAST(prefix AS HUGEINT)) OVER w AS least, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY folder)),
+g AS (SELECT *, numbers = 1 AND n > 1 AND most - least + 1 = n AND n = (SELECT count(DISTINCT TRY_CAST(x.prefix AS HUGEINT)) FROM e x WHERE x.folder = f.folder) AS run FROM f),
+h AS (SELECT p_partkey, folder, CASE WHEN run THEN lpad(CAST(prefix::HUGEINT AS VARCHAR), length(CAST(most AS VARCHAR))::INT, '0') ELSE prefix END AS prefix,
+  CASE WHEN run AND core = prefix THEN lpad(CAST(prefix::HUGEINT AS VARCHAR), length(CAST(most AS VARCHAR))::INT, '0') ELSE core END AS core FROM g),
+u AS (SELECT *, min(prefix) OVER w = max(prefix) OVER w AND min(prefix) OVER w <> '' AND count(*) OVER w > 1 AND min(length(core)) OVER w > 0 AND NOT regexp_full_match(prefix, '[12][0-9]{{3}}([0-9]{{4}}|-[01][0-9]-[0-3][0-9])') AS same FROM h WINDOW w AS (PARTITION BY folder))
+SELECT p_partkey, CASE WHEN same THEN '' ELSE prefix END AS prefix, core FROM u""")
+def group_prefixes(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("cataloom_prefixed")
+    rows = spark.sql(_PREFIXED.replace("FROM part)", "FROM cataloom_prefixed)").replace("VARCHAR(9)", "STRING"))
+    return names.settled_prefixes(rows, ["folder"], "prefix", "core").select("p_partkey", "prefix", "core")
+
+
 # --- dates and times -----------------------------------------------------------------------------------------------
 
 _SPECS = """

@@ -704,3 +704,28 @@ def test_numbers_run_on_over_a_restart(spark, tmp_path):
         assert run("broken") == whole
     finally:
         states._forget = real
+
+
+def test_prefixes_of_groups(spark):
+    groups = {
+        "run": ([("5", "a"), ("34", "b"), ("6", "6")] + [(str(n), "x") for n in range(7, 34)], None),
+        "wide": ([("007", "007"), ("8", "b")], [("7", "7"), ("8", "b")]),
+        "gap": ([("2019", "a"), ("2021", "b")], [("2019", "a"), ("2021", "b")]),
+        "twice": ([("1", "a"), ("01", "b")], [("1", "a"), ("01", "b")]),
+        "text": ([("1", "a"), ("x", "b")], [("1", "a"), ("x", "b")]),
+        "doubled": ([("1", "01 A"), ("02", "2 B")], [("", "01 A"), ("", "2 B")]),
+        "named": ([("ab", "ab x"), ("cd", "cd")], [("", "ab x"), ("", "cd")]),
+        "once": ([("1", "1 A"), ("2", "B")], [("1", "1 A"), ("2", "B")]),
+        "uniform": ([("2024", "A"), ("2024", "B")], [("", "A"), ("", "B")]),
+        "day": ([("20240131", "A"), ("20240131", "B")], [("20240131", "A"), ("20240131", "B")]),
+        "no day": ([("30260728", "A"), ("30260728", "B")], [("", "A"), ("", "B")]),
+        "bare": ([("2024", "A"), ("2024", "")], [("2024", "A"), ("2024", "")]),
+        "alone": ([("2024", "A")], [("2024", "A")]),
+        "none": ([("", "A"), (None, "B")], [("", "A"), (None, "B")]),
+        None: ([("3", "A"), ("3", "B")], [("", "A"), ("", "B")]),
+    }
+    groups["run"] = (groups["run"][0], [(p.zfill(2), c.zfill(2) if c == p else c) for p, c in groups["run"][0]])
+    rows = [(g, *m) for g, (members, _) in groups.items() for m in members]
+    got = names.settled_prefixes(spark.createDataFrame(rows, "d string, prefix string, core string"), ["d"], "prefix", "core").collect()
+    for g, (_, wanted) in groups.items():
+        assert sorted([(r.prefix, r.core) for r in got if r.d == g], key=repr) == sorted(wanted, key=repr), g
