@@ -163,7 +163,7 @@ def figures(words: Column) -> Column:
     return F.transform(words, _figure)
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -197,7 +197,7 @@ def _no_filler(w: Column) -> Column:
 def _no_label(w: Column) -> Column:
     kept = F.filter(w, lambda x, i: (i == 0) | ~x.isin(*LABELS))
     ended = lambda k: _if((F.size(k) > 2) & F.element_at(k, -1).isin(*LAST_LABELS), F.slice(k, F.lit(1), F.size(k) - 1), k)
-    return _let(_let(kept, ended), lambda k: _if(F.size(k) > 1, k, w))
+    return let(let(kept, ended), lambda k: _if(F.size(k) > 1, k, w))
 
 
 def _no_possessive(w: Column) -> Column:
@@ -233,12 +233,12 @@ def _no_subtitle(title: Column) -> Column:
     """The words of a title up to the first break that follows a number in its series, with the years of the rest; all words if there is none."""
     def cut(parts: Column) -> Column:
         head = lambda n: F.flatten(F.slice(parts, F.lit(1), n))
-        told = lambda n: _let(_let(figures(head(n)), _no_number_label), lambda w: (F.size(w) > 1) & _ordinal(F.element_at(w, -1)))
+        told = lambda n: let(let(figures(head(n)), _no_number_label), lambda w: (F.size(w) > 1) & _ordinal(F.element_at(w, -1)))
         breaks = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
         years = lambda n: F.filter(F.flatten(F.slice(parts, n + 1, F.size(parts))), lambda x: x.rlike("^[12][0-9]{3}$"))
-        return _let(F.get(F.filter(breaks, told), F.lit(0)), lambda n: F.when(n.isNotNull(), F.concat(head(n), years(n))).otherwise(F.flatten(parts)))
+        return let(F.get(F.filter(breaks, told), F.lit(0)), lambda n: F.when(n.isNotNull(), F.concat(head(n), years(n))).otherwise(F.flatten(parts)))
 
-    return _let(F.transform(F.split(title, SUBTITLE), lambda p: _words(p)), cut)
+    return let(F.transform(F.split(title, SUBTITLE), lambda p: _words(p)), cut)
 
 
 def title_forms(title: Column) -> Column:
@@ -321,8 +321,8 @@ def one_slip(a: Column, b: Column) -> Column:
     def places(c: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(c["y"]) - 1), lambda i: of(c, "x", i) != of(c, "y", i))
 
-    same = _let(chars, lambda c: _let(places(c), lambda off: exchanged(c, off)))
-    more = _let(chars, lambda c: _let(F.coalesce(F.get(places(c), F.lit(0)), F.size(c["y"])), lambda place: surplus(c, place)))
+    same = let(chars, lambda c: let(places(c), lambda off: exchanged(c, off)))
+    more = let(chars, lambda c: let(F.coalesce(F.get(places(c), F.lit(0)), F.size(c["y"])), lambda place: surplus(c, place)))
     long_enough = F.least(F.length(a), F.length(b)) >= SHORTEST_NEAR
     apart = F.abs(F.length(a) - F.length(b))
     return F.when(long_enough & (a != b), F.when(apart == 0, same).when(apart == 1, more).otherwise(none)).otherwise(none)

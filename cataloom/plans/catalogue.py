@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cataloom.functions import dates, files, titles
+from cataloom.functions import names as single
 from cataloom.operators import certainty as sure
 from cataloom.operators import curves, intervals, names
 from cataloom.plans.registry import query
@@ -250,6 +251,25 @@ def sibling_names(spark, sf_dir):
     return names.clean_siblings(named, ["folder"], "name").select("p_partkey", "clean")
 
 
+#: Names as tools write them, with what is left of each.
+_WRITTEN = """
+SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN n || ' - ' || p_name WHEN 1 THEN '2024-01-15 ' || p_name || '.' || n WHEN 2 THEN '( ' || n || ') ' || p_name || ' -' WHEN 3 THEN n || ' -' || p_name
+    WHEN 4 THEN p_name || ' (1 ' || n || ')' WHEN 5 THEN p_name || ' (9 1)' WHEN 6 THEN '_' || p_name || '_#' || n WHEN 7 THEN n || '-' || n || ' ' || p_name WHEN 8 THEN n || '--' || p_name || '...' WHEN 9 THEN p_name || ' FREE copy' || n
+    WHEN 10 THEN 'a' || n || 'z ' || p_name ELSE p_name || ' free web-rip free' END AS name, p_name, n
+FROM (SELECT p_partkey, p_name, CAST(10 + p_partkey % 90 AS VARCHAR(9)) AS n FROM part)"""
+
+
+@query(f"""
+SELECT p_partkey, name, CASE p_partkey % 12 WHEN 0 THEN n WHEN 1 THEN '2024-01-15' WHEN 2 THEN n WHEN 3 THEN n WHEN 7 THEN n || '-' || n WHEN 8 THEN n ELSE '' END AS prefix,
+  CASE p_partkey % 12 WHEN 1 THEN p_name || ' ' || n WHEN 4 THEN p_name || ' (1-' || n || ')' WHEN 5 THEN p_name || ' (9 1)' WHEN 6 THEN p_name || ' Ep.' || n WHEN 9 THEN p_name || ' copy' || n WHEN 10 THEN 'a' || n || 'z ' || p_name ELSE p_name END AS core
+FROM ({_WRITTEN})""")
+def single_names(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("cataloom_written")
+    rows = spark.sql(_WRITTEN.replace("FROM part)", "FROM cataloom_written)").replace("VARCHAR(9)", "STRING"))
+    cleaned = rows.select("p_partkey", "name", single.clean_name(F.col("name"), ["free", "WEB-rip", "opy"]).alias("c"))
+    return cleaned.select("p_partkey", "name", "c.prefix", "c.core")
+
+
 _PREFIXED = """
 SELECT p_partkey, CAST(FLOOR(p_partkey / 8) AS BIGINT) AS folder, CASE k WHEN 0 THEN CAST(n + 95 AS VARCHAR(9)) WHEN 1 THEN '2024' WHEN 2 THEN '2024-01-15' WHEN 3 THEN CAST(n AS VARCHAR(9)) WHEN 4 THEN CAST(2 * n AS VARCHAR(9)) WHEN 5 THEN '00' || CAST(n AS VARCHAR(9)) ELSE '7' END AS prefix,
   CASE k WHEN 0 THEN CASE n WHEN 3 THEN '98' ELSE p_name END WHEN 3 THEN '0' || CAST(n AS VARCHAR(9)) || ' ' || p_name WHEN 6 THEN CASE n WHEN 5 THEN '' ELSE p_name END ELSE p_name END AS core

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cataloom.functions import adequacy, dates, dimensions, files, formats, titles, tracks
+from cataloom.functions import names as single
 from cataloom.operators import certainty, cubes, curves, gaps, intervals, linkage, mining, names, sync, tallies
 from cataloom.sources import census, probe, watched
 from cataloom.sources import titles as index
@@ -729,3 +730,19 @@ def test_prefixes_of_groups(spark):
     got = names.settled_prefixes(spark.createDataFrame(rows, "d string, prefix string, core string"), ["d"], "prefix", "core").collect()
     for g, (_, wanted) in groups.items():
         assert sorted([(r.prefix, r.core) for r in got if r.d == g], key=repr) == sorted(wanted, key=repr), g
+
+
+def test_single_names(spark):
+    cases = {
+        "01 - Pilot": ("01", "Pilot"), "01. Pilot": ("01", "Pilot"), "( 07 ) Name": ("07", "Name"), "(07) Name": ("07", "Name"), "(12-15) Name": ("", "(12-15) Name"), "a16z Talk": ("", "a16z Talk"),
+        "20240131 Talk": ("20240131", "Talk"), "2024-01-31_Talk": ("2024-01-31", "Talk"), "12-15 Name": ("12-15", "Name"), "12-15-18 Name": ("12-15-18", "Name"), "123456 Name": ("123456", "Name"),
+        "Name (1 2)": ("", "Name (1-2)"), "Name (2 1)": ("", "Name (2 1)"), "Name (1 2]": ("", "Name (1 2]"), "Name 3 -5 x": ("", "Name 3-5 x"), "Name 007- 7": ("", "Name 007-7"), "Name 3 - 5": ("", "Name 3 5"),
+        "Don't \"stop\"": ("", "Dont stop"), "A\uff1aB": ("", "A - B"), "Tail --__": ("", "Tail"), "- Lead": ("", "Lead"), "x  y   ": ("", "x y"), "5": ("5", ""), "": ("", ""), "Ep #5": ("", "Ep Ep.5"), "1 ,, x": ("1", ",, x"), "1 ,,x": ("1", "x"),
+    }
+    got = values(spark, "t string", [(t,) for t in cases], single.clean_name(F.col("t")))
+    assert {t: (r.prefix, r.core) for t, r in zip(cases, got, strict=True)} == cases
+    assert values(spark, "t string", [(None,)], single.clean_name(F.col("t"))) == [None]
+    parts = {"concatenate cat": "concatenate ", "CAT-cat1": "-cat1".replace("-cat1", "-1"), "x1 cat": "x1 ", "écat": "écat"}
+    assert values(spark, "t string", [(t,) for t in parts], single.without_fragments(F.col("t"), ["cat", "#x"])) == list(parts.values())
+    slow = "1" + " -" * 3000 + "x (" + " 1" * 2000
+    assert values(spark, "t string", [(slow,)], single.clean_name(F.col("t")))[0].prefix == "1"
