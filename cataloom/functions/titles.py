@@ -266,6 +266,82 @@ def readings(title: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(keys, lambda k: k != "")), 1, MOST_READINGS)
 
 
+# How a name says that another follows, what is left on the edges of both, titles of one name at most, spellings worth asking at most,
+# breaks within a title, and umlauts written back from how a keyboard spells them.
+ALSO_KNOWN = r"(?i)\s[(\[{]?\s*(?:a\.?\s?k\.?\s?a\.?|a\s*/\s*k\s*/\s*a|also\s+known\s+as)(?=[\s:,.;)\]}-]|$)[\s:,.;–—-]*"
+MOST_TITLES, MOST_SPELLINGS = 3, 5
+BREAK = r"\s[-–—]\s|:\s|\s\|\s"
+WRITTEN_BACK = (("(?<![AaEeQqÄä])ue", "ü"), ("(?<![AaEeQqÄä])Ue", "Ü"), (r"ae(?!la?\b)", "ä"), (r"Ae(?!la?\b)", "Ä"), ("oe", "ö"), ("Oe", "Ö"))
+
+
+def _closed_up(part: Column) -> Column:
+    """One title without separators at its ends, and without a bracket there whose partner is gone."""
+    edges = lambda t: F.regexp_replace(t, r"^[ \t\-–—:,;|]+|[ \t\-–—:,;|]+$", "")
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+
+    def without(first: str, last: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+        ended = lambda t: F.when(F.endswith(t, F.lit(last)) & (count(t, last) > count(t, first)), edges(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
+        begun = lambda t: F.when(F.startswith(t, F.lit(first)) & (count(t, first) > count(t, last)), edges(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+        return ended, begun
+
+    return reduce(let, [rule for pair in ("()", "[]", "{}") for rule in without(*pair)], edges(part))
+
+
+def titles_together(name: Column) -> Column:
+    """The titles that a name says it has, left to right, at most three; none where it is one title or a part of it would be no title."""
+    parts = F.transform(F.split(name, ALSO_KNOWN, -1), _closed_up)
+    none = F.array().cast("array<string>")
+    return let(parts, lambda p: F.when((F.size(p) > 1) & F.forall(p, lambda t: fold(t) != ""), F.slice(p, 1, MOST_TITLES)).otherwise(none))
+
+
+def _parts(title: Column) -> Column:
+    return F.filter(F.split(title, r"\s+"), lambda w: w != "")
+
+
+def _without_labels(words: Column) -> Column:
+    """Written words without labels behind the first, an article before one, and a last label with the separators it leaves."""
+    empty = F.array().cast("array<string>")
+
+    def step(kept: Column, x: Column) -> Column:
+        label = (x["i"] > 0) & fold(x["w"]).isin(*LABELS)
+        article = F.coalesce(fold(F.get(kept, F.size(kept) - 1)).isin(*ARTICLES), F.lit(False))
+        return F.when(~label, F.array_append(kept, x["w"])).when(article, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+
+    def ended(k: Column) -> Column:
+        rest = F.regexp_replace(F.array_join(F.slice(k, F.lit(1), F.size(k) - 1), " "), r"[ \-:–—|]+$", "")
+        return F.when((F.size(k) > 2) & fold(F.element_at(k, -1)).isin(*LAST_LABELS), _parts(rest)).otherwise(k)
+
+    return let(F.aggregate(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), empty, step), ended)
+
+
+def search_spellings(title: Column) -> Column:
+    """The spellings to ask a catalogue under, the written one first, at most five; of those that fold to the same only the first."""
+    filler = "|".join(FILLERS)
+    bare = F.regexp_replace(title, rf"(?i)^(?:[.:-]*(?:{filler})[.:-]* [ \-:.–—|]*+(?=.))+", "")
+
+    def spellings(t: Column) -> Column:
+        tail = F.trim(F.element_at(F.split(t, BREAK, -1), -1))
+        says = F.exists(figures(_words(tail)), lambda w: ~(w.rlike("^[0-9]+$") | w.isin(*NUMBER_LABELS)))
+        words = _parts(t)
+        plain, counted = _without_labels(words), F.transform(words, lambda w: let(F.lower(w), lambda x: F.when(_figure(x) != x, _figure(x)).otherwise(w)))
+        last = F.element_at(words, -1)
+        return F.array(
+            t,
+            reduce(lambda u, pair: F.regexp_replace(u, *pair), WRITTEN_BACK, t),
+            F.when((tail != "") & (tail != F.trim(t)) & says, tail),
+            F.when(F.size(plain) > 1, F.array_join(plain, " ")),
+            F.array_join(counted, " "),
+            F.when((F.size(words) > 1) & F.lower(last).isin("i", "1"), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")),
+            fold(title),
+        )
+
+    every = F.concat(F.array(title), let(bare, spellings))
+    folded = F.transform(every, lambda t: F.struct(F.coalesce(fold(t), F.lit("")).alias("f"), t.alias("t")))
+    # the written title leads even if nothing of it folds
+    new = lambda all_: F.filter(all_, lambda x, i: (i == 0) | ((x["f"] != "") & ~F.exists(F.slice(all_, F.lit(1), i), lambda y: y["f"] == x["f"])))
+    return F.when(title.isNotNull(), F.slice(F.transform(let(folded, new), lambda x: x["t"]), 1, MOST_SPELLINGS))
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """Whether one substitution, insertion, deletion or swap of neighbours makes one of the other."""
     swapped = lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a)))

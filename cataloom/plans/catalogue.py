@@ -86,6 +86,23 @@ def title_readings(spark, sf_dir):
     return keys.select("p_partkey", F.size("keys").cast("long").alias("n"), F.array_join("keys", "|").alias("keys"))
 
 
+_ASKED = """
+SELECT p_partkey, w1, w2, CASE p_partkey % 8 WHEN 0 THEN 'Movie: ' || w1 || ' ' || w2 WHEN 1 THEN w1 || ' - ' || w2 || ' II' WHEN 2 THEN w1 || ' the Movie ' || w2 WHEN 3 THEN w1 || ' fuer ' || w2 WHEN 4 THEN w1 || ' ' || w2 || ' I'
+  WHEN 5 THEN w1 || ' ' || w2 || ' - Part 2' WHEN 6 THEN w1 || ' & ' || w2 || ' - Live' ELSE w1 || ' ' || w2 || ' (a.k.a. ' || w2 || ' ' || w1 || ')' END AS title
+FROM (SELECT p_partkey, replace(split_part(p_name, ' ', 1), 'ue', 'u') AS w1, replace(split_part(p_name, ' ', 2), 'ue', 'u') AS w2 FROM part)"""
+
+
+@query(f"""
+SELECT p_partkey, title || CASE p_partkey % 8 WHEN 0 THEN '|' || w1 || ' ' || w2 WHEN 1 THEN '|' || w2 || ' II|' || w1 || ' - ' || w2 || ' 2' WHEN 2 THEN '|' || w1 || ' ' || w2 WHEN 3 THEN '|' || w1 || ' für ' || w2 WHEN 4 THEN '|' || w1 || ' ' || w2 || ' 1|' || w1 || ' ' || w2
+  WHEN 6 THEN '|Live|' || w1 || ' & ' || w2 ELSE '' END AS asked, CASE p_partkey % 8 WHEN 7 THEN w1 || ' ' || w2 || '|' || w2 || ' ' || w1 ELSE '' END AS together
+FROM ({_ASKED})""")
+def search_spellings(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("cataloom_asked")
+    rows = spark.sql(_ASKED.replace("FROM part)", "FROM cataloom_asked)"))
+    asked, together = titles.search_spellings(F.col("title")), titles.titles_together(F.col("title"))
+    return rows.select("p_partkey", F.array_join(asked, "|").alias("asked"), F.array_join(together, "|").alias("together"))
+
+
 # --- slips ---------------------------------------------------------------------------------------------------------
 
 #: Names and what a hand, or something else, made of them: one or two changes at some place.

@@ -746,3 +746,17 @@ def test_single_names(spark):
     assert values(spark, "t string", [(t,) for t in parts], single.without_fragments(F.col("t"), ["cat", "#x"])) == list(parts.values())
     slow = "1" + " -" * 3000 + "x (" + " 1" * 2000
     assert values(spark, "t string", [(slow,)], single.clean_name(F.col("t")))[0].prefix == "1"
+
+
+def test_spellings_to_ask(spark):
+    cases = {
+        "Movie - The Film: Ember": ["Movie - The Film: Ember", "The Film: Ember", "Ember"],
+        "Movie": ["Movie"], "": [""], "Über": ["Über"], "Michaela Faelle": ["Michaela Faelle", "Michaela Fälle"], "Trauer neue Quelle": ["Trauer neue Quelle"],
+        "Gorse - Part 2": ["Gorse - Part 2"], "Nordwind: Der Sturm": ["Nordwind: Der Sturm", "Der Sturm"], "Sun the Documentary Ember": ["Sun the Documentary Ember", "Sun Ember"],
+        "Kestrel Vane - Live": ["Kestrel Vane - Live", "Live", "Kestrel Vane"], "Part Two": ["Part Two", "Part 2"], "Heat I": ["Heat I", "Heat 1", "Heat"],
+    }
+    got = values(spark, "t string", [(t,) for t in cases], titles.search_spellings(F.col("t")))
+    assert dict(zip(cases, got, strict=True)) == cases
+    assert values(spark, "t string", [(None,)], titles.search_spellings(F.col("t"))) == [None]
+    both = {"Falcons aka Nordwind (1998)": ["Falcons", "Nordwind (1998)"], "Falcons (a.k.a. Nordwind)": ["Falcons", "Nordwind"], "A also known as B a/k/a C AKA D": ["A", "B", "C"], "Nakamura Lane": [], "Aka Sunfall": [], "Falcons aka": [], "x aka !": [], "": [], "One (I) aka: [Two]": ["One (I)", "[Two]"]}
+    assert values(spark, "t string", [(t,) for t in both], titles.titles_together(F.col("t"))) == list(both.values())
