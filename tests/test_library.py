@@ -163,23 +163,23 @@ def test_accents_as_by_decomposition(spark):
 
 def test_readings_and_runs(spark):
     cases = {
-        "Lantern and the Keeper of Keys": ({"lantern and keeper of keys", "lanternandthekeeperofkeys"}, {"lantern keeper of keys"}),
-        "Lantern und der Keeper": ({"lantern and der keeper", "lantern and keeper"}, {"lantern keeper"}),
+        "Lantern and the Warden of Doors": ({"lantern and warden of doors", "lanternandthewardenofdoors"}, {"lantern warden of doors"}),
+        "Lantern und der Warden": ({"lantern and der warden", "lantern and warden"}, {"lantern warden"}),
         "Rocky Part II": ({"rocky part 2", "rocky 2"}, {"rocky"}),
-        "Nordwind Part 1": ({"nordwind part"}, {"nordwind", "nordwind 1"}),
+        "Ostsee Part 1": ({"ostsee part"}, {"ostsee", "ostsee 1"}),
         "Heat I": ({"heat 1", "heat"}, set()),
         "two towers the": ({"2 towers the", "2 towers", "two towers"}, set()),
         "henry viii": ({"henry 8"}, {"henry"}),
-        "Steel Halo 2: Silence (1999)": ({"steel halo silence 1999", "steel halo 2 1999", "steel halo 1999"}, {"steel halo 2", "steel halo"}),
-        "Nordwind: Der Sturm": ({"nordwind sturm"}, {"nordwind"}),
+        "Iron Gate 2: Winter (1999)": ({"iron gate winter 1999", "iron gate 2 1999", "iron gate 1999"}, {"iron gate 2", "iron gate"}),
+        "Ostsee: Die Flut": ({"ostsee flut"}, {"ostsee"}),
         "Movie Ember the Movie - Wonder Live": ({"ember wonder", "ember the wonder"}, {"movie"}),
-        "Wilder and Bright's Watch": ({"wilder and bright watch"}, set()),
+        "Moss and Finch's Watch": ({"moss and finch watch"}, set()),
         "Zwölf Über": ({"12 uber", "12 ueber", "zwoelf ueber"}, {"12"}),
         "kaksitoista tizenhét vijftien": ({"12 17 15"}, set()),
         "MCMXCIV mix did": ({"1994 1009 did"}, set()),
-        "The Beacon": ({"beacon"}, set()),
-        "Beacon, The": ({"beacon"}, set()),
-        "N.E.S.T.": ({"nest"}, set()),
+        "The Pier": ({"pier"}, set()),
+        "Pier, The": ({"pier"}, set()),
+        "A.R.C.": ({"arc"}, set()),
         "": (set(), set()),
     }
     got = values(spark, "t string", [(t,) for t in cases], titles.readings(F.col("t")))
@@ -191,8 +191,8 @@ def test_readings_and_runs(spark):
 
 
 def test_slips(spark):
-    apart = [("thinner than air", "thinner tahn air"), ("falcons forever", "falcon sforever"), ("falcons forever", "falconsf orever"), ("marek halvor", "marekk halvor"), ("falcons forevr", "falcons forever"), ("falcons forever", "falconsforever"), ("color me", "colour me"), ("nosferatu", "nosferatv"), ("abcdef", "abcdefg")]
-    other = [("falkenauge 2", "falkenauge 3"), ("falkenauge 12", "falkenauge 21"), ("falkenauge 123", "falkenauge 1233"), ("falkenauge 12 3", "falkenauge 123"), ("falcon b west", "falconcb west"), ("abc def", "cba def"), ("same one", "same one"), ("orbit", "orbits"), ("falcons forever", "falcon forevr"), ("steel halo", "steelxhalo"), ("a2 bcdef", "2a bcdef")]
+    apart = [("colder than ice", "colder tahn ice"), ("herons tonight", "heron stonight"), ("herons tonight", "heronst onight"), ("jonas weber", "jonass weber"), ("herons tonght", "herons tonight"), ("herons tonight", "heronstonight"), ("color me", "colour me"), ("nosferatu", "nosferatv"), ("abcdef", "abcdefg")]
+    other = [("sperling 2", "sperling 3"), ("sperling 12", "sperling 21"), ("sperling 123", "sperling 1233"), ("sperling 12 3", "sperling 123"), ("heron b west", "heroncb west"), ("abc def", "cba def"), ("same one", "same one"), ("orbit", "orbits"), ("herons tonight", "heron tonght"), ("iron gates", "ironxgates"), ("a2 bcdef", "2a bcdef")]
     pairs = apart + other + [(b, a) for a, b in apart + other]
     got = values(spark, "a string, b string", pairs, titles.one_slip(F.col("a"), F.col("b")))
     assert got == [p in apart or p[::-1] in apart for p in pairs]
@@ -751,12 +751,12 @@ def test_single_names(spark):
 def test_spellings_to_ask(spark):
     cases = {
         "Movie - The Film: Ember": ["Movie - The Film: Ember", "The Film: Ember", "Ember"],
-        "Movie": ["Movie"], "": [""], "Über": ["Über"], "Michaela Faelle": ["Michaela Faelle", "Michaela Fälle"], "Trauer neue Quelle": ["Trauer neue Quelle"],
-        "Gorse - Part 2": ["Gorse - Part 2"], "Nordwind: Der Sturm": ["Nordwind: Der Sturm", "Der Sturm"], "Sun the Documentary Ember": ["Sun the Documentary Ember", "Sun Ember"],
-        "Kestrel Vane - Live": ["Kestrel Vane - Live", "Live", "Kestrel Vane"], "Part Two": ["Part Two", "Part 2"], "Heat I": ["Heat I", "Heat 1", "Heat"],
+        "Movie": ["Movie"], "": [""], "Über": ["Über"], "Raphaela Baecker": ["Raphaela Baecker", "Raphaela Bäcker"], "Mauer teuer bequem": ["Mauer teuer bequem"],
+        "Heather - Part 2": ["Heather - Part 2"], "Ostsee: Die Flut": ["Ostsee: Die Flut", "Die Flut"], "Sun the Documentary Ember": ["Sun the Documentary Ember", "Sun Ember"],
+        "Anna Moll - Live": ["Anna Moll - Live", "Live", "Anna Moll"], "Part Two": ["Part Two", "Part 2"], "Heat I": ["Heat I", "Heat 1", "Heat"],
     }
     got = values(spark, "t string", [(t,) for t in cases], titles.search_spellings(F.col("t")))
     assert dict(zip(cases, got, strict=True)) == cases
     assert values(spark, "t string", [(None,)], titles.search_spellings(F.col("t"))) == [None]
-    both = {"Falcons aka Nordwind (1998)": ["Falcons", "Nordwind (1998)"], "Falcons (a.k.a. Nordwind)": ["Falcons", "Nordwind"], "A also known as B a/k/a C AKA D": ["A", "B", "C"], "Nakamura Lane": [], "Aka Sunfall": [], "Falcons aka": [], "x aka !": [], "": [], "One (I) aka: [Two]": ["One (I)", "[Two]"]}
+    both = {"Herons aka Ostsee (1998)": ["Herons", "Ostsee (1998)"], "Herons (a.k.a. Ostsee)": ["Herons", "Ostsee"], "A also known as B a/k/a C AKA D": ["A", "B", "C"], "Takamura Road": [], "Aka Harbour": [], "Herons aka": [], "x aka !": [], "": [], "One (I) aka: [Two]": ["One (I)", "[Two]"]}
     assert values(spark, "t string", [(t,) for t in both], titles.titles_together(F.col("t"))) == list(both.values())
