@@ -22,6 +22,25 @@ def base_grain(facts: DataFrame, axes: Sequence[str], sums: Sequence[str] = (),
     return facts.groupBy(*axes).agg(*parts)
 
 
+# The measures of a viewer's grain by content, as name, column summed and what it is divided by (1 for counts, which stay whole).
+GIGABYTE, HOUR, MEGAPIXEL = 1_000_000_000.0, 3_600.0, 1_000_000.0
+_SIZE, _TIME = ("sizeGigabytes", "sizeBytes", GIGABYTE), ("durationHours", "durationSeconds", HOUR)
+VIEWED = {
+    "audio": (_SIZE, _TIME, ("chapters", "chapters", 1)),
+    "video": (_SIZE, _TIME, ("chapters", "chapters", 1)),
+    "books": (_SIZE, ("pages", "pages", 1), ("words", "words", 1), ("characters", "characters", 1)),
+    "images": (_SIZE, ("megapixels", "pixels", MEGAPIXEL)),
+    "comics": (_SIZE, ("pages", "pages", 1)),
+}
+
+
+def viewer_grain(facts: DataFrame, content: str, axes: Sequence[str]) -> DataFrame:
+    """A row per axis tuple with files and the measures of one content, in the units that a viewer shows."""
+    grain = base_grain(facts, axes, [column for _, column, _ in VIEWED[content]])
+    shown = [(F.col(column) if unit == 1 else F.col(column) / unit).alias(name) for name, column, unit in VIEWED[content]]
+    return grain.select(*axes, "files", *shown)
+
+
 def mean_of(name: str) -> Column:
     return F.round(F.col(f"{name}_num") / F.nullif(F.col(f"{name}_den"), F.lit(0))).cast("bigint")
 

@@ -69,18 +69,21 @@ RATE, HOP, REFINE = 8000, 80, 160
 TRUSTED_CURVE, TRUSTED_WAVE = 0.5, 0.3
 
 
+def _covered(signal: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums of all stretches of the signal as long as the weights, by one product of spectra."""
+    whole = len(signal) + len(weights) - 1
+    spectrum = np.fft.rfft(signal, whole) * np.fft.rfft(weights[::-1], whole)
+    return np.fft.irfft(spectrum, whole)[len(weights) - 1 : len(signal)]
+
+
 def _fit(needle: np.ndarray, haystack: np.ndarray) -> tuple[int, float]:
-    """Where the needle fits best and how well, 1 at most: each product is divided by the energy of the stretch it covers, so loudness does not win."""
-    n, lags = len(needle), len(haystack) - len(needle) + 1
-    if n == 0 or lags < 1:
+    """Where the needle fits best and how well, 1 at most: a stretch's energy, itself a covered sum, is divided out, so loudness does not win."""
+    if not 0 < len(needle) <= len(haystack):
         return 0, 0.0
-    size = 1 << (n + len(haystack)).bit_length()
-    product = np.fft.irfft(np.fft.rfft(haystack, size) * np.conj(np.fft.rfft(needle, size)), size)[:lags]
-    sums = np.cumsum(np.concatenate([[0.0], haystack**2]))
-    energy = np.sqrt(np.maximum(sums[n : n + lags] - sums[:lags], 1e-12)) * max(float(np.linalg.norm(needle)), 1e-12)
-    scores = product / energy
-    lag = int(np.argmax(scores))
-    return lag, float(scores[lag])
+    powers = _covered(haystack * haystack, np.ones(len(needle))) * float(needle @ needle)
+    silent = powers <= 1e-9 * max(float(powers.max()), 1e-9)
+    fits = np.where(silent, 0.0, _covered(haystack, needle) / np.sqrt(np.where(silent, 1.0, powers)))
+    return int(fits.argmax()), float(fits.max())
 
 
 def _loudness(wave: np.ndarray, hop: int) -> np.ndarray:

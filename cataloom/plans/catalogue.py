@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cataloom.functions import dates, files, titles
 from cataloom.functions import names as single
 from cataloom.operators import certainty as sure
-from cataloom.operators import curves, intervals, names
+from cataloom.operators import cubes, curves, intervals, names
 from cataloom.plans.registry import query
 from cataloom.session import table
 
@@ -354,3 +354,12 @@ def refusal_lines(spark, sf_dir):
     said = F.when(kind == 0, "ERROR: Sign in to confirm you are Not a Bot").when(kind == 1, "403, Cloudflare anti-bot challenge: --extractor-args generic:impersonate")
     said = said.when(kind == 2, "Cloudflare anti-bot challenge, impersonation dependency missing, then generic:impersonate").otherwise("sign in to confirm your age; cloudflare")
     return rows.select("conv_id", "turn", files.refusal(F.concat(said, F.lit(" "), "text")).alias("why"))
+
+
+# --- grains for a viewer -------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, l_linestatus, COUNT(*) AS files, SUM(l_partkey * 1000) / 1e9 AS \"sizeGigabytes\", SUM(CAST(l_quantity AS BIGINT) * 60) / 3600 AS \"durationHours\", CAST(SUM(l_linenumber) AS BIGINT) AS chapters FROM lineitem GROUP BY ALL")
+def viewer_grain(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_partkey") * 1000).alias("sizeBytes"), (F.col("l_quantity").cast("bigint") * 60).alias("durationSeconds"), F.col("l_linenumber").alias("chapters"))
+    return cubes.viewer_grain(facts, "audio", ["l_returnflag", "l_linestatus"])
