@@ -11,7 +11,7 @@ few words outweighs a shared page.
 
 Defined results: null text is empty text; texts without a word are compared by bytes alone; texts of 1 to 4
 words have one shingle; rows without doc_id count for the frequencies and are returned with null class; repeated
-rows share a class, and so do texts of one doc_id, of which that with the least MD5 is compared.
+rows share a class; texts of one doc_id are classed each by itself.
 """
 
 from __future__ import annotations

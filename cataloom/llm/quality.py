@@ -1,6 +1,6 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-A logistic model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash of doc_id): marks of junk
+A logistic model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash of doc_id, one row a doc_id): marks of junk
 (shouting, symbols, table bars, repetition) and the presence of ``WORDS`` telling words. A document is bad if its
 label says low quality or toxic. The model's probability of every document is then summed up by host and by
 path; a host's rate of good documents is shrunk toward the rate of the whole corpus, a path's toward its

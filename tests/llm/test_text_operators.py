@@ -718,6 +718,8 @@ COLUMNS = {
     "op8_decontaminate": ["doc_id", "item_id", "similarity", "first_word"],
     "op9_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10_hmm": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12_runs": ["doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
