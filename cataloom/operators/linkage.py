@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.titles import fold, is_latin, near_blocks, one_slip, readings, segments, word_runs
+from cataloom.session import spread
 
 ID, SAME_YEAR, NEAR_YEAR, NO_YEAR, PART, SLIP = range(1, 7)
 
@@ -87,6 +88,55 @@ def settled(pairs: DataFrame, by: str = "left_id", to: str = "right_id") -> Data
     return grouped.select(by, match.alias("match"), F.when(match.isNull(), F.col("all")).alias("ambiguous"), "rung")
 
 
+def _classes(records: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, rep, n, forms): for each record the least id of those that say the same, how many they are, and their (title, year, ids).
+
+    An id of a scheme that the other side does not know can neither match nor clash, so it sets no two records apart. Schemes are few, and
+    only their names are gathered; an id without a scheme stands for itself.
+    """
+    scheme = lambda x: F.substring_index(x, ":", 1)
+    known = other.select(F.explode("ids").alias("x")).where("instr(x, ':') > 0").select(scheme(F.col("x")).alias("s")).distinct()
+    rows = records.crossJoin(F.broadcast(known.agg(F.collect_set("s").alias("__known"))))
+    ids = F.filter("ids", lambda x: (F.instr(x, ":") == 0) | F.array_contains("__known", scheme(x)))
+    form = F.struct("title", "year", F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))).alias("ids"))
+    told = rows.groupBy("id").agg(F.sort_array(F.collect_set(form)).alias("forms"))
+    reps = told.groupBy("forms").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return told.join(reps, "forms")
+
+
+def mutual_records(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``mutual`` of the candidates of records, of which those that say the same are linked once, by their least id.
+
+    A pair is an answer for all records of its classes, so answers are counted by the classes' sizes; only classes that are matched are
+    written out. Copies on both sides so cost what they are, not their product. Rows of one id are one record.
+    """
+    classes = {"left": _classes(left, right), "right": _classes(right, left)}
+
+    def spoken(side: str) -> DataFrame:
+        forms = classes[side].where("id = rep").select(F.col("rep").alias("id"), F.explode("forms").alias("f")).select("id", "f.*")
+        return spread(forms, "id", "title")
+
+    pairs = candidates(spoken("left"), spoken("right"))
+    for side in ("left", "right"):
+        size = classes[side].where("id = rep").select(F.col("rep").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"))
+        pairs = pairs.join(size, f"{side}_id")
+
+    def best(by: str, to: str) -> DataFrame:
+        """The pairs of a record's first rung that answers, and what is the only answer, if any."""
+        same = F.col("same_fold")
+        counted = pairs.groupBy(f"{by}_id", "rung").agg(
+            F.sum(f"{to}_n").alias("n"), F.min(f"{to}_id").alias("only"), F.sum(F.when(same, F.col(f"{to}_n"))).alias("n_same"), F.min(F.when(same, F.col(f"{to}_id"))).alias("only_same"),
+        )
+        first = counted.groupBy(f"{by}_id").agg(F.min_by(F.struct("*"), "rung").alias("b")).select("b.*")
+        return first.select(f"{by}_id", "rung", F.when(F.col("n") == 1, F.col("only")).when(F.col("n_same") == 1, F.col("only_same")).alias("match"))
+
+    forth = best("left", "right").where("match is not null").select("left_id", F.col("match").alias("right_id"), "rung")
+    back = pairs.select("left_id", "right_id", "rung").join(best("right", "left"), ["right_id", "rung"]).where("match is null or match = left_id")
+    kept = forth.join(back, ["left_id", "right_id"], "left_semi").unionByName(forth.where(F.col("rung") == ID)).distinct()
+    members = classes["left"].select(F.col("rep").alias("left_id"), "id")
+    return kept.join(members, "left_id").select(F.col("id").alias("left_id"), "right_id", "rung")
+
+
 def mutual(pairs: DataFrame) -> DataFrame:
     """(left_id, right_id, rung) of matches that hold on the way back too: there the answer is the record, or several that hold it.
 

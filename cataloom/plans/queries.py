@@ -788,4 +788,4 @@ def mutual_match(spark, sf_dir):
     """All parts linked to slightly misspelled names of all parts, by every rung."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("year"), F.array(F.concat(F.lit("brand:"), F.col("p_partkey").cast("string"))).alias("ids"))
     right = rows.withColumns({"title": F.regexp_replace("title", "a", "e"), "ids": F.array().cast("array<string>")})
-    return linkage.mutual(linkage.candidates(rows, right))
+    return linkage.mutual_records(rows, right)

@@ -26,3 +26,11 @@ def get_session(app_name: str = "cataloom", master: str | None = None, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below ``sf_dir``, read by Spark so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt over as many tasks as shuffles have, for work that is long for each row.
+
+    A small file is one task whatever its rows cost, and adaptive execution would put small partitions together; a number that is given stays.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

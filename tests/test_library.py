@@ -394,6 +394,24 @@ def test_mutual_match_links_all_parts(spark):
     assert got == expected and any(a % 50 != 1 for a, _, _ in got)
 
 
+def test_mutual_match_of_copies(spark):
+    """Records that say the same are one class in the joins, and are answered as if each were linked by itself."""
+    ids = lambda *x: list(x)
+    left = [(i, "The Long Winter Road", 2001, ids(f"own:{i}")) for i in range(1, 40)] + [(40, "The Long Wintre Road", 2001, ids()), (41, "Some Other Film", 1990, ids("imdb:1")), (42, "Some Other Film", 1990, ids("imdb:2"))]
+    left += [(43, "Alone in Spring", None, None), (44, "Two Names", 2005, ids()), (44, "Second Name Here", 2006, ids()), (45, None, 2000, ids()), (46, "plain", 1999, ids("bare"))]
+    right = [(1, "The Long Winter Road", 2001, ids()), (2, "Some other film", 1990, ids("imdb:1")), (3, "Some Other Film!", 1990, ids("imdb:2")), (4, "Alone in Spring", 2010, ids()), (5, "Alone in Spring", 2011, ids())]
+    right += [(6, "Second Name Here", 2006, ids()), (7, "Two Names", 2005, ids()), (7, "Another", 1950, ids()), (8, "no such", 1901, ids("bare"))] + [(i, "Many Copies Here", 2002, ids()) for i in range(50, 80)]
+    left += [(i, "Many Copies Here", 2002, ids()) for i in range(50, 80)] + [(90, "Winter of Copies", 2003, ids())]
+    right += [(90, "Winter of Copies", 2003, ids())]
+    l, r = (spark.createDataFrame(x, "id int, title string, year int, ids array<string>") for x in (left, right))
+    one = {tuple(x) for x in linkage.mutual(linkage.candidates(l, r)).collect()}
+    two = [tuple(x) for x in linkage.mutual_records(l, r).collect()]
+    assert len(two) == len(set(two)) and set(two) == one
+    classes = linkage._classes(l, r).groupBy("rep").count().collect()
+    assert max(c["count"] for c in classes) >= 30 and len(classes) < 16
+    assert {(7, 1, linkage.SAME_YEAR), (41, 2, linkage.ID), (46, 8, linkage.ID), (90, 90, linkage.SAME_YEAR)} <= one and not any(b in range(50, 80) for _, b, _ in one)
+
+
 def test_mining(spark):
     rows = spark.createDataFrame([("Intro Live 2001",), ("live intro",), ("the Live",)], "name string")
     assert [(r.token, r.names) for r in mining.prevalence(rows, "name").collect()] == [("live", 3), ("intro", 2)]
