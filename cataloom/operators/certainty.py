@@ -6,7 +6,7 @@ re-releases), those of a year beside it, and those a few years off, which only t
 are left the running time decides, by three values: it agrees, it does not, or one side does not say. One offer has to agree and
 none may be unmeasured, since a length that is not known rules nothing out.
 
-The steps are the parts of one rank. Offers are counted by (record, rank), which merges before the shuffle, and a record's least rank is
+The steps are the digits of one rank. Offers are counted by (record, rank), which merges before the shuffle, and a record's least rank is
 taken from those counts, so a title that very many offers carry is never gathered in one task.
 """
 
@@ -53,20 +53,24 @@ def certain(wanted: DataFrame, offered: DataFrame, verify: bool = False) -> Data
     With ``verify`` a length that disagrees also refuses an only offer of the year. Rows of one id or one offer are one record.
     """
     left, right = (side.withColumn("key", F.explode("keys")).drop("keys") for side in (wanted, offered))
-    met = left.join(right, "key").drop("key").dropDuplicates(["id", "offer"])
+    # by sorting: estimates by the size of a file are too small for what its rows become, and a broadcast would be all of one side
+    met = left.hint("merge").join(right, "key")
     met = met.where(F.col("written").isNull() | (F.coalesce(F.size("years"), F.lit(0)) <= 0) | (F.array_min("years") <= F.col("written")))
-    rank = F.struct((~F.coalesce("catalogued", F.lit(False))).cast("int").alias("strays"), _evidence().alias("evidence"), _when().alias("when"))
+    # names and years become numbers before pairs are counted once, so that pairs of any number are hashed in fixed width
+    rank = (~F.coalesce("catalogued", F.lit(False))).cast("int") * 100 + _evidence() * 10 + _when()
     agrees = running_time_agrees(F.col("seconds"), F.col("minutes"))
-    counted = met.select("id", "offer", "years", rank.alias("rank"), agrees.alias("agrees")).groupBy("id", "rank").agg(
+    told = met.select("id", "offer", rank.alias("rank"), agrees.alias("agrees"), (F.size("years") > 0).alias("dated")).dropDuplicates(["id", "offer"])
+    counted = told.groupBy("id", "rank").agg(
         F.count("*").alias("n"), F.count_if("agrees").alias("fits"), F.count_if(F.col("agrees").isNull()).alias("unmeasured"),
-        F.min("offer").alias("only"), F.min(F.when(F.col("agrees") & (F.size("years") > 0), F.col("offer"))).alias("fit"),
+        F.min("offer").alias("only"), F.min(F.when(F.col("agrees") & F.col("dated"), F.col("offer"))).alias("fit"),
         F.min("agrees").alias("agrees"),
     )
     best = counted.groupBy("id").agg(F.min_by(F.struct("*"), "rank").alias("b")).select("b.*")
-    dated = F.col("rank.when") <= 1
+    when = F.col("rank") % 10
+    dated = when <= 1
     refused = F.lit(verify) & F.coalesce(~F.col("agrees"), F.lit(False))
     alone = dated & (F.col("n") == 1)
-    by_length = ~alone & (F.col("rank.when") < 9) & (F.col("fits") == 1) & (F.col("unmeasured") == 0)
+    by_length = ~alone & (when < 9) & (F.col("fits") == 1) & (F.col("unmeasured") == 0)
     pick = F.when(alone & ~refused, F.col("only")).when(by_length, F.col("fit"))
     how = F.when(pick.isNotNull(), F.when(alone, YEAR).otherwise(LENGTH))
     return wanted.select("id").distinct().join(best.select("id", pick.alias("pick"), how.alias("how")), "id", "left")

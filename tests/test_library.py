@@ -412,6 +412,15 @@ def test_mutual_match_of_copies(spark):
     assert {(7, 1, linkage.SAME_YEAR), (41, 2, linkage.ID), (46, 8, linkage.ID), (90, 90, linkage.SAME_YEAR)} <= one and not any(b in range(50, 80) for _, b, _ in one)
 
 
+def test_certainty_counts_pairs_in_fixed_width(spark):
+    wanted = "id long, keys array<string>, plain array<string>, year int, seconds double, written int"
+    offered = "offer long, keys array<string>, lead array<string>, own array<string>, spelled array<string>, years array<int>, minutes double, catalogued boolean"
+    plan = certainty.certain(spark.createDataFrame([], wanted), spark.createDataFrame([(1, ["k"], ["k"], ["k"], ["k"], [1999], 1.0, True)], offered))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[id" in plan
+    pairs = plan[plan.index("SortMergeJoin [key") :]  # what pairs are made of, by sorting and not by a broadcast
+    assert "BroadcastExchange" not in pairs and not any("SortAggregate" in line and "offer" in line.split("functions")[0] for line in plan.splitlines())
+
+
 def test_mining(spark):
     rows = spark.createDataFrame([("Intro Live 2001",), ("live intro",), ("the Live",)], "name string")
     assert [(r.token, r.names) for r in mining.prevalence(rows, "name").collect()] == [("live", 3), ("intro", 2)]
