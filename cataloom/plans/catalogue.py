@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions import dates, files, titles
@@ -10,7 +10,7 @@ from cataloom.functions import names as single
 from cataloom.operators import certainty as sure
 from cataloom.operators import cubes, curves, intervals, names
 from cataloom.plans.registry import query
-from cataloom.session import table
+from cataloom.session import spread, table
 
 # --- title readings ------------------------------------------------------------------------------------------------
 
@@ -80,9 +80,19 @@ def _titled(spark, sf_dir):
     return spark.sql(_TITLES.replace("FROM part)", "FROM cataloom_titled)").replace("'''s '", r"'\'s '").replace("VARCHAR(2)", "STRING"))
 
 
+def _told_once(rows: DataFrame, of: str, **made: Column) -> DataFrame:
+    """``rows`` with columns made of the column ``of``, each worked out once for a distinct value, and those dealt over many tasks.
+
+    Joined by sorting, as what is made is far larger than the file that it is estimated by.
+    """
+    values = spread(rows.select(of).distinct())
+    values = values.select(F.col(of).alias("__of"), *[c.alias(name) for name, c in made.items()])
+    return rows.join(values.hint("merge"), F.col(of).eqNullSafe(F.col("__of")), "left").drop("__of")
+
+
 @query(_READINGS)
 def title_readings(spark, sf_dir):
-    keys = _titled(spark, sf_dir).select("p_partkey", F.array_sort(titles.readings(F.col("title"))).alias("keys"))
+    keys = _told_once(_titled(spark, sf_dir), "title", keys=F.array_sort(titles.readings(F.col("title"))))
     return keys.select("p_partkey", F.size("keys").cast("long").alias("n"), F.array_join("keys", "|").alias("keys"))
 
 

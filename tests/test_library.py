@@ -412,6 +412,23 @@ def test_mutual_match_of_copies(spark):
     assert {(7, 1, linkage.SAME_YEAR), (41, 2, linkage.ID), (46, 8, linkage.ID), (90, 90, linkage.SAME_YEAR)} <= one and not any(b in range(50, 80) for _, b, _ in one)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+@pytest.mark.parametrize("name", ["title_readings"])
+def test_titles_are_told_once_in_many_tasks(spark, name, tmp_path):
+    """One small file is one task; the long work on its titles is not, and is done once for copies."""
+    from cataloom.plans.queries import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(40)
+    copies = part.crossJoin(spark.range(9)).select((F.col("p_partkey") + 72 * 1000 * F.col("id")).alias("p_partkey"), *part.columns[1:])
+    copies.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    part.coalesce(1).write.parquet(f"{tmp_path}/one/part.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    one = {tuple(r)[0]: tuple(r)[1:] for r in QUERIES[name](spark, f"{tmp_path}/one").collect()}
+    rows = found.collect()
+    assert len(rows) == 9 * len(one) and all(tuple(r)[1:] == one[r.p_partkey % 72000] for r in rows)
+
+
 def test_certainty_counts_pairs_in_fixed_width(spark):
     wanted = "id long, keys array<string>, plain array<string>, year int, seconds double, written int"
     offered = "offer long, keys array<string>, lead array<string>, own array<string>, spelled array<string>, years array<int>, minutes double, catalogued boolean"
