@@ -110,7 +110,8 @@ def search_spellings(spark, sf_dir):
     table(spark, sf_dir, "part").createOrReplaceTempView("cataloom_asked")
     rows = spark.sql(_ASKED.replace("FROM part)", "FROM cataloom_asked)"))
     asked, together = titles.search_spellings(F.col("title")), titles.titles_together(F.col("title"))
-    return rows.select("p_partkey", F.array_join(asked, "|").alias("asked"), F.array_join(together, "|").alias("together"))
+    told = _told_once(rows.select("p_partkey", "title"), "title", asked=F.array_join(asked, "|"), together=F.array_join(together, "|"))
+    return told.select("p_partkey", "asked", "together")
 
 
 # --- slips ---------------------------------------------------------------------------------------------------------

@@ -413,7 +413,7 @@ def test_mutual_match_of_copies(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
-@pytest.mark.parametrize("name", ["title_readings"])
+@pytest.mark.parametrize("name", ["title_readings", "search_spellings"])
 def test_titles_are_told_once_in_many_tasks(spark, name, tmp_path):
     """One small file is one task; the long work on its titles is not, and is done once for copies."""
     from cataloom.plans.queries import QUERIES
