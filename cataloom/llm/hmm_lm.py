@@ -28,7 +28,7 @@ from cataloom.llm import textcore as tc
 from cataloom.llm.exchange import block_by_hash, layout, record_batch, told, unpack
 from cataloom.llm.scratch import cut, tidy
 
-STATES, SHAPES, ROUNDS, GAIN, PIECE = 6, 2048, 4, 0.002, 512
+STATES, SHAPES, ROUNDS, GAIN, PIECE, SCALED = 6, 2048, 4, 0.002, 512, 8
 #: Words with a class of their own: one in so many distinct words, but so many at least, and at most.
 OWN_SHARE, LEAST_OWN, MOST_OWN = 64, 1_024, 65_536
 #: Key of the end token; a word with this hash gets the next one.
@@ -197,11 +197,7 @@ class Chain:
         self.log[self.doc[self.head]] = log
         if not len(rest):
             return
-        states = np.tile(np.eye(STATES), (len(rest), 1))  # from each state in turn
-        ends, logs = self._run(np.repeat(rest, STATES), states)
-        ends, logs = ends.reshape(-1, STATES, STATES), logs.reshape(-1, STATES)
-        top = logs.max(1)
-        self.through[rest] = ends * 10.0 ** (logs - top[:, None])[:, :, None]
+        self.through[rest], top = self._run(rest, np.tile(np.eye(STATES), (len(rest), 1, 1)))  # from each state in turn
         alpha = np.zeros((len(first) - 1, STATES))
         alpha[self.doc[self.head]] = state
         for i, piece in enumerate(rest.tolist()):
@@ -212,17 +208,29 @@ class Chain:
             alpha[d], self.log[d] = x / s, self.log[d] + top[i] + np.log10(s)
 
     def _run(self, pieces: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State at the end and log10 likelihood of some pieces, from the states before them."""
+        """State at the end and log10 likelihood of some pieces, from the states before them; several of a piece share their scale.
+
+        Scaled every ``SCALED`` tokens, between which a double does not run out.
+        """
         order, begin, running = _layout(self.begin[pieces], self.length[pieces])
-        head, a, log = self.head[pieces][order], before[order].copy(), np.zeros(len(order))
+        head, a, log = self.head[pieces][order], before[order].reshape(len(order), STATES if before.ndim > 2 else 1, STATES), np.zeros(len(order))
         a[~head] = a[~head] @ self.model.move
+
+        def scale(n: int) -> None:
+            s = a[:n].sum((1, 2))
+            a[:n] /= s[:, None, None]
+            log[:n] += np.log10(s)
+
         for t, n in enumerate(running):
-            x = (a[:n] if t == 0 else a[:n] @ self.model.move) * self.emit[self.cls[begin[:n] + t]]
-            s = x.sum(1)
-            a[:n], log[:n] = x / s[:, None], log[:n] + np.log10(s)
+            if t:
+                a[:n] = (a[:n].reshape(-1, STATES) @ self.model.move).reshape(n, -1, STATES)
+            a[:n] *= self.emit[self.cls[begin[:n] + t]][:, None]
+            if t % SCALED == SCALED - 1:
+                scale(n)
+        scale(len(order))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        return a[back], log[back]
+        return a[back].reshape(before.shape), log[back]
 
     def behind(self) -> np.ndarray:
         """Of each piece, how likely what follows in its document is from each state at its end, scaled."""

@@ -738,3 +738,30 @@ def test_registered_queries(spark, tmp_path, name):
     told = {"op1_minhash": ("class_id", 1), "op3_secrets": ("n_assign", 1), "op6_lines": ("n_removed", 1), "op7_embeddings": ("n_links", 1), "op9_suffix": ("n_removed", None)}
     if name in told and told[name][1] is not None:
         assert rows[2][told[name][0]] == told[name][1]
+
+
+def test_hmm_scales_once_in_some_tokens(monkeypatch):
+    """The likelihood is that of a run scaled at every token, also for very rare classes, with far fewer scalings."""
+    import numpy as np
+
+    from cataloom.llm import hmm_lm
+
+    rng = np.random.default_rng(3)
+    model = hmm_lm.Model.first(np.array([10**12, 5, 0, 0, 40]))
+    model.emit[:, 2:4] = rng.uniform(1e-14, 1e-12, (hmm_lm.STATES, 2))
+    sizes = [1, 3, 2_000, 512, 513, 9]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    cls = rng.integers(0, 5, first[-1])
+    cls[10:900] = 2
+    expected = []
+    for low, high in zip(first[:-1], first[1:], strict=True):
+        a, log = model.start, 0.0
+        for t, c in enumerate(cls[low:high]):
+            a = (a if t == 0 else a @ model.move) * model.emit[:, c]
+            log, a = log + np.log10(a.sum()), a / a.sum()
+        expected.append(log)
+    calls, log10 = [], np.log10
+    monkeypatch.setattr(np, "log10", lambda x: calls.append(1) or log10(x))
+    assert np.allclose(hmm_lm.log_likelihood(model, cls, first), expected, rtol=1e-12, atol=0)
+    assert len(calls) < 2 * hmm_lm.PIECE / 4
+    assert len(hmm_lm.log_likelihood(model, cls[:0], np.zeros(1, np.int64))) == 0
