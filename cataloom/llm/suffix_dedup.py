@@ -37,6 +37,8 @@ LENGTH, SAMPLE, HOT = 50, 25, 128
 _WINDOWS = LENGTH - SAMPLE + 1  # windows that one sampled suffix can stand for
 _CONTEXT = LENGTH + _WINDOWS - 1
 _LAST = np.iinfo(np.int64).max
+#: For each number of windows, 1 for the bytes that they have.
+_UPTO = (np.arange(_CONTEXT) < np.arange(_WINDOWS + 1)[:, None] + LENGTH - 1).astype(np.uint8)
 #: Surroundings that a bucket sorts as one batch; blocks are taken together up to this many.
 BATCH = 1 << 15
 #: Places of the eight-byte words by which two windows are compared.
@@ -51,7 +53,7 @@ class Suffixes:
         self.ids = table.column("doc_id").to_numpy()
         self.data, self.offsets = tc.text_buffer(table.column("text"))
         self.buckets = buckets
-        parts = [self._segments(low, high) for low, high in tc.slices(self.offsets)]
+        parts = [self._segments(low, high) for low, high in tc.slices(self.offsets, tc.CACHED)]
         self.sample, self.text, self.doc, self.start, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.keys, self.inverse = np.unique(self.sample, return_inverse=True)
 
@@ -67,18 +69,23 @@ class Suffixes:
         for step in (1, 2, 4, 8):
             least = np.minimum(least[:-step], least[step:])
         least = np.minimum(least[: len(least) - 10], least[10:])
-        doc = np.repeat(np.arange(high - low), sizes)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[doc]
-        value = least[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        run = np.arange(len(start)) - np.repeat(at, np.diff(np.append(at, len(start))))
-        at = np.flatnonzero(run % _WINDOWS == 0)
-        count = np.diff(np.append(at, len(start)))
-        text = rolling.ranges(start[at], start[at] + count + LENGTH - 1)
+        # a segment ends where the minimum changes, where a document begins, and behind a document's last window
+        edge = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=edge[1:-1])
+        edge[offsets[:-1][offsets[:-1] < len(least)]] = True
+        behind = offsets[:-1] + sizes
+        edge[behind[behind < len(least)]] = True
+        at = np.flatnonzero(edge)
+        at, length = at[:-1], np.diff(at)
+        doc = np.searchsorted(offsets, at, "right") - 1
+        inside = at < behind[doc]
+        at, length, doc = at[inside], length[inside], doc[inside]
+        parts = -(-length // _WINDOWS)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, count = np.repeat(at, parts) + nth * _WINDOWS, np.minimum(np.repeat(length, parts) - nth * _WINDOWS, _WINDOWS)
+        text = rolling.ranges(start, start + count + LENGTH - 1)
         # minima are small numbers: spread them again
-        return shorten(tc.mix(value[at]), self.buckets), text, doc[at] + low, start[at] + base, count
+        return shorten(tc.mix(least[start]), self.buckets), text, np.repeat(doc, parts) + low, start + base, count
 
     def several(self) -> np.ndarray:
         """Whether several documents of the block have each of the distinct samples."""
@@ -95,9 +102,9 @@ class Suffixes:
 
     def _surroundings(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The bytes of ``count`` windows from ``start`` on, zeros behind them."""
-        place = np.arange(_CONTEXT)
-        out = self.data[np.minimum(start[:, None] + place, max(len(self.data) - 1, 0))] if len(self.data) else np.zeros((len(start), _CONTEXT), np.uint8)
-        out[place >= count[:, None] + LENGTH - 1] = 0
+        padded = np.concatenate([self.data, np.zeros(_CONTEXT, np.uint8)])
+        out = np.lib.stride_tricks.sliding_window_view(padded, _CONTEXT)[start]
+        out *= _UPTO[count]
         return out
 
 
@@ -166,22 +173,48 @@ def suffix_words(context: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     flat = np.ndarray((max(padded.size - 7, 0),), ">u8", padded, strides=(1,))  # the eight bytes from each place on
     begin = owner * padded.shape[1] + offset
-    return np.stack([flat[begin + w].astype(np.uint64) for w in _WORDS], 1), owner
+    words = np.empty((len(owner), len(_WORDS)), np.uint64)
+    for column, place in enumerate(_WORDS):
+        words[:, column] = flat[begin + place]
+    return words, owner
 
 
 def suffix_order(words: np.ndarray) -> np.ndarray:
     """The suffix array: an order of the rows by all their words; the later words are sorted only where the first is shared."""
-    order = np.argsort(words[:, 0], kind="stable")
+    order = np.argsort(words[:, 0])
     first = words[order, 0]
     same = first[1:] == first[:-1]
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(first) else np.zeros(0, bool)
     at = np.flatnonzero(shared)
     if len(at):
         rows = order[at]
-        order[at] = rows[np.lexsort((*words[rows].T[:0:-1], first[at]))]
+        order[at] = rows[np.lexsort((*words.take(rows, 0).T[:0:-1], first[at]))]
     return order
 
 
+class Contexts:
+    """Surroundings that a bucket has had. All their windows are in its levels, so what comes again need not be sorted."""
+
+    def __init__(self):
+        self.digest, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.context, self.windows = np.zeros((0, _CONTEXT), np.uint8), np.zeros(0, np.int64)
+
+    def known(self, digest: np.ndarray, context: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Whether each was there before, by all its bytes."""
+        out, at = np.zeros(len(digest), bool), np.searchsorted(self.digest, digest)
+        hit = np.flatnonzero(at < len(self.digest))
+        hit = hit[self.digest[at[hit]] == digest[hit]]
+        place = self.place[at[hit]]
+        out[hit] = (self.windows[place] == windows[hit]) & (self.context.take(place, 0) == context.take(hit, 0)).all(1)
+        return out
+
+    def add(self, digest: np.ndarray, context: np.ndarray, windows: np.ndarray) -> None:
+        digest, place = np.concatenate([self.digest, digest]), np.concatenate([self.place, len(self.windows) + np.arange(len(digest))])
+        order = np.argsort(digest)
+        self.digest, self.place = digest[order], place[order]
+        self.context, self.windows = np.concatenate([self.context, context]), np.concatenate([self.windows, windows])
+
+
 class SuffixLevels:
     """Suffix arrays with the least document of each suffix; no two hold the same one, and like sizes are merged."""
 
@@ -212,17 +245,21 @@ def _places(level: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     The first words are merged at once; where a level has several suffixes of that word, the rest is found by bisection.
     """
-    low, high = np.searchsorted(level[:, 0], words[:, 0], "left"), np.searchsorted(level[:, 0], words[:, 0], "right")
-    there = np.zeros(len(words), bool)
-    open_ = np.flatnonzero(low < high)
-    a, b, end = low[open_], high[open_], high[open_]
+    keys = np.ascontiguousarray(level[:, 0])
+    low, there = np.searchsorted(keys, words[:, 0]), np.zeros(len(words), bool)
+    open_ = np.flatnonzero(low < len(keys))
+    open_ = open_[keys[low[open_]] == words[open_, 0]]
+    there[open_] = (level.take(low[open_], 0) == words.take(open_, 0)).all(1)
+    open_ = open_[~there[open_]]
+    a, high = low[open_], np.searchsorted(keys, words[open_, 0], "right")
+    b = high.copy()
     while len(going := np.flatnonzero(a < b)):
         middle = (a[going] + b[going]) // 2
-        less = _less(level[middle], words[open_[going]])
+        less = _less(level.take(middle, 0), words.take(open_[going], 0))
         a[going] = np.where(less, middle + 1, a[going])
         b[going] = np.where(less, b[going], middle)
     low[open_] = a
-    inside = np.flatnonzero(a < end)
+    inside = np.flatnonzero(a < high)
     there[open_[inside]] = (level[a[inside]] == words[open_[inside]]).all(1)
     return low, there
 
@@ -301,33 +338,47 @@ def _unpacked(table: pa.Table, rows: list[int], windows: list[np.ndarray]) -> tu
 
 
 def _answer_surroundings(table: pa.Table) -> pa.Table:
-    levels, out, bucket = SuffixLevels(), [], table.column("bucket")[0].as_py()
+    levels, had, out, bucket = SuffixLevels(), Contexts(), [], table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
     for rows, context, windows, doc in _batches(table):
-        order = np.lexsort((doc, windows, _digest(context)))
+        digest = _digest(context)
+        order = np.lexsort((doc, windows, digest))
+        sorted_ = context.take(order, 0)
         new = np.ones(len(order), bool)
-        new[1:] = (windows[order[1:]] != windows[order[:-1]]) | (context[order[1:]] != context[order[:-1]]).any(1)
+        new[1:] = (windows[order[1:]] != windows[order[:-1]]) | (sorted_[1:] != sorted_[:-1]).any(1)
         first = np.flatnonzero(new)
         least, chosen = np.minimum.reduceat(doc[order], first), order[first]
-        words, owner = suffix_words(context[chosen], windows[chosen])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        # a batch before this one has smaller documents only: of surroundings that it had, every window has been seen
+        distinct = digest[chosen], sorted_.take(first, 0), windows[chosen]
+        old = had.known(*distinct)
+        fresh = np.flatnonzero(~old)
+        distinct = tuple(x.take(fresh, 0) for x in distinct)
+        had.add(*distinct)
+        words, owner = suffix_words(*distinct[1:])
         array = suffix_order(words)
-        words, owner = words[array], owner[array]
+        words, owner = words.take(array, 0), owner[array]
         head = np.ones(len(words), bool)
-        head[1:] = (words[1:] != words[:-1]).any(1)
+        head[1:] = words[1:, 0] != words[:-1, 0]
+        tied = np.flatnonzero(~head)
+        head[tied] = (words.take(tied, 0) != words.take(tied - 1, 0)).any(1)
         at = np.flatnonzero(head)
-        inside, before = np.minimum.reduceat(least[owner], at), levels.scan(words[at])
-        fresh = before == _LAST
-        levels.add(words[at[fresh]], inside[fresh])
+        heads = words.take(at, 0)
+        inside, before = np.minimum.reduceat(least[fresh][owner], at) if len(at) else np.zeros(0, np.int64), levels.scan(heads)
+        unseen = before == _LAST
+        levels.add(heads[unseen], inside[unseen])
         earliest = np.empty(len(array), np.int64)
         earliest[array] = np.minimum(inside, before)[np.cumsum(head) - 1]
         # back to the contexts as they came: a bit for each window that a smaller document has
-        begin = np.cumsum(windows[chosen]) - windows[chosen]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        seen = np.zeros(len(order), np.uint32)
+        begin = np.zeros(len(old), np.int64)
+        begin[fresh] = np.cumsum(distinct[2]) - distinct[2]
+        seen = ((np.int64(1) << windows) - 1).astype(np.uint32)
+        asked = np.flatnonzero(~old[which])
+        seen[asked] = 0
         for offset in range(_WINDOWS):
-            has = np.flatnonzero(windows > offset)
-            seen[has] |= (earliest[begin[which[has]] + offset] < doc[has]).astype(np.uint32) << np.uint32(offset)
+            asked = asked[windows[asked] > offset]
+            seen[asked] |= (earliest[begin[which[asked]] + offset] < doc[asked]).astype(np.uint32) << np.uint32(offset)
         ends = np.cumsum([len(table.column("windows")[n].as_py()) for n in rows])
         out += [(blocks[n], 2, bucket, part.tobytes()) for n, part in zip(rows, np.split(seen, ends[:-1]), strict=True)]
     return _answers(out)

@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+#: Bytes of a slice whose arrays of 64-bit numbers stay in a core's cache, for steps of many passes over them.
+CACHED = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -58,7 +60,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
@@ -85,7 +87,9 @@ class Rolling:
         n = len(self.prefix) - size
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.prefix[size:] - self.prefix[:n]) * self.inverse[:n])
+        out = self.prefix[size:] - self.prefix[:n]
+        out *= self.inverse[:n]
+        return mix(out)
 
 
 def _byte_table(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
