@@ -48,6 +48,8 @@ _FILL = _fill_order()
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes, and the offsets in them; bytes that are not UTF-8 count as they are."""
+    if not len(data) or data.max() < 128:
+        return data, offsets
     try:
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     except UnicodeDecodeError:
@@ -65,7 +67,7 @@ def shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     size = np.where(short, 1, end - start - CHARS + 1)
     first = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(start - first[:-1], size) + np.arange(first[-1])
-    out = windows[np.minimum(at, max(len(windows) - 1, 0))] if len(windows) else np.zeros(len(at), np.uint64)
+    out = windows.take(at, mode="clip") if len(windows) else np.zeros(len(at), np.uint64)
     out[first[:-1][short]] = tc.mix(rolling.ranges(start[short], end[short]) ^ (end - start)[short].astype(np.uint64))
     return out, first
 
@@ -76,17 +78,17 @@ def sign(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     bins = ((hashes >> np.uint64(32)) * np.uint64(PLACES) >> np.uint64(32)).astype(np.int64)
     flat = np.full(n * PLACES, 1 << 32, np.int64)
     np.minimum.at(flat, np.repeat(np.arange(n) * PLACES, np.diff(first)) + bins, (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    sig = flat.reshape(n, PLACES)
-    empty = sig == 1 << 32
-    line, place = np.nonzero(empty)
+    empty = flat == 1 << 32
+    at = np.flatnonzero(empty)
+    place = at % PLACES
     for turn in range(PLACES):
-        if not len(line):
+        if not len(at):
             break
-        source = _FILL[place, turn]
-        good = ~empty[line, source]
-        sig[line[good], place[good]] = sig[line[good], source[good]]
-        line, place = line[~good], place[~good]
-    return sig.astype(np.uint32)
+        source = at - place + _FILL[:, turn].take(place)
+        good = ~empty.take(source)
+        flat[at[good]] = flat.take(source[good])
+        at, place = at[~good], place[~good]
+    return flat.reshape(n, PLACES).astype(np.uint32)
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -132,8 +134,8 @@ class Lines:
 
     def signed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Lines that are long enough, in slices, with their signatures."""
-        for low, high in tc.slices(self.offsets):
-            lines = np.flatnonzero((self.doc >= low) & (self.doc < high))
+        for low, high in tc.slices(self.offsets, tc.CACHED):
+            lines = np.arange(*np.searchsorted(self.doc, [low, high]))
             base = self.offsets[low]
             part = self.data[base : self.offsets[high]]
             points, bounds = characters(part, np.concatenate([self.start[lines], self.end[lines]]) - base)
@@ -213,7 +215,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, high binary, low binary, several binary")
         answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _TOLD)
         found = scratch.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(buckets), "doc_id long, place int, key binary, sig binary, buckets array<long>, line string"))
-        items = scratch.cut(found.where("sig is not null").select(F.col("key").alias("id"), "sig", "buckets", "line").dropDuplicates(["id"]))
+        items = scratch.cut(found.where("sig is not null").select(F.col("key").alias("id"), "sig", "buckets", "line").repartition("id").dropDuplicates(["id"]))  # dealt first: a block has a line once, so nothing merges before
         texts = items.select("id", F.col("line").alias("body"))
         groups = near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: texts.join(ids, "id", "left_semi"), AGREE, read_lines, SIMILARITY)
         lines = found.select("doc_id", "place", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
@@ -233,11 +235,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__places"))
     names = [c for c in docs.columns if c not in ("__lines", "__gone")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("doc_id").cast("long").alias("__doc"))
-    joined = packed.join(gone, F.col("__doc") == F.col("__id"), "left")
+    joined = packed.join(gone.hint("shuffle_hash"), F.col("__doc") == F.col("__id"), "left")  # places are few: the texts are not sorted to meet them
     text = F.col("__row.text")
-    lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__places", i)), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__places", i)), "\n")
     kept = F.when(F.col("__places").isNull(), text).otherwise(kept)
-    count = lambda c: F.when(text.isNull(), 0).otherwise(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
     columns = [kept.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in names]
-    return joined.select(*columns, count(lines).alias("__lines"), count(F.col("__places")).alias("__gone"))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))  # without making the lines
+    gone = F.when(text.isNull() | F.col("__places").isNull(), 0).otherwise(F.size("__places"))
+    return joined.select(*columns, F.coalesce(breaks + 1, F.lit(0)).alias("__lines"), gone.alias("__gone"))

@@ -29,7 +29,7 @@ BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 #: Items of a group up to which its pairs are listed together with those of other groups.
 LISTED = 12
 #: Bytes of sets that are compared at a time, columns of a comparison by matrix, pairs of signatures compared at a time.
-TOGETHER, COLUMNS, PAIRS = 2 << 20, 2_048, 1 << 16
+TOGETHER, COLUMNS, PAIRS = 1 << 19, 2_048, 1 << 16
 
 #: Gives the keys and weights of the sets in a column, and where each set begins; keys of a set are distinct.
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -164,7 +164,7 @@ def alike_matrix(sets: tuple[np.ndarray, np.ndarray, np.ndarray], low: int, high
         has = np.zeros((n, end - begin))
         has[row[chosen], column[chosen] - begin] = 1
         common += (has * weight[begin:end]) @ has.T
-    total = _totals((keys, weights, first))[low:high]
+    total = _totals((keys[part], weights[part], first[low : high + 1] - first[low]))
     whole = total[:, None] + total - common
     return (common >= least * whole - 1e-9) & (whole > 0)
 

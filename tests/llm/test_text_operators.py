@@ -793,3 +793,23 @@ def test_suffix_sorts_repeated_surroundings_once(monkeypatch):
         seen |= {w for some in windows for w in some}
     assert got == expected
     assert sorted_ == [1, 1, 1, 0, 0]
+
+
+def test_matrix_of_a_group_sums_its_own_sets_only(monkeypatch):
+    """What a large group costs does not depend on what else is in its slice, and empty sets link with nothing."""
+    import numpy as np
+
+    from cataloom.llm import near_classes
+
+    rng = np.random.default_rng(1)
+    some = [np.unique(rng.integers(0, 30, n)).astype(np.uint64) for n in (0, 9, 20, 40, 0, 60, 60, 1)]
+    sets = np.concatenate(some), np.concatenate([1.0 + (x % 3) for x in some]), np.concatenate([[0], np.cumsum([len(x) for x in some])])
+    summed, plain = [], near_classes._totals
+    monkeypatch.setattr(near_classes, "_totals", lambda x: summed.append(len(x[2]) - 1) or plain(x))
+    got = near_classes.alike_matrix(sets, 2, 7, 0.5)
+    weigh = lambda keys: sum(1.0 + k % 3 for k in keys)
+    for i in range(5):
+        for j in range(5):
+            a, b = set(some[2 + i].tolist()), set(some[2 + j].tolist())
+            assert got[i, j] == (len(a | b) > 0 and weigh(a & b) >= 0.5 * weigh(a | b) - 1e-9)
+    assert summed == [5]
