@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
 from cataloom.llm.exchange import block_by_hash, layout, record_batch, told, unpack
-from cataloom.llm.scratch import cut, tidy
+from cataloom.llm.scratch import Scratch, cut, tidy
 
 STATES, SHAPES, ROUNDS, GAIN, PIECE, SCALED = 6, 2048, 4, 0.002, 512, 8
 #: Words with a class of their own: one in so many distinct words, but so many at least, and at most.
@@ -61,7 +61,7 @@ class Block:
         data, offsets = tc.text_buffer(table.column("text"))
         parts, docs = [], 0
         self.first = np.zeros(1, np.int64)
-        for low, high in tc.slices(offsets):
+        for low, high in tc.slices(offsets, tc.CACHED):
             keys, shapes, first = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             parts.append((keys, shapes))
             self.first = np.concatenate([self.first, first[1:] + self.first[-1]])
@@ -243,7 +243,7 @@ class Chain:
 
 def expected(model: Model, cls: np.ndarray, first: np.ndarray, counts: np.ndarray) -> float:
     """Adds the expected counts of some whole documents: scaled forward and backward recursions. Returns their log10 likelihood."""
-    chain = Chain(model, cls, first)
+    chain, ones = Chain(model, cls, first), np.ones((STATES, 1))
     order, begin, running = _layout(chain.begin, chain.length)
     head, before, behind = chain.head[order], chain.reach[order], chain.behind()[order]
     entering = np.where(head[:, None], before, before @ model.move)
@@ -251,20 +251,20 @@ def expected(model: Model, cls: np.ndarray, first: np.ndarray, counts: np.ndarra
     for t, n in enumerate(running):
         now = chain.emit[cls[begin[:n] + t]]
         a = (entering if t == 0 else forward[-1][:n] @ model.move) * now
-        forward.append(a / a.sum(1, keepdims=True))
+        forward.append(a / (a @ ones))
         seen.append(now)
     moves, back, places, gammas = np.zeros((STATES, STATES)), np.zeros((0, STATES)), [], []
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
         if len(back) < n:
             ending = behind[len(back) : n]
-            back = np.concatenate([back, ending / (forward[t][len(back) :] * ending).sum(1, keepdims=True)])
+            back = np.concatenate([back, ending / ((forward[t][len(back) :] * ending) @ ones)])
         places.append(cls[begin[:n] + t])
         gammas.append(forward[t] * back)
         weighted = seen[t] * back
         if t:
             onward = weighted @ model.move.T
-            whole = (forward[t - 1][:n] * onward).sum(1, keepdims=True)
+            whole = (forward[t - 1][:n] * onward) @ ones
             moves += forward[t - 1][:n].T @ (weighted / whole)
             back = onward / whole
     if len(running):
@@ -284,20 +284,51 @@ def log_likelihood(model: Model, cls: np.ndarray, first: np.ndarray) -> np.ndarr
     return Chain(model, cls, first).log
 
 
+#: Tokens that a round of training handles at a time.
+TOGETHER = 1 << 20
+
+
+def _classified(shared):
+    """The classes of all tokens of each text, packed; what does not change from round to round is done once."""
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
+        kind = class_kind(classes.size)
+        for batch in batches:
+            data, offsets = tc.text_buffer(batch.column(0))
+            for low, high in tc.slices(offsets):
+                keys, shapes, first = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                packed, places = classes.of(keys, shapes).astype(kind), (first * kind().itemsize).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(places), pa.py_buffer(packed)])], ["classes"])
+
+    return classify
+
+
+def class_kind(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _train(docs: DataFrame, classes: Classes) -> Model:
     """Baum-Welch over the training rows (text) of ``docs``; only sums of the size of the model reach the driver."""
-    context, model, before = docs.sparkSession.sparkContext, Model.first(classes.total), None
+    with Scratch(docs.sparkSession) as scratch:
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
+        return _rounds(scratch.cut(docs.select("text").mapInArrow(_classified(shared), "classes binary")), classes)
+
+
+def _rounds(docs: DataFrame, classes: Classes) -> Model:
+    """The rounds over the packed classes of texts."""
+    context, model, before, size = docs.sparkSession.sparkContext, Model.first(classes.total), None, classes.size
+    kind = class_kind(size)
     for _ in range(ROUNDS):
-        shared = context.broadcast((model, classes))
+        shared = context.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, classes = shared.value
-            counts = np.zeros((2 * STATES + 1, classes.size))
+            counts = np.zeros((2 * STATES + 1, size))
             for batch in batches:
                 data, offsets = tc.text_buffer(batch.column(0))
-                for low, high in tc.slices(offsets, 4 << 20):
-                    keys, shapes, first = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                    counts[0, STATES] += expected(model, classes.of(keys, shapes), first, counts)  # a spare place
+                cls, first = data.view(kind), offsets // kind().itemsize
+                for low, high in tc.slices(first, TOGETHER):
+                    counts[0, STATES] += expected(shared.value, cls[first[low] : first[high]], first[low : high + 1] - first[low], counts)  # a spare place
             yield record_batch([(i, x.tobytes()) for i, x in enumerate(counts)], ["row", "counts"], [pa.int32(), pa.binary()])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +338,7 @@ def _train(docs: DataFrame, classes: Classes) -> Model:
                     sums[row] = sums.get(row, 0) + unpack(raw, np.float64)
             yield record_batch([(r, x.tobytes()) for r, x in sums.items()], ["row", "counts"], [pa.int32(), pa.binary()])
 
-        parts = docs.select("text").mapInArrow(count, "row int, counts binary")
+        parts = docs.mapInArrow(count, "row int, counts binary")
         rows = parts.repartition(2 * STATES + 1, "row").mapInArrow(add, "row int, counts binary").collect()
         if not rows:
             break

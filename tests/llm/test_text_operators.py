@@ -795,6 +795,29 @@ def test_suffix_sorts_repeated_surroundings_once(monkeypatch):
     assert sorted_ == [1, 1, 1, 0, 0]
 
 
+def test_hmm_classes_are_packed_once(spark):
+    """Rounds of training read packed classes, the same as from the texts, in both widths."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cataloom.llm import hmm_lm
+    from cataloom.llm import textcore as tc
+
+    texts = ["one two two three", None, "", "Three one " * 700, "x"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    keys, shapes, _ = hmm_lm.tokens(*tc.text_buffer(pa.array(texts)))
+    for own in (2, 70_000):
+        words = np.arange(own - 2, dtype=np.int64).tolist() + np.unique(keys)[:2].view(np.int64).tolist()
+        classes = hmm_lm.Classes([{"word": w, "shape": 5, "count": 1} for w in words], [{"shape": 5, "count": own + 9, "words": own + 3}])
+        kind = hmm_lm.class_kind(classes.size)
+        packed = docs.mapInArrow(hmm_lm._classified(spark.sparkContext.broadcast(classes)), "classes binary")
+        got = [np.frombuffer(r["classes"], kind).tolist() for r in packed.collect()]
+        assert [len(g) for g in got] == [5, 1, 1, 1_401, 2]
+        assert sum(got, []) == classes.of(keys, shapes).tolist()
+        model = hmm_lm._rounds(packed, classes)
+        assert model.emit.shape == (hmm_lm.STATES, classes.size) and abs(model.emit.sum() - hmm_lm.STATES) < 1e-9
+
+
 def test_matrix_of_a_group_sums_its_own_sets_only(monkeypatch):
     """What a large group costs does not depend on what else is in its slice, and empty sets link with nothing."""
     import numpy as np
