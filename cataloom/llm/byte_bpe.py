@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm import textcore as tc
+
 #: Pre-tokens that a task remembers; beyond that it starts afresh, so memory is bounded.
 REMEMBERED = 200_000
 #: Bytes of text whose new pre-tokens are encoded together.
@@ -285,6 +287,29 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], lines: bytes, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    encoder = None
+    for batch in batches:
+        tc.release()
+        encoder = encoder or _encoder(lines, pattern)
+        for low, high in tc.slices(tc.text_buffer(batch.column("text"))[1], GROUP):
+            part = batch.slice(low, high - low)
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            rows, found = [], []
+            for text, ids in zip(texts, encoder.encode(texts), strict=True):
+                index = ids.tolist()
+                decoded = b"".join(map(encoder.plain.__getitem__, index))
+                rows.append((len(index), hashlib.sha256(b",".join(map(encoder.decimal.__getitem__, index))).hexdigest(), hashlib.sha256(decoded).hexdigest(), decoded == text.encode()))
+                found.append(ids.astype(np.int32))
+            columns = [part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
+            if with_ids:
+                columns.append(tc.list_array(np.concatenate(found), np.cumsum([0, *map(len, found)]), pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, "ids"][: len(columns)])
+    tc.release()
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, same) of every row; with ``with_ids`` also ids array<int>.
 
@@ -295,25 +320,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in batches:
-            encoder = encoder or _encoder(shared.value, pattern)
-            low = 0
-            sizes = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in batch.column("text").to_pylist()), np.int64, batch.num_rows))
-            while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + GROUP, "right")))
-                part = batch.slice(low, high - low)
-                low = high
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                rows = []
-                for text, ids in zip(texts, encoder.encode(texts), strict=True):
-                    index = ids.tolist()
-                    decoded = b"".join(map(encoder.plain.__getitem__, index))
-                    row = (len(index), hashlib.sha256(b",".join(map(encoder.decimal.__getitem__, index))).hexdigest(), hashlib.sha256(decoded).hexdigest(), decoded == text.encode())
-                    rows.append((*row, index) if with_ids else row)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same", "ids"][: len(columns) + 1])
+        return _encoded(batches, shared.value, pattern, with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)

@@ -185,6 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                tc.release()
                 data, offsets = tc.text_buffer(batch.column("text"))
                 known: dict[int, list] = {}
                 for low, high in tc.slices(offsets):
@@ -208,6 +209,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                tc.release()
                 row = batch.column(0)
                 data, offsets = tc.text_buffer(row.field(row.type.get_field_index("text")))
                 keep = np.ones(batch.num_rows, bool)

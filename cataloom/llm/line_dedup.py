@@ -150,6 +150,7 @@ _TOLD = "block long, bucket int, body binary"
 
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
+        tc.release()
         bands = [shorten(band_hashes(sig), buckets).ravel() for _, sig in Lines(table).signed()]
         keys, count = np.unique(np.concatenate(bands), return_counts=True) if bands else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         rows = [(table.column("block")[0].as_py(), bucket, *pack_keys(keys[part], buckets), np.packbits(count[part] > 1).tobytes()) for bucket, part in told(keys, buckets)]
@@ -160,6 +161,7 @@ def _ask(buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """One bit for each asked key: whether several lines have it."""
+    tc.release()
     bucket = table.column("bucket")[0].as_py()
     parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
@@ -177,6 +179,7 @@ def _candidates(buckets: int):
         names = ["doc_id", "place", "key", "sig", "buckets", "line"]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         rows, seen = [], set()
+        tc.release()
         if len(table):
             lines = Lines(table)
             signed = [(n, pack_signatures(sig), shorten(band_hashes(sig), buckets)) for n, sig in lines.signed()]

@@ -44,6 +44,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     """Tables of whole groups and where each group begins, from rows sorted by integer ``keys``."""
     rest = None
     for batch in batches:
+        tc.release()
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
@@ -203,6 +204,7 @@ def _led(read: Sets, least: float):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tc.release()
             sizes = tc.text_buffer(batch.column("body"))[1] + tc.text_buffer(batch.column("leading"))[1]
             for low, high in tc.slices(sizes, TOGETHER):
                 rows, n = batch.slice(low, high - low), high - low

@@ -128,6 +128,7 @@ _TOLD = "block long, bucket int, body binary, id long, key binary"
 
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
+        tc.release()
         found = [h for _, _, (h, _, _) in _slices(table, buckets)]
         keys, df = np.unique(np.concatenate(found), return_counts=True)
         rows = [(table.column("block")[0].as_py(), bucket, *pack_keys(keys[part], buckets), df[part].astype(np.uint32).tobytes()) for bucket, part in told(keys, buckets)]
@@ -138,6 +139,7 @@ def _ask(buckets: int):
 
 def _answer(buckets: int):
     def answer(table: pa.Table) -> pa.Table:
+        tc.release()
         bucket = table.column("bucket")[0].as_py()
         parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
         df = np.concatenate([unpack(x, np.uint32) for x in table.column("df").to_pylist()])
@@ -165,6 +167,7 @@ def _sign(buckets: int, n: int):
     def sign(table: pa.Table, answers: pa.Table) -> pa.Table:
         names, kinds, parts = ["doc_id", "key", "sig", "buckets"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], []
         sampler = Sampler()
+        tc.release()
         for low, high, h, tf, idf, first in _weighted(table, answers, buckets, n) if len(table) else ():
             some = np.diff(first) > 0
             sig = sampler.sample(h, tf * idf, np.append(first[:-1][some], first[-1])) if some.any() else np.zeros((0, PLACES), np.uint64)
@@ -186,6 +189,7 @@ def _bodies(buckets: int, n: int):
 
     def find(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows, wanted = [], set()
+        tc.release()
         if len(table) and len(answers):
             wanted = {(i, k) for i, k in zip(answers.column("id").to_pylist(), answers.column("key").to_pylist(), strict=True) if i is not None}
         if wanted:

@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model | None:
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tc.release()
             data, offsets = tc.text_buffer(batch.column(0))
             for low, high in tc.slices(offsets):
                 marks, h, first = evidence(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
@@ -141,6 +142,7 @@ def _telling(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tc.release()
             data, offsets = tc.text_buffer(batch.column(0))
             bad = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for low, high in tc.slices(offsets):
@@ -179,6 +181,7 @@ def score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tc.release()
             data, offsets = tc.text_buffer(batch.column(batch.schema.get_field_index("text")))
             parts = [shared.value.logit(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in tc.slices(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], [*batch.schema.names, name])

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -836,3 +837,24 @@ def test_matrix_of_a_group_sums_its_own_sets_only(monkeypatch):
             a, b = set(some[2 + i].tolist()), set(some[2 + j].tolist())
             assert got[i, j] == (len(a | b) > 0 and weigh(a & b) >= 0.5 * weigh(a | b) - 1e-9)
     assert summed == [5]
+
+
+def test_encoding_holds_a_group_at_a_time(monkeypatch):
+    """A worker's memory follows the group of texts and not the batch, and Arrow gives back what it freed."""
+    rng = random.Random(11)
+    texts = [" ".join(str(rng.randrange(3000)) for _ in range(1000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    released = []
+    monkeypatch.setattr(byte_bpe, "GROUP", 1 << 17)
+    monkeypatch.setattr(tc, "release", lambda: released.append(1))
+    lines = byte_bpe.read_ranks(RANKS)
+    byte_bpe._encoder(lines, tokenizers.PATTERN)
+    del texts
+    tracemalloc.start()
+    try:
+        rows = sum(len(b.column("ids")) for b in byte_bpe._encoded(iter([batch]), lines, tokenizers.PATTERN, True))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and len(released) == 2
+    assert peak < 0.8 * batch.nbytes, (peak, batch.nbytes)  # the whole batch as Python texts and ids is more than all of it
