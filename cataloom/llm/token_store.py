@@ -151,14 +151,15 @@ class WordTokenizer:
         there = np.searchsorted(self.hash, keys)
         wrong = np.flatnonzero((self.low[there][inverse] != low) | (self.high[there][inverse] != high))
         for i in wrong.tolist():  # pieces with the hash of another piece
-            out[i] = self._number((int(low[i]) | int(high[i]) << 64).to_bytes(SHORT, "little")[: size[i]])
+            out[i] = self._numbers([(int(low[i]) | int(high[i]) << 64).to_bytes(SHORT, "little")[: size[i]]])[0]
         return out
 
-    def _number(self, piece: bytes) -> int:
-        number = self.long.get(piece)
-        if number is None:
-            number = self.long[piece] = int(self._learn([piece])[0])
-        return number
+    def _numbers(self, found: list[bytes]) -> list[int]:
+        """Numbers of pieces that are looked up as bytes; new ones are learned together."""
+        new = [x for x in dict.fromkeys(found) if x not in self.long]
+        for low, high in tc.slices(np.cumsum([0, *map(len, new)]), SHORT * TOGETHER):  # the library takes a hundred bytes a token: as much at a time as of short ones
+            self.long.update(zip(new[low:high], self._learn(new[low:high]).tolist(), strict=True))
+        return [self.long[x] for x in found]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a buffer one after the other, and where each text's begin."""
@@ -173,8 +174,8 @@ class WordTokenizer:
         at, n = start[short], size[short]
         index = np.zeros(len(start), np.int64)
         index[short] = self._short(eight[at] & _MASKS[np.minimum(n, 8)], eight[at + 8] & _MASKS[np.maximum(n - 8, 0)], n)
-        for i in np.flatnonzero(~short).tolist():
-            index[i] = self._number(data[start[i] : end[i]].tobytes())
+        long = np.flatnonzero(~short)
+        index[long] = self._numbers([data[a:b].tobytes() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
         count = self.first[index + 1] - self.first[index]
         ends = np.concatenate([[0], np.cumsum(count)])
         return self.ids[np.repeat(self.first[index] - ends[:-1], count) + np.arange(ends[-1])], ends[first]
@@ -184,22 +185,29 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document: by content, at least SMALLEST and at most LARGEST ids."""
-    n = len(ids)
-    if n <= SMALLEST + WINDOW:
-        return np.array([n])
-    hashes = tc.Rolling(ids).windows(WINDOW)
-    at = np.flatnonzero(hashes % np.uint64(AVERAGE) == 0) + WINDOW
-    ends, last = [], 0
-    for end in [*at.tolist(), n]:
-        while end - last > LARGEST:
-            last += LARGEST
-            ends.append(last)
-        if end - last >= SMALLEST or end == n and end > last:
-            ends.append(end)
-            last = end
-    return np.array(ends)
+def cuts(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document, in the ids of all: by content, at least SMALLEST and at most LARGEST ids.
+
+    A window's hash does not depend on where it stands, so one pass over all documents finds the same ends as a pass over each.
+    """
+    hashes = tc.Rolling(ids).windows(WINDOW) if len(ids) >= WINDOW else np.zeros(0, np.uint64)
+    at = np.flatnonzero(hashes % np.uint64(AVERAGE) == 0)
+    low, high = np.searchsorted(at, first[:-1]).tolist(), np.searchsorted(at, first[1:] - WINDOW, "right").tolist()
+    at, out = (at + WINDOW).tolist(), []
+    for begin, n, a, b in zip(first[:-1].tolist(), first[1:].tolist(), low, high, strict=True):
+        if n - begin <= SMALLEST + WINDOW:
+            out.append([n])
+            continue
+        ends, last = [], begin
+        for end in [*at[a:b], n]:
+            while end - last > LARGEST:
+                last += LARGEST
+                ends.append(last)
+            if end - last >= SMALLEST or end == n and end > last:
+                ends.append(end)
+                last = end
+        out.append(ends)
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -215,28 +223,38 @@ def _recipe_root(names: list[bytes], sizes: list[int]) -> bytes:
     return merkle([name + size.to_bytes(4, "little") for name, size in zip(names, sizes, strict=True)])
 
 
-def _body(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4").tobytes()
-
-
-def _name(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+def _chunks(ids: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+    """(n_tokens, chunk_ids, sizes, root, bodies) of each document of a buffer of ids."""
+    wide, narrow = ids.astype("<u4"), None
+    if ids.max(initial=0) < 65536:
+        narrow = memoryview(ids.astype("<u2").tobytes())
+    raw = memoryview(wide.tobytes())
+    for begin, ends in zip(first[:-1].tolist(), cuts(ids, first), strict=True):
+        begins = [begin, *ends[:-1]]
+        parts = list(zip(begins, ends, strict=True))
+        names = [hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in parts]
+        sizes = [b - a for a, b in parts]
+        # where all ids are narrow, so are those of each chunk
+        bodies = [bytes(narrow[2 * a : 2 * b]) for a, b in parts] if narrow is not None else [wide[a:b].astype("<u2" if wide[a:b].max() < 65536 else "<u4").tobytes() for a, b in parts]
+        yield ends[-1] - begin, names, sizes, _recipe_root(names, sizes), bodies
 
 
 def _ids(body: bytes, n: int) -> np.ndarray:
     return np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], definition: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], definition: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with the ids of all their texts, each with the end id, and where each text's begin."""
     if definition not in _tokenizers:
         _tokenizers.clear()
         _tokenizers[definition] = WordTokenizer(definition)
     tokenizer = _tokenizers[definition]
     for batch in batches:
+        tc.release()
         data, offsets = tc.text_buffer(batch.column("text"))
         for low, high in tc.slices(offsets, 2 << 20):
             ids, first = tokenizer.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            yield batch.slice(low, high - low), [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield batch.slice(low, high - low), np.insert(ids, first[1:], np.uint32(end_id)), first + np.arange(len(first))
 
 
 def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -> None:
@@ -247,14 +265,8 @@ def write(docs: DataFrame, store: Store, tokenizer_path: str, end_id: int = 1) -
         shared = spark.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, documents in _encoded(batches, shared.value, end_id):
-            out = []
-            for ids in documents:
-                ends = cuts(ids)
-                parts = np.split(ids, ends[:-1])
-                names = [_name(x) for x in parts]
-                sizes = np.diff(ends, prepend=0).tolist()
-                out.append((len(ids), names, sizes, _recipe_root(names, sizes), [_body(x) for x in parts]))
+        for rows, ids, first in _encoded(batches, shared.value, end_id):
+            out = list(_chunks(ids, first))
             kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "chunk_ids", "sizes", "root", "bodies"])

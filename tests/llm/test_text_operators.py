@@ -858,3 +858,33 @@ def test_encoding_holds_a_group_at_a_time(monkeypatch):
         tracemalloc.stop()
     assert rows == 2000 and len(released) == 2
     assert peak < 0.8 * batch.nbytes, (peak, batch.nbytes)  # the whole batch as Python texts and ids is more than all of it
+
+
+def test_chunks_of_a_buffer_are_those_of_each_document(monkeypatch):
+    """Ends, names and bodies from one pass over many documents; new long pieces of a buffer are learned by one call."""
+
+    def ends_of(ids):
+        ends, last = [], 0
+        for end in range(token_store.WINDOW, len(ids)):
+            hit = int(tc.Rolling(ids[end - token_store.WINDOW : end]).windows(token_store.WINDOW)[0]) % token_store.AVERAGE == 0
+            if hit and end - last >= token_store.SMALLEST or end - last == token_store.LARGEST:
+                ends.append(end)
+                last = end
+        return [*ends, len(ids)] if len(ids) > token_store.SMALLEST + token_store.WINDOW else [len(ids)]
+
+    rng = np.random.default_rng(3)
+    for most in (40_000, 1 << 20):
+        documents = [rng.integers(0, most, n).astype(np.uint32) for n in (1, 48, 49, 3000, 16, 1, 900)] + [np.zeros(10_000, np.uint32)]
+        first = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
+        found = list(token_store._chunks(np.concatenate(documents), first))
+        for ids, (n, names, sizes, root, bodies) in zip(documents, found, strict=True):
+            assert n == len(ids) and np.cumsum(sizes).tolist() == ends_of(ids)
+            assert np.array_equal(np.concatenate([token_store._ids(b, k) for b, k in zip(bodies, sizes, strict=True)]), ids)
+            assert names == [hashlib.blake2b(p.astype("<u4").tobytes(), digest_size=16).digest() for p in np.split(ids, np.cumsum(sizes)[:-1])]
+    tokenizer = token_store.WordTokenizer(open(tokenizers.path("word_bpe_49k.json")).read())
+    calls, learn = [], tokenizer._learn
+    monkeypatch.setattr(tokenizer, "_learn", lambda texts: calls.append(len(texts)) or learn(texts))
+    texts = ["Pneumonoultramicroscopicsilicovolcanoconiosis is 12345678901234567890 long", "", "a/very/long/path/without/any/space ÄÖÜäöüßÄÖÜäöüßÄÖÜ a/very/long/path/without/any/space"]
+    ids, first = tokenizer.encode(*tc.text_buffer(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [tokenizer.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 2 and max(calls) > 1
