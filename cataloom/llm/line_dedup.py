@@ -5,8 +5,9 @@ A line's set of ``CHARS``-character shingles gets a one-permutation MinHash sign
 the signature are candidates, an exact Jaccard similarity of at least 0.8 links them, and distributed
 union-find keeps the first line (by doc_id, then place) of each component.
 
-Which bands at least two lines share is found by exchanging packed band hashes between blocks of documents and
-buckets (see exchange.py), so only lines that can have a partner are shuffled with their text.
+Which bands at least two lines share is found by exchanging packed band hashes of a block's distinct lines between blocks of documents and
+buckets (see exchange.py). With a hash go the line's number in its block and its checksum (CRC-32): the answer names the lines, so that only those are
+signed again, and tells copies of one line, which need no comparison, from different lines, which alone are shuffled with their text.
 
 Lines end at a line feed; white space around a line does not count. A line of fewer than ``CHARS`` characters is one shingle as a
 whole, so it goes where it is an exact repeat; empty lines are left alone. Defined results: null text stays null; a document may lose all lines and is
@@ -16,6 +17,7 @@ then empty; rows of equal doc_id count as one document; rows without doc_id are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm import textcore as tc
-from cataloom.llm.exchange import block_by_hash, layout, pack_keys, record_batch, shorten, told, unpack_keys
+from cataloom.llm.exchange import KEY_BITS, block_by_hash, layout, pack_keys, record_batch, shorten, told, unpack_keys
 from cataloom.llm.near_classes import near_classes, pack_signatures
 from cataloom.llm.scratch import Scratch, cut, tidy
 
@@ -33,6 +35,8 @@ CHARS, SIMILARITY, BANDS, ROWS = 6, 0.8, 12, 5
 SHORTEST = 1
 PLACES = BANDS * ROWS
 AGREE = 0.5
+#: Lines of a block whose ranges are Python numbers at a time.
+TURN = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 13, 32]] = True
 
@@ -118,7 +122,11 @@ def _stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 class Lines:
-    """Lines of the documents of a block: byte ranges without outer white space, places, and those long enough."""
+    """Lines of the documents of a block: byte ranges without outer white space, places, and which of them say the same.
+
+    ``texts`` are the distinct lines that are long enough, in byte order, so that their numbers do not depend on the order of a block's rows;
+    ``number`` is that of each line (-1: too short).
+    """
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("doc_id").to_numpy()
@@ -131,75 +139,114 @@ class Lines:
         end = np.concatenate([start[1:] - (self.doc[1:] == self.doc[:-1]), offsets[-1:]]) if len(start) else start
         self.place = np.arange(len(start)) - np.searchsorted(self.doc, self.doc)
         self.start, self.end = _stripped(data, start, end)
-
-    def signed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Lines that are long enough, in slices, with their signatures."""
-        for low, high in tc.slices(self.offsets, tc.CACHED):
-            lines = np.arange(*np.searchsorted(self.doc, [low, high]))
-            base = self.offsets[low]
-            part = self.data[base : self.offsets[high]]
-            points, bounds = characters(part, np.concatenate([self.start[lines], self.end[lines]]) - base)
-            start, end = bounds[: len(lines)], bounds[len(lines) :]
-            keep = end - start >= SHORTEST
-            if keep.any():
-                yield lines[keep], sign(*shingles(points, start[keep], end[keep]))
-
-
-_TOLD = "block long, bucket int, body binary"
+        self.texts, self.number = self._distinct()
+
+    def _distinct(self) -> tuple[list[bytes], np.ndarray]:
+        raw, met, number = self.data.tobytes(), {}, np.full(len(self.start), -1, np.int64)
+        some = np.flatnonzero(self.end - self.start >= SHORTEST)
+        for low in range(0, len(some), TURN):
+            lines = some[low : low + TURN]
+            ranges = zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)
+            number[lines] = np.fromiter((met.setdefault(raw[s:e], len(met)) for s, e in ranges), np.int64, len(lines))
+        long = [x for x in met if len(x) >= 4 * SHORTEST or len(x.decode("utf-8", "replace")) >= SHORTEST]
+        place = np.full(len(met) + 1, -1)  # its last entry is that of short lines
+        texts = sorted(long)
+        place[np.fromiter((met[x] for x in texts), np.int64, len(texts))] = np.arange(len(texts))
+        return texts, place[number]
+
+
+def signed(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Signatures of lines, in slices."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    for low, high in tc.slices(ends, tc.CACHED):
+        part = np.frombuffer(b"".join(texts[low:high]), np.uint8)
+        points, bounds = characters(part, ends[low : high + 1] - ends[low])
+        yield sign(*shingles(points, bounds[:-1], bounds[1:]))
 
 
 def _ask(buckets: int):
+    """For each bucket the bands of a block's distinct lines: keys, and of what line each is, by its checksum and its number."""
+
     def ask(table: pa.Table) -> pa.Table:
+        names = ["block", "bucket", "high", "low", "sum", "line"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         tc.release()
-        bands = [shorten(band_hashes(sig), buckets).ravel() for _, sig in Lines(table).signed()]
-        keys, count = np.unique(np.concatenate(bands), return_counts=True) if bands else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rows = [(table.column("block")[0].as_py(), bucket, *pack_keys(keys[part], buckets), np.packbits(count[part] > 1).tobytes()) for bucket, part in told(keys, buckets)]
-        return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "high", "low", "several"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
+        texts, rows = Lines(table).texts, []
+        if texts:
+            keys = np.concatenate([shorten(band_hashes(sig), buckets).ravel() for sig in signed(texts)])
+            order = np.argsort(keys)
+            keys, line = keys[order], (order // BANDS).astype(np.uint32)
+            sums = np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))[line]
+            block = table.column("block")[0].as_py()
+            rows = [(block, bucket, *pack_keys(keys[part], buckets), sums[part].tobytes(), line[part].tobytes()) for bucket, part in told(keys, buckets)]
+        return pa.Table.from_batches([record_batch(rows, names, kinds)])
 
     return ask
 
 
+_TOLD = "block long, bucket int, again binary, near binary, keys binary"
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """One bit for each asked key: whether several lines have it."""
+    """For each block its lines of which a band came again, and those, with the band's key, that share it with a line of another checksum."""
     tc.release()
     bucket = table.column("bucket")[0].as_py()
     parts = [unpack_keys(h, b) for h, b in zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
-    _, index = np.unique(np.concatenate(parts), return_inverse=True)
-    shared = (np.bincount(index, np.concatenate(several) + 1.0) > 1)[index]
-    ends = np.cumsum([len(p) for p in parts])
-    rows = [(b, bucket, np.packbits(shared[e - len(p) : e]).tobytes()) for b, p, e in zip(table.column("block").to_pylist(), parts, ends, strict=True)]
-    return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "body"], [pa.int64(), pa.int32(), pa.binary()])])
-
-
-def _candidates(buckets: int):
-    """Every line that shares a band; the first of equal lines of a block brings its signature, shared bands and text."""
-
-    def find(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "place", "key", "sig", "buckets", "line"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
-        rows, seen = [], set()
-        tc.release()
-        if len(table):
-            lines = Lines(table)
-            signed = [(n, pack_signatures(sig), shorten(band_hashes(sig), buckets)) for n, sig in lines.signed()]
-            if signed:
-                keys = np.unique(np.concatenate([b.ravel() for _, _, b in signed]))
-                body = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
-                shared = np.concatenate([np.unpackbits(np.frombuffer(body[bucket], np.uint8), count=part.stop - part.start) for bucket, part in told(keys, buckets)]).astype(bool)
-                for numbers, sig, bands in signed:
-                    met = shared[np.searchsorted(keys, bands)]
-                    for at in np.flatnonzero(met.any(1)).tolist():
-                        n = int(numbers[at])
-                        line = lines.data[lines.start[n] : lines.end[n]].tobytes()
-                        key = hashlib.md5(line).digest()
-                        new = key not in seen
-                        seen.add(key)
-                        first = (sig[at].tobytes(), bands[at][met[at]].view(np.int64), line.decode("utf-8", "replace")) if new else (None, None, None)
-                        rows.append((int(lines.ids[lines.doc[n]]), int(lines.place[n]), key, *first))
-        return pa.Table.from_batches([record_batch(rows, names, kinds)])
-
-    return find
+    sums, line = (np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]) for c in ("sum", "line"))
+    part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    keys = np.concatenate(parts)
+    order = np.argsort(keys)
+    keys, sums = keys[order], sums[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    again = np.repeat(size > 1, size)
+    near = np.repeat(np.minimum.reduceat(sums, first) != np.maximum.reduceat(sums, first), size)
+    order, keys, near = order[again], keys[again], near[again]
+    line, part = line[order], part[order]
+    by = np.argsort(part, kind="stable")
+    line, keys, near, edges = line[by], keys[by] | np.uint64(bucket << KEY_BITS), near[by], np.searchsorted(part[by], np.arange(len(parts) + 1))
+    rows = []
+    for n, block in enumerate(table.column("block").to_pylist()):
+        own = slice(edges[n], edges[n + 1])
+        if own.stop > own.start:
+            close = near[own]
+            rows.append((block, bucket, np.unique(line[own]).tobytes(), line[own][close].tobytes(), keys[own][close].tobytes()))
+    return pa.Table.from_batches([record_batch(rows, ["block", "bucket", "again", "near", "keys"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])])
+
+
+def _candidates(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """Every line that shares a band; the first of equal lines of a block brings its signature, bands shared with others, and text."""
+    names = ["doc_id", "place", "key", "sig", "buckets", "line"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+    tc.release()
+    if not len(table):
+        return pa.Table.from_batches([record_batch([], names, kinds)])
+    lines = Lines(table)
+    texts = lines.texts
+    again, near, keys = (np.frombuffer(b"".join(answers.column(c).to_pylist()), kind) for c, kind in (("again", np.uint32), ("near", np.uint32), ("keys", np.int64)))
+    order = np.argsort(near, kind="stable")
+    chosen, first = np.unique(near[order], return_index=True)
+    bands = np.split(keys[order], first[1:]) if len(chosen) else []
+    sig = [x.tobytes() for part in signed([texts[n] for n in chosen.tolist()]) for x in pack_signatures(part)]
+    told_of = np.bincount(lines.number[lines.number >= 0], minlength=len(texts)) > 1  # some lines come again in the block only
+    told_of[again] = True
+    at = np.flatnonzero(np.append(told_of, False)[lines.number])
+    _, index = np.unique(lines.number[at], return_index=True)
+    brings = np.zeros(len(at), bool)
+    brings[index] = True
+    digest = {n: hashlib.md5(texts[n]).digest() for n in np.flatnonzero(told_of).tolist()}
+    known = {n: k for k, n in enumerate(chosen.tolist())}
+    number = lines.number[at].tolist()
+    with_it = [known.get(n) if b else None for n, b in zip(number, brings.tolist(), strict=True)]
+    columns = [
+        lines.ids[lines.doc[at]],
+        lines.place[at],
+        [digest[n] for n in number],
+        [None if k is None else sig[k] for k in with_it],
+        [None if k is None else bands[k] for k in with_it],
+        [None if k is None else texts[n].decode("utf-8", "replace") for n, k in zip(number, with_it, strict=True)],
+    ]
+    return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
 
 def read_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,12 +262,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     dealt = docs.select(block_by_hash(blocks, F.col("doc_id")).alias("block"), "*").repartition(buckets, "block")
     with tidy(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
-        asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, high binary, low binary, several binary")
+        asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, high binary, low binary, sum binary, line binary")
         answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _TOLD)
-        found = scratch.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(buckets), "doc_id long, place int, key binary, sig binary, buckets array<long>, line string"))
+        found = scratch.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates, "doc_id long, place int, key binary, sig binary, buckets array<long>, line string"))
         items = scratch.cut(found.where("sig is not null").select(F.col("key").alias("id"), "sig", "buckets", "line").repartition("id").dropDuplicates(["id"]))  # dealt first: a block has a line once, so nothing merges before
         texts = items.select("id", F.col("line").alias("body"))
-        groups = near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: texts.join(ids, "id", "left_semi"), AGREE, read_lines, SIMILARITY)
+        groups = near_classes(scratch, items.select("id", "sig", "buckets"), lambda ids: texts.join(ids, "id", "left_semi"), AGREE, read_lines, SIMILARITY, shared=True)
         lines = found.select("doc_id", "place", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
         lines = lines.select("doc_id", "place", F.coalesce("component", "key").alias("class"))
         # written, so that both sides of the join are dealt anew and a class that very many documents have can be split

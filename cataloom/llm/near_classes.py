@@ -236,42 +236,52 @@ def _in_groups(rows: DataFrame, keys: list[str], task, kind: str) -> DataFrame:
     return dealt.mapInArrow(task, f"a {kind}, b {kind}").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_classes(scratch: Scratch, items: DataFrame, find: Callable[[DataFrame], DataFrame], agree: float, read: Sets, least: float) -> DataFrame:
+def near_classes(scratch: Scratch, items: DataFrame, find: Callable[[DataFrame], DataFrame], agree: float, read: Sets, least: float, shared: bool = False) -> DataFrame:
     """(node, component) of ``items`` (id, sig, buckets) that are linked to another one.
 
     ``sig`` holds packed signatures, ``buckets`` the hashes of an item's bands. ``find`` gives the packed sets (id, body) of some
     items (id), which ``read`` unpacks; sets of weighted Jaccard similarity ``least`` or more are linked. ``agree`` is the share of
-    equal signature places below which a pair is not looked at.
+    equal signature places below which a pair is not looked at. ``shared`` says that ``buckets`` name hardly any band that no other item has:
+    then no join takes those away before the signatures go to their buckets.
     """
     kind = dict(items.dtypes)["id"]
     buckets = items.select("id", F.explode("buckets").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = scratch.cut(buckets.join(several, "bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = placed.join(items.select("id", "sig"), "id").select("bucket", "id", "sig", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    groups = _met(dealt, ["bucket"], "blocks", "block").select("bucket", "i", "j", "id", "sig")
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    crowded = None
+    if shared:
+        placed = items.select("id", "sig", F.explode("buckets").alias("bucket"))
+        crowded = scratch.cut(counts.where(F.col("n") > BLOCK_ROWS))
+    else:
+        placed = scratch.cut(buckets.join(counts.where("n > 1"), "bucket")).join(items.select("id", "sig"), "id")
+    if shared and crowded.isEmpty():
+        groups = placed.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "sig")
+    else:
+        placed = placed if crowded is None else placed.join(crowded, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        dealt = placed.select("bucket", "id", "sig", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        groups = _met(dealt, ["bucket"], "blocks", "block").select("bucket", "i", "j", "id", "sig")
     edges = scratch.cut(_in_groups(groups, ["bucket", "i", "j"], _edges(agree), kind).distinct())
     family = components(edges, scratch).select(F.col("node").alias("id"), F.xxhash64("component").alias("family"))
     family = scratch.cut(family)
-    bodies = scratch.cut(find(family.select("id")))
-    sized = family.join(bodies.select("id", F.octet_length("body").alias("bytes")), "id")
-    sizes = sized.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    members = scratch.cut(find(family.select("id")).join(family, "id").select("family", "id", "body", F.octet_length("body").alias("bytes")))
     enough = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
-    families = scratch.cut(family.join(sizes.select("family", enough(F.col("rows"), F.col("bytes")).alias("blocks")), "family"))
-    members = families.where("blocks <= 1").join(bodies, "id").select("family", "id", "body", F.lit(False).alias("known"))
-    links = [_in_groups(members, ["family"], _links(read, least, ["family"]), kind)]
-    large = families.where("blocks > 1").drop("blocks")
+    large = scratch.cut(members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).where(enough(F.col("rows"), F.col("bytes")) > 1).select("family"))
+    few, more = members, []
     if not large.isEmpty():
-        links += _large_families(scratch, large, placed, bodies, read, least, enough, kind)
-    together = links[0]
-    for more in links[1:]:
-        together = together.union(more)
+        few = members.join(large, "family", "left_anti")
+        rows = scratch.cut(members.join(large, "family", "left_semi").select("family", "id", "body"))
+        more = _large_families(scratch, rows.select("id", "family"), buckets, rows.select("id", "body"), read, least, enough, kind)
+    together = _in_groups(few.select("family", "id", "body", F.lit(False).alias("known")), ["family"], _links(read, least, ["family"]), kind)
+    for links in more:
+        together = together.union(links)
     return components(scratch.cut(together), scratch)
 
 
-def _large_families(scratch: Scratch, large: DataFrame, placed: DataFrame, bodies: DataFrame, read: Sets, least: float, enough, kind: str) -> list[DataFrame]:
+def _large_families(scratch: Scratch, large: DataFrame, buckets: DataFrame, bodies: DataFrame, read: Sets, least: float, enough, kind: str) -> list[DataFrame]:
     """Links of families (id, family) that are more than a task should hold."""
-    met = placed.join(large, "id").groupBy("family", "id").agg(F.sum("n").alias("met"))
+    placed = scratch.cut(buckets.join(large, "id"))
+    counts = placed.groupBy("family", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    met = placed.join(counts, ["family", "bucket"]).groupBy("family", "id").agg(F.sum("n").alias("met"))
     leaders = met.groupBy("family").agg(F.max_by("id", F.struct("met", F.xxhash64("id").alias("o"))).alias("leader"))
     leading = leaders.join(bodies.select(F.col("id").alias("leader"), F.col("body").alias("leading")), "leader")
     rows = large.join(bodies, "id")

@@ -888,3 +888,30 @@ def test_chunks_of_a_buffer_are_those_of_each_document(monkeypatch):
     ids, first = tokenizer.encode(*tc.text_buffer(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [tokenizer.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(calls) == 2 and max(calls) > 1
+
+
+def test_only_lines_that_meet_different_ones_bring_signatures(monkeypatch):
+    """Copies of a line need no comparison, lines that meet no other are not signed again, and a block's rows may come in any order."""
+    import pyarrow as pa
+
+    rng, buckets = random.Random(8), 4
+    alone = ["".join(rng.choice("abcdefghij") for _ in range(80)) for _ in range(30)]
+    copy, near = "a line that two blocks have, word for word, and nothing is like it", "0123456789 some other line of which one character differs in the end " * 3
+    blocks = [
+        {"doc_id": [1, 2, 3], "text": ["\n".join(alone[:10]), f"{copy}\n{near}x", f"{alone[10]}\n {copy}"]},
+        {"doc_id": [4, 5], "text": ["\n".join(alone[11:]), f"{near}y\n\n{copy}"]},
+    ]
+    tables = [pa.table({"block": pa.array([n] * len(b["doc_id"])), "doc_id": pa.array(b["doc_id"]), "text": pa.array(b["text"])}) for n, b in enumerate(blocks)]
+    asked = pa.concat_tables([line_dedup._ask(buckets)(t) for t in tables])
+    answers = pa.concat_tables([line_dedup._answer(asked.filter(pa.array([b == x for x in asked.column("bucket").to_pylist()]))) for b in range(buckets)])
+    signed, plain = [], line_dedup.sign
+    monkeypatch.setattr(line_dedup, "sign", lambda hashes, first: signed.append(len(first) - 1) or plain(hashes, first))
+    found = []
+    for n, table in enumerate(tables):
+        own = answers.filter(pa.array([n == x for x in answers.column("block").to_pylist()]))
+        found += line_dedup._candidates(table.take(pa.array(range(len(table))[::-1])), own).to_pylist()
+    assert sum(signed) == 2
+    assert sorted((r["doc_id"], r["place"]) for r in found) == [(2, 0), (2, 1), (3, 1), (4 + 1, 0), (5, 2)]
+    assert {r["line"] for r in found} == {None, near + "x", near + "y"}
+    assert all((r["sig"] is None) == (r["line"] is None) == (r["buckets"] is None) for r in found)
+    assert len({r["key"] for r in found}) == 3
